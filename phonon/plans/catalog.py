@@ -43,3 +43,82 @@ def merged_measurements_df(spark: SparkSession, sf_dir: str, drop_null_first: bo
 
 register("merged_measurements", f"WITH {S.MERGE_CTES} SELECT * FROM merged")(
     lambda spark, sf_dir: merged_measurements_df(spark, sf_dir))
+
+
+def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Round double columns so float summation order cannot show in a comparison."""
+    return df.select([F.round(F.col(f.name), digits).alias(f.name)
+                      if f.dataType.typeName() == "double" else F.col(f.name)
+                      for f in df.schema.fields])
+
+
+# --------------------------------------------------------------------------
+# Scalar functions (H1, H3, H4, H6)
+# --------------------------------------------------------------------------
+
+from ..functions import chemistry as CH  # noqa: E402
+from ..functions.temperature import parse_temperature  # noqa: E402
+from ..operators import composition as CO  # noqa: E402
+from ..sources.tables import read_table  # noqa: E402
+
+
+@register("temperature_parse", f"""
+SELECT DISTINCT {S.temperature_text()} AS temperature_text,
+       {S.parse_temperature(S.temperature_text())} AS kelvin
+FROM lineitem""")
+def q_temperature_parse(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem")
+    text = FX.temperature_text(F.col("l_orderkey"), F.col("l_quantity"), F.col("l_linenumber"))
+    return (li.select(text.alias("temperature_text")).distinct()
+            .withColumn("kelvin", parse_temperature("temperature_text")))
+
+
+@register("material_classes", f"""
+WITH {S.formula_strings()},
+e AS (SELECT p_partkey, formula, {S.formula_elements('formula')} AS els FROM formulas)
+SELECT p_partkey, formula,
+  CASE WHEN els IS NULL THEN 'Unknown'
+       WHEN len(els) = 1 THEN 'Elemental'
+       WHEN list_contains(els, 'O') THEN 'Oxide'
+       WHEN list_has_any(els, ['S', 'Se', 'Te']) THEN 'Chalcogenide'
+       WHEN list_has_any(els, ['F', 'Cl', 'Br', 'I']) THEN 'Halide'
+       WHEN list_contains(els, 'N') THEN 'Nitride'
+       WHEN list_contains(els, 'C') THEN 'Carbide'
+       WHEN list_contains(els, 'B') THEN 'Boride'
+       WHEN list_has_any(els, ['P', 'As', 'Sb', 'Bi']) THEN 'Pnictide'
+       WHEN list_contains(els, 'H') THEN 'Hydride'
+       ELSE 'Intermetallic/Alloy' END AS chemistry
+FROM e""")
+def q_material_classes(spark, sf_dir):
+    return FX.formula_strings(spark, sf_dir).withColumn("chemistry", CH.classify_material("formula"))
+
+
+@register("crystal_systems", f"""
+SELECT {S.classify_spacegroup('l_orderkey % 235')} AS crystal_structure,
+       count(*) AS n, min(l_orderkey % 235) AS min_sg, max(l_orderkey % 235) AS max_sg
+FROM lineitem GROUP BY 1""")
+def q_crystal_systems(spark, sf_dir):
+    sg = F.col("l_orderkey") % 235
+    return (read_table(spark, sf_dir, "lineitem")
+            .groupBy(CH.classify_spacegroup(sg).alias("crystal_structure"))
+            .agg(F.count(F.lit(1)).alias("n"), F.min(sg).alias("min_sg"), F.max(sg).alias("max_sg")))
+
+
+@register("formula_composition", f"""
+WITH {S.formula_strings()},
+tok AS (SELECT p_partkey, unnest(regexp_extract_all(formula, '{CH.FORMULA_TOKEN}', 1)) AS element,
+               unnest(regexp_extract_all(formula, '{CH.FORMULA_TOKEN}', 2)) AS amount_text
+        FROM formulas WHERE {S.formula_valid('formula')})
+SELECT p_partkey, element,
+       sum(CAST(coalesce(nullif(amount_text, ''), '1') AS DOUBLE)) AS amount
+FROM tok GROUP BY p_partkey, element""")
+def q_formula_composition(spark, sf_dir):
+    return CH.explode_composition(FX.formula_strings(spark, sf_dir), "formula", ["p_partkey"])
+
+
+@register("composition_features", S.composition_features_sql(6))
+def q_composition_features(spark, sf_dir):
+    feats = CO.composition_features(
+        FX.composition_long(spark, sf_dir), FX.element_properties(spark, sf_dir),
+        FX.ELEMENT_STAT_PROPS, FX.ELEMENT_ORBITALS)
+    return round_doubles(feats, 6)

@@ -109,8 +109,7 @@ def formula_strings() -> str:
 def formula_valid(expr: str) -> str:
     syms = ", ".join(f"'{s}'" for s in ELEMENT_SYMBOLS)
     return (f"({expr} IS NOT NULL AND regexp_full_match({expr}, '{FORMULA_FULL}') AND "
-            f"list_bool_and(list_transform(regexp_extract_all({expr}, '{FORMULA_TOKEN}', 1), "
-            f"e -> list_contains([{syms}], e))))")
+            f"list_has_all([{syms}], regexp_extract_all({expr}, '{FORMULA_TOKEN}', 1)))")
 
 
 def formula_elements(expr: str) -> str:
@@ -122,3 +121,55 @@ def classify_spacegroup(expr: str) -> str:
     n = f"TRY_CAST(trunc(TRY_CAST({expr} AS DOUBLE)) AS INTEGER)"
     whens = " ".join(f"WHEN {n} BETWEEN {lo} AND {hi} THEN '{name}'" for lo, hi, name in CRYSTAL_SYSTEMS)
     return f"(CASE {whens} ELSE 'Unknown' END)"
+
+
+ELEMENT_PROPS = """
+props_raw AS (
+  SELECT p_partkey AS element,
+         CASE WHEN p_partkey % 17 <> 0 THEN CAST(p_size AS DOUBLE) END AS size,
+         CASE WHEN p_partkey % 17 <> 0 THEN round(p_retailprice * 100) END AS price,
+         CASE WHEN p_partkey % 17 <> 0 THEN CAST(p_size % 3 AS DOUBLE) END AS s_valence,
+         CASE WHEN p_partkey % 17 <> 0 THEN CAST(p_size % 7 AS DOUBLE) END AS p_valence,
+         CASE WHEN p_partkey % 17 <> 0 THEN CAST(p_size % 11 AS DOUBLE) END AS d_valence,
+         CASE WHEN p_partkey % 17 <> 0 THEN CAST(p_size % 15 AS DOUBLE) END AS f_valence
+  FROM part),
+prop_means AS (
+  SELECT avg(size) AS m_size, avg(price) AS m_price, avg(s_valence) AS m_s, avg(p_valence) AS m_p,
+         avg(d_valence) AS m_d, avg(f_valence) AS m_f FROM props_raw),
+props AS (
+  SELECT element, coalesce(size, m_size) AS size, coalesce(price, m_price) AS price,
+         coalesce(s_valence, m_s) AS s_valence, coalesce(p_valence, m_p) AS p_valence,
+         coalesce(d_valence, m_d) AS d_valence, coalesce(f_valence, m_f) AS f_valence
+  FROM props_raw, prop_means)"""
+
+COMPOSITION = """
+comp AS (SELECT l_orderkey AS row_id, l_partkey AS element, sum(l_quantity) AS amount
+         FROM lineitem GROUP BY l_orderkey, l_partkey)"""
+
+
+def composition_features_sql(digits: int = 6) -> str:
+    r = lambda e: f"round({e}, {digits})"
+    stats = []
+    for p in ["size", "price"]:
+        stats += [f"{r(f'min({p})')} AS minimum_{p}", f"{r(f'max({p})')} AS maximum_{p}",
+                  f"{r(f'max({p}) - min({p})')} AS range_{p}",
+                  f"{r(f's_{p} / q')} AS mean_{p}",
+                  f"{r(f'sum(amount * abs({p} * q - s_{p})) / (q * q)')} AS avg_dev_{p}",
+                  f"{r(f'min(CASE WHEN amount = mq THEN {p} END)')} AS mode_{p}"]
+    norms = [f"{r('CAST(n AS DOUBLE)')} AS norm_0"] + [
+        f"{r(f'pow(sum(pow(amount, {p}.0)), 1.0 / {p}) / q')} AS norm_{p}" for p in [2, 3, 5, 7, 10]]
+    orbs = ["s", "p", "d", "f"]
+    val = [f"{r(f'v_{o} / q')} AS avg_{o}_valence_electrons" for o in orbs]
+    tot = " + ".join(f"v_{o}" for o in orbs)
+    val += [f"{r(f'CASE WHEN ({tot}) <> 0 THEN v_{o} / ({tot}) END')} AS frac_{o}_valence_electrons"
+            for o in orbs]
+    sums = ", ".join([f"sum(amount * {p}) AS s_{p}" for p in ["size", "price"]] +
+                     [f"sum(amount * {o}_valence) AS v_{o}" for o in orbs])
+    return f"""WITH {COMPOSITION.strip()}, {ELEMENT_PROPS.strip()},
+j AS (SELECT c.row_id, c.amount, p.* FROM comp c LEFT JOIN props p ON c.element = p.element
+      WHERE c.amount > 0),
+tot AS (SELECT row_id, sum(amount) AS q, max(amount) AS mq, count(*) AS n, {sums}
+        FROM j GROUP BY row_id)
+SELECT j.row_id, {', '.join(stats + norms + val)}
+FROM j JOIN tot ON j.row_id = tot.row_id
+GROUP BY j.row_id, q, mq, n, s_size, s_price, v_s, v_p, v_d, v_f"""

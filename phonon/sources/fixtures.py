@@ -99,14 +99,24 @@ def composition_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def element_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Element-property table in long form (element, property, value).
+    """Element-property table (element, size, price, s/p/d/f valence counts).
 
-    part plays the element table: p_size and p_retailprice are two
-    properties; a property is NULL when p_partkey % 17 = 0.
+    part plays the element table: p_size and p_retailprice (in cents, so
+    whole numbers) are two properties, and four valence counts are residues
+    of p_size. Every property is NULL when p_partkey % 17 = 0.
     """
     part = read_table(spark, sf_dir, "part")
-    missing = F.col("p_partkey") % 17 == 0
+    keep = F.col("p_partkey") % 17 != 0
+    size = F.col("p_size")
     return part.select(
         F.col("p_partkey").alias("element"),
-        F.when(~missing, F.col("p_size").cast("double")).alias("size"),
-        F.when(~missing, F.col("p_retailprice")).alias("price"))
+        F.when(keep, size.cast("double")).alias("size"),
+        F.when(keep, F.round(F.col("p_retailprice") * 100)).alias("price"),
+        F.when(keep, (size % 3).cast("double")).alias("s_valence"),
+        F.when(keep, (size % 7).cast("double")).alias("p_valence"),
+        F.when(keep, (size % 11).cast("double")).alias("d_valence"),
+        F.when(keep, (size % 15).cast("double")).alias("f_valence"))
+
+
+ELEMENT_STAT_PROPS = ["size", "price"]
+ELEMENT_ORBITALS = {"s": "s_valence", "p": "p_valence", "d": "d_valence", "f": "f_valence"}
