@@ -122,3 +122,93 @@ def q_composition_features(spark, sf_dir):
         FX.composition_long(spark, sf_dir), FX.element_properties(spark, sf_dir),
         FX.ELEMENT_STAT_PROPS, FX.ELEMENT_ORBITALS)
     return round_doubles(feats, 6)
+
+
+# --------------------------------------------------------------------------
+# Best-match lookups
+# --------------------------------------------------------------------------
+
+from ..operators import lookup as LK  # noqa: E402
+
+def mp_payload() -> dict:
+    return {
+    "mp_formula": "formula", "material_id": "material_id", "mp_density": "density",
+    "mp_volume": "volume", "mp_band_gap": "band_gap", "mp_is_metal": "is_metal",
+    "mp_energy_above_hull": "energy_above_hull",
+    "crystal_system": CH.classify_spacegroup("space_group_number"),
+    "mp_spacegroup_number": "space_group_number",
+    }
+
+
+def add_mp_features(requests: DataFrame, candidates: DataFrame, tie_break: list[str]) -> DataFrame:
+    """D2 with the first database's output columns."""
+    return LK.best_match(requests, candidates, formula_col="formula",
+                         wanted_col="user_space_group_number", group_col="space_group_number",
+                         energy_col="energy_above_hull", tie_break=tie_break,
+                         payload=mp_payload(), match_col="mp_spacegroup_match_user")
+
+
+JARVIS_PAYLOAD = {
+    "jarvis_bulk_modulus": "bulk_modulus_vrh", "jarvis_shear_modulus": "shear_modulus_vrh",
+    "jarvis_band_gap": "optb88vdw_bandgap", "jarvis_formation_energy": "formation_energy_peratom",
+    "jarvis_debye_temp": "debye_temp",
+}
+
+
+def add_jarvis_features(requests: DataFrame, candidates: DataFrame, tie_break: list[str]) -> DataFrame:
+    """D3 with the second database's output columns."""
+    return LK.best_match(requests, candidates, formula_col="formula",
+                         wanted_col="user_space_group_number", group_col="spacegroup_number",
+                         energy_col="formation_energy_peratom", tie_break=tie_break,
+                         payload=JARVIS_PAYLOAD)
+
+
+@register("mp_best_match", f"""
+WITH req AS (SELECT p_partkey, {S.formula_of_part('p_partkey')} AS formula,
+                    p_size AS user_space_group_number FROM part),
+cand AS (SELECT {S.formula_of_part('l_partkey')} AS cformula, l_suppkey % 50 AS sg,
+                CASE WHEN l_linenumber <> 7 THEN l_extendedprice END AS energy,
+                CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-' ||
+                CAST(l_suppkey AS VARCHAR) AS material_id,
+                l_quantity, l_tax, l_discount, l_linestatus, l_orderkey, l_linenumber, l_suppkey
+         FROM lineitem),
+pairs AS (
+  SELECT r.*, c.*, row_number() OVER (
+           PARTITION BY r.p_partkey
+           ORDER BY coalesce(c.sg = r.user_space_group_number, false) DESC, c.energy NULLS LAST,
+                    c.l_orderkey, c.l_linenumber, c.l_suppkey, c.l_quantity, c.l_tax,
+                    c.l_discount, c.l_linestatus) AS rn
+  FROM req r LEFT JOIN cand c ON r.formula = c.cformula)
+SELECT p_partkey, formula, user_space_group_number, cformula AS mp_formula, material_id,
+       l_quantity AS mp_density, l_tax AS mp_volume, l_discount AS mp_band_gap,
+       l_linestatus = 'F' AS mp_is_metal, energy AS mp_energy_above_hull,
+       CASE WHEN cformula IS NULL THEN NULL ELSE {S.classify_spacegroup('sg')} END AS crystal_system,
+       sg AS mp_spacegroup_number,
+       CASE WHEN cformula IS NOT NULL THEN coalesce(sg = user_space_group_number, false) END
+         AS mp_spacegroup_match_user
+FROM pairs WHERE rn = 1""")
+def q_mp_best_match(spark, sf_dir):
+    return add_mp_features(FX.mp_requests(spark, sf_dir), FX.mp_candidates(spark, sf_dir), FX.MP_TIE)
+
+
+@register("jarvis_best_match", f"""
+WITH req AS (SELECT s_suppkey, {S.formula_of_part('s_suppkey * 7')} AS formula,
+                    s_nationkey AS user_space_group_number FROM supplier),
+cand AS (SELECT {S.formula_of_part('l_partkey')} AS cformula, l_orderkey % 25 AS sg,
+                CASE WHEN l_linenumber <> 3 THEN l_extendedprice / 1000 END AS energy,
+                l_quantity, l_tax, l_discount, l_extendedprice, l_orderkey, l_linenumber, l_suppkey
+         FROM lineitem),
+pairs AS (
+  SELECT r.*, c.*, row_number() OVER (
+           PARTITION BY r.s_suppkey
+           ORDER BY coalesce(c.sg = r.user_space_group_number, false) DESC, c.energy NULLS LAST,
+                    c.l_orderkey, c.l_linenumber, c.l_suppkey, c.l_quantity, c.l_tax,
+                    c.l_discount, c.l_extendedprice) AS rn
+  FROM req r LEFT JOIN cand c ON r.formula = c.cformula)
+SELECT s_suppkey, formula, user_space_group_number, l_quantity AS jarvis_bulk_modulus,
+       l_tax AS jarvis_shear_modulus, l_discount AS jarvis_band_gap,
+       energy AS jarvis_formation_energy, CAST(l_suppkey AS DOUBLE) AS jarvis_debye_temp
+FROM pairs WHERE rn = 1""")
+def q_jarvis_best_match(spark, sf_dir):
+    return add_jarvis_features(FX.jarvis_requests(spark, sf_dir), FX.jarvis_candidates(spark, sf_dir),
+                               FX.JARVIS_TIE)

@@ -120,3 +120,56 @@ def element_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ELEMENT_STAT_PROPS = ["size", "price"]
 ELEMENT_ORBITALS = {"s": "s_valence", "p": "p_valence", "d": "d_valence", "f": "f_valence"}
+
+
+def mp_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookup requests: part rows, formula by key, wanted space group = p_size."""
+    return read_table(spark, sf_dir, "part").select(
+        "p_partkey", formula_of_part(F.col("p_partkey")).alias("formula"),
+        F.col("p_size").alias("user_space_group_number"))
+
+
+def mp_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate table 1 from lineitem: space group = l_suppkey % 50,
+    energy = l_extendedprice (NULL when l_linenumber = 7)."""
+    li = read_table(spark, sf_dir, "lineitem")
+    return li.select(
+        formula_of_part(F.col("l_partkey")).alias("formula"),
+        (F.col("l_suppkey") % 50).alias("space_group_number"),
+        F.when(F.col("l_linenumber") != 7, F.col("l_extendedprice")).alias("energy_above_hull"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey").alias("material_id"),
+        F.col("l_quantity").alias("density"), F.col("l_tax").alias("volume"),
+        F.col("l_discount").alias("band_gap"), (F.col("l_linestatus") == "F").alias("is_metal"),
+        "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_tax", "l_discount",
+        "l_linestatus")
+
+
+MP_TIE = ["l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_tax", "l_discount",
+          "l_linestatus"]
+
+
+def jarvis_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookup requests: supplier rows, formula by 7 * key, wanted group = s_nationkey."""
+    return read_table(spark, sf_dir, "supplier").select(
+        "s_suppkey", formula_of_part(F.col("s_suppkey") * 7).alias("formula"),
+        F.col("s_nationkey").alias("user_space_group_number"))
+
+
+def jarvis_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate table 2 from lineitem: spacegroup = l_orderkey % 25,
+    formation energy = l_extendedprice / 1000 (NULL when l_linenumber = 3)."""
+    li = read_table(spark, sf_dir, "lineitem")
+    return li.select(
+        formula_of_part(F.col("l_partkey")).alias("formula"),
+        (F.col("l_orderkey") % 25).alias("spacegroup_number"),
+        F.col("l_quantity").alias("bulk_modulus_vrh"), F.col("l_tax").alias("shear_modulus_vrh"),
+        F.col("l_discount").alias("optb88vdw_bandgap"),
+        F.when(F.col("l_linenumber") != 3, F.col("l_extendedprice") / 1000)
+        .alias("formation_energy_peratom"),
+        F.col("l_suppkey").cast("double").alias("debye_temp"),
+        "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_tax", "l_discount",
+        "l_extendedprice")
+
+
+JARVIS_TIE = ["l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_tax", "l_discount",
+              "l_extendedprice"]
