@@ -212,3 +212,277 @@ FROM pairs WHERE rn = 1""")
 def q_jarvis_best_match(spark, sf_dir):
     return add_jarvis_features(FX.jarvis_requests(spark, sf_dir), FX.jarvis_candidates(spark, sf_dir),
                                FX.JARVIS_TIE)
+
+
+# --------------------------------------------------------------------------
+# Exploration
+# --------------------------------------------------------------------------
+
+from ..operators import explore as EX  # noqa: E402
+
+
+def r9(e: str) -> str:
+    return f"round({e}, 9)"
+
+
+def r6(e: str) -> str:
+    return f"round({e}, 6)"
+
+
+@register("cluster_summary", f"""
+SELECT label, {r9('avg(CAST(embedding[1] AS DOUBLE))')} AS mean_thermal_conductivity,
+       {r9('avg(CAST(embedding[2] AS DOUBLE))')} AS mean_density, count(vec_id) AS count
+FROM embeddings GROUP BY label""")
+def q_cluster_summary(spark, sf_dir):
+    emb = read_table(spark, sf_dir, "embeddings").select(
+        "label", "vec_id", F.col("embedding")[0].cast("double").alias("e0"),
+        F.col("embedding")[1].cast("double").alias("e1"))
+    out = EX.cluster_summary(emb, "label", {"mean_thermal_conductivity": "e0", "mean_density": "e1"},
+                             "vec_id")
+    return round_doubles(out, 9)
+
+
+@register("cluster_profile", f"""
+WITH counts AS (SELECT p_brand, p_type, count(*) AS c FROM part WHERE p_type IS NOT NULL
+                GROUP BY p_brand, p_type),
+best AS (SELECT p_brand, p_type FROM (
+           SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY c DESC, p_type) AS rn
+           FROM counts) x WHERE rn = 1),
+stats AS (SELECT p_brand, {r9('avg(p_retailprice)')} AS mean_price,
+                 {r9('stddev_samp(p_retailprice)')} AS std_price,
+                 {r9('avg(p_size)')} AS mean_size, {r9('stddev_samp(p_size)')} AS std_size
+          FROM part GROUP BY p_brand)
+SELECT s.*, coalesce(b.p_type, 'Unknown') AS dominant_type
+FROM stats s LEFT JOIN best b ON s.p_brand = b.p_brand""")
+def q_cluster_profile(spark, sf_dir):
+    part = read_table(spark, sf_dir, "part")
+    out = EX.cluster_profile(part, "p_brand", {"price": "p_retailprice", "size": "p_size"},
+                             mode_col="p_type", mode_name="dominant_type")
+    return round_doubles(out, 9)
+
+
+@register("segment_share", """
+WITH c AS (SELECT c_nationkey, c_mktsegment, count(*) AS count FROM customer
+           WHERE c_nationkey IS NOT NULL AND c_mktsegment IS NOT NULL
+           GROUP BY c_nationkey, c_mktsegment)
+SELECT c_nationkey, c_mktsegment, count,
+       count / sum(count) OVER (PARTITION BY c_nationkey) * 100 AS percent
+FROM c""")
+def q_segment_share(spark, sf_dir):
+    return EX.contingency_share(read_table(spark, sf_dir, "customer"), "c_nationkey", "c_mktsegment")
+
+
+def _summary_sql(expr: str, where: str, scale: str) -> str:
+    n = "CAST(count(*) AS DOUBLE)"
+    return f"""
+SELECT '{scale}' AS scale, 'value' AS feature, count(*) AS count, {r9('avg(v)')} AS mean,
+       {r9('stddev_samp(v)')} AS std, {r9('min(v)')} AS min, {r9('max(v)')} AS max,
+       {r9('quantile_cont(v, 0.25)')} AS q25, {r9('quantile_cont(v, 0.5)')} AS q50,
+       {r9('quantile_cont(v, 0.75)')} AS q75,
+       {r9(f'CASE WHEN count(*) > 2 THEN (avg(power(v - m, 3)) / power(avg(power(v - m, 2)), 1.5)) * sqrt({n} * ({n} - 1)) / ({n} - 2) END')} AS skew,
+       {r9(f'CASE WHEN count(*) > 3 THEN ({n} - 1) / (({n} - 2) * ({n} - 3)) * (({n} + 1) * (avg(power(v - m, 4)) / power(avg(power(v - m, 2)), 2) - 3) + 6) END')} AS kurtosis
+FROM (SELECT {expr} AS v, avg({expr}) OVER () AS m FROM events WHERE {where}) x"""
+
+
+@register("summary_statistics",
+          _summary_sql("value", "value IS NOT NULL", "raw") + " UNION ALL " +
+          _summary_sql("log10(value)", "value > 0", "log10"))
+def q_summary_statistics(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events").select("value")
+    raw = EX.summary_statistics(ev, ["value"]).withColumn("scale", F.lit("raw"))
+    lg = EX.summary_statistics(ev, ["value"], log10=True).withColumn("scale", F.lit("log10"))
+    return round_doubles(raw.unionByName(lg), 9)
+
+
+def _unpivot_sql(select_fn, cols) -> str:
+    return " UNION ALL ".join(select_fn(c) for c in cols)
+
+
+@register("missing_std", "WITH " + S.FEATURE_MATRIX.strip() + " " + _unpivot_sql(
+    lambda c: f"SELECT '{c}' AS feature, {r9(f'avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END)')} "
+              f"AS missing_fraction, {r9(f'stddev_samp({c})')} AS std FROM fm", FX.FEATURE_COLS))
+def q_missing_std(spark, sf_dir):
+    return round_doubles(EX.missing_and_std(FX.feature_matrix(spark, sf_dir), FX.FEATURE_COLS), 9)
+
+
+CORR_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "mostly_null", "qty_copy"]
+
+
+@register("correlation_pairs", "WITH " + S.FEATURE_MATRIX.strip() + " " + " UNION ALL ".join(
+    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, {r9(f'corr({a}, {b})')} AS corr FROM fm"
+    for i, a in enumerate(CORR_COLS) for b in CORR_COLS[i + 1:]))
+def q_correlation_pairs(spark, sf_dir):
+    return round_doubles(EX.correlation_pairs(FX.feature_matrix(spark, sf_dir), CORR_COLS), 9)
+
+
+TARGET_COLS = ["l_quantity", "l_discount", "l_tax", "near_const", "mostly_null", "qty_copy"]
+
+
+@register("top_correlated", "WITH " + S.FEATURE_MATRIX.strip() + ", c AS (" + " UNION ALL ".join(
+    f"SELECT '{a}' AS feature, {r9(f'corr({a}, l_extendedprice)')} AS corr FROM fm"
+    for a in TARGET_COLS) + ") SELECT * FROM c ORDER BY abs(corr) DESC NULLS LAST, feature LIMIT 3")
+def q_top_correlated(spark, sf_dir):
+    c = EX.correlation_with_target(FX.feature_matrix(spark, sf_dir), TARGET_COLS, "l_extendedprice")
+    return EX.top_k_abs(round_doubles(c, 9), "corr", 3)
+
+
+HIST_COLS = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+def _hist_sql(log10: bool) -> str:
+    v = "log10(value)" if log10 else "value"
+    cond = "value > 0" if log10 else "value IS NOT NULL"
+    long = " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM lineitem"
+                              for c in HIST_COLS)
+    return f"""
+WITH long AS (SELECT feature, {v} AS value FROM ({long}) x WHERE {cond}),
+rng AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM long GROUP BY feature),
+b AS (SELECT l.feature, lo, hi,
+             CAST(CASE WHEN hi - lo > 0 THEN least(floor((value - lo) / (hi - lo) * 30), 29) ELSE 0 END
+                  AS INTEGER) AS bin
+      FROM long l JOIN rng r ON l.feature = r.feature)
+SELECT '{'log10' if log10 else 'raw'}' AS scale, feature, bin,
+       {r9('lo + (hi - lo) * bin / 30')} AS bin_start, {r9('lo + (hi - lo) * (bin + 1) / 30')} AS bin_end,
+       count(*) AS count
+FROM b GROUP BY feature, lo, hi, bin"""
+
+
+@register("histograms", f"SELECT * FROM ({_hist_sql(False)}) a UNION ALL SELECT * FROM ({_hist_sql(True)}) b")
+def q_histograms(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem")
+    raw = EX.histogram(li, HIST_COLS, 30).withColumn("scale", F.lit("raw"))
+    lg = EX.histogram(li, HIST_COLS, 30, log10=True).withColumn("scale", F.lit("log10"))
+    return round_doubles(raw.unionByName(lg), 9)
+
+
+@register("box_statistics", f"""
+SELECT c_mktsegment, count(c_acctbal) AS count, min(c_acctbal) AS min, max(c_acctbal) AS max,
+       {r9('quantile_cont(c_acctbal, 0.25)')} AS q1, {r9('quantile_cont(c_acctbal, 0.5)')} AS median,
+       {r9('quantile_cont(c_acctbal, 0.75)')} AS q3
+FROM customer WHERE c_acctbal IS NOT NULL GROUP BY c_mktsegment""")
+def q_box_statistics(spark, sf_dir):
+    return round_doubles(EX.box_statistics(read_table(spark, sf_dir, "customer"), "c_acctbal",
+                                           "c_mktsegment"), 9)
+
+
+def _metrics_sql(y: str, yhat: str, scale: str, extra_group: str = "") -> str:
+    sel = f"{extra_group}, " if extra_group else ""
+    grp = f"GROUP BY {extra_group}" if extra_group else ""
+    return f"""
+SELECT {sel}'{scale}' AS scale, {r9(f'avg(abs({y} - {yhat}))')} AS mae,
+       {r9(f'sqrt(avg(({y} - {yhat}) * ({y} - {yhat})))')} AS rmse,
+       {r9(f'1 - sum(({y} - {yhat}) * ({y} - {yhat})) / (var_pop({y}) * count(*))')} AS r2,
+       count(*) AS n
+FROM (SELECT l_returnflag, ln(1 + l_extendedprice) AS y_log, ln(1 + l_quantity * 1500) AS yhat_log,
+             l_extendedprice AS y, exp(ln(1 + l_quantity * 1500)) - 1 AS yhat FROM lineitem) x {grp}"""
+
+
+@register("regression_metrics", _metrics_sql("y_log", "yhat_log", "log") + " UNION ALL " +
+          _metrics_sql("y", "yhat", "original"))
+def q_regression_metrics(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem").select(
+        F.log1p("l_extendedprice").alias("y_log"),
+        F.log1p(F.col("l_quantity") * 1500).alias("yhat_log"), F.col("l_extendedprice").alias("y"))
+    return round_doubles(EX.evaluate_log_and_original(li, "y_log", "yhat_log", "y"), 9)
+
+
+@register("anova_f", f"""
+WITH g AS (SELECT event_type, count(value) AS n, avg(value) AS m, var_samp(value) AS v
+           FROM events WHERE value IS NOT NULL AND event_type IS NOT NULL GROUP BY event_type),
+t AS (SELECT sum(n) AS big_n, sum(n * m) / sum(n) AS big_m, count(*) AS k FROM g)
+SELECT {r9('(sum(n * (m - big_m) * (m - big_m)) / (k - 1)) / (sum(coalesce((n - 1) * v, 0)) / (big_n - k))')}
+         AS f_stat, CAST(k - 1 AS BIGINT) AS df_between, CAST(big_n - k AS BIGINT) AS df_within
+FROM g, t GROUP BY big_n, k""")
+def q_anova_f(spark, sf_dir):
+    out = EX.one_way_anova(read_table(spark, sf_dir, "events"), "value", "event_type")
+    return round_doubles(out.withColumns({"df_between": F.col("df_between").cast("bigint"),
+                                          "df_within": F.col("df_within").cast("bigint")}), 9)
+
+
+JB_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@register("jarque_bera", " UNION ALL ".join(f"""
+SELECT '{c}' AS feature, count(*) AS n,
+       round(count(*) / 6.0 * (power(avg(power(v - m, 3)) / power(avg(power(v - m, 2)), 1.5), 2) + power(avg(power(v - m, 4)) / power(avg(power(v - m, 2)), 2) - 3, 2) / 4), 6) AS jb,
+       {r6('exp(-(count(*) / 6.0 * (power(avg(power(v - m, 3)) / power(avg(power(v - m, 2)), 1.5), 2) + power(avg(power(v - m, 4)) / power(avg(power(v - m, 2)), 2) - 3, 2) / 4)) / 2)')} AS p_value
+FROM (SELECT CAST({c} AS DOUBLE) AS v, avg({c}) OVER () AS m FROM lineitem WHERE {c} IS NOT NULL) x"""
+    for c in JB_COLS))
+def q_jarque_bera(spark, sf_dir):
+    out = EX.jarque_bera(read_table(spark, sf_dir, "lineitem"), JB_COLS).drop("is_normal")
+    return round_doubles(out, 6)
+
+
+@register("scale_decision", f"""
+SELECT l_orderkey, l_linenumber, l_suppkey,
+       {r9('CASE WHEN (SELECT max(ln(1 + l_quantity * 1500)) FROM lineitem) > 25 THEN ln(1 + l_quantity * 1500) ELSE exp(ln(1 + l_quantity * 1500)) - 1 END')} AS predicted
+FROM lineitem""")
+def q_scale_decision(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_suppkey", F.log1p(F.col("l_quantity") * 1500).alias("pred"))
+    return round_doubles(EX.decide_scale(li, "pred", "predicted").drop("pred"), 9)
+
+
+@register("distinct_labels", "SELECT DISTINCT label FROM embeddings")
+def q_distinct_labels(spark, sf_dir):
+    return EX.distinct_values(read_table(spark, sf_dir, "embeddings"), "label")
+
+
+@register("running_share", "WITH " + S.DAILY_EVENTS.strip() + f"""
+SELECT event_type, day, n, {r9('total')} AS total,
+       {r9('sum(total) OVER (PARTITION BY event_type ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(total) OVER (PARTITION BY event_type)')} AS cum_share
+FROM daily""")
+def q_running_share(spark, sf_dir):
+    d = FX.daily_event_series(spark, sf_dir)
+    return round_doubles(EX.running_share(d, "event_type", "day", "total"), 9)
+
+
+@register("curvature_elbow", "WITH " + S.DAILY_EVENTS.strip() + """,
+d AS (SELECT event_type, day, n - 2 * lag(n, 1) OVER w + lag(n, 2) OVER w AS d2,
+             lag(day, 1) OVER w AS mid
+      FROM daily WINDOW w AS (PARTITION BY event_type ORDER BY day))
+SELECT event_type, mid AS elbow, d2 AS min_second_difference FROM (
+  SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY d2, mid) AS rn
+  FROM d WHERE d2 IS NOT NULL) x WHERE rn = 1""")
+def q_curvature_elbow(spark, sf_dir):
+    return EX.curvature_elbow(FX.daily_event_series(spark, sf_dir), "event_type", "day", "n")
+
+
+@register("argmax_day", "WITH " + S.DAILY_EVENTS.strip() + """
+SELECT event_type, day AS best_day, n AS best_n FROM (
+  SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, day) AS rn FROM daily) x
+WHERE rn = 1""")
+def q_argmax_day(spark, sf_dir):
+    return EX.argmax_first(FX.daily_event_series(spark, sf_dir), ["event_type"], "n", "day")
+
+
+@register("first_rows", """
+SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10""")
+def q_first_rows(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return EX.first_rows(o, [F.col("o_totalprice").desc(), F.col("o_orderkey")], 10)
+
+
+@register("key_union", """
+SELECT l_orderkey AS row_key FROM lineitem WHERE l_returnflag = 'A'
+UNION SELECT o_orderkey AS row_key FROM orders WHERE o_orderstatus = 'F'""")
+def q_key_union(spark, sf_dir):
+    a = read_table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "A") \
+        .select(F.col("l_orderkey").alias("row_key"))
+    b = read_table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "F") \
+        .select(F.col("o_orderkey").alias("row_key"))
+    return EX.distinct_union(a, b)
+
+
+@register("metrics_long", f"""
+WITH m AS ({_metrics_sql('y_log', 'yhat_log', 'log', 'l_returnflag')})
+SELECT l_returnflag, scale, metric, score FROM m
+UNPIVOT (score FOR metric IN (mae, rmse, r2))""")
+def q_metrics_long(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem").select(
+        "l_returnflag", F.log1p("l_extendedprice").alias("y_log"),
+        F.log1p(F.col("l_quantity") * 1500).alias("yhat_log"))
+    parts = [EX.regression_metrics(li.where(F.col("l_returnflag") == f), "y_log", "yhat_log")
+             .withColumn("l_returnflag", F.lit(f)) for f in ["A", "N", "R"]]
+    wide = round_doubles(EX.distinct_union(*parts), 9).withColumn("scale", F.lit("log"))
+    return EX.to_long(wide, ["mae", "rmse", "r2"], ["l_returnflag", "scale"], "metric", "score")

@@ -173,3 +173,17 @@ tot AS (SELECT row_id, sum(amount) AS q, max(amount) AS mq, count(*) AS n, {sums
 SELECT j.row_id, {', '.join(stats + norms + val)}
 FROM j JOIN tot ON j.row_id = tot.row_id
 GROUP BY j.row_id, q, mq, n, s_size, s_price, v_s, v_p, v_d, v_f"""
+
+
+FEATURE_MATRIX = """
+fm AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_returnflag, l_quantity, l_extendedprice,
+              l_discount, l_tax, CAST(1.0 AS DOUBLE) AS const_one,
+              CAST(1.0 AS DOUBLE) + CASE WHEN l_orderkey % 1000 = 0 THEN CAST(1e-7 AS DOUBLE)
+                                         ELSE CAST(0.0 AS DOUBLE) END AS near_const,
+              CASE WHEN l_linenumber = 1 THEN l_quantity END AS mostly_null,
+              l_quantity * 2 + 1 AS qty_copy
+       FROM lineitem)"""
+
+DAILY_EVENTS = """
+daily AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n, sum(value) AS total
+          FROM events GROUP BY event_type, CAST(ts AS DATE))"""

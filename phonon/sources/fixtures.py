@@ -173,3 +173,28 @@ def jarvis_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 JARVIS_TIE = ["l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_tax", "l_discount",
               "l_extendedprice"]
+
+
+FEATURE_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "const_one",
+                "near_const", "mostly_null", "qty_copy"]
+
+
+def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numeric feature matrix from lineitem plus four awkward columns: a
+    constant, a nearly constant one, a mostly NULL one and a linear copy."""
+    li = read_table(spark, sf_dir, "lineitem")
+    return li.select(
+        "l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag",
+        "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+        F.lit(1.0).alias("const_one"),
+        (F.lit(1.0) + F.when(F.col("l_orderkey") % 1000 == 0, F.lit(1e-7)).otherwise(F.lit(0.0)))
+        .alias("near_const"),
+        F.when(F.col("l_linenumber") == 1, F.col("l_quantity")).alias("mostly_null"),
+        (F.col("l_quantity") * 2 + 1).alias("qty_copy"))
+
+
+def daily_event_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_type, day, n, total): one point per event type and day."""
+    ev = read_table(spark, sf_dir, "events")
+    return ev.groupBy("event_type", F.to_date("ts").alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
