@@ -146,13 +146,21 @@ def drop_all_null_columns(df: DataFrame, cols: list[str] | None = None) -> DataF
 
 # ---------------------------------------------------------------- correlation
 
+def safe_corr(a: str, b: str) -> Column:
+    """Pearson correlation over rows where both are non-null; NULL when either
+    side is constant (Spark's ``corr`` raises on that under ANSI mode)."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
+    return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
+
+
 def correlation_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pearson correlation of every pair (i < j), pairwise complete.
 
     One aggregate row of d(d-1)/2 ``corr`` expressions, unpivoted.
     """
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    row = df.agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
+    row = df.agg(*[safe_corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
     stack = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
                       F.col(f"`{i}`").alias("corr")) for i, (a, b) in enumerate(pairs)]
     return row.select(F.explode(F.array(*stack)).alias("s")).select("s.*")
@@ -160,7 +168,7 @@ def correlation_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def correlation_with_target(df: DataFrame, cols: list[str], target: str) -> DataFrame:
     """Correlation of each column with the target (pairwise complete)."""
-    row = df.agg(*[F.corr(c, target).alias(f"{i}") for i, c in enumerate(cols)])
+    row = df.agg(*[safe_corr(c, target).alias(f"{i}") for i, c in enumerate(cols)])
     stack = [F.struct(F.lit(c).alias("feature"), F.col(f"`{i}`").alias("corr"))
              for i, c in enumerate(cols)]
     return row.select(F.explode(F.array(*stack)).alias("s")).select("s.*")
@@ -214,7 +222,7 @@ def regression_metrics(df: DataFrame, y: str, yhat: str) -> DataFrame:
     pairs = df.where(F.col(y).isNotNull() & F.col(yhat).isNotNull())
     return pairs.agg(
         F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"),
-        (1 - F.sum(err * err) / (F.var_pop(y) * F.count(F.lit(1)))).alias("r2"),
+        (1 - F.try_divide(F.sum(err * err), F.var_pop(y) * F.count(F.lit(1)))).alias("r2"),
         F.count(F.lit(1)).alias("n"))
 
 
@@ -246,8 +254,8 @@ def one_way_anova(df: DataFrame, value: str, group: str) -> DataFrame:
         F.sum(F.col("n") * (F.col("m") - F.col("m_total")) ** 2).alias("ssb"),
         F.sum(F.coalesce((F.col("n") - 1) * F.col("v"), F.lit(0.0))).alias("ssw"))
     return out.select(
-        ((F.col("ssb") / (F.col("k") - 1)) / (F.col("ssw") / (F.col("n_total") - F.col("k"))))
-        .alias("f_stat"),
+        F.try_divide(F.try_divide(F.col("ssb"), F.col("k") - 1),
+                     F.try_divide(F.col("ssw"), F.col("n_total") - F.col("k"))).alias("f_stat"),
         (F.col("k") - 1).alias("df_between"), (F.col("n_total") - F.col("k")).alias("df_within"))
 
 
@@ -344,7 +352,7 @@ def running_share(df: DataFrame, series: str, order: str, value: str) -> DataFra
     """cumulative sum / series total along ``order`` (explained-variance curve)."""
     w = Window.partitionBy(series).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     total = F.sum(value).over(Window.partitionBy(series))
-    return df.withColumn("cum_share", F.sum(value).over(w) / total)
+    return df.withColumn("cum_share", F.try_divide(F.sum(value).over(w), total))
 
 
 def curvature_elbow(df: DataFrame, series: str, order: str, value: str) -> DataFrame:

@@ -486,3 +486,163 @@ def q_metrics_long(spark, sf_dir):
              .withColumn("l_returnflag", F.lit(f)) for f in ["A", "N", "R"]]
     wide = round_doubles(EX.distinct_union(*parts), 9).withColumn("scale", F.lit("log"))
     return EX.to_long(wide, ["mae", "rmse", "r2"], ["l_returnflag", "scale"], "metric", "score")
+
+
+# --------------------------------------------------------------------------
+# Preparation and selection (J1-J6, J10, J20), shaping (B5, B6, B8, C5), joins
+# --------------------------------------------------------------------------
+
+from ..operators import prepare as PR  # noqa: E402
+from ..operators import shape as SH  # noqa: E402
+from ..operators import joins as JN  # noqa: E402
+
+
+@register("features_to_drop", "WITH " + S.FEATURE_MATRIX.strip() + """,
+stats AS (""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, {i} AS pos, avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) AS miss, "
+    f"stddev_samp({c}) AS sd FROM fm" for i, c in enumerate(FX.FEATURE_COLS)) + """),
+drop12 AS (SELECT feature FROM stats WHERE miss > 0.3 OR sd < 1e-5),
+keep AS (SELECT feature, pos FROM stats WHERE feature NOT IN (SELECT feature FROM drop12)),
+pairs AS (""" + " UNION ALL ".join(
+    f"SELECT '{a}' AS fa, '{b}' AS fb, corr({a}, {b}) AS c FROM fm"
+    for i, a in enumerate(FX.FEATURE_COLS) for b in FX.FEATURE_COLS[i + 1:]) + """),
+hi AS (SELECT p.fb AS feature FROM pairs p JOIN keep ka ON p.fa = ka.feature
+       JOIN keep kb ON p.fb = kb.feature WHERE ka.pos < kb.pos AND abs(p.c) > 0.85)
+SELECT feature FROM drop12 UNION SELECT feature FROM hi""")
+def q_features_to_drop(spark, sf_dir):
+    return PR.features_to_drop(FX.feature_matrix(spark, sf_dir), FX.FEATURE_COLS)
+
+
+@register("prepare_for_modeling", "WITH " + S.FEATURE_MATRIX.strip() + """,
+m AS (SELECT avg(mostly_null) AS mm FROM fm WHERE l_extendedprice IS NOT NULL)
+SELECT l_quantity, l_discount, l_tax, const_one, near_const,
+       coalesce(mostly_null, mm) AS mostly_null, qty_copy, l_extendedprice
+FROM fm, m WHERE l_extendedprice IS NOT NULL""")
+def q_prepare_for_modeling(spark, sf_dir):
+    fm = FX.feature_matrix(spark, sf_dir).select(*FX.FEATURE_COLS)
+    out, _ = PR.prepare_for_modeling(fm, "l_extendedprice")
+    return out
+
+
+@register("median_impute", f"""
+WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS acctbal FROM customer),
+m AS (SELECT quantile_cont(acctbal, 0.5) AS med FROM c)
+SELECT c_custkey, {r9('coalesce(acctbal, med, 0.0)')} AS acctbal FROM c, m""")
+def q_median_impute(spark, sf_dir):
+    c = read_table(spark, sf_dir, "customer").select(
+        "c_custkey", F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal")).alias("acctbal"))
+    return round_doubles(PR.impute_median(c, ["acctbal"]), 9)
+
+
+@register("train_test_split", """
+SELECT o_orderkey, CASE WHEN CAST(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8)) AS BIGINT) % 5 >= 1
+                        THEN 'train' ELSE 'test' END AS split
+FROM orders""")
+def q_train_test_split(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey")
+    train, test = PR.split_train_test(o, "o_orderkey")
+    return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+
+
+def _scaled_sql(cols, ddof_fn="stddev_samp") -> str:
+    split = "CAST(('0x' || substr(md5(CAST(l_orderkey AS VARCHAR)), 1, 8)) AS BIGINT) % 5 >= 1"
+    stats = ", ".join(f"avg({c}) AS m_{c}, {ddof_fn}({c}) AS s_{c}" for c in cols)
+    outs = ", ".join(f"{r9(f'({c} - m_{c}) / s_{c}')} AS {c}" for c in cols)
+    return f"""WITH p AS (SELECT {stats} FROM lineitem WHERE {split})
+SELECT l_orderkey, l_linenumber, l_suppkey, {outs} FROM lineitem, p WHERE NOT ({split})"""
+
+
+SCALE_COLS = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+@register("standard_scaled", _scaled_sql(SCALE_COLS))
+def q_standard_scaled(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey",
+                                                      *SCALE_COLS)
+    train, test = PR.split_train_test(li, "l_orderkey")
+    params = PR.fit_standard_scaler(train, SCALE_COLS)
+    return round_doubles(PR.apply_standard_scaler(test, params), 9)
+
+
+def _yj_sql(x: str, lam: float) -> str:
+    pos = f"ln(1 + {x})" if lam == 0 else f"(power({x} + 1, {lam}) - 1) / {lam}"
+    neg = f"-ln(1 - {x})" if lam == 2 else f"-(power(1 - {x}, {2 - lam}) - 1) / {2 - lam}"
+    return f"CASE WHEN {x} >= 0 THEN {pos} ELSE {neg} END"
+
+
+YJ_LAMBDAS = [0.0, 0.5, 2.0]
+
+
+@register("yeo_johnson", "SELECT event_id, " + ", ".join(
+    f"{r9(_yj_sql('(value - 10)', lam))} AS yj_{i}" for i, lam in enumerate(YJ_LAMBDAS)) + " FROM events")
+def q_yeo_johnson(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events").select("event_id", (F.col("value") - 10).alias("x"))
+    out = ev.select("event_id", *[PR.yeo_johnson("x", lam).alias(f"yj_{i}")
+                                  for i, lam in enumerate(YJ_LAMBDAS)])
+    return round_doubles(out, 9)
+
+
+@register("one_hot_labels", "SELECT vec_id, " + ", ".join(
+    f"CASE WHEN label = {k} AND {k} IN (SELECT DISTINCT label FROM embeddings WHERE vec_id % 5 <> 0) "
+    f"THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS cluster_{k}" for k in range(10)) + " FROM embeddings")
+def q_one_hot_labels(spark, sf_dir):
+    emb = read_table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    cats = PR.fit_categories(emb.where(F.col("vec_id") % 5 != 0), "label")
+    return PR.one_hot(emb, "label", cats).drop("label")
+
+
+@register("density_coalesce", """
+SELECT o_orderkey,
+       coalesce(TRY_CAST(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END AS DOUBLE),
+                TRY_CAST(CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal END AS DOUBLE)) AS density
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey""")
+def q_density_coalesce(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders")
+    c = read_table(spark, sf_dir, "customer")
+    j = o.join(c, o.o_custkey == c.c_custkey, "left").select(
+        "o_orderkey", F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).alias("mp_density"),
+        F.when(F.col("c_custkey") % 3 != 0, F.col("c_acctbal")).alias("jarvis_density"))
+    return SH.first_non_null(j, ["mp_density", "jarvis_density"], "density", drop_inputs=True)
+
+
+@register("numeric_coercion", """
+SELECT c_custkey, TRY_CAST(c_name AS DOUBLE) AS name_num,
+       TRY_CAST(' ' || CAST(c_nationkey AS VARCHAR) || ' ' AS DOUBLE) AS padded_num
+FROM customer""")
+def q_numeric_coercion(spark, sf_dir):
+    c = read_table(spark, sf_dir, "customer")
+    return c.select("c_custkey", SH.to_double("c_name").alias("name_num"),
+                    SH.to_double(F.concat(F.lit(" "), F.col("c_nationkey").cast("string"), F.lit(" ")))
+                    .alias("padded_num"))
+
+
+@register("ensure_columns", """
+SELECT l_quantity, l_tax, CAST(0.0 AS DOUBLE) AS missing_feature, l_discount FROM lineitem""")
+def q_ensure_columns(spark, sf_dir):
+    return SH.ensure_columns(read_table(spark, sf_dir, "lineitem"),
+                             ["l_quantity", "l_tax", "missing_feature", "l_discount"])
+
+
+@register("validate_space_groups", """
+SELECT count(*) AS n_rows,
+       sum(CASE WHEN l_orderkey % 235 < 1 OR l_orderkey % 235 > 230 THEN 1 ELSE 0 END)::BIGINT AS n_invalid
+FROM lineitem""")
+def q_validate_space_groups(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem").withColumn("space_group", F.col("l_orderkey") % 235)
+    summary, _ = SH.validate_input(li, ["l_orderkey", "space_group"], "space_group", "l_orderkey")
+    return summary
+
+
+@register("nation_attributes", """
+SELECT c_custkey, c_nationkey, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey""")
+def q_nation_attributes(spark, sf_dir):
+    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    n = read_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return JN.lookup_join(c, n, "c_nationkey")
+
+
+@register("document_labels", """
+SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id""")
+def q_document_labels(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return JN.attach_labels(d, read_table(spark, sf_dir, "labels"), "doc_id")
