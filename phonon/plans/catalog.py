@@ -646,3 +646,151 @@ SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d JOIN labels l ON d.
 def q_document_labels(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents").select("doc_id", "lang")
     return JN.attach_labels(d, read_table(spark, sf_dir, "labels"), "doc_id")
+
+
+# --------------------------------------------------------------------------
+# Clustering
+# --------------------------------------------------------------------------
+
+from ..operators import cluster as CL  # noqa: E402
+
+CLUSTER_METRICS_SQL = f"""
+WITH pts AS (SELECT vec_id, label, embedding AS x FROM embeddings),
+long AS (SELECT vec_id, label, CAST(unnest(x) AS DOUBLE) AS v, generate_subscripts(x, 1) AS d FROM pts),
+cn AS (SELECT label, count(*) AS n FROM pts GROUP BY label),
+csum AS (SELECT label, d, sum(v) AS s FROM long GROUP BY label, d),
+cq AS (SELECT label, sum(v * v) AS q FROM long GROUP BY label),
+n2 AS (SELECT vec_id, label, sum(v * v) AS n2 FROM long GROUP BY vec_id, label),
+dots AS (SELECT l.vec_id, c.label AS c, sum(l.v * c.s) AS dot FROM long l JOIN csum c ON l.d = c.d
+         GROUP BY l.vec_id, c.label),
+dist AS (SELECT p.vec_id, p.label, dots.c, cn.n AS nc,
+                p.n2 - 2 * dots.dot / cn.n + cq.q / cn.n AS dd
+         FROM n2 p JOIN dots ON p.vec_id = dots.vec_id JOIN cn ON dots.c = cn.label
+         JOIN cq ON dots.c = cq.label),
+ab AS (SELECT vec_id, label,
+              max(CASE WHEN c = label THEN dd * nc / greatest(nc - 1, 1) END) AS a,
+              min(CASE WHEN c <> label THEN dd END) AS b,
+              max(CASE WHEN c = label THEN nc END) AS n_own
+       FROM dist GROUP BY vec_id, label),
+sil AS (SELECT avg(CASE WHEN n_own <= 1 THEN 0.0 WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1
+                        ELSE 0.0 END) AS silhouette FROM ab),
+cent AS (SELECT csum.label, d, s / n AS c FROM csum JOIN cn ON csum.label = cn.label),
+own AS (SELECT l.vec_id, l.label, sum((l.v - cent.c) * (l.v - cent.c)) AS d2
+        FROM long l JOIN cent ON l.label = cent.label AND l.d = cent.d GROUP BY l.vec_id, l.label),
+scat AS (SELECT label, avg(sqrt(d2)) AS s, sum(d2) AS w FROM own GROUP BY label),
+tot AS (SELECT sum(w) AS inertia FROM scat),
+kk AS (SELECT count(*) AS k, sum(n) AS big_n FROM cn),
+g AS (SELECT d, sum(s) / (SELECT big_n FROM kk) AS gm FROM csum GROUP BY d),
+ssb AS (SELECT sum(cn.n * (cent.c - g.gm) * (cent.c - g.gm)) AS ssb
+        FROM cent JOIN g ON cent.d = g.d JOIN cn ON cent.label = cn.label),
+cd AS (SELECT a.label AS i, b.label AS j, sqrt(sum((a.c - b.c) * (a.c - b.c))) AS dij
+       FROM cent a JOIN cent b ON a.d = b.d AND a.label <> b.label GROUP BY a.label, b.label),
+dbr AS (SELECT cd.i, max((si.s + sj.s) / cd.dij) AS r FROM cd JOIN scat si ON cd.i = si.label
+        JOIN scat sj ON cd.j = sj.label GROUP BY cd.i)
+SELECT CAST(k AS INTEGER) AS k, round(inertia, 6) AS inertia,
+       round((ssb / (k - 1)) / (inertia / (big_n - k)), 6) AS calinski_harabasz,
+       round((SELECT avg(r) FROM dbr), 6) AS davies_bouldin, round(silhouette, 6) AS silhouette
+FROM kk, tot, ssb, sil"""
+
+
+@register("cluster_metrics", CLUSTER_METRICS_SQL)
+def q_cluster_metrics(spark, sf_dir):
+    emb = read_table(spark, sf_dir, "embeddings")
+    return round_doubles(CL.cluster_metrics(emb, "label", "embedding"), 6)
+
+
+def _k_metrics_sql() -> str:
+    return """
+km AS (SELECT event_type, CAST(user_id % 14 + 2 AS INTEGER) AS k, metric, value FROM (
+  SELECT event_type, user_id % 14 AS user_id, round(avg(value), 6) AS "Silhouette",
+         round(sum(value), 6) AS "Inertia", CAST(count(*) AS DOUBLE) AS "Calinski-Harabasz",
+         round(stddev_samp(value), 6) AS "Davies-Bouldin"
+  FROM events GROUP BY event_type, user_id % 14) x
+  UNPIVOT (value FOR metric IN ("Silhouette", "Inertia", "Calinski-Harabasz", "Davies-Bouldin")))"""
+
+
+def k_metrics_table(spark, sf_dir) -> DataFrame:
+    ev = read_table(spark, sf_dir, "events")
+    wide = ev.groupBy("event_type", (F.col("user_id") % 14 + 2).cast("int").alias("k")).agg(
+        F.round(F.avg("value"), 6).alias("Silhouette"), F.round(F.sum("value"), 6).alias("Inertia"),
+        F.count(F.lit(1)).cast("double").alias("Calinski-Harabasz"),
+        F.round(F.stddev_samp("value"), 6).alias("Davies-Bouldin"))
+    return wide.unpivot(["event_type", "k"], ["Silhouette", "Inertia", "Calinski-Harabasz",
+                                               "Davies-Bouldin"], "metric", "value")
+
+
+@register("composite_k", "WITH " + _k_metrics_sql().strip() + """,
+mx AS (SELECT *, max(value) OVER (PARTITION BY event_type, metric) AS m FROM km),
+sc AS (SELECT event_type, k, CASE WHEN metric = 'Davies-Bouldin'
+                                  THEN 1 - (CASE WHEN m > 0 THEN value / m ELSE value END)
+                                  ELSE (CASE WHEN m > 0 THEN value / m ELSE value END) END AS s FROM mx),
+comp AS (SELECT event_type, k, avg(s) AS composite FROM sc GROUP BY event_type, k)
+SELECT event_type, k AS best_k, round(composite, 9) AS best_composite FROM (
+  SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY composite DESC, k) AS rn FROM comp) y
+WHERE rn = 1""")
+def q_composite_k(spark, sf_dir):
+    out = CL.composite_k(k_metrics_table(spark, sf_dir), ["event_type"])
+    return out.withColumn("best_composite", F.round("best_composite", 9))
+
+
+def knee_input(spark, sf_dir) -> DataFrame:
+    """Per event type: x = day of month, y = events on or after that day (decreasing)."""
+    d = FX.daily_event_series(spark, sf_dir)
+    w = Window.partitionBy("event_type").orderBy(F.col("day").desc()) \
+        .rowsBetween(Window.unboundedPreceding, 0)
+    return d.select("event_type", F.dayofmonth("day").alias("x"),
+                    F.sum("n").over(w).alias("y"))
+
+
+from pyspark.sql import Window  # noqa: E402
+
+
+@register("knee_point", "WITH " + S.DAILY_EVENTS.strip() + """,
+pts0 AS (SELECT event_type, CAST(dayofmonth(day) AS INTEGER) AS x,
+                sum(n) OVER (PARTITION BY event_type ORDER BY day DESC
+                             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS y FROM daily),
+pts AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY x) - 1 AS i,
+               count(*) OVER (PARTITION BY event_type) AS n,
+               (x - min(x) OVER (PARTITION BY event_type)) /
+                 (max(x) OVER (PARTITION BY event_type) - min(x) OVER (PARTITION BY event_type)) AS xn,
+               (y - min(y) OVER (PARTITION BY event_type)) /
+                 (max(y) OVER (PARTITION BY event_type) - min(y) OVER (PARTITION BY event_type)) AS yn
+        FROM pts0),
+t0 AS (SELECT p.*, (1 - p.yn) - (1 - m.xn) AS yd FROM pts p JOIN pts m
+         ON p.event_type = m.event_type AND m.i = p.n - 1 - p.i),
+t1 AS (SELECT *, lag(yd) OVER w AS pv, lead(yd) OVER w AS nx FROM t0
+       WINDOW w AS (PARTITION BY event_type ORDER BY i)),
+t2 AS (SELECT *, (pv IS NULL OR yd >= pv) AND (nx IS NULL OR yd >= nx) AS is_max,
+              (pv IS NULL OR yd <= pv) AND (nx IS NULL OR yd <= nx) AS is_min FROM t1),
+t3 AS (SELECT *, max(CASE WHEN is_max THEN i END) OVER w AS last_max,
+              max(CASE WHEN is_min THEN i END) OVER w AS last_min FROM t2
+       WINDOW w AS (PARTITION BY event_type ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+tm AS (SELECT event_type, i AS last_max, yd - 1.0 / (n - 1) AS tmx, x AS knee_x FROM t2 WHERE is_max),
+hit AS (SELECT t3.event_type, t3.i, tm.knee_x FROM t3 JOIN tm
+          ON t3.event_type = tm.event_type AND t3.last_max = tm.last_max
+        WHERE t3.i < t3.n - 1
+          AND t3.nx < CASE WHEN t3.last_min >= t3.last_max THEN 0.0 ELSE tm.tmx END),
+k AS (SELECT event_type, arg_min(knee_x, i) AS knee FROM hit GROUP BY event_type)
+SELECT e.event_type, k.knee FROM (SELECT DISTINCT event_type FROM events) e
+LEFT JOIN k ON e.event_type = k.event_type""")
+def q_knee_point(spark, sf_dir):
+    return CL.knee_point(knee_input(spark, sf_dir), ["event_type"], "x", "y")
+
+
+@register("kmeans_labels")
+def q_kmeans_labels(spark, sf_dir):
+    emb = CL.as_vector(read_table(spark, sf_dir, "embeddings"), "embedding")
+    model = CL.fit_kmeans(emb, 10, restarts=3)
+    return model.transform(emb).select("vec_id", "cluster_label")
+
+
+@register("pca_variance")
+def q_pca_variance(spark, sf_dir):
+    from pyspark.ml.feature import PCA, StandardScaler
+    emb = CL.as_vector(read_table(spark, sf_dir, "embeddings"), "embedding", "raw")
+    scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(emb).transform(emb)
+    dim = len(scaled.select("features").first()[0])
+    ev = PCA(k=dim, inputCol="features", outputCol="p").fit(scaled).explainedVariance.toArray()
+    comp = spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(ev)],
+                                 "component int, explained double")
+    return EX.running_share(comp.withColumn("s", F.lit(1)), "s", "component", "explained").drop("s")
