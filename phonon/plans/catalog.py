@@ -794,3 +794,125 @@ def q_pca_variance(spark, sf_dir):
     comp = spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(ev)],
                                  "component int, explained double")
     return EX.running_share(comp.withColumn("s", F.lit(1)), "s", "component", "explained").drop("s")
+
+
+# --------------------------------------------------------------------------
+# Models (J15-J27, A10)
+# --------------------------------------------------------------------------
+
+from ..operators import train as TR  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+
+TARGET = "l_extendedprice"
+
+
+def _split(spark, sf_dir):
+    t = FX.modelling_table(spark, sf_dir)
+    return PR.split_train_test(t, "row_key")
+
+
+def _power(train, test):
+    tr, te, _ = PR.power_transform(train, test, FX.MODEL_FEATURES)
+    return tr, te
+
+
+@register("model_comparison")
+def q_model_comparison(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    return TR.model_grid(train, test, FX.MODEL_FEATURES, TARGET, TR.default_trainers(0.1),
+                         {"scaled": lambda a, b: (a, b), "power": _power})
+
+
+@register("cv_random_search")
+def q_cv_random_search(spark, sf_dir):
+    train, _ = _split(spark, sf_dir)
+    _, table = TR.random_search_cv(train, FX.MODEL_FEATURES, TARGET, "row_key",
+                                   n_draws=2, folds=3, parallelism=2)
+    return table.select("draw", "cv_mse")
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    train, _ = _split(spark, sf_dir)
+    model, _, _ = TR.train_and_evaluate(TR.random_forest(20, 8), train, train.limit(0),
+                                        FX.MODEL_FEATURES, TARGET)
+    return TR.feature_importance(model, FX.MODEL_FEATURES)
+
+
+@register("permutation_importance")
+def q_permutation_importance(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    model, _, _ = TR.train_and_evaluate(TR.gradient_boosting(20), train, test.limit(0),
+                                        FX.MODEL_FEATURES, TARGET)
+    return TR.permutation_importance(model, test, FX.MODEL_FEATURES, TARGET, "row_key", repeats=2)
+
+
+@register("batch_scoring")
+def q_batch_scoring(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    model, _, _ = TR.train_and_evaluate(TR.gradient_boosting(20), train, test.limit(0),
+                                        FX.MODEL_FEATURES, TARGET)
+    path = scratch_path(spark, "models/batch_scoring_gbt")
+    TR.save_model(model, path)
+    return TR.score_batch(TR.load_model(path), test.drop(TARGET), FX.MODEL_FEATURES)
+
+
+@register("parity_summary", f"""
+WITH p AS (SELECT ln(1 + l_extendedprice) AS y, ln(1 + l_quantity * 1500) AS yhat FROM lineitem)
+SELECT {r9('least(min(y), min(yhat))')} AS lower, {r9('greatest(max(y), max(yhat))')} AS upper,
+       {r9('avg(abs(y - yhat))')} AS mae, {r9('sqrt(avg((y - yhat) * (y - yhat)))')} AS rmse,
+       {r9('1 - sum((y - yhat) * (y - yhat)) / (var_pop(y) * count(*))')} AS r2, count(*) AS n
+FROM p""")
+def q_parity_summary(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem").select(
+        F.log1p("l_extendedprice").alias("y"), F.log1p(F.col("l_quantity") * 1500).alias("yhat"))
+    return round_doubles(TR.parity_table(li, "y", "yhat"), 9)
+
+
+@register("residual_histogram", f"""
+WITH r AS (SELECT ln(1 + l_extendedprice) - ln(1 + l_quantity * 1500) AS value FROM lineitem),
+rng AS (SELECT min(value) AS lo, max(value) AS hi FROM r),
+b AS (SELECT lo, hi, CAST(CASE WHEN hi - lo > 0 THEN least(floor((value - lo) / (hi - lo) * 30), 29)
+                          ELSE 0 END AS INTEGER) AS bin FROM r, rng)
+SELECT 'residual' AS feature, bin, {r9('lo + (hi - lo) * bin / 30')} AS bin_start,
+       {r9('lo + (hi - lo) * (bin + 1) / 30')} AS bin_end, count(*) AS count
+FROM b GROUP BY lo, hi, bin""")
+def q_residual_histogram(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem").select(
+        F.log1p("l_extendedprice").alias("y"), F.log1p(F.col("l_quantity") * 1500).alias("yhat"))
+    return round_doubles(TR.residual_histogram(li, "y", "yhat"), 9)
+
+
+@register("cluster_scatter")
+def q_cluster_scatter(spark, sf_dir):
+    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.functions import vector_to_array
+    emb = CL.as_vector(read_table(spark, sf_dir, "embeddings"), "embedding", "raw")
+    scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(emb).transform(emb)
+    pcs = PCA(k=3, inputCol="features", outputCol="pc").fit(scaled).transform(scaled)
+    arr = vector_to_array("pc")
+    return pcs.select("vec_id", "label", arr[0].alias("pc1"), arr[1].alias("pc2"), arr[2].alias("pc3"))
+
+
+@register("feature_set_experiment")
+def q_feature_set_experiment(spark, sf_dir):
+    """All features, selected features, selected + one-hot cluster labels."""
+    train, test = _split(spark, sf_dir)
+    feats = FX.MODEL_FEATURES
+    _, selected = PR.select_features(train, feats)
+    selected = [f for f in feats if f not in selected]
+    clusterer = CL.fit_kmeans(CL.as_vector(train, selected), 4, restarts=1)
+    cats = list(range(4))
+
+    def with_clusters(df):
+        lab = clusterer.transform(CL.as_vector(df, selected)).drop("features")
+        return PR.one_hot(lab, "cluster_label", cats)
+
+    onehot = [f"cluster_{c}" for c in cats]
+    results = {}
+    for name, cols, tr, te in [("all", feats, train, test), ("selected", selected, train, test),
+                               ("selected_clusters", selected + onehot,
+                                with_clusters(train), with_clusters(test))]:
+        _, m, _ = TR.train_and_evaluate(TR.boosted_trees(10), tr, te, cols, TARGET)
+        results[name] = m
+    return TR.compare_models(results)

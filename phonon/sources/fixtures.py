@@ -198,3 +198,19 @@ def daily_event_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events")
     return ev.groupBy("event_type", F.to_date("ts").alias("day")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
+MODEL_FEATURES = ["l_quantity", "l_discount", "l_tax", "p_size", "p_retailprice"]
+
+
+def modelling_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows to learn l_extendedprice from line and part attributes.
+
+    ``row_key`` identifies a row for hashing (split, folds, permutations).
+    """
+    li = read_table(spark, sf_dir, "lineitem")
+    part = read_table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("l_partkey"), "p_size", "p_retailprice")
+    return li.join(part, "l_partkey", "left").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").alias("row_key"),
+        *[F.col(c).cast("double").alias(c) for c in MODEL_FEATURES], "l_extendedprice")
