@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .joins import broadcast_if_small
+from .joins import broadcast_bounded
 from .quantiles import exact_quantiles
 
 
@@ -154,13 +154,34 @@ def safe_corr(a: str, b: str) -> Column:
     return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
 
 
+def _corr_exprs(df: DataFrame, pairs: list[tuple[str, str]]) -> list[Column]:
+    """One correlation expression per pair, in the fast built-in form.
+
+    Spark's ``corr`` is pairwise complete (rows where either side is NULL
+    are skipped) but raises under ANSI mode when one side is constant on
+    the common rows. A first, cheap aggregate measures each pair's
+    variances on its common rows; the pair gets ``corr`` only when both are
+    positive, NULL otherwise (as pandas gives NaN).
+    """
+    both = [F.col(a).isNotNull() & F.col(b).isNotNull() for a, b in pairs]
+    row = df.agg(*[F.var_pop(F.when(c, F.col(a))).alias(f"va{i}") for i, ((a, b), c) in
+                   enumerate(zip(pairs, both))],
+                 *[F.var_pop(F.when(c, F.col(b))).alias(f"vb{i}") for i, ((a, b), c) in
+                   enumerate(zip(pairs, both))]).first()
+    out = []
+    for i, (a, b) in enumerate(pairs):
+        ok = (row[f"va{i}"] or 0.0) > 0 and (row[f"vb{i}"] or 0.0) > 0
+        out.append(F.corr(a, b) if ok else F.lit(None).cast("double"))
+    return out
+
+
 def correlation_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pearson correlation of every pair (i < j), pairwise complete.
 
-    One aggregate row of d(d-1)/2 ``corr`` expressions, unpivoted.
+    One aggregate row of d(d-1)/2 correlation expressions, unpivoted.
     """
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    row = df.agg(*[safe_corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
+    row = df.agg(*[e.alias(f"{i}") for i, e in enumerate(_corr_exprs(df, pairs))])
     stack = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
                       F.col(f"`{i}`").alias("corr")) for i, (a, b) in enumerate(pairs)]
     return row.select(F.explode(F.array(*stack)).alias("s")).select("s.*")
@@ -168,7 +189,8 @@ def correlation_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def correlation_with_target(df: DataFrame, cols: list[str], target: str) -> DataFrame:
     """Correlation of each column with the target (pairwise complete)."""
-    row = df.agg(*[safe_corr(c, target).alias(f"{i}") for i, c in enumerate(cols)])
+    exprs = _corr_exprs(df, [(c, target) for c in cols])
+    row = df.agg(*[e.alias(f"{i}") for i, e in enumerate(exprs)])
     stack = [F.struct(F.lit(c).alias("feature"), F.col(f"`{i}`").alias("corr"))
              for i, c in enumerate(cols)]
     return row.select(F.explode(F.array(*stack)).alias("s")).select("s.*")
@@ -194,7 +216,7 @@ def histogram(df: DataFrame, cols: list[str], bins: int = 30, log10: bool = Fals
     width = F.col("_hi") - F.col("_lo")
     b = F.when(width > 0, F.least(F.floor((F.col("value") - F.col("_lo")) / width * bins),
                                   F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
-    counts = (long.join(broadcast_if_small(rng), on="feature")
+    counts = (long.join(broadcast_bounded(rng), on="feature")  # one row per column
               .groupBy("feature", "_lo", "_hi", b.alias("bin")).agg(F.count(F.lit(1)).alias("count")))
     return counts.select("feature", "bin",
                          (F.col("_lo") + width * F.col("bin") / bins).alias("bin_start"),

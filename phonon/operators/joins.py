@@ -1,8 +1,11 @@
 """Join helpers (D1, D4, D5, D6) with a checked broadcast.
 
-A side is broadcast only after a bounded probe proves it small: the probe
-reads at most ``max_rows + 1`` rows, so it is cheap even when the side turns
-out to be huge, and a huge side then joins by shuffle (sort-merge / AQE).
+A stored side is broadcast only after a bounded probe proves it small: the
+probe reads at most ``max_rows + 1`` rows, so it is cheap even when the side
+turns out to be huge, and a huge side then joins by shuffle. A side that is
+itself the result of an aggregate is not probed (that would run the
+aggregate twice): adaptive execution sees its real size at runtime and turns
+the join into a broadcast join when it is small.
 """
 
 from __future__ import annotations
@@ -23,6 +26,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
     return F.broadcast(df) if is_small(df, max_rows) else df
 
 
+def broadcast_bounded(df: DataFrame) -> DataFrame:
+    """Broadcast a table whose row count is bounded by construction (one row
+    per column, per cluster, per bracket), never by the data size."""
+    return F.broadcast(df)
+
+
 def lookup_join(df: DataFrame, table: DataFrame, on: str | list[str], how: str = "left",
                 max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Attach attributes of a lookup table (left join by default)."""

@@ -18,19 +18,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import broadcast_if_small
 
 
 def best_candidates(candidates: DataFrame, keys: list[str], energy_col: str,
                     tie_break: list[str], payload: list[str]) -> DataFrame:
-    """One row per ``keys``: the payload of the lowest-energy candidate.
-
-    NULL energies sort last; ``tie_break`` columns decide equal energies.
+    """One row per ``keys``: ``_best`` = struct(_o: ordering, _p: payload) of the
+    lowest-energy candidate. NULL energies sort last; ``tie_break`` columns
+    decide equal energies. Keeping the ordering lets a coarser key reuse
+    this table (the min of per-group minima is the overall minimum).
     """
     order = F.struct(F.col(energy_col).isNull().alias("_null_energy"), F.col(energy_col).alias("_e"),
                      *[F.col(c).alias(f"_t{i}") for i, c in enumerate(tie_break)])
-    best = F.min_by(F.struct(*[F.col(c) for c in payload]), order)
-    return candidates.groupBy(*keys).agg(best.alias("_best"))
+    item = F.struct(order.alias("_o"), F.struct(*[F.col(c) for c in payload]).alias("_p"))
+    return candidates.groupBy(*keys).agg(F.min(item).alias("_best"))
 
 
 def best_match(requests: DataFrame, candidates: DataFrame, *, formula_col: str,
@@ -41,6 +41,8 @@ def best_match(requests: DataFrame, candidates: DataFrame, *, formula_col: str,
 
     ``match_col`` (optional) names a boolean: the chosen candidate's group
     equals the wanted one (NULL when nothing matched the formula).
+    One pass over the candidates gives the best per (formula, group); the
+    best per formula is then taken from that much smaller table.
     """
     cand = candidates.select(
         F.col(formula_col).alias("_f"), F.col(group_col).alias("_g"),
@@ -50,22 +52,21 @@ def best_match(requests: DataFrame, candidates: DataFrame, *, formula_col: str,
     energy = energy_col if energy_col in payload else f"_tb_{energy_col}"
     tie = [c if c in payload else f"_tb_{c}" for c in tie_break]
     fields = list(payload) + ["_g"]
-    by_formula = best_candidates(cand, ["_f"], energy, tie, fields)
-    out = requests.join(broadcast_if_small(by_formula.withColumnRenamed("_best", "_any"),
-                                           broadcast_rows),
-                        requests[formula_col] == F.col("_f"), "left").drop("_f")
+    by_group = best_candidates(cand, ["_f", "_g"], energy, tie, fields)
+    by_formula = by_group.groupBy("_f").agg(F.min("_best").alias("_any"))
+    # both tables derive from an aggregate: AQE picks broadcast at runtime
+    out = requests.join(by_formula, requests[formula_col] == F.col("_f"), "left").drop("_f")
     if wanted_col is not None:
-        by_group = best_candidates(cand, ["_f", "_g"], energy, tie, fields)
-        by_group = by_group.select(F.col("_f").alias("_f2"), F.col("_g").alias("_g2"),
-                                   F.col("_best").alias("_hit"))
-        out = out.join(broadcast_if_small(by_group, broadcast_rows),
+        hits = by_group.select(F.col("_f").alias("_f2"), F.col("_g").alias("_g2"),
+                               F.col("_best").alias("_hit"))
+        out = out.join(hits,
                        (out[formula_col] == F.col("_f2"))
                        & (out[wanted_col].cast("long") == F.col("_g2").cast("long")),
                        "left").drop("_f2", "_g2")
         chosen = F.coalesce(F.col("_hit"), F.col("_any"))
     else:
         chosen = F.col("_any")
-    out = out.withColumn("_chosen", chosen)
+    out = out.withColumn("_chosen", chosen["_p"])
     cols = {k: F.col("_chosen")[k] for k in payload}
     if match_col:
         want = F.col(wanted_col) if wanted_col else F.lit(None)

@@ -24,7 +24,7 @@ from .joins import broadcast_if_small
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
                     group_cols: list[str] = (), buckets: int = 1024,
-                    final_rows: int = 20_000, max_passes: int = 12,
+                    final_rows: int = 1_000_000, max_passes: int = 12,
                     names: list[str] | None = None) -> DataFrame:
     """One row per group with a column per probability (default names q_<p>)."""
     ensure_checkpoint_dir(df.sparkSession)
