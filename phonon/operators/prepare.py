@@ -57,19 +57,19 @@ def impute_median(df: DataFrame, cols: list[str], fallback: float = 0.0) -> Data
 
 # ---------------------------------------------------------------- J1
 
-def prepare_for_modeling(df: DataFrame, target: str,
-                         exclude: list[str] = NON_FEATURES) -> tuple[DataFrame, list[str]]:
+def prepare_for_modeling(df: DataFrame, target: str, exclude: list[str] = NON_FEATURES,
+                         carry: list[str] = ()) -> tuple[DataFrame, list[str]]:
     """Drop rows without target; numeric features minus non-features;
     all-NULL feature columns dropped; remaining NULLs mean-imputed.
 
-    Returns (frame with features and target, feature names).
+    Returns (frame with ``carry`` columns, features and target; feature names).
     """
     rows = df.dropna(subset=[target])
-    feats = numeric_columns(rows, exclude=[target] + list(exclude))
+    feats = numeric_columns(rows, exclude=[target] + list(exclude) + list(carry))
     info = null_columns(rows, feats).collect()
     keep = [r.feature for r in info if not r.all_null]
     with_nulls = [r.feature for r in info if not r.all_null and r.null_count > 0]
-    out = rows.select(*[F.col(c).cast("double").alias(c) for c in keep], target)
+    out = rows.select(*carry, *[F.col(f"`{c}`").cast("double").alias(c) for c in keep], target)
     if with_nulls:
         out = impute_mean(out, with_nulls)
     return out, keep

@@ -916,3 +916,120 @@ def q_feature_set_experiment(spark, sf_dir):
         _, m, _ = TR.train_and_evaluate(TR.boosted_trees(10), tr, te, cols, TARGET)
         results[name] = m
     return TR.compare_models(results)
+
+
+# --------------------------------------------------------------------------
+# Featurisation and sources/sinks
+# --------------------------------------------------------------------------
+
+from ..plans import featurize as FZ  # noqa: E402
+from ..sources import tables as TB  # noqa: E402
+
+
+@register("featurized_table")
+def q_featurized_table(spark, sf_dir):
+    props = FZ.element_table_by_symbol(
+        FX.element_properties(spark, sf_dir), "element", ["size", "price", "s_valence", "p_valence",
+                                                          "d_valence", "f_valence"])
+    return FZ.featurize(FX.featurize_input(spark, sf_dir), props, FX.ELEMENT_STAT_PROPS,
+                        FX.ELEMENT_ORBITALS, mp_candidates=FX.symbol_candidates(spark, sf_dir),
+                        mp_tie=FX.MP_TIE, mp_payload=mp_payload())
+
+
+def _det3_sql(m) -> str:
+    a = lambda i, j: m[i][j]
+    return (f"({a(0,0)} * ({a(1,1)} * {a(2,2)} - {a(1,2)} * {a(2,1)}) "
+            f"- {a(0,1)} * ({a(1,0)} * {a(2,2)} - {a(1,2)} * {a(2,0)}) "
+            f"+ {a(0,2)} * ({a(1,0)} * {a(2,1)} - {a(1,1)} * {a(2,0)}))")
+
+
+_LATTICE_SQL = [["l_quantity", "CAST(0 AS DOUBLE)", "CAST(0 AS DOUBLE)"],
+                ["(l_discount * 10)", "l_quantity", "CAST(0 AS DOUBLE)"],
+                ["(l_tax * 10)", "CAST(1 AS DOUBLE)", "CAST(l_linenumber AS DOUBLE)"]]
+
+
+@register("structure_density", f"""
+SELECT l_orderkey, l_linenumber, l_suppkey,
+       CASE WHEN abs({_det3_sql(_LATTICE_SQL)}) > 0
+            THEN CAST(p_size AS DOUBLE) / abs({_det3_sql(_LATTICE_SQL)}) * CAST(1.66054 AS DOUBLE) END AS density
+FROM lineitem JOIN part ON l_partkey = p_partkey""")
+def q_structure_density(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem")
+    part = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
+    z = F.lit(0.0)
+    lattice = F.array(F.array(F.col("l_quantity"), z, z),
+                      F.array(F.col("l_discount") * 10, F.col("l_quantity"), z),
+                      F.array(F.col("l_tax") * 10, F.lit(1.0), F.col("l_linenumber").cast("double")))
+    out = li.join(part, "l_partkey").select(
+        "l_orderkey", "l_linenumber", "l_suppkey",
+        FZ.structure_density(lattice, F.col("p_size").cast("double")).alias("density"))
+    return out  # same IEEE operations in the same order as the SQL twin: no rounding needed
+
+
+@register("csv_round_trip", "SELECT * FROM customer")
+def q_csv_round_trip(spark, sf_dir):
+    path = scratch_path(spark, "io/customer_csv")
+    TB.write_csv(read_table(spark, sf_dir, "customer"), path)
+    return TB.read_csv(spark, path, TB.TABLE_SCHEMAS["customer"])
+
+
+@register("stored_aggregate", """
+SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, count(*) AS n
+FROM lineitem GROUP BY l_returnflag, l_linestatus""")
+def q_stored_aggregate(spark, sf_dir):
+    import uuid
+    path = scratch_path(spark, f"io/lineitem_agg_{uuid.uuid4().hex}")
+
+    def compute():
+        return read_table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(
+            F.sum("l_quantity").alias("sum_qty"), F.count(F.lit(1)).alias("n"))
+    first = TB.read_or_compute(spark, path, compute)       # computes and stores
+    return TB.read_or_compute(spark, path, lambda: first.limit(0))  # reads the stored table
+
+
+@register("csv_to_parquet", """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders""")
+def q_csv_to_parquet(spark, sf_dir):
+    cols = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string"
+    csv_path = scratch_path(spark, "io/orders_csv")
+    TB.write_csv(read_table(spark, sf_dir, "orders").drop("o_orderdate"), csv_path)
+    return TB.convert_csv_to_parquet(spark, csv_path, scratch_path(spark, "io/orders_parquet"), cols,
+                                     string_cols=["o_orderstatus"])
+
+
+@register("nested_to_text")
+def q_nested_to_text(spark, sf_dir):
+    return TB.stringify_nested(read_table(spark, sf_dir, "embeddings"))
+
+
+@register("listed_columns", "SELECT l_tax, l_quantity FROM lineitem")
+def q_listed_columns(spark, sf_dir):
+    path = scratch_path(spark, "io/selected_features")
+    TB.save_column_list(spark, ["l_tax", "not_a_column", "l_quantity"], path)
+    return TB.select_listed(read_table(spark, sf_dir, "lineitem"), TB.load_column_list(spark, path))
+
+
+@register("sanitized_names", """
+SELECT l_quantity AS space_group, l_tax AS "MagpieData_mean_X", l_discount AS "a_b__c_" FROM lineitem""")
+def q_sanitized_names(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem").select(
+        F.col("l_quantity").alias(" space_group"), F.col("l_tax").alias("MagpieData mean X"),
+        F.col("l_discount").alias("a[b]<c>"))
+    return SH.sanitize_column_names(SH.strip_column_names(li))
+
+
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
+@register("events_pivot", """
+WITH r AS (SELECT user_id, CAST(ts AS DATE) AS day, event_type, value,
+                  row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE), event_type
+                                     ORDER BY ts, event_id, value) AS rn
+           FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL AND event_type IS NOT NULL)
+SELECT user_id, day, """ + ", ".join(
+    f"max(CASE WHEN event_type = '{e}' THEN value END) AS {e}" for e in EVENT_TYPES) + """
+FROM r WHERE rn = 1 GROUP BY user_id, day""")
+def q_events_pivot(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    return M.pivot_first(ev, ["user_id", "day"], "event_type", "value", EVENT_TYPES,
+                         [F.col("ts"), F.col("event_id")])

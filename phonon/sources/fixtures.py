@@ -214,3 +214,23 @@ def modelling_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(part, "l_partkey", "left").select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").alias("row_key"),
         *[F.col(c).cast("double").alias(c) for c in MODEL_FEATURES], "l_extendedprice")
+
+
+def featurize_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows to featurise: part rows with a real formula, a temperature and a
+    user space group under one of its accepted spellings (' space_group')."""
+    f = formula_strings(spark, sf_dir)
+    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    return f.join(part, "p_partkey").select(
+        "p_partkey", "formula", (F.col("p_size") * 10).cast("double").alias("temperature"),
+        F.col("p_size").alias(" space_group"))
+
+
+def symbol_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate table 1 keyed by real formulas: FORMULAS[l_partkey % 20]."""
+    arr = F.array(*[F.lit(f).cast("string") for f in FORMULAS])
+    c = mp_candidates(spark, sf_dir)
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey",
+                                                      "l_partkey", "l_quantity", "l_tax", "l_discount",
+                                                      "l_linestatus")
+    return c.withColumn("formula", F.element_at(arr, (F.col("l_orderkey") % len(FORMULAS) + 1).cast("int")))
