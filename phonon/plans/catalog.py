@@ -1033,3 +1033,11 @@ def q_events_pivot(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
     return M.pivot_first(ev, ["user_id", "day"], "event_type", "value", EVENT_TYPES,
                          [F.col("ts"), F.col("event_id")])
+
+
+from ..operators import normality as NM  # noqa: E402
+
+
+@register("shapiro_normality")
+def q_shapiro_normality(spark, sf_dir):
+    return NM.shapiro_by_feature(read_table(spark, sf_dir, "lineitem"), JB_COLS)
