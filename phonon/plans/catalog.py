@@ -1041,3 +1041,15 @@ from ..operators import normality as NM  # noqa: E402
 @register("shapiro_normality")
 def q_shapiro_normality(spark, sf_dir):
     return NM.shapiro_by_feature(read_table(spark, sf_dir, "lineitem"), JB_COLS)
+
+
+from ..operators import explain as XP  # noqa: E402
+
+
+@register("shap_summary")
+def q_shap_summary(spark, sf_dir):
+    """Mean |SHAP| per feature of a boosted-tree model on the test rows."""
+    train, test = _split(spark, sf_dir)
+    model, _, _ = TR.train_and_evaluate(TR.gradient_boosting(10), train, test.limit(0),
+                                        FX.MODEL_FEATURES, TARGET)
+    return XP.mean_abs_shap(XP.shap_values(model, test, "row_key", FX.MODEL_FEATURES))

@@ -75,3 +75,21 @@ def test_permute_column_is_a_permutation(spark):
     p = TR.permute_column(df, "v", "k", seed=7, group_rows=1000)
     assert sorted(r.v for r in p.collect()) == sorted(r.v for r in df.collect())
     assert p.join(df.withColumnRenamed("v", "v0"), "k").where("v <> v0").count() > 4000
+
+
+@pytest.mark.parametrize("kind", ["gbt", "rf"])
+def test_shap_adds_up_to_prediction(spark, kind):
+    from phonon.operators import explain as XP
+    rng = np.random.default_rng(5)
+    rows = [(str(i), float(a), float(b), float(c), float(3 * a + b * b + rng.normal()))
+            for i, (a, b, c) in enumerate(rng.normal(size=(400, 3)))]
+    df = spark.createDataFrame(rows, "k string, a double, b double, c double, y double")
+    reg = TR.gradient_boosting(8, 3) if kind == "gbt" else TR.random_forest(6, 4)
+    model = TR.regression_pipeline(["a", "b", "c"], reg).fit(df.withColumn("label", F.col("y")))
+    phi = XP.shap_values(model, df, "k", ["a", "b", "c"])
+    sums = phi.groupBy("key").agg(F.sum("phi").alias("s"))
+    pred = model.transform(df).select(F.col("k").alias("key"), "prediction")
+    diff = sums.join(pred, "key").select(F.max(F.abs(F.col("s") - F.col("prediction")))).first()[0]
+    assert diff < 1e-9
+    top = XP.mean_abs_shap(phi).first().feature
+    assert top in ("a", "b")
