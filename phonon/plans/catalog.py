@@ -1050,6 +1050,42 @@ from ..operators import explain as XP  # noqa: E402
 def q_shap_summary(spark, sf_dir):
     """Mean |SHAP| per feature of a boosted-tree model on the test rows."""
     train, test = _split(spark, sf_dir)
-    model, _, _ = TR.train_and_evaluate(TR.gradient_boosting(10), train, test.limit(0),
+    model, _, _ = TR.train_and_evaluate(TR.gradient_boosting(5), train, test.limit(0),
                                         FX.MODEL_FEATURES, TARGET)
     return XP.mean_abs_shap(XP.shap_values(model, test, "row_key", FX.MODEL_FEATURES))
+
+
+@register("k_selection")
+def q_k_selection(spark, sf_dir):
+    """J11-J14 on the embeddings: sweep k, composite score, knee of inertia,
+    best silhouette, and the chosen k (the smaller of the last two)."""
+    emb = CL.as_vector(read_table(spark, sf_dir, "embeddings"), "embedding")
+    sweep = CL.k_sweep(emb, "features", [2, 3, 4, 5, 6], restarts=1).withColumn("series", F.lit("embeddings"))
+    comp = CL.composite_k(sweep, ["series"]).select("series", "best_k")
+    knee = CL.knee_point(sweep.where(F.col("metric") == "Inertia"), ["series"], "k", "value")
+    sil = EX.argmax_first(sweep.where(F.col("metric") == "Silhouette"), ["series"], "value", "k")
+    sil = sil.select("series", F.col("best_k").alias("silhouette_k"))
+    row = comp.withColumnRenamed("best_k", "composite_k").join(knee, "series").join(sil, "series")
+    r = row.first()
+    try:
+        chosen = CL.choose_k(r["silhouette_k"], r["knee"])
+    except ValueError:
+        chosen = None
+    return row.withColumn("chosen_k", F.lit(chosen).cast("int"))
+
+
+@register("cluster_assignment")
+def q_cluster_assignment(spark, sf_dir):
+    """One fitted pipeline (scale -> PCA to 95 % -> KMeans) labels every row."""
+    t = FX.modelling_table(spark, sf_dir)
+    feats = ["l_quantity", "l_discount", "l_tax"]
+    model = CL.fit_cluster_pipeline(t, feats, k=4, restarts=2)
+    return CL.add_cluster_label(t.select("row_key", *feats), model, feats + ["missing_feature"]) \
+        .select("row_key", "cluster_label")
+
+
+@register("feature_significance")
+def q_feature_significance(spark, sf_dir):
+    """E12 as reported: ANOVA p-value of the target over event types, per feature."""
+    ev = read_table(spark, sf_dir, "events").withColumn("hour", F.hour("ts").cast("double"))
+    return EX.feature_significance(ev, ["hour", "user_id"], "value", label="event_type")
