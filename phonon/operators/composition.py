@@ -3,9 +3,10 @@
 Input: a long composition table (row id, element, amount) and an element
 property table (element, one column per property). Plan: impute missing
 element properties with the table mean -> join the (checked-small) property
-table -> one shuffle by row id collecting each composition (bounded by the
-number of distinct elements in a formula, at most 118) -> every statistic
-as a higher-order-function expression over that short array. Sums are
+table -> a window by row id puts each composition's totals beside its
+element rows (a composition is bounded by the number of distinct elements,
+at most 118) -> one aggregate by row id, all plain codegen'd sums, minima
+and maxima (avg_dev and mode read the totals). Sums are
 written over whole amounts with one division at the end
 (mean = S/Q, avg_dev = sum(q |p Q - S|) / Q^2), which keeps them exact for
 whole-number inputs.
@@ -13,7 +14,7 @@ whole-number inputs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import broadcast_if_small
@@ -36,92 +37,77 @@ def impute_with_means(table: DataFrame, cols: list[str]) -> DataFrame:
         else F.col(c).cast("double") for c in cols})
 
 
-def collect_compositions(comp: DataFrame, props: DataFrame, prop_cols: list[str],
-                         id_col: str = "row_id", element_col: str = "element",
-                         amount_col: str = "amount", impute: bool = True,
-                         broadcast_rows: int = 100_000) -> DataFrame:
-    """(id, c: array<struct<element, amount, props...>>) sorted by element."""
+def _joined(comp: DataFrame, props: DataFrame, prop_cols: list[str], element_col: str,
+            amount_col: str, impute: bool, broadcast_rows: int) -> DataFrame:
     table = impute_with_means(props, prop_cols) if impute else props
     table = table.select(F.col(element_col), *[F.col(c).cast("double").alias(c) for c in prop_cols])
     joined = comp.join(broadcast_if_small(table, broadcast_rows), on=element_col, how="left")
-    item = F.struct(F.col(element_col).alias("element"),
-                    F.col(amount_col).cast("double").alias("amount"),
-                    *[F.col(c) for c in prop_cols])
-    return (joined.where(F.col(amount_col) > 0)
-            .groupBy(id_col).agg(F.array_sort(F.collect_list(item)).alias("c")))
+    return joined.where(F.col(amount_col) > 0).withColumn("_q", F.col(amount_col).cast("double"))
 
 
 def _sum(arr: Column, f) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + f(x))
 
 
-def element_stat_columns(prop_cols: list[str], name=lambda stat, p: f"{stat}_{p}") -> list[Column]:
-    """The six statistics for each property, over the collected array ``c``."""
-    c = F.col("c")
-    q_total = _sum(c, lambda x: x["amount"])
-    max_q = F.array_max(F.transform(c, lambda x: x["amount"]))
-    out = []
-    for p in prop_cols:
-        vals = F.transform(c, lambda x: x[p])
-        s = _sum(c, lambda x: x["amount"] * x[p])
-        mn, mx = F.array_min(vals), F.array_max(vals)
-        dev = _sum(c, lambda x: x["amount"] * F.abs(x[p] * q_total - s))
-        mode = F.array_min(F.transform(F.filter(c, lambda x: x["amount"] == max_q), lambda x: x[p]))
-        out += [mn.alias(name("minimum", p)), mx.alias(name("maximum", p)),
-                (mx - mn).alias(name("range", p)),
-                (s / q_total).alias(name("mean", p)),
-                (dev / (q_total * q_total)).alias(name("avg_dev", p)),
-                mode.alias(name("mode", p))]
-    return out
-
-
-def norm_columns(name=lambda p: f"norm_{p}") -> list[Column]:
-    """P-norms of the fractions; the 0-norm counts the elements."""
-    c = F.col("c")
-    q_total = _sum(c, lambda x: x["amount"])
-    out = []
-    for p in NORM_ORDERS:
-        if p == 0:
-            out.append(F.size(c).cast("double").alias(name(p)))
-        else:
-            out.append((F.pow(_sum(c, lambda x: F.pow(x["amount"], F.lit(float(p)))),
-                              F.lit(1.0 / p)) / q_total).alias(name(p)))
-    return out
-
-
-def valence_columns(orbital_cols: dict[str, str],
-                    avg_name=lambda o: f"avg_{o}_valence_electrons",
-                    frac_name=lambda o: f"frac_{o}_valence_electrons") -> list[Column]:
-    """Fraction-weighted mean valence electrons per orbital, and their shares."""
-    c = F.col("c")
-    q_total = _sum(c, lambda x: x["amount"])
-    sums = {o: _sum(c, lambda x, col=col: x["amount"] * x[col]) for o, col in orbital_cols.items()}
-    total = None
-    for o in orbital_cols:
-        total = sums[o] if total is None else total + sums[o]
-    out = [(sums[o] / q_total).alias(avg_name(o)) for o in orbital_cols]
-    out += [F.when(total != 0, sums[o] / total).alias(frac_name(o)) for o in orbital_cols]
-    return out
-
-
 def composition_features(comp: DataFrame, props: DataFrame, stat_props: list[str],
                          orbital_cols: dict[str, str] | None = None, id_col: str = "row_id",
                          element_col: str = "element", amount_col: str = "amount",
-                         impute: bool = True, naming: str = "plain") -> DataFrame:
+                         impute: bool = True, naming: str = "plain",
+                         broadcast_rows: int = 100_000) -> DataFrame:
     """I1 + I2 + I3 in one grouped pass, one row per composition id.
 
-    ``naming='magpie'`` gives the reference's column names after B4
-    ('MagpieData_mean_<prop>', '2-norm', 'avg_s_valence_electrons').
+    Sums, minima, maxima and power sums are ordinary aggregates (codegen'd,
+    partially aggregated map-side). Only the two statistics that need the
+    row's mean or its largest amount first (avg_dev, mode) read the
+    collected composition array. ``naming='magpie'`` gives the reference's
+    column names after B4 ('MagpieData_mean_<prop>', '2-norm',
+    'avg_s_valence_electrons').
     """
-    prop_cols = list(dict.fromkeys(list(stat_props) + list((orbital_cols or {}).values())))
-    collected = collect_compositions(comp, props, prop_cols, id_col, element_col, amount_col, impute)
+    orbital_cols = orbital_cols or {}
+    prop_cols = list(dict.fromkeys(list(stat_props) + list(orbital_cols.values())))
     if naming == "magpie":
         stat_name = lambda s, p: f"MagpieData_{s}_{p}"
         norm_name = lambda p: f"{p}-norm"
     else:
         stat_name = lambda s, p: f"{s}_{p}"
         norm_name = lambda p: f"norm_{p}"
-    cols = element_stat_columns(stat_props, stat_name) + norm_columns(norm_name)
+    j = _joined(comp, props, prop_cols, element_col, amount_col, impute, broadcast_rows)
+    q = F.col("_q")
+    # per-composition totals beside every element row (a window over one
+    # composition, at most 118 rows); the aggregate below reuses its
+    # partitioning, so the whole operator shuffles once
+    w = Window.partitionBy(id_col)
+    j = j.withColumns({"_Qw": F.sum(q).over(w), "_MQw": F.max(q).over(w),
+                       **{f"_Sw_{p}": F.sum(q * F.col(p)).over(w) for p in stat_props}})
+    aggs = [F.max("_Qw").alias("_Q"), F.count(F.lit(1)).alias("_N")]
+    for p in stat_props:
+        aggs += [F.min(p).alias(f"_min_{p}"), F.max(p).alias(f"_max_{p}"),
+                 F.max(f"_Sw_{p}").alias(f"_S_{p}"),
+                 F.sum(q * F.abs(F.col(p) * F.col("_Qw") - F.col(f"_Sw_{p}"))).alias(f"_D_{p}"),
+                 F.min(F.when(q == F.col("_MQw"), F.col(p))).alias(f"_M_{p}")]
+    for k in NORM_ORDERS:
+        if k:
+            aggs.append(F.sum(F.pow(q, F.lit(float(k)))).alias(f"_P{k}"))
+    for o, c in orbital_cols.items():
+        aggs.append(F.sum(q * F.col(c)).alias(f"_V_{o}"))
+    g = j.groupBy(id_col).agg(*aggs)
+
+    Q = F.col("_Q")
+    cols = []
+    for p in stat_props:
+        mn, mx, s = F.col(f"_min_{p}"), F.col(f"_max_{p}"), F.col(f"_S_{p}")
+        cols += [mn.alias(stat_name("minimum", p)), mx.alias(stat_name("maximum", p)),
+                 (mx - mn).alias(stat_name("range", p)), (s / Q).alias(stat_name("mean", p)),
+                 (F.col(f"_D_{p}") / (Q * Q)).alias(stat_name("avg_dev", p)),
+                 F.col(f"_M_{p}").alias(stat_name("mode", p))]
+    for k in NORM_ORDERS:
+        cols.append(F.col("_N").cast("double").alias(norm_name(k)) if k == 0 else
+                    (F.pow(F.col(f"_P{k}"), F.lit(1.0 / k)) / Q).alias(norm_name(k)))
     if orbital_cols:
-        cols += valence_columns(orbital_cols)
-    return collected.select(id_col, *cols)
+        total = None
+        for o in orbital_cols:
+            total = F.col(f"_V_{o}") if total is None else total + F.col(f"_V_{o}")
+        cols += [(F.col(f"_V_{o}") / Q).alias(f"avg_{o}_valence_electrons") for o in orbital_cols]
+        cols += [F.when(total != 0, F.col(f"_V_{o}") / total).alias(f"frac_{o}_valence_electrons")
+                 for o in orbital_cols]
+    return g.select(id_col, *cols)
