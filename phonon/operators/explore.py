@@ -154,23 +154,51 @@ def safe_corr(a: str, b: str) -> Column:
     return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
 
 
-def _corr_exprs(df: DataFrame, pairs: list[tuple[str, str]]) -> list[Column]:
+def column_stats(df: DataFrame, cols: list[str]) -> dict:
+    """One aggregate: per column, non-null count, missing fraction, sample std
+    and population variance (plus the row count under key '_n')."""
+    row = df.agg(F.count(F.lit(1)).alias("_n"),
+                 *[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)],
+                 *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(cols)],
+                 *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(cols)]).first()
+    n = row["_n"]
+    out = {"_n": n}
+    for i, c in enumerate(cols):
+        out[c] = {"count": row[f"n{i}"], "missing": (1 - row[f"n{i}"] / n) if n else None,
+                  "std": row[f"s{i}"], "var": row[f"v{i}"]}
+    return out
+
+
+def _corr_exprs(df: DataFrame, pairs: list[tuple[str, str]], stats: dict | None = None) -> list[Column]:
     """One correlation expression per pair, in the fast built-in form.
 
     Spark's ``corr`` is pairwise complete (rows where either side is NULL
     are skipped) but raises under ANSI mode when one side is constant on
-    the common rows. A first, cheap aggregate measures each pair's
-    variances on its common rows; the pair gets ``corr`` only when both are
-    positive, NULL otherwise (as pandas gives NaN).
+    the common rows. Per-column statistics (one cheap pass) settle most
+    pairs: a constant column gives NULL (as pandas gives NaN); two complete
+    varying columns are safe. Only pairs touching a column with NULLs need
+    their common-row variances, measured in one more pass over just those
+    pairs.
     """
-    both = [F.col(a).isNotNull() & F.col(b).isNotNull() for a, b in pairs]
-    row = df.agg(*[F.var_pop(F.when(c, F.col(a))).alias(f"va{i}") for i, ((a, b), c) in
-                   enumerate(zip(pairs, both))],
-                 *[F.var_pop(F.when(c, F.col(b))).alias(f"vb{i}") for i, ((a, b), c) in
-                   enumerate(zip(pairs, both))]).first()
+    cols = sorted({c for p in pairs for c in p})
+    st = stats or column_stats(df, cols)
+    n = st["_n"]
+    varying = {c: (st[c]["var"] or 0.0) > 0 for c in cols}
+    complete = {c: st[c]["count"] == n for c in cols}
+    unsure = [(a, b) for a, b in pairs if varying[a] and varying[b]
+              and not (complete[a] and complete[b])]
+    ok_pairs = set()
+    if unsure:
+        both = [F.col(a).isNotNull() & F.col(b).isNotNull() for a, b in unsure]
+        row = df.agg(*[F.var_pop(F.when(c, F.col(a))).alias(f"va{i}") for i, ((a, b), c) in
+                       enumerate(zip(unsure, both))],
+                     *[F.var_pop(F.when(c, F.col(b))).alias(f"vb{i}") for i, ((a, b), c) in
+                       enumerate(zip(unsure, both))]).first()
+        ok_pairs = {p for i, p in enumerate(unsure)
+                    if (row[f"va{i}"] or 0.0) > 0 and (row[f"vb{i}"] or 0.0) > 0}
     out = []
-    for i, (a, b) in enumerate(pairs):
-        ok = (row[f"va{i}"] or 0.0) > 0 and (row[f"vb{i}"] or 0.0) > 0
+    for a, b in pairs:
+        ok = varying[a] and varying[b] and ((complete[a] and complete[b]) or (a, b) in ok_pairs)
         out.append(F.corr(a, b) if ok else F.lit(None).cast("double"))
     return out
 

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .explore import correlation_pairs, missing_and_std, null_columns, numeric_columns
+from .explore import _corr_exprs, column_stats, null_columns, numeric_columns
 from .quantiles import exact_quantiles
 
 # Non-feature columns excluded from the numeric feature list.
@@ -199,20 +199,23 @@ def features_to_drop(df: DataFrame, cols: list[str], missing_thresh: float = 0.3
     (1) missing fraction > missing_thresh; (2) sample std < min_std (the
     reference compares the std, N10); (3) among the rest, a column whose
     |corr| with any EARLIER remaining column exceeds corr_thresh.
+    Two passes over the data: per-column statistics, then the correlations
+    of the surviving columns only. The decision itself runs on those few
+    numbers, like any fit.
     """
-    spark = df.sparkSession
-    pos = spark.createDataFrame([(c, i) for i, c in enumerate(cols)], "feature string, pos int")
-    ms = missing_and_std(df, cols)
-    drop12 = ms.where((F.col("missing_fraction") > missing_thresh) | (F.col("std") < min_std)) \
-        .select("feature")
-    keep = pos.join(drop12, on="feature", how="left_anti")
-    pairs = correlation_pairs(df, cols)
-    ka = keep.select(F.col("feature").alias("feature_a"), F.col("pos").alias("pa"))
-    kb = keep.select(F.col("feature").alias("feature_b"), F.col("pos").alias("pb"))
-    hi = (pairs.join(ka, "feature_a").join(kb, "feature_b")
-          .where((F.col("pa") < F.col("pb")) & (F.abs("corr") > corr_thresh))
-          .select(F.col("feature_b").alias("feature")))
-    return drop12.unionByName(hi).distinct()
+    st = column_stats(df, cols)
+    drop12 = [c for c in cols
+              if (st[c]["missing"] is not None and st[c]["missing"] > missing_thresh)
+              or (st[c]["std"] is not None and st[c]["std"] < min_std)]
+    keep = [c for c in cols if c not in drop12]
+    pairs = [(a, b) for i, a in enumerate(keep) for b in keep[i + 1:]]
+    high = []
+    if pairs:
+        row = df.agg(*[e.alias(f"c{i}") for i, e in enumerate(_corr_exprs(df, pairs, st))]).first()
+        high = [b for i, (a, b) in enumerate(pairs)
+                if row[f"c{i}"] is not None and abs(row[f"c{i}"]) > corr_thresh]
+    drop = sorted(set(drop12) | set(high))
+    return df.sparkSession.createDataFrame([(f,) for f in drop], "feature string")
 
 
 def select_features(df: DataFrame, cols: list[str], **kw) -> tuple[DataFrame, list[str]]:
