@@ -7,70 +7,73 @@ lowest-energy candidate of the formula; NULLs if the formula is unknown.
 Instead of joining every request to every candidate of its formula (a
 quadratic pair table for a popular formula), the candidates are first
 reduced to the best one per (formula, group) and per formula. Both are
-aggregates with a map-side partial step, so a formula holding a third of
-all candidates shrinks to one row per map task before any shuffle. Each
+top-1 windows with a partial group limit before the shuffle, so a formula
+holding a third of all candidates shrinks to one row per map task first. Each
 request then meets at most one candidate per tier through two left
 equi-joins, and the output has exactly one row per request.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 
 
 def best_candidates(candidates: DataFrame, keys: list[str], energy_col: str,
-                    tie_break: list[str], payload: list[str]) -> DataFrame:
-    """One row per ``keys``: ``_best`` = struct(_o: ordering, _p: payload) of the
-    lowest-energy candidate. NULL energies sort last; ``tie_break`` columns
-    decide equal energies. Keeping the ordering lets a coarser key reuse
-    this table (the min of per-group minima is the overall minimum).
+                    tie_break: list[str]) -> DataFrame:
+    """One row per ``keys``: the lowest-energy candidate (NULL energies last,
+    ``tie_break`` columns decide equal energies).
+
+    ``row_number() = 1`` plans a partial group limit before the exchange,
+    so a key holding a third of all candidates leaves each map task as a
+    single row.
     """
-    order = F.struct(F.col(energy_col).isNull().alias("_null_energy"), F.col(energy_col).alias("_e"),
-                     *[F.col(c).alias(f"_t{i}") for i, c in enumerate(tie_break)])
-    item = F.struct(order.alias("_o"), F.struct(*[F.col(c) for c in payload]).alias("_p"))
-    return candidates.groupBy(*keys).agg(F.min(item).alias("_best"))
+    w = Window.partitionBy(*keys).orderBy(F.col(energy_col).asc_nulls_last(),
+                                          *[F.col(c).asc_nulls_last() for c in tie_break])
+    return candidates.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
 def best_match(requests: DataFrame, candidates: DataFrame, *, formula_col: str,
                wanted_col: str | None, group_col: str, energy_col: str,
                tie_break: list[str], payload: dict[str, Column | str],
-               match_col: str | None = None, broadcast_rows: int = 100_000) -> DataFrame:
+               match_col: str | None = None) -> DataFrame:
     """Attach the best candidate's ``payload`` (output name -> candidate column).
 
     ``match_col`` (optional) names a boolean: the chosen candidate's group
     equals the wanted one (NULL when nothing matched the formula).
     One pass over the candidates gives the best per (formula, group); the
-    best per formula is then taken from that much smaller table.
+    best per formula is then taken from that much smaller table. Both are
+    joined by equi-joins; adaptive execution broadcasts them when small.
     """
+    order_cols = [energy_col] + [c for c in tie_break if c != energy_col]
     cand = candidates.select(
         F.col(formula_col).alias("_f"), F.col(group_col).alias("_g"),
         *[(F.col(v) if isinstance(v, str) else v).alias(k) for k, v in payload.items()],
-        *[F.col(c).alias(f"_tb_{c}") for c in tie_break if c not in payload],
-        *([] if energy_col in payload else [F.col(energy_col).alias(f"_tb_{energy_col}")]))
-    energy = energy_col if energy_col in payload else f"_tb_{energy_col}"
-    tie = [c if c in payload else f"_tb_{c}" for c in tie_break]
+        *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order_cols)])
+    order = [f"_o{i}" for i in range(len(order_cols))]
     fields = list(payload) + ["_g"]
-    by_group = best_candidates(cand, ["_f", "_g"], energy, tie, fields)
-    by_formula = by_group.groupBy("_f").agg(F.min("_best").alias("_any"))
-    # both tables derive from an aggregate: AQE picks broadcast at runtime
-    out = requests.join(by_formula, requests[formula_col] == F.col("_f"), "left").drop("_f")
+    # materialised once (reliable checkpoint in the shared folder): both
+    # tiers read it, so the candidates are scanned once
+    ensure_checkpoint_dir(candidates.sparkSession)
+    by_group = best_candidates(cand, ["_f", "_g"], order[0], order[1:]).checkpoint()
+    by_formula = best_candidates(by_group, ["_f"], order[0], order[1:])
+    anyc = by_formula.select(F.col("_f").alias("_fa"), *[F.col(c).alias(f"_a_{c}") for c in fields])
+    out = requests.join(anyc, requests[formula_col] == F.col("_fa"), "left")
     if wanted_col is not None:
-        hits = by_group.select(F.col("_f").alias("_f2"), F.col("_g").alias("_g2"),
-                               F.col("_best").alias("_hit"))
-        out = out.join(hits,
-                       (out[formula_col] == F.col("_f2"))
-                       & (out[wanted_col].cast("long") == F.col("_g2").cast("long")),
-                       "left").drop("_f2", "_g2")
-        chosen = F.coalesce(F.col("_hit"), F.col("_any"))
+        hits = by_group.select(F.col("_f").alias("_fh"), *[F.col(c).alias(f"_h_{c}") for c in fields])
+        out = out.join(hits, (out[formula_col] == F.col("_fh"))
+                       & (out[wanted_col].cast("long") == F.col("_h__g").cast("long")), "left")
+        hit = F.col("_fh").isNotNull()
+        chosen = {c: F.when(hit, F.col(f"_h_{c}")).otherwise(F.col(f"_a_{c}")) for c in fields}
     else:
-        chosen = F.col("_any")
-    out = out.withColumn("_chosen", chosen["_p"])
-    cols = {k: F.col("_chosen")[k] for k in payload}
+        chosen = {c: F.col(f"_a_{c}") for c in fields}
+    cols = {k: chosen[k] for k in payload}
     if match_col:
         want = F.col(wanted_col) if wanted_col else F.lit(None)
-        cols[match_col] = F.when(F.col("_chosen").isNotNull(),
-                                 F.coalesce(want.cast("long") == F.col("_chosen")["_g"].cast("long"),
-                                            F.lit(False)))
-    return out.withColumns(cols).drop("_any", "_hit", "_chosen")
+        cols[match_col] = F.when(F.col("_fa").isNotNull(),
+                                 F.coalesce(want.cast("long") == chosen["_g"].cast("long"), F.lit(False)))
+    helper = ["_fa", "_fh"] + [f"_a_{c}" for c in fields] + [f"_h_{c}" for c in fields]
+    return out.withColumns(cols).drop(*helper)
