@@ -93,3 +93,21 @@ def test_shap_adds_up_to_prediction(spark, kind):
     assert diff < 1e-9
     top = XP.mean_abs_shap(phi).first().feature
     assert top in ("a", "b")
+
+
+def test_cli_train_then_score(spark):
+    from phonon.plans import catalog as C
+    from phonon.plans.cli import main
+    base = tempfile.mkdtemp(prefix="phonon-cli-")
+    C.q_featurized_table(spark, SF_SMALL).write.parquet(os.path.join(base, "features"))
+    main(["train", "--features-table", os.path.join(base, "features"), "--target", "temperature",
+          "--key", "p_partkey", "--model", os.path.join(base, "model"), "--iterations", "5"])
+    rows = spark.createDataFrame([("SiO2", 300.0, 152), ("GaN", 500.0, 186)],
+                                 "formula string, temperature double, space_group int")
+    rows.coalesce(1).write.option("header", True).csv(os.path.join(base, "in"))
+    main(["score", "--model", os.path.join(base, "model"), "--input", os.path.join(base, "in"),
+          "--output", os.path.join(base, "out"),
+          "--schema", "formula string, temperature double, space_group int"])
+    out = spark.read.option("header", True).csv(os.path.join(base, "out"))
+    assert out.count() == 2 and "predicted_thermal_conductivity_W_mK" in out.columns
+    assert out.where(F.col("predicted_thermal_conductivity_W_mK").isNull()).count() == 0
