@@ -4,8 +4,8 @@ Cluster-quality metrics are computed from per-cluster sums (k rows of d
 numbers, like a fitted KMeans model), so every metric is O(n k d) and no
 pair of points is ever formed: inertia and Calinski-Harabasz from sums of
 squares; Davies-Bouldin from each point's distance to its own centroid; the
-silhouette in Spark's squared-Euclidean form, where the mean squared
-distance from x to cluster C is |x|^2 - 2 x.S_C / n_C + Q_C / n_C.
+silhouette in Spark's squared-Euclidean form (Spark's own evaluator), where
+the mean squared distance from x to cluster C is |x|^2 - 2 x.S_C/n_C + Q_C/n_C.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shape import ensure_columns
 
 # ---------------------------------------------------------------- vectors
 
@@ -44,11 +43,6 @@ def cluster_sums(df: DataFrame, label: str, vec: str) -> list:
     return [(r[label], r["n"], [r[f"s{i}"] for i in range(dim)], r["q"]) for r in rows]
 
 
-def _dot(arr: Column, vec: list[float]) -> Column:
-    lit = F.array(*[F.lit(float(v)) for v in vec])
-    return F.aggregate(F.zip_with(arr, lit, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-
-
 def cluster_metrics(df: DataFrame, label: str, vec: str) -> DataFrame:
     """Inertia, Calinski-Harabasz, Davies-Bouldin and squared-Euclidean
     silhouette of given labels, as one row."""
@@ -58,24 +52,6 @@ def cluster_metrics(df: DataFrame, label: str, vec: str) -> DataFrame:
     dim = len(sums[0][2]) if sums else 0
     cents = {c: [v / n for v in s] for c, n, s, _ in sums}
     x = F.transform(vec, lambda v: v.cast("double"))
-    norm2 = F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v)
-    # per-cluster mean squared distance D(x, C) = |x|^2 - 2 x.S/n + Q/n
-    dists = {c: norm2 - 2 * _dot(x, [v / n for v in s]) + F.lit(q / n) for c, n, s, q in sums}
-    sizes = {c: n for c, n, _, _ in sums}
-    own = None
-    other = None
-    for c in dists:
-        own_c = F.when(F.col(label) == F.lit(c), dists[c] * sizes[c] / max(sizes[c] - 1, 1))
-        own = own_c if own is None else F.coalesce(own, own_c)
-        oth = F.when(F.col(label) != F.lit(c), dists[c])
-        other = oth if other is None else F.least(other, oth)
-    size_of = None
-    for c in sizes:
-        e = F.when(F.col(label) == F.lit(c), F.lit(sizes[c]))
-        size_of = e if size_of is None else F.coalesce(size_of, e)
-    a, b = own, other
-    sil = (F.when(size_of <= 1, F.lit(0.0))
-           .when(a < b, 1 - a / b).when(a > b, b / a - 1).otherwise(F.lit(0.0)))
     # distance to own centroid (for Davies-Bouldin and inertia)
     own_cent = None
     for c, cv in cents.items():
@@ -83,7 +59,7 @@ def cluster_metrics(df: DataFrame, label: str, vec: str) -> DataFrame:
                    F.aggregate(F.zip_with(x, F.array(*[F.lit(float(v)) for v in cv]),
                                           lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, t: s + t))
         own_cent = e if own_cent is None else F.coalesce(own_cent, e)
-    per_point = df.select(F.col(label), sil.alias("_sil"), own_cent.alias("_d2"))
+    per_point = df.select(F.col(label), own_cent.alias("_d2"))
     per_cluster = per_point.groupBy(label).agg(F.avg(F.sqrt("_d2")).alias("s"),
                                                F.sum("_d2").alias("w")).collect()
     scatter = {r[label]: r["s"] for r in per_cluster}
@@ -101,10 +77,16 @@ def cluster_metrics(df: DataFrame, label: str, vec: str) -> DataFrame:
             worst = max(worst, (scatter[ci] + scatter[cj]) / dij if dij > 0 else float("inf"))
         dbs.append(worst)
     db = sum(dbs) / len(dbs) if k > 1 else None
-    sil_row = per_point.agg(F.avg("_sil").alias("silhouette"))
-    return sil_row.select(F.lit(k).alias("k"), F.lit(float(inertia)).alias("inertia"),
-                          F.lit(ch).cast("double").alias("calinski_harabasz"),
-                          F.lit(db).cast("double").alias("davies_bouldin"), "silhouette")
+    # silhouette: Spark's evaluator computes exactly the squared-Euclidean
+    # form from per-cluster sums, natively
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    vecs = df.select(array_to_vector(x).alias("_v"), F.col(label).cast("double").alias("_l"))
+    sil = ClusteringEvaluator(featuresCol="_v", predictionCol="_l", metricName="silhouette",
+                              distanceMeasure="squaredEuclidean").evaluate(vecs) if k > 1 else None
+    spark = df.sparkSession
+    return spark.createDataFrame(
+        [(k, float(inertia), ch, db, sil)],
+        "k int, inertia double, calinski_harabasz double, davies_bouldin double, silhouette double")
 
 
 # ---------------------------------------------------------------- fits
