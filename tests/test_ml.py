@@ -111,3 +111,41 @@ def test_cli_train_then_score(spark):
     out = spark.read.option("header", True).csv(os.path.join(base, "out"))
     assert out.count() == 2 and "predicted_thermal_conductivity_W_mK" in out.columns
     assert out.where(F.col("predicted_thermal_conductivity_W_mK").isNull()).count() == 0
+
+
+def test_report_tables_written(spark):
+    from phonon.operators import explain as XP
+    t = FX.modelling_table(spark, SF_SMALL)
+    train, test = PR.split_train_test(t, "row_key")
+    model, _, pred = TR.train_and_evaluate(TR.gradient_boosting(3), train, test, FX.MODEL_FEATURES,
+                                           "l_extendedprice")
+    prefix = tempfile.mkdtemp(prefix="phonon-report-")
+    XP.write_report(model, pred, test, "row_key", FX.MODEL_FEATURES, prefix)
+    for part in ["parity", "residuals", "shap_values", "shap_summary", "importance"]:
+        assert spark.read.parquet(os.path.join(prefix, part)).count() > 0
+    assert spark.read.parquet(os.path.join(prefix, "residuals")).agg(F.sum("count")).first()[0] == test.count()
+
+
+def test_feature_table_build_and_training_run(spark):
+    from phonon.plans import catalog as C
+    from phonon.plans import featurize as FZ
+    from phonon.operators import merge as M
+    s1, s2, s3 = FX.measurement_sources(spark, SF_SMALL)
+    sources = [M.standardize_citrine(s1), M.standardize_ucsb(s2),
+               M.standardize_nist(s3, [F.col(c) for c in FX.TIE_COLS])]
+    props = FZ.element_table_by_symbol(FX.element_properties(spark, SF_SMALL), "element",
+                                       ["size", "price", "s_valence", "p_valence", "d_valence", "f_valence"])
+    path = os.path.join(tempfile.mkdtemp(prefix="phonon-ft-"), "features")
+    kw = dict(element_props=props, stat_props=FX.ELEMENT_STAT_PROPS, orbital_cols=FX.ELEMENT_ORBITALS)
+    tie = [F.col(c).asc_nulls_last() for c in FX.TIE_COLS] + \
+        [F.col("thermal_conductivity").asc_nulls_last()]
+    table = FZ.build_feature_table(spark, path, sources, tie, kw)
+    n = table.count()
+    assert n == C.merged_measurements_df(spark, SF_SMALL).count()
+    assert os.path.exists(os.path.join(path, "_SUCCESS"))
+    # a second call reads the stored table instead of recomputing
+    again = FZ.build_feature_table(spark, path, [], [], {})
+    assert again.count() == n and "MagpieData_mean_size" in again.columns
+    model, metrics, cols = FZ.run_pipeline(again, "thermal_conductivity", "formula",
+                                           trainer=TR.boosted_trees(3))
+    assert "MagpieData_mean_size" in cols and metrics.count() == 2
