@@ -130,40 +130,61 @@ def yeo_johnson(c: Column | str, lmbda: float) -> Column:
     return F.when(x >= 0, pos).otherwise(neg)
 
 
+def _yeo_johnson_col(x: Column, lam: Column) -> Column:
+    """Yeo-Johnson with lambda given per row (a column)."""
+    pos = F.when(F.abs(lam) < 1e-12, F.log1p(x)).otherwise((F.pow(x + 1, lam) - 1) / lam)
+    neg = F.when(F.abs(lam - 2) < 1e-12, -F.log1p(-x)).otherwise(-(F.pow(1 - x, 2 - lam) - 1) / (2 - lam))
+    return F.when(x >= 0, pos).otherwise(neg)
+
+
 def fit_yeo_johnson(df: DataFrame, cols: list[str], lo: float = -2.0, hi: float = 2.0,
-                    steps: int = 41, rounds: int = 3) -> dict[str, float]:
+                    points: int = 9, rounds: int = 6) -> dict[str, float]:
     """Maximum-likelihood lambda per column by grid refinement.
 
-    Each round is ONE aggregate over the data computing, for every column
-    and grid lambda, the population variance of the transformed values; the
-    log-likelihood is -n/2 log(var) + (lambda - 1) sum(sign(x) log1p|x|).
-    The grid then narrows around the best lambda.
+    The columns are unpivoted to (feature, value); each round is ONE
+    aggregate grouped by feature that evaluates ``points`` lambdas per
+    feature (joined in as columns from a d-row parameter table) as plain
+    sums of psi and psi^2. The log-likelihood is
+    -n/2 log(var) + (lambda - 1) sum(sign(x) log1p|x|); the grid then
+    narrows around the best lambda (step / (points - 1) * 2 per round), so
+    the cost is ``rounds`` passes whatever the number of columns.
     """
-    base = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)],
-                  *[F.sum(F.signum(c) * F.log1p(F.abs(c))).alias(f"t{i}")
-                    for i, c in enumerate(cols)]).first()
-    grids = {c: [lo + (hi - lo) * k / (steps - 1) for k in range(steps)] for c in cols}
-    best = {}
+    from .explore import to_long
+    spark = df.sparkSession
+    long = to_long(df, cols).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    base = {r.feature: (r.n, r.t or 0.0) for r in long.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.signum("value") * F.log1p(F.abs("value"))).alias("t")).collect()}
+    step = (hi - lo) / (points - 1)
+    grids = {c: [lo + j * step for j in range(points)] for c in cols if c in base}
+    best = {c: 1.0 for c in cols}
     for _ in range(rounds):
+        if not grids:
+            break
+        params = spark.createDataFrame([(c, *g) for c, g in grids.items()],
+                                       "feature string, " + ", ".join(f"l{j} double" for j in range(points)))
+        joined = long.join(F.broadcast(params), "feature")  # one row per column: bounded
         aggs = []
-        for i, c in enumerate(cols):
-            for j, lam in enumerate(grids[c]):
-                aggs.append(F.var_pop(yeo_johnson(c, lam)).alias(f"v{i}_{j}"))
-        row = df.agg(*aggs).first()
-        for i, c in enumerate(cols):
-            n, t = base[f"n{i}"], base[f"t{i}"] or 0.0
+        for j in range(points):
+            psi = _yeo_johnson_col(F.col("value"), F.col(f"l{j}"))
+            aggs += [F.sum(psi).alias(f"s{j}"), F.sum(psi * psi).alias(f"q{j}")]
+        rows = joined.groupBy("feature").agg(*aggs).collect()
+        for r in rows:
+            c = r.feature
+            n, t = base[c]
             scores = []
             for j, lam in enumerate(grids[c]):
-                v = row[f"v{i}_{j}"]
-                if v is None or v <= 0 or not math.isfinite(v):
+                s1, s2 = r[f"s{j}"], r[f"q{j}"]
+                if s1 is None or s2 is None or not n:
+                    continue
+                var = s2 / n - (s1 / n) ** 2
+                if not math.isfinite(var) or var <= 0:
                     continue
-                scores.append((-(n / 2.0) * math.log(v) + (lam - 1) * t, -abs(lam), lam))
-            if not scores:
-                best[c] = 1.0
-                continue
-            best[c] = max(scores)[2]
-            step = grids[c][1] - grids[c][0]
-            grids[c] = [best[c] - step + 2 * step * k / (steps - 1) for k in range(steps)]
+                scores.append((-(n / 2.0) * math.log(var) + (lam - 1) * t, -abs(lam - 1), lam))
+            if scores:
+                best[c] = max(scores)[2]
+        step = 2 * step / (points - 1)
+        grids = {c: [best[c] - (points - 1) / 2 * step + j * step for j in range(points)] for c in grids}
     return best
 
 

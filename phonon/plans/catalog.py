@@ -852,7 +852,7 @@ def q_batch_scoring(spark, sf_dir):
     train, test = _split(spark, sf_dir)
     model, _, _ = TR.train_and_evaluate(TR.gradient_boosting(20), train, test.limit(0),
                                         FX.MODEL_FEATURES, TARGET)
-    path = scratch_path(spark, "models/batch_scoring_gbt")
+    path = scratch_path(spark, f"models/batch_scoring_gbt_{uuid.uuid4().hex}")
     TR.save_model(model, path)
     return TR.score_batch(TR.load_model(path), test.drop(TARGET), FX.MODEL_FEATURES)
 
@@ -922,6 +922,8 @@ def q_feature_set_experiment(spark, sf_dir):
 # Featurisation and sources/sinks
 # --------------------------------------------------------------------------
 
+import uuid  # noqa: E402
+
 from ..plans import featurize as FZ  # noqa: E402
 from ..sources import tables as TB  # noqa: E402
 
@@ -968,7 +970,7 @@ def q_structure_density(spark, sf_dir):
 
 @register("csv_round_trip", "SELECT * FROM customer")
 def q_csv_round_trip(spark, sf_dir):
-    path = scratch_path(spark, "io/customer_csv")
+    path = scratch_path(spark, f"io/customer_csv_{uuid.uuid4().hex}")
     TB.write_csv(read_table(spark, sf_dir, "customer"), path)
     return TB.read_csv(spark, path, TB.TABLE_SCHEMAS["customer"])
 
@@ -977,7 +979,6 @@ def q_csv_round_trip(spark, sf_dir):
 SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, count(*) AS n
 FROM lineitem GROUP BY l_returnflag, l_linestatus""")
 def q_stored_aggregate(spark, sf_dir):
-    import uuid
     path = scratch_path(spark, f"io/lineitem_agg_{uuid.uuid4().hex}")
 
     def compute():
@@ -991,9 +992,10 @@ def q_stored_aggregate(spark, sf_dir):
 SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders""")
 def q_csv_to_parquet(spark, sf_dir):
     cols = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string"
-    csv_path = scratch_path(spark, "io/orders_csv")
+    run = uuid.uuid4().hex
+    csv_path = scratch_path(spark, f"io/orders_csv_{run}")
     TB.write_csv(read_table(spark, sf_dir, "orders").drop("o_orderdate"), csv_path)
-    return TB.convert_csv_to_parquet(spark, csv_path, scratch_path(spark, "io/orders_parquet"), cols,
+    return TB.convert_csv_to_parquet(spark, csv_path, scratch_path(spark, f"io/orders_parquet_{run}"), cols,
                                      string_cols=["o_orderstatus"])
 
 
@@ -1004,7 +1006,7 @@ def q_nested_to_text(spark, sf_dir):
 
 @register("listed_columns", "SELECT l_tax, l_quantity FROM lineitem")
 def q_listed_columns(spark, sf_dir):
-    path = scratch_path(spark, "io/selected_features")
+    path = scratch_path(spark, f"io/selected_features_{uuid.uuid4().hex}")
     TB.save_column_list(spark, ["l_tax", "not_a_column", "l_quantity"], path)
     return TB.select_listed(read_table(spark, sf_dir, "lineitem"), TB.load_column_list(spark, path))
 

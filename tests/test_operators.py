@@ -156,3 +156,22 @@ def test_mode_ties_take_smallest(spark):
     df = spark.createDataFrame([(1, "b"), (1, "a"), (1, "b"), (1, "a"), (2, None)], "g int, c string")
     got = {r.g: r.m for r in EX.mode_by_group(df, ["g"], "c", "m").collect()}
     assert got == {1: "a", 2: "Unknown"}
+
+
+def test_yeo_johnson_lambda_matches_dense_grid(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.exponential(2.0, 300), -rng.exponential(0.5, 100)])
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    lam = PR.fit_yeo_johnson(df, ["x"])["x"]
+
+    def psi(v, l):
+        out = np.empty_like(v)
+        p, n = v >= 0, v < 0
+        out[p] = np.log1p(v[p]) if abs(l) < 1e-12 else ((v[p] + 1) ** l - 1) / l
+        out[n] = -np.log1p(-v[n]) if abs(l - 2) < 1e-12 else -(((1 - v[n]) ** (2 - l)) - 1) / (2 - l)
+        return out
+
+    grid = np.linspace(-2, 2, 40001)
+    llf = [-len(x) / 2 * np.log(psi(x, l).var()) + (l - 1) * np.sum(np.sign(x) * np.log1p(np.abs(x)))
+           for l in grid]
+    assert abs(lam - grid[int(np.argmax(llf))]) < 2e-3
