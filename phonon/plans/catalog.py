@@ -429,7 +429,7 @@ def q_distinct_labels(spark, sf_dir):
 
 
 @register("running_share", "WITH " + S.DAILY_EVENTS.strip() + f"""
-SELECT event_type, day, n, {r9('total')} AS total,
+SELECT event_type, day, {r9('total')} AS total,
        {r9('sum(total) OVER (PARTITION BY event_type ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(total) OVER (PARTITION BY event_type)')} AS cum_share
 FROM daily""")
 def q_running_share(spark, sf_dir):

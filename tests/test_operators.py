@@ -175,3 +175,16 @@ def test_yeo_johnson_lambda_matches_dense_grid(spark):
     llf = [-len(x) / 2 * np.log(psi(x, l).var()) + (l - 1) * np.sum(np.sign(x) * np.log1p(np.abs(x)))
            for l in grid]
     assert abs(lam - grid[int(np.argmax(llf))]) < 2e-3
+
+
+def test_running_share_across_buckets(spark):
+    rng = random.Random(9)
+    rows = [("a" if i % 3 else "b", i, float(rng.randint(1, 9))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "s string, o long, v double")
+    got = {(r.s, r.o): r.cum_share for r in EX.running_share(df, "s", "o", "v", buckets=16).collect()}
+    for series in ("a", "b"):
+        pts = sorted((o, v) for s, o, v in rows if s == series)
+        total, acc = sum(v for _, v in pts), 0.0
+        for o, v in pts:
+            acc += v
+            assert math.isclose(got[(series, o)], acc / total, rel_tol=1e-12)
