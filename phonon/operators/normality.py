@@ -91,5 +91,7 @@ def shapiro_by_feature(df: DataFrame, cols: list[str], sample_size: int = 5000,
         return pd.DataFrame({"feature": [pdf["feature"].iloc[0]], "n": [len(pdf)], "w": [wv],
                              "p_value": [p], "is_normal": [bool(p >= alpha) if p == p else False]})
 
-    return sample.groupBy("feature").applyInPandas(
+    out = sample.groupBy("feature").applyInPandas(
         test, "feature string, n long, w double, p_value double, is_normal boolean")
+    # most normal first (a sort of one row per column)
+    return out.orderBy(F.col("p_value").desc_nulls_last(), "feature")

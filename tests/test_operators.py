@@ -188,3 +188,14 @@ def test_running_share_across_buckets(spark):
         for o, v in pts:
             acc += v
             assert math.isclose(got[(series, o)], acc / total, rel_tol=1e-12)
+
+
+def test_prepare_cluster_analysis_names(spark):
+    df = spark.createDataFrame([(1, 10.0, 300.0, "Cubic"), (2, 20.0, 310.0, "Cubic"), (3, 5.0, 400.0, None)],
+                               "id int, thermal_conductivity double, temperature double, crystal_system_classified string")
+    labels = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "id int, cluster_label int")
+    got = {r.cluster_label: r for r in EX.prepare_cluster_analysis(df, labels, "id").collect()}
+    assert set(got[0].asDict()) == {"cluster_label", "mean_kappa", "std_kappa", "mean_T", "std_T",
+                                    "dominant_crystal_system"}
+    assert got[0].mean_kappa == 15.0 and got[0].dominant_crystal_system == "Cubic"
+    assert got[1].std_kappa is None and got[1].dominant_crystal_system == "Unknown"
