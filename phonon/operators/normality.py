@@ -1,8 +1,9 @@
 """Shapiro-Wilk normality test per column (E13, sampled form).
 
-Each column contributes at most ``sample_size`` values, picked by a seeded
-hash order (``row_number() <= n`` plans a partial group limit before the
-shuffle, so no column ships more than that many rows per map task). Then
+Each column contributes at most ``sample_size`` values, picked in a seeded
+random order of the rows (``row_number() <= n`` plans a partial group limit
+before the shuffle, so no column ships more than that many rows per map
+task). Then
 one pandas call per column computes W and its p-value with Royston's
 published approximation (AS R94), in numpy; scipy is not needed.
 """
@@ -82,8 +83,11 @@ def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
 def shapiro_by_feature(df: DataFrame, cols: list[str], sample_size: int = 5000, seed: int = 42,
                        alpha: float = 0.05) -> DataFrame:
     """E13 (Shapiro form): feature, n, w, p_value, is_normal — one row per column."""
-    long = to_long(df, cols).where(F.col("value").isNotNull() & ~F.isnan("value"))
-    w = Window.partitionBy("feature").orderBy(F.xxhash64(F.col("value"), F.lit(seed)), "value")
+    # a seeded random order per row (not a hash of the value: copies of one
+    # value must not enter or leave the sample together)
+    keyed = df.select(*cols).withColumn("_u", F.rand(seed))
+    long = to_long(keyed, cols, ids=["_u"]).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    w = Window.partitionBy("feature").orderBy("_u", "value")
     sample = long.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= sample_size).drop("_r")
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -149,3 +149,10 @@ def test_feature_table_build_and_training_run(spark):
     model, metrics, cols = FZ.run_pipeline(again, "thermal_conductivity", "formula",
                                            trainer=TR.boosted_trees(3))
     assert "MagpieData_mean_size" in cols and metrics.count() == 2
+
+
+def test_shapiro_sample_of_discrete_column_is_unbiased(spark):
+    # 20000 rows of 50 distinct values: the 5000-row sample must cover them all
+    df = spark.range(20000).select((F.col("id") % 50 + 1).cast("double").alias("q"))
+    r = NM.shapiro_by_feature(df, ["q"]).first()
+    assert r.n == 5000 and not r.is_normal and 0.9 < r.w < 0.99
