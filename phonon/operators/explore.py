@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.numeric import log10_positive
 from .joins import broadcast_bounded
 from .quantiles import exact_quantiles
 
@@ -117,7 +118,7 @@ def summary_statistics(df: DataFrame, cols: list[str], log10: bool = False) -> D
     """
     long = to_long(df, cols)
     if log10:
-        long = long.where(F.col("value") > 0).withColumn("value", F.log10("value"))
+        long = long.withColumn("value", log10_positive("value"))
     long = long.where(F.col("value").isNotNull())
     n = F.count("value")
     moments = long.groupBy("feature").agg(

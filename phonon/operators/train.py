@@ -215,7 +215,8 @@ def parity_table(pred: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 def residual_histogram(pred: DataFrame, actual: str, predicted: str, bins: int = 30) -> DataFrame:
     """Histogram of actual - predicted."""
-    r = pred.select((F.col(actual) - F.col(predicted)).alias("residual"))
+    from ..functions.numeric import residual
+    r = pred.select(residual(actual, predicted).alias("residual"))
     return histogram(r, ["residual"], bins)
 
 
@@ -242,4 +243,5 @@ def score_batch(model: PipelineModel, df: DataFrame, features: list[str],
                                  else F.lit(0.0).alias(c) for c in features])
     pred = model.transform(aligned)
     pred = decide_scale(pred, "prediction", out_col, raw_target=raw_target)
-    return pred.withColumn(out_col, F.bround(out_col, digits)).select(*df.columns, out_col)
+    from ..functions.numeric import round_half_even
+    return pred.withColumn(out_col, round_half_even(out_col, digits)).select(*df.columns, out_col)
