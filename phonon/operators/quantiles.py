@@ -42,8 +42,12 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
         F.array(F.floor(h).cast("long"), F.ceil(h).cast("long")) for h in pos])))
     state = stats.select(*g, F.explode(ranks).alias("_k"), "_lo", "_hi",
                          F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_cnt"))
-    state = state.checkpoint()
-    for _ in range(max_passes):
+    # no group above the direct-ranking bound: rank at once, no narrowing
+    largest = stats.agg(F.max("_n")).first()[0] or 0
+    passes = max_passes if largest > final_rows else 0
+    if passes:
+        state = state.checkpoint()
+    for _ in range(passes):
         open_ = state.where((F.col("_lo") < F.col("_hi")) & (F.col("_cnt") > final_rows))
         if open_.limit(1).count() == 0:
             break
