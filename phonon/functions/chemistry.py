@@ -22,6 +22,11 @@ ELEMENT_SYMBOLS = (
 # One token: an element symbol and an optional amount ("Si", "O2", "Te3", "O2.5").
 FORMULA_TOKEN = r"([A-Z][a-z]?)([0-9]+\.?[0-9]*|\.[0-9]+)?"
 FORMULA_FULL = r"^(([A-Z][a-z]?)([0-9]+\.?[0-9]*|\.[0-9]+)?)+$"
+# One level of parentheses: "(PO4)2" -> group body and optional multiplier.
+_AMOUNT = r"(?:[0-9]+\.?[0-9]*|\.[0-9]+)"
+FORMULA_GROUP = r"\(((?:[A-Z][a-z]?" + _AMOUNT + r"?)+)\)(" + _AMOUNT + r"?)"
+FORMULA_FULL_GROUPED = (r"^(?:[A-Z][a-z]?" + _AMOUNT + r"?|\((?:[A-Z][a-z]?" + _AMOUNT + r"?)+\)"
+                        + _AMOUNT + r"?)+$")
 
 # Material classes, tested in this order on the element set.
 CHALCOGENS = ["S", "Se", "Te"]
@@ -51,20 +56,46 @@ def classify_property(c: Column | str) -> Column:
             .when(s.contains("density"), F.lit("density")))
 
 
+def _amount(text: Column) -> Column:
+    return F.when(text == "", F.lit(1.0)).otherwise(text.cast("double"))
+
+
+def formula_tokens(c: Column | str) -> Column:
+    """array<struct<element, amount>> of a formula, one level of groups expanded.
+
+    Tokens outside parentheses keep their amount; tokens inside "(...)n" are
+    multiplied by n. Repeated elements are not summed here.
+    """
+    f = _col(c)
+    outside = F.regexp_replace(f, FORMULA_GROUP, "")
+    flat = F.zip_with(F.regexp_extract_all(outside, F.lit(FORMULA_TOKEN), 1),
+                      F.regexp_extract_all(outside, F.lit(FORMULA_TOKEN), 2),
+                      lambda e, a: F.struct(e.alias("element"), _amount(a).alias("amount")))
+    groups = F.zip_with(F.regexp_extract_all(f, F.lit(FORMULA_GROUP), 1),
+                        F.regexp_extract_all(f, F.lit(FORMULA_GROUP), 2),
+                        lambda body, mult: F.transform(
+                            F.zip_with(F.regexp_extract_all(body, F.lit(FORMULA_TOKEN), 1),
+                                       F.regexp_extract_all(body, F.lit(FORMULA_TOKEN), 2),
+                                       lambda e, a: F.struct(e.alias("element"), _amount(a).alias("amount"))),
+                            lambda t: F.struct(t["element"].alias("element"),
+                                               (t["amount"] * _amount(mult)).alias("amount"))))
+    return F.concat(flat, F.flatten(groups))
+
+
 def formula_is_valid(c: Column | str) -> Column:
-    """True when the whole text is element tokens of known symbols."""
+    """True when the whole text is element tokens (optionally in one level of
+    parentheses with a multiplier) of known symbols."""
     f = _col(c)
     symbols = F.array(*[F.lit(s) for s in ELEMENT_SYMBOLS])
-    return (f.isNotNull() & f.rlike(FORMULA_FULL)
-            & F.forall(F.regexp_extract_all(f, F.lit(FORMULA_TOKEN), 1),
-                       lambda e: F.array_contains(symbols, e)))
+    return (f.isNotNull() & f.rlike(FORMULA_FULL_GROUPED)
+            & F.forall(formula_tokens(f), lambda t: F.array_contains(symbols, t["element"])))
 
 
 def formula_elements(c: Column | str) -> Column:
     """Distinct element symbols of a valid formula; NULL for an invalid one."""
     f = _col(c)
     return F.when(formula_is_valid(f),
-                  F.array_distinct(F.regexp_extract_all(f, F.lit(FORMULA_TOKEN), 1)))
+                  F.array_distinct(F.transform(formula_tokens(f), lambda t: t["element"])))
 
 
 def classify_material(c: Column | str) -> Column:
@@ -100,16 +131,12 @@ def classify_spacegroup(c: Column | str) -> Column:
 def explode_composition(df: DataFrame, formula_col: str, id_cols: list[str]) -> DataFrame:
     """H6: (ids..., element, amount) rows of each valid formula.
 
-    An empty amount is 1; an element written twice is summed. Invalid
-    formulas give no rows (count them with ``formula_is_valid``).
+    An empty amount is 1; a group "(...)n" multiplies its members by n; an
+    element written twice is summed. Invalid formulas give no rows (count
+    them with ``formula_is_valid``).
     """
     f = F.col(formula_col)
-    tokens = F.arrays_zip(
-        F.regexp_extract_all(f, F.lit(FORMULA_TOKEN), 1).alias("element"),
-        F.regexp_extract_all(f, F.lit(FORMULA_TOKEN), 2).alias("amount"))
     exploded = (df.where(formula_is_valid(f))
-                .select(*id_cols, F.explode(tokens).alias("t"))
-                .select(*id_cols, F.col("t.element").alias("element"),
-                        F.when(F.col("t.amount") == "", F.lit(1.0))
-                        .otherwise(F.col("t.amount").cast("double")).alias("amount")))
+                .select(*id_cols, F.explode(formula_tokens(f)).alias("t"))
+                .select(*id_cols, F.col("t.element").alias("element"), F.col("t.amount").alias("amount")))
     return exploded.groupBy(*id_cols, "element").agg(F.sum("amount").alias("amount"))

@@ -104,14 +104,7 @@ def q_crystal_systems(spark, sf_dir):
             .agg(F.count(F.lit(1)).alias("n"), F.min(sg).alias("min_sg"), F.max(sg).alias("max_sg")))
 
 
-@register("formula_composition", f"""
-WITH {S.formula_strings()},
-tok AS (SELECT p_partkey, unnest(regexp_extract_all(formula, '{CH.FORMULA_TOKEN}', 1)) AS element,
-               unnest(regexp_extract_all(formula, '{CH.FORMULA_TOKEN}', 2)) AS amount_text
-        FROM formulas WHERE {S.formula_valid('formula')})
-SELECT p_partkey, element,
-       sum(CAST(coalesce(nullif(amount_text, ''), '1') AS DOUBLE)) AS amount
-FROM tok GROUP BY p_partkey, element""")
+@register("formula_composition", S.formula_composition_sql())
 def q_formula_composition(spark, sf_dir):
     return CH.explode_composition(FX.formula_strings(spark, sf_dir), "formula", ["p_partkey"])
 

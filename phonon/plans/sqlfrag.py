@@ -7,7 +7,8 @@ independent SQL twin.
 
 from __future__ import annotations
 
-from ..functions.chemistry import CRYSTAL_SYSTEMS, ELEMENT_SYMBOLS, FORMULA_FULL, FORMULA_TOKEN
+from ..functions.chemistry import (CRYSTAL_SYSTEMS, ELEMENT_SYMBOLS, FORMULA_FULL_GROUPED,
+                                   FORMULA_GROUP, FORMULA_TOKEN)
 from ..functions.temperature import TEMPERATURE_PATTERN
 from ..sources.fixtures import FORMULAS
 
@@ -108,7 +109,7 @@ def formula_strings() -> str:
 
 def formula_valid(expr: str) -> str:
     syms = ", ".join(f"'{s}'" for s in ELEMENT_SYMBOLS)
-    return (f"({expr} IS NOT NULL AND regexp_full_match({expr}, '{FORMULA_FULL}') AND "
+    return (f"({expr} IS NOT NULL AND regexp_full_match({expr}, '{FORMULA_FULL_GROUPED}') AND "
             f"list_has_all([{syms}], regexp_extract_all({expr}, '{FORMULA_TOKEN}', 1)))")
 
 
@@ -187,3 +188,20 @@ fm AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_returnflag, l_quantity, l_e
 DAILY_EVENTS = """
 daily AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n, sum(value) AS total
           FROM events GROUP BY event_type, CAST(ts AS DATE))"""
+
+
+def formula_composition_sql() -> str:
+    """H6 twin: outside tokens plus group tokens times the group multiplier."""
+    amt = lambda e: f"CAST(coalesce(nullif({e}, ''), '1') AS DOUBLE)"
+    return f"""WITH {formula_strings()},
+ok AS (SELECT p_partkey, formula FROM formulas WHERE {formula_valid('formula')}),
+outside AS (SELECT p_partkey, regexp_replace(formula, '{FORMULA_GROUP}', '', 'g') AS rest FROM ok),
+ot AS (SELECT p_partkey, unnest(regexp_extract_all(rest, '{FORMULA_TOKEN}', 1)) AS element,
+              unnest(regexp_extract_all(rest, '{FORMULA_TOKEN}', 2)) AS a, '' AS m FROM outside),
+grp AS (SELECT p_partkey, unnest(regexp_extract_all(formula, '{FORMULA_GROUP}', 1)) AS body,
+               unnest(regexp_extract_all(formula, '{FORMULA_GROUP}', 2)) AS m FROM ok),
+gt AS (SELECT p_partkey, unnest(regexp_extract_all(body, '{FORMULA_TOKEN}', 1)) AS element,
+              unnest(regexp_extract_all(body, '{FORMULA_TOKEN}', 2)) AS a, m FROM grp),
+tok AS (SELECT * FROM ot UNION ALL SELECT * FROM gt)
+SELECT p_partkey, element, sum({amt('a')} * {amt('m')}) AS amount
+FROM tok WHERE element <> '' GROUP BY p_partkey, element"""

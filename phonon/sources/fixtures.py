@@ -19,7 +19,8 @@ from .tables import read_table
 # penultimate entry is deliberately not a formula; the last is NULL).
 FORMULAS = [
     "SiO2", "Bi2Te3", "GaN", "SiC", "Si", "SrTiO3", "C", "AlN", "Al2O3", "MgO",
-    "Cu", "PbTe", "SnSe", "BAs", "CoSb3", "HfNiSn", "NaCl", "Fe2O3", "not a formula", None,
+    "Cu", "PbTe", "SnSe", "BAs", "CoSb3", "HfNiSn", "NaCl", "Fe2O3", "Mg3(PO4)2", "Ca(OH)2",
+    "not a formula", None,
 ]
 
 

@@ -69,3 +69,16 @@ def test_explode_composition_sums_repeats(spark):
                     (4, "Al"): 2.5, (4, "O"): 1.0}
     valid = [r.v for r in df.select(formula_is_valid("f").alias("v")).orderBy("id").collect()]
     assert valid == [True, True, False, True]
+
+
+def test_formula_groups_one_level(spark):
+    df = spark.createDataFrame([(1, "Mg3(PO4)2"), (2, "Ca(OH)2"), (3, "Cu(NO3)2"), (4, "K((O)2)"),
+                                (5, "(SiO2)"), (6, "Fe2(SO4)3")], "id int, f string")
+    rows = {(r.id, r.element): r.amount for r in explode_composition(df, "f", ["id"]).collect()}
+    assert rows == {(1, "Mg"): 3.0, (1, "P"): 2.0, (1, "O"): 8.0,
+                    (2, "Ca"): 1.0, (2, "O"): 2.0, (2, "H"): 2.0,
+                    (3, "Cu"): 1.0, (3, "N"): 2.0, (3, "O"): 6.0,
+                    (5, "Si"): 1.0, (5, "O"): 2.0,
+                    (6, "Fe"): 2.0, (6, "S"): 3.0, (6, "O"): 12.0}
+    cls = {r.id: r.c for r in df.select("id", classify_material("f").alias("c")).collect()}
+    assert cls[1] == "Oxide" and cls[2] == "Oxide" and cls[4] == "Unknown" and cls[5] == "Oxide"
