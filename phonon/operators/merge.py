@@ -57,13 +57,14 @@ def pivot_first(df: DataFrame, keys: list[str], pivot_col: str, value_col: str,
     "First" is by ``order`` (give a full tie-break), so the result does not
     depend on file or partition order. Rows with a NULL key or value are
     dropped first, as a pandas pivot table does. The value list is fixed,
-    so there is no extra job to find it, and the aggregate is split into a
-    map-side partial and a final step.
+    and each output column is one conditional ``min_by`` in a single
+    aggregate grouped by the keys (one exchange, map-side partial step).
     """
     clean = df.dropna(subset=keys + [pivot_col, value_col])
     ordering = F.struct(*order, F.col(value_col))
-    return (clean.groupBy(*keys).pivot(pivot_col, values)
-            .agg(F.min_by(F.col(value_col), ordering)))
+    hit = lambda v: F.col(pivot_col) == F.lit(v)
+    return clean.groupBy(*keys).agg(*[
+        F.min_by(F.when(hit(v), F.col(value_col)), F.when(hit(v), ordering)).alias(v) for v in values])
 
 
 def standardize_nist(df: DataFrame, order: list[Column]) -> DataFrame:
@@ -127,7 +128,13 @@ def merge_measurements(sources: list[DataFrame], tie_break: list[Column] = (),
     deduped = dedupe_by_priority(all_rows, KEYS, list(tie_break))
     if drop_missing:
         deduped = deduped.dropna(subset=KEYS + ["thermal_conductivity"])
-    return group_measurements(deduped)
+    # The reference groups by the dedupe keys afterwards (mean, sorted source
+    # list). After the dedupe each key holds exactly one row, so that group
+    # is the identity: the mean of one value is the value and the list is
+    # the one source. Projecting instead saves a shuffle; group_measurements
+    # stays for tables that were not deduped.
+    return deduped.select(*KEYS, F.col("thermal_conductivity").cast("double").alias("thermal_conductivity"),
+                          F.col("source").cast("string").alias("source"))
 
 
 def impute_and_clean(df: DataFrame) -> DataFrame:
