@@ -93,9 +93,11 @@ def composition_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     Repeated (order, part) pairs are summed, as a formula writing an element
     twice is.
     """
-    li = read_table(spark, sf_dir, "lineitem")
-    return (li.groupBy(F.col("l_orderkey").alias("row_id"),
-                       F.col("l_partkey").alias("element"))
+    li = read_table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("row_id"), F.col("l_partkey").alias("element"), "l_quantity")
+    # partitioned by composition id once: the element sum, the window and
+    # the per-composition aggregate downstream all reuse this exchange
+    return (li.repartition("row_id").groupBy("row_id", "element")
             .agg(F.sum("l_quantity").alias("amount")))
 
 
