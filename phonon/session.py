@@ -48,7 +48,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster that setting names a shared file system folder and is used
-    as is. Only when it is unset (local tests) a scratch folder is created.
+    as is (and must be set). Only in local mode, when it is unset, a scratch
+    folder is created.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -57,6 +58,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder on shared storage "
+                             "(a machine-local folder does not survive executor loss)")
         configured = tempfile.mkdtemp(prefix="phonon-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
