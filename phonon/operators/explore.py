@@ -276,14 +276,18 @@ def box_statistics(df: DataFrame, value: str, group: str) -> DataFrame:
 
 # ---------------------------------------------------------------- regression metrics
 
-def regression_metrics(df: DataFrame, y: str, yhat: str) -> DataFrame:
-    """MAE, RMSE, R2 in one aggregate (R2 = 1 - SSE / SST, SST = n * var_pop(y))."""
+def metric_aggs(y: str, yhat: str) -> list[Column]:
+    """MAE, RMSE, R2 (= 1 - SSE / SST, SST = n * var_pop(y)) and n as aggregate expressions."""
     err = F.col(y) - F.col(yhat)
+    return [F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"),
+            (1 - F.try_divide(F.sum(err * err), F.var_pop(y) * F.count(F.lit(1)))).alias("r2"),
+            F.count(F.lit(1)).alias("n")]
+
+
+def regression_metrics(df: DataFrame, y: str, yhat: str) -> DataFrame:
+    """MAE, RMSE, R2 in one aggregate over rows with both values."""
     pairs = df.where(F.col(y).isNotNull() & F.col(yhat).isNotNull())
-    return pairs.agg(
-        F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"),
-        (1 - F.try_divide(F.sum(err * err), F.var_pop(y) * F.count(F.lit(1)))).alias("r2"),
-        F.count(F.lit(1)).alias("n"))
+    return pairs.agg(*metric_aggs(y, yhat))
 
 
 def evaluate_log_and_original(df: DataFrame, y_log: str, yhat_log: str, y: str) -> DataFrame:
@@ -307,16 +311,17 @@ def one_way_anova(df: DataFrame, value: str, group: str) -> DataFrame:
                              F.var_samp(value).alias("v")))
     tot = g.agg(F.sum("n").alias("n_total"),
                 (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("m_total"),
-                F.count(F.lit(1)).alias("k"))
-    # tot is one row: broadcasting it is bounded whatever the table size
-    j = g.withColumn("_one", F.lit(1)).join(F.broadcast(tot.withColumn("_one", F.lit(1))), on="_one")
-    out = j.groupBy("n_total", "k").agg(
-        F.sum(F.col("n") * (F.col("m") - F.col("m_total")) ** 2).alias("ssb"),
-        F.sum(F.coalesce((F.col("n") - 1) * F.col("v"), F.lit(0.0))).alias("ssw"))
+                F.count(F.lit(1)).alias("k")).first()
+    n_total, m_total, k = tot["n_total"] or 0, tot["m_total"], tot["k"]
+    if m_total is None:
+        return g.sparkSession.createDataFrame([], "f_stat double, df_between bigint, df_within bigint")
+    # the one global row is folded in as literals: no join at all
+    out = g.agg(F.sum(F.col("n") * (F.col("m") - F.lit(m_total)) ** 2).alias("ssb"),
+                F.sum(F.coalesce((F.col("n") - 1) * F.col("v"), F.lit(0.0))).alias("ssw"))
     return out.select(
-        F.try_divide(F.try_divide(F.col("ssb"), F.col("k") - 1),
-                     F.try_divide(F.col("ssw"), F.col("n_total") - F.col("k"))).alias("f_stat"),
-        (F.col("k") - 1).alias("df_between"), (F.col("n_total") - F.col("k")).alias("df_within"))
+        F.try_divide(F.try_divide(F.col("ssb"), F.lit(k - 1)),
+                     F.try_divide(F.col("ssw"), F.lit(n_total - k))).alias("f_stat"),
+        F.lit(k - 1).cast("bigint").alias("df_between"), F.lit(n_total - k).cast("bigint").alias("df_within"))
 
 
 def f_test_pvalue(f_stat: float, d1: float, d2: float) -> float:

@@ -1,9 +1,9 @@
 """Shapiro-Wilk normality test per column (E13, sampled form).
 
-Each column contributes at most ``sample_size`` values, picked in a seeded
-random order of the rows (``row_number() <= n`` plans a partial group limit
-before the shuffle, so no column ships more than that many rows per map
-task). Then
+Each column contributes at most ``sample_size`` values: the rows with the
+smallest seeded random keys. A Bernoulli pre-sample of about three times
+that size per column is taken first, so the ranking window only ever sorts
+a bounded set (Spark's map-side top-k limit stops at k = 1000). Then
 one pandas call per column computes W and its p-value with Royston's
 published approximation (AS R94), in numpy; scipy is not needed.
 """
@@ -87,8 +87,27 @@ def shapiro_by_feature(df: DataFrame, cols: list[str], sample_size: int = 5000,
     # value must not enter or leave the sample together)
     keyed = df.select(*cols).withColumn("_u", F.rand(seed))
     long = to_long(keyed, cols, ids=["_u"]).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    # Spark limits top-k windows map-side only for k <= 1000, so first keep
+    # a Bernoulli pre-sample of about 3x the sample per column (the k
+    # smallest u are inside it unless it came out short, then that column
+    # keeps every row); the window then sorts a bounded set per column.
+    counts = {r.feature: r.n for r in long.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
+    frac = {f: min(1.0, 3.0 * sample_size / n) for f, n in counts.items() if n}
+
+    def keep_below(fr):
+        cond = None
+        for f, p in fr.items():
+            e = F.when(F.col("feature") == F.lit(f), F.lit(p))
+            cond = e if cond is None else cond.when(F.col("feature") == F.lit(f), F.lit(p))
+        return long.where(F.col("_u") < cond.otherwise(F.lit(1.0))) if cond is not None else long
+
+    pre = keep_below(frac)
+    short = {r.feature for r in pre.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()
+             if r.n < min(sample_size, counts[r.feature])}
+    if short:
+        pre = keep_below({f: (1.0 if f in short else p) for f, p in frac.items()})
     w = Window.partitionBy("feature").orderBy("_u", "value")
-    sample = long.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= sample_size).drop("_r")
+    sample = pre.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= sample_size).drop("_r")
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
         wv, p = shapiro_wilk(pdf["value"].to_numpy())

@@ -15,6 +15,8 @@ linear one of pandas, DuckDB ``quantile_cont`` and Spark ``percentile``.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,26 @@ from ..session import ensure_checkpoint_dir
 from .joins import broadcast_if_small
 
 
+def _attach(data: DataFrame, brackets: DataFrame, g: list[str], grouped: bool,
+            cols: tuple = ("_lo", "_hi")) -> DataFrame:
+    """Give each value its bracket: a join on the group keys, or, for one
+    group, a literal CASE over its few brackets (distinct brackets are
+    disjoint, so a value falls in at most one; no join, no cross product)."""
+    if grouped:
+        return data.join(broadcast_if_small(brackets), on=g, how="inner")
+    rows = brackets.collect()  # at most two brackets per wanted probability
+    if not rows:
+        return data.where(F.lit(False)).withColumns({c: F.lit(None).cast("double") for c in cols})
+    out = data
+    inside = lambda r: F.col("_v").between(F.lit(r["_lo"]), F.lit(r["_hi"]))
+    for c in cols:
+        e = None
+        for r in rows:
+            e = F.when(inside(r), F.lit(r[c])) if e is None else e.when(inside(r), F.lit(r[c]))
+        out = out.withColumn(c, e)
+    return out.where(F.col("_lo").isNotNull())
+
+
 def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
                     group_cols: list[str] = (), buckets: int = 1024,
                     final_rows: int = 1_000_000, max_passes: int = 12,
@@ -30,7 +52,8 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
     ensure_checkpoint_dir(df.sparkSession)
     names = names or [f"q_{str(p).replace('.', '_')}" for p in probs]
     v = F.col(value_col).cast("double")
-    # without groups, one constant key keeps every join an equi-join
+    # without groups, a constant key column stands in for the group (it is
+    # only grouped on; brackets are attached without a join, see _attach)
     g = list(group_cols) or ["_g0"]
     src = df if group_cols else df.withColumn("_g0", F.lit(0))
     data = src.select(*g, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
@@ -55,7 +78,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
         width = F.col("_hi") - F.col("_lo")
         bucket = F.least(F.floor((F.col("_v") - F.col("_lo")) / width * buckets),
                          F.lit(buckets - 1)).cast("int")
-        hist = data.join(broadcast_if_small(brackets), on=g, how="inner")
+        hist = _attach(data, brackets, g, bool(group_cols))
         hist = (hist.where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
                 .groupBy(*g, "_lo", "_hi", bucket.alias("_b"))
                 .agg(F.count(F.lit(1)).alias("_nb"), F.min("_v").alias("_bmin"),
@@ -75,13 +98,28 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
     multi = state.where(F.col("_lo") < F.col("_hi"))
     brackets = multi.select(*g, "_lo", "_hi", "_below").distinct()
     wr = Window.partitionBy(*g, "_lo", "_hi").orderBy("_v")
-    inside = (data.join(broadcast_if_small(brackets), on=g, how="inner")
+    inside = (_attach(data, brackets, g, bool(group_cols), ("_lo", "_hi", "_below"))
               .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
               .withColumn("_rk", F.row_number().over(wr) - 1 + F.col("_below")))
     picked = (multi.join(inside, on=g + ["_lo", "_hi", "_below"], how="inner")
               .where(F.col("_rk") == F.col("_k")).select(*g, "_k", F.col("_v").alias("_val")))
     values = single.unionByName(picked)
     # interpolate per probability
+    if not group_cols:
+        # one group: the few rank values and the count are scalars
+        got = {r["_k"]: r["_val"] for r in values.collect()}
+        n = stats.first()
+        row = []
+        for p in probs:
+            if n is None or not n["_n"]:
+                row.append(None)
+                continue
+            h = (n["_n"] - 1) * float(p)
+            lo_k, hi_k = math.floor(h), math.ceil(h)
+            lo_v, hi_v = got[lo_k], got[hi_k]
+            row.append(lo_v + (hi_v - lo_v) * (h - lo_k))
+        schema = ", ".join(f"`{nm}` double" for nm in names)
+        return df.sparkSession.createDataFrame([tuple(row)], schema)
     at = stats.select(*g, "_n")
     for i, p in enumerate(probs):
         h = (F.col("_n") - 1) * F.lit(float(p))

@@ -205,12 +205,13 @@ def permutation_importance(model: PipelineModel, test: DataFrame, features: list
 # ---------------------------------------------------------------- tables behind plots
 
 def parity_table(pred: DataFrame, actual: str, predicted: str) -> DataFrame:
-    """One row: plot bounds (min/max over both columns), R2, n."""
-    lo = F.least(F.min(actual), F.min(predicted))
-    hi = F.greatest(F.max(actual), F.max(predicted))
-    m = regression_metrics(pred, actual, predicted)
-    b = pred.agg(lo.alias("lower"), hi.alias("upper"))
-    return b.withColumn("_one", F.lit(1)).join(m.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    """One row from one aggregate: plot bounds (min/max over both
+    columns), MAE, RMSE, R2, n."""
+    from .explore import metric_aggs
+    pairs = pred.where(F.col(actual).isNotNull() & F.col(predicted).isNotNull())
+    return pairs.agg(F.least(F.min(actual), F.min(predicted)).alias("lower"),
+                     F.greatest(F.max(actual), F.max(predicted)).alias("upper"),
+                     *metric_aggs(actual, predicted))
 
 
 def residual_histogram(pred: DataFrame, actual: str, predicted: str, bins: int = 30) -> DataFrame:

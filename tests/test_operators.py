@@ -199,3 +199,14 @@ def test_prepare_cluster_analysis_names(spark):
                                     "dominant_crystal_system"}
     assert got[0].mean_kappa == 15.0 and got[0].dominant_crystal_system == "Cubic"
     assert got[1].std_kappa is None and got[1].dominant_crystal_system == "Unknown"
+
+
+@pytest.mark.parametrize("final_rows", [10, 1_000_000])
+def test_exact_quantiles_ungrouped_no_cross_join(spark, final_rows):
+    rnd = random.Random(11)
+    vals = [rnd.gauss(0, 1) for _ in range(2000)]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    q = exact_quantiles(df, "v", [0.1, 0.5, 0.99], final_rows=final_rows, buckets=8,
+                        names=["a", "b", "c"])
+    r = q.first()
+    assert np.allclose([r.a, r.b, r.c], np.quantile(vals, [0.1, 0.5, 0.99]), rtol=1e-12)
