@@ -84,38 +84,50 @@ def formula_tokens(c: Column | str) -> Column:
 
 def formula_is_valid(c: Column | str) -> Column:
     """True when the whole text is element tokens (optionally in one level of
-    parentheses with a multiplier) of known symbols."""
+    parentheses with a multiplier) of known symbols.
+
+    The symbols are checked on a flat token scan (parentheses are skipped by
+    the token pattern), which yields the same element set as the grouped
+    parse and is far cheaper.
+    """
     f = _col(c)
     symbols = F.array(*[F.lit(s) for s in ELEMENT_SYMBOLS])
     return (f.isNotNull() & f.rlike(FORMULA_FULL_GROUPED)
-            & F.forall(formula_tokens(f), lambda t: F.array_contains(symbols, t["element"])))
+            & F.forall(F.regexp_extract_all(f, F.lit(FORMULA_TOKEN), 1),
+                       lambda e: F.array_contains(symbols, e)))
 
 
 def formula_elements(c: Column | str) -> Column:
     """Distinct element symbols of a valid formula; NULL for an invalid one."""
     f = _col(c)
     return F.when(formula_is_valid(f),
-                  F.array_distinct(F.transform(formula_tokens(f), lambda t: t["element"])))
+                  F.array_distinct(F.regexp_extract_all(f, F.lit(FORMULA_TOKEN), 1)))
 
 
 def classify_material(c: Column | str) -> Column:
-    """H3: chemistry class from the element set; invalid formula -> 'Unknown'."""
-    els = formula_elements(c)
-
-    def has_any(xs):
-        return F.arrays_overlap(els, F.array(*[F.lit(x) for x in xs]))
-
-    return (F.when(els.isNull(), F.lit("Unknown"))
-            .when(F.size(els) == 1, F.lit("Elemental"))
-            .when(F.array_contains(els, "O"), F.lit("Oxide"))
-            .when(has_any(CHALCOGENS), F.lit("Chalcogenide"))
-            .when(has_any(HALOGENS), F.lit("Halide"))
-            .when(F.array_contains(els, "N"), F.lit("Nitride"))
-            .when(F.array_contains(els, "C"), F.lit("Carbide"))
-            .when(F.array_contains(els, "B"), F.lit("Boride"))
-            .when(has_any(PNICTOGENS), F.lit("Pnictide"))
-            .when(F.array_contains(els, "H"), F.lit("Hydride"))
-            .otherwise(F.lit("Intermetallic/Alloy")))
+    """H3: chemistry class from the element set; invalid formula -> 'Unknown'.
+
+    The element list is computed once and bound to a lambda variable (a
+    one-element ``transform``), so the class chain does not re-parse the
+    formula in every branch.
+    """
+    def chain(els):
+        def has_any(xs):
+            return F.arrays_overlap(els, F.array(*[F.lit(x) for x in xs]))
+
+        return (F.when(els.isNull(), F.lit("Unknown"))
+                .when(F.size(els) == 1, F.lit("Elemental"))
+                .when(F.array_contains(els, "O"), F.lit("Oxide"))
+                .when(has_any(CHALCOGENS), F.lit("Chalcogenide"))
+                .when(has_any(HALOGENS), F.lit("Halide"))
+                .when(F.array_contains(els, "N"), F.lit("Nitride"))
+                .when(F.array_contains(els, "C"), F.lit("Carbide"))
+                .when(F.array_contains(els, "B"), F.lit("Boride"))
+                .when(has_any(PNICTOGENS), F.lit("Pnictide"))
+                .when(F.array_contains(els, "H"), F.lit("Hydride"))
+                .otherwise(F.lit("Intermetallic/Alloy")))
+
+    return F.element_at(F.transform(F.array(formula_elements(c)), chain), 1)
 
 
 def classify_spacegroup(c: Column | str) -> Column:
