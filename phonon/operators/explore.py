@@ -110,26 +110,36 @@ def adjusted_kurtosis(g2: Column, n: Column) -> Column:
     return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
 
 
-def summary_statistics(df: DataFrame, cols: list[str], log10: bool = False) -> DataFrame:
+def summary_statistics(df: DataFrame, cols: list[str], log10: bool = False,
+                       scales: tuple[str, ...] | None = None) -> DataFrame:
     """Count, mean, std, min, quartiles, max, skew, kurtosis per column.
 
-    ``log10=True`` summarises log10 of the positive values (C4) instead.
+    ``log10=True`` summarises log10 of the positive values (C4) instead;
+    ``scales=("raw", "log10")`` does both in one pass over one long table
+    keyed by (scale, feature), with a ``scale`` column in the output.
     Quartiles are exact (``exact_quantiles``).
     """
-    long = to_long(df, cols)
-    if log10:
-        long = long.withColumn("value", log10_positive("value"))
+    wanted = scales or (("log10",) if log10 else ("raw",))
+    base = to_long(df, cols)
+    parts = []
+    for sc in wanted:
+        v = log10_positive("value") if sc == "log10" else F.col("value")
+        parts.append(base.select(F.lit(sc).alias("scale"), "feature", v.alias("value")))
+    long = parts[0]
+    for p_ in parts[1:]:
+        long = long.unionByName(p_)
     long = long.where(F.col("value").isNotNull())
-    n = F.count("value")
-    moments = long.groupBy("feature").agg(
-        n.alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"),
+    keys = ["scale", "feature"]
+    moments = long.groupBy(*keys).agg(
+        F.count("value").alias("count"), F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
         F.skewness("value").alias("_g1"), F.kurtosis("value").alias("_g2"))
     moments = moments.withColumns({
         "skew": adjusted_skew(F.col("_g1"), F.col("count").cast("double")),
         "kurtosis": adjusted_kurtosis(F.col("_g2"), F.col("count").cast("double"))}).drop("_g1", "_g2")
-    q = exact_quantiles(long, "value", [0.25, 0.5, 0.75], ["feature"], names=["q25", "q50", "q75"])
-    return moments.join(q, on="feature", how="left")
+    q = exact_quantiles(long, "value", [0.25, 0.5, 0.75], keys, names=["q25", "q50", "q75"])
+    out = moments.join(q, on=keys, how="left")
+    return out if scales else out.drop("scale")
 
 
 # ---------------------------------------------------------------- per-column quality

@@ -65,12 +65,23 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
         F.array(F.floor(h).cast("long"), F.ceil(h).cast("long")) for h in pos])))
     state = stats.select(*g, F.explode(ranks).alias("_k"), "_lo", "_hi",
                          F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_cnt"))
-    # no group above the direct-ranking bound: rank at once, no narrowing
+    # no group above the direct-ranking bound: rank each group at once in
+    # one window (bounded by final_rows rows per group), keep wanted ranks
     largest = stats.agg(F.max("_n")).first()[0] or 0
-    passes = max_passes if largest > final_rows else 0
-    if passes:
-        state = state.checkpoint()
-    for _ in range(passes):
+    if largest <= final_rows:
+        w = Window.partitionBy(*g).orderBy("_v")
+        ranked = (data.withColumn("_rk", F.row_number().over(w) - 1)
+                  .withColumn("_cnt", F.count(F.lit(1)).over(Window.partitionBy(*g))))
+        want = None
+        for p in probs:
+            h = (F.col("_cnt") - 1) * F.lit(float(p))
+            c = (F.col("_rk") == F.floor(h)) | (F.col("_rk") == F.ceil(h))
+            want = c if want is None else want | c
+        values = ranked.where(want).select(*g, F.col("_rk").cast("long").alias("_k"),
+                                           F.col("_v").alias("_val"))
+        return _interpolate(df, stats, values, probs, names, g, group_cols)
+    state = state.checkpoint()
+    for _ in range(max_passes):
         open_ = state.where((F.col("_lo") < F.col("_hi")) & (F.col("_cnt") > final_rows))
         if open_.limit(1).count() == 0:
             break
@@ -104,7 +115,11 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
     picked = (multi.join(inside, on=g + ["_lo", "_hi", "_below"], how="inner")
               .where(F.col("_rk") == F.col("_k")).select(*g, "_k", F.col("_v").alias("_val")))
     values = single.unionByName(picked)
-    # interpolate per probability
+    return _interpolate(df, stats, values, probs, names, g, group_cols)
+
+
+def _interpolate(df, stats, values, probs, names, g, group_cols) -> DataFrame:
+    """Linear interpolation between the values at floor/ceil of (n - 1) p."""
     if not group_cols:
         # one group: the few rank values and the count are scalars
         got = {r["_k"]: r["_val"] for r in values.collect()}

@@ -282,9 +282,7 @@ FROM (SELECT {expr} AS v, avg({expr}) OVER () AS m FROM events WHERE {where}) x"
           _summary_sql("log10(value)", "value > 0", "log10"))
 def q_summary_statistics(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events").select("value")
-    raw = EX.summary_statistics(ev, ["value"]).withColumn("scale", F.lit("raw"))
-    lg = EX.summary_statistics(ev, ["value"], log10=True).withColumn("scale", F.lit("log10"))
-    return round_doubles(raw.unionByName(lg), 9)
+    return round_doubles(EX.summary_statistics(ev, ["value"], scales=("raw", "log10")), 9)
 
 
 def _unpivot_sql(select_fn, cols) -> str:
