@@ -919,14 +919,16 @@ from ..plans import featurize as FZ  # noqa: E402
 from ..sources import tables as TB  # noqa: E402
 
 
-@register("featurized_table")
+@register("featurized_table", S.featurized_sql(6))
 def q_featurized_table(spark, sf_dir):
     props = FZ.element_table_by_symbol(
         FX.element_properties(spark, sf_dir), "element", ["size", "price", "s_valence", "p_valence",
                                                           "d_valence", "f_valence"])
-    return FZ.featurize(FX.featurize_input(spark, sf_dir), props, FX.ELEMENT_STAT_PROPS,
-                        FX.ELEMENT_ORBITALS, mp_candidates=FX.symbol_candidates(spark, sf_dir),
-                        mp_tie=FX.MP_TIE, mp_payload=mp_payload())
+    out = FZ.featurize(FX.featurize_input(spark, sf_dir), props, FX.ELEMENT_STAT_PROPS,
+                       FX.ELEMENT_ORBITALS, mp_candidates=FX.symbol_candidates(spark, sf_dir),
+                       mp_tie=FX.MP_TIE, mp_payload=mp_payload())
+    return round_doubles(out.withColumn("user_space_group_number",
+                                        F.col("user_space_group_number").cast("double")), 6)
 
 
 def _det3_sql(m) -> str:

@@ -205,3 +205,103 @@ gt AS (SELECT p_partkey, unnest(regexp_extract_all(body, '{FORMULA_TOKEN}', 1))
 tok AS (SELECT * FROM ot UNION ALL SELECT * FROM gt)
 SELECT p_partkey, element, sum({amt('a')} * {amt('m')}) AS amount
 FROM tok WHERE element <> '' GROUP BY p_partkey, element"""
+
+
+def featurized_sql(digits: int = 6) -> str:
+    """I5 twin: part rows -> composition features per distinct formula (symbol
+    element table, mean-imputed) -> tiered lookup in candidates keyed by
+    formula -> chemistry and crystal classes -> density."""
+    r = lambda e: f"round({e}, {digits})"
+    syms = ", ".join(f"'{s}'" for s in ELEMENT_SYMBOLS)
+    fl = ", ".join("NULL" if f is None else f"'{f}'" for f in FORMULAS)
+    amt = lambda e: f"CAST(coalesce(nullif({e}, ''), '1') AS DOUBLE)"
+    props = ["size", "price"]
+    orbs = ["s", "p", "d", "f"]
+    stats = []
+    for p in props:
+        stats += [f"{r(f'min({p})')} AS MagpieData_minimum_{p}", f"{r(f'max({p})')} AS MagpieData_maximum_{p}",
+                  f"{r(f'max({p}) - min({p})')} AS MagpieData_range_{p}",
+                  f"{r(f's_{p} / q')} AS MagpieData_mean_{p}",
+                  f"{r(f'sum(amount * abs({p} * q - s_{p})) / (q * q)')} AS MagpieData_avg_dev_{p}",
+                  f"{r(f'min(CASE WHEN amount = mq THEN {p} END)')} AS MagpieData_mode_{p}"]
+    norms = [f'{r("CAST(n AS DOUBLE)")} AS "0-norm"'] + [
+        f'{r(f"pow(sum(pow(amount, {k}.0)), 1.0 / {k}) / q")} AS "{k}-norm"' for k in [2, 3, 5, 7, 10]]
+    tot = " + ".join(f"v_{o}" for o in orbs)
+    val = [f"{r(f'v_{o} / q')} AS avg_{o}_valence_electrons" for o in orbs]
+    val += [f"{r(f'CASE WHEN ({tot}) <> 0 THEN v_{o} / ({tot}) END')} AS frac_{o}_valence_electrons"
+            for o in orbs]
+    sums = ", ".join([f"sum(amount * {p}) AS s_{p}" for p in props] +
+                     [f"sum(amount * {o}_valence) AS v_{o}" for o in orbs])
+    feat_cols = [c.split(" AS ")[-1] for c in stats + norms + val]
+    raw = ELEMENT_PROPS.strip()
+    raw_only = raw[:raw.index("prop_means AS")].rstrip().rstrip(",")
+    means_props = raw[raw.index("prop_means AS"):].replace(
+        "avg(d_valence) AS m_d, avg(f_valence) AS m_f FROM props_raw",
+        "avg(d_valence) AS m_d, avg(f_valence) AS m_f FROM sym").replace(
+        "FROM props_raw, prop_means", "FROM sym, prop_means")
+    return f"""WITH {raw_only},
+sym AS (SELECT list_extract([{syms}], CAST(element AS INTEGER) + 1) AS element, size, price, s_valence,
+               p_valence, d_valence, f_valence FROM props_raw WHERE element >= 0 AND element < {len(ELEMENT_SYMBOLS)}),
+{means_props},
+rq AS (SELECT p_partkey, list_extract([{fl}], CAST(p_partkey % {len(FORMULAS)} AS INTEGER) + 1) AS formula,
+              CAST(p_size * 10 AS DOUBLE) AS temperature, CAST(p_size AS DOUBLE) AS user_space_group_number
+       FROM part),
+ok AS (SELECT DISTINCT formula FROM rq WHERE {formula_valid('formula')}),
+outside AS (SELECT formula, regexp_replace(formula, '{FORMULA_GROUP}', '', 'g') AS rest FROM ok),
+ot AS (SELECT formula, unnest(regexp_extract_all(rest, '{FORMULA_TOKEN}', 1)) AS element,
+              unnest(regexp_extract_all(rest, '{FORMULA_TOKEN}', 2)) AS a, '' AS m FROM outside),
+grp AS (SELECT formula, unnest(regexp_extract_all(formula, '{FORMULA_GROUP}', 1)) AS body,
+               unnest(regexp_extract_all(formula, '{FORMULA_GROUP}', 2)) AS m FROM ok),
+gt AS (SELECT formula, unnest(regexp_extract_all(body, '{FORMULA_TOKEN}', 1)) AS element,
+              unnest(regexp_extract_all(body, '{FORMULA_TOKEN}', 2)) AS a, m FROM grp),
+comp AS (SELECT formula, element, sum({amt('a')} * {amt('m')}) AS amount
+         FROM (SELECT * FROM ot UNION ALL SELECT * FROM gt) t WHERE element <> '' GROUP BY formula, element),
+j AS (SELECT c.formula, c.amount, p.* EXCLUDE (element) FROM comp c LEFT JOIN props p ON c.element = p.element
+      WHERE c.amount > 0),
+tot AS (SELECT formula, sum(amount) AS q, max(amount) AS mq, count(*) AS n, {sums} FROM j GROUP BY formula),
+feats AS (SELECT j.formula, {', '.join(stats + norms + val)}
+          FROM j JOIN tot ON j.formula = tot.formula
+          GROUP BY j.formula, q, mq, n, s_size, s_price, v_s, v_p, v_d, v_f),
+cand AS (SELECT list_extract([{fl}], CAST(l_orderkey % {len(FORMULAS)} AS INTEGER) + 1) AS cformula,
+                l_suppkey % 50 AS sg, CASE WHEN l_linenumber <> 7 THEN l_extendedprice END AS energy,
+                CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-' ||
+                CAST(l_suppkey AS VARCHAR) AS material_id,
+                l_quantity, l_tax, l_discount, l_linestatus, l_orderkey, l_linenumber, l_suppkey FROM lineitem),
+pairs AS (
+  SELECT r.p_partkey, c.*, row_number() OVER (
+           PARTITION BY r.p_partkey
+           ORDER BY coalesce(c.sg = r.user_space_group_number, false) DESC, c.energy NULLS LAST,
+                    c.l_orderkey, c.l_linenumber, c.l_suppkey, c.l_quantity, c.l_tax,
+                    c.l_discount, c.l_linestatus) AS rn
+  FROM rq r LEFT JOIN cand c ON r.formula = c.cformula),
+mp AS (SELECT p_partkey, cformula AS mp_formula, material_id, l_quantity AS mp_density, l_tax AS mp_volume,
+              l_discount AS mp_band_gap, l_linestatus = 'F' AS mp_is_metal, energy AS mp_energy_above_hull,
+              CASE WHEN cformula IS NULL THEN NULL ELSE {classify_spacegroup('sg')} END AS crystal_system,
+              sg AS mp_spacegroup_number, sg
+       FROM pairs WHERE rn = 1)
+SELECT rq.p_partkey, rq.formula, rq.temperature, rq.user_space_group_number,
+       {', '.join('f.' + c.strip('"') if not c.startswith('"') else 'f.' + c for c in feat_cols)},
+       mp.mp_formula, mp.material_id, {r('mp.mp_density')} AS mp_density, {r('mp.mp_volume')} AS mp_volume,
+       {r('mp.mp_band_gap')} AS mp_band_gap, mp.mp_is_metal,
+       {r('mp.mp_energy_above_hull')} AS mp_energy_above_hull, mp.crystal_system, mp.mp_spacegroup_number,
+       CASE WHEN mp.mp_formula IS NOT NULL THEN coalesce(mp.sg = rq.user_space_group_number, false) END
+         AS mp_spacegroup_match_user,
+       {_chemistry_case('rq.formula')} AS chemistry,
+       {classify_spacegroup('rq.user_space_group_number')} AS crystal_structure,
+       {r('mp.mp_density')} AS density
+FROM rq LEFT JOIN feats f ON rq.formula = f.formula LEFT JOIN mp ON rq.p_partkey = mp.p_partkey"""
+
+
+def _chemistry_case(expr: str) -> str:
+    els = formula_elements(expr)
+    return f"""(CASE WHEN {els} IS NULL THEN 'Unknown'
+       WHEN len({els}) = 1 THEN 'Elemental'
+       WHEN list_contains({els}, 'O') THEN 'Oxide'
+       WHEN list_has_any({els}, ['S', 'Se', 'Te']) THEN 'Chalcogenide'
+       WHEN list_has_any({els}, ['F', 'Cl', 'Br', 'I']) THEN 'Halide'
+       WHEN list_contains({els}, 'N') THEN 'Nitride'
+       WHEN list_contains({els}, 'C') THEN 'Carbide'
+       WHEN list_contains({els}, 'B') THEN 'Boride'
+       WHEN list_has_any({els}, ['P', 'As', 'Sb', 'Bi']) THEN 'Pnictide'
+       WHEN list_contains({els}, 'H') THEN 'Hydride'
+       ELSE 'Intermetallic/Alloy' END)"""
