@@ -71,7 +71,10 @@ def featurize(df: DataFrame, element_props: DataFrame, stat_props: list[str],
     comp = explode_composition(formulas, "_formula", ["_formula"])
     feats = CO.composition_features(comp, element_props, stat_props, orbital_cols, id_col="_formula",
                                     naming="magpie")
+    # the class depends on the formula only: computed once per distinct formula
+    feats = feats.withColumn("chemistry", classify_material("_formula"))
     out = df.join(feats, df[composition_col] == feats["_formula"], "left").drop("_formula")
+    out = out.withColumn("chemistry", F.coalesce("chemistry", F.lit("Unknown")))
     out = SH.sanitize_column_names(out)
     if mp_candidates is not None and mp_payload:
         out = LK.best_match(out, mp_candidates, formula_col=composition_col,
@@ -83,7 +86,6 @@ def featurize(df: DataFrame, element_props: DataFrame, stat_props: list[str],
                             wanted_col="user_space_group_number" if "user_space_group_number" in out.columns else None,
                             group_col="spacegroup_number", energy_col="formation_energy_peratom",
                             tie_break=list(jarvis_tie), payload=jarvis_payload)
-    out = out.withColumn("chemistry", classify_material(composition_col))
     if "user_space_group_number" in out.columns:
         out = out.withColumn("crystal_structure", classify_spacegroup("user_space_group_number"))
     elif "MagpieData_mean_SpaceGroupNumber" in out.columns:

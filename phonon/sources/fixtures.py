@@ -233,7 +233,4 @@ def symbol_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate table 1 keyed by real formulas: FORMULAS[l_partkey % 20]."""
     arr = F.array(*[F.lit(f).cast("string") for f in FORMULAS])
     c = mp_candidates(spark, sf_dir)
-    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey",
-                                                      "l_partkey", "l_quantity", "l_tax", "l_discount",
-                                                      "l_linestatus")
     return c.withColumn("formula", F.element_at(arr, (F.col("l_orderkey") % len(FORMULAS) + 1).cast("int")))
