@@ -210,3 +210,21 @@ def test_exact_quantiles_ungrouped_no_cross_join(spark, final_rows):
                         names=["a", "b", "c"])
     r = q.first()
     assert np.allclose([r.a, r.b, r.c], np.quantile(vals, [0.1, 0.5, 0.99]), rtol=1e-12)
+
+
+def test_group_measurements_mean_and_sorted_sources(spark):
+    df = spark.createDataFrame([("A", 300.0, 1.0, "ucsb"), ("A", 300.0, 3.0, "citrine"),
+                                ("A", 300.0, 2.0, "ucsb"), ("B", 10.0, 5.0, "nist_thermoml")],
+                               "formula string, temperature double, thermal_conductivity double, source string")
+    got = {(r.formula, r.temperature): (r.thermal_conductivity, r.source)
+           for r in M.group_measurements(df).collect()}
+    assert got == {("A", 300.0): (2.0, "citrine,ucsb"), ("B", 10.0): (5.0, "nist_thermoml")}
+
+
+def test_impute_and_clean_fills_mean_temperature(spark):
+    df = spark.createDataFrame([("A", "100 K", 1.0), ("B", None, 2.0), ("C", "300 K", 3.0),
+                                (None, "50 K", 4.0), ("D", "70 K", None)],
+                               "formula string, temperature string, thermal_conductivity double")
+    got = {r.formula: r.temperature for r in M.impute_and_clean(df).collect()}
+    # mean over every parsed temperature (100, 300, 50, 70) fills B; rows without formula/target go
+    assert got == {"A": 100.0, "B": 130.0, "C": 300.0}
