@@ -6,14 +6,31 @@ Each query is ``fn(spark, sf_dir) -> DataFrame`` over whole driver tables
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import sqlfrag as S
+from ..functions import chemistry as CH
+from ..functions.temperature import parse_temperature
+from ..operators import cluster as CL
+from ..operators import composition as CO
+from ..operators import explain as XP
+from ..operators import explore as EX
+from ..operators import joins as JN
+from ..operators import lookup as LK
 from ..operators import merge as M
+from ..operators import normality as NM
+from ..operators import prepare as PR
+from ..operators import shape as SH
+from ..operators import train as TR
+from ..plans import featurize as FZ
+from ..session import scratch_path
 from ..sources import fixtures as FX
-from . import sqlfrag as S
+from ..sources import tables as TB
+from ..sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,11 +73,6 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
 # Scalar functions (H1, H3, H4, H6)
 # --------------------------------------------------------------------------
 
-from ..functions import chemistry as CH  # noqa: E402
-from ..functions.temperature import parse_temperature  # noqa: E402
-from ..operators import composition as CO  # noqa: E402
-from ..sources.tables import read_table  # noqa: E402
-
 
 @register("temperature_parse", f"""
 SELECT DISTINCT {S.temperature_text()} AS temperature_text,
@@ -121,7 +133,6 @@ def q_composition_features(spark, sf_dir):
 # Best-match lookups
 # --------------------------------------------------------------------------
 
-from ..operators import lookup as LK  # noqa: E402
 
 def mp_payload() -> dict:
     return {
@@ -211,8 +222,6 @@ def q_jarvis_best_match(spark, sf_dir):
 # Exploration
 # --------------------------------------------------------------------------
 
-from ..operators import explore as EX  # noqa: E402
-
 
 def r9(e: str) -> str:
     return f"round({e}, 9)"
@@ -483,10 +492,6 @@ def q_metrics_long(spark, sf_dir):
 # Preparation and selection (J1-J6, J10, J20), shaping (B5, B6, B8, C5), joins
 # --------------------------------------------------------------------------
 
-from ..operators import prepare as PR  # noqa: E402
-from ..operators import shape as SH  # noqa: E402
-from ..operators import joins as JN  # noqa: E402
-
 
 @register("features_to_drop", "WITH " + S.FEATURE_MATRIX.strip() + """,
 stats AS (""" + " UNION ALL ".join(
@@ -643,7 +648,6 @@ def q_document_labels(spark, sf_dir):
 # Clustering
 # --------------------------------------------------------------------------
 
-from ..operators import cluster as CL  # noqa: E402
 
 CLUSTER_METRICS_SQL = f"""
 WITH pts AS (SELECT vec_id, label, embedding AS x FROM embeddings),
@@ -733,9 +737,6 @@ def knee_input(spark, sf_dir) -> DataFrame:
                     F.sum("n").over(w).alias("y"))
 
 
-from pyspark.sql import Window  # noqa: E402
-
-
 @register("knee_point", "WITH " + S.DAILY_EVENTS.strip() + """,
 pts0 AS (SELECT event_type, CAST(dayofmonth(day) AS INTEGER) AS x,
                 sum(n) OVER (PARTITION BY event_type ORDER BY day DESC
@@ -791,8 +792,6 @@ def q_pca_variance(spark, sf_dir):
 # Models (J15-J27, A10)
 # --------------------------------------------------------------------------
 
-from ..operators import train as TR  # noqa: E402
-from ..session import scratch_path  # noqa: E402
 
 TARGET = "l_extendedprice"
 
@@ -913,11 +912,6 @@ def q_feature_set_experiment(spark, sf_dir):
 # Featurisation and sources/sinks
 # --------------------------------------------------------------------------
 
-import uuid  # noqa: E402
-
-from ..plans import featurize as FZ  # noqa: E402
-from ..sources import tables as TB  # noqa: E402
-
 
 @register("featurized_table", S.featurized_sql(6))
 def q_featurized_table(spark, sf_dir):
@@ -1030,17 +1024,11 @@ def q_events_pivot(spark, sf_dir):
                          [F.col("ts"), F.col("event_id")])
 
 
-from ..operators import normality as NM  # noqa: E402
-
-
 @register("shapiro_normality")
 def q_shapiro_normality(spark, sf_dir):
     return NM.shapiro_by_feature(read_table(spark, sf_dir, "lineitem"), JB_COLS)
 
 
-from ..operators import explain as XP  # noqa: E402
-
-
 @register("shap_summary")
 def q_shap_summary(spark, sf_dir):
     """Mean |SHAP| per feature of a boosted-tree model on the test rows."""
