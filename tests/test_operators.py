@@ -228,3 +228,15 @@ def test_impute_and_clean_fills_mean_temperature(spark):
     got = {r.formula: r.temperature for r in M.impute_and_clean(df).collect()}
     # mean over every parsed temperature (100, 300, 50, 70) fills B; rows without formula/target go
     assert got == {"A": 100.0, "B": 130.0, "C": 300.0}
+
+
+def test_validate_input_counts_and_lists_offenders(spark):
+    from phonon.operators import shape as SH
+    df = spark.createDataFrame([(1, "SiO2", "152"), (2, "GaN", "231"), (3, "Si", "abc"), (4, "C", None)],
+                               "id int, formula string, space_group string")
+    summary, offenders = SH.validate_input(df, ["formula"], "space_group", key="id")
+    r = summary.first()
+    assert (r.n_rows, r.n_invalid) == (4, 2)
+    assert [o.id for o in offenders.collect()] == [2, 3]
+    with pytest.raises(ValueError):
+        SH.validate_input(df, ["formula", "temperature"])
