@@ -111,13 +111,14 @@ def model_grid(train: DataFrame, test: DataFrame, features: list[str], target: s
 
 # ---------------------------------------------------------------- random search
 
-def random_param_maps(regressor, n_draws: int, seed: int = 42) -> list[dict]:
+def random_param_maps(regressor, n_draws: int, seed: int = 42,
+                      iter_range: tuple[int, int] = (20, 100)) -> list[dict]:
     """Seeded draws over the ranges of the reference's search (boosted trees)."""
     rng = random.Random(seed)
     maps = []
     for _ in range(n_draws):
         maps.append({
-            regressor.maxIter: rng.randint(20, 100),
+            regressor.maxIter: rng.randint(*iter_range),
             regressor.stepSize: round(rng.uniform(0.01, 0.3), 4),
             regressor.maxDepth: rng.randint(3, 10),
             regressor.subsamplingRate: round(rng.uniform(0.6, 1.0), 3),
@@ -128,7 +129,8 @@ def random_param_maps(regressor, n_draws: int, seed: int = 42) -> list[dict]:
 
 
 def random_search_cv(train: DataFrame, features: list[str], target: str, key: str,
-                     n_draws: int = 100, folds: int = 10, seed: int = 42, parallelism: int = 4):
+                     n_draws: int = 100, folds: int = 10, seed: int = 42, parallelism: int = 4,
+                     iter_range: tuple[int, int] = (20, 100)):
     """Random search with k-fold CV on negative MSE of the log target.
 
     Folds come from a hash of ``key`` (stable on any cluster); the driver
@@ -137,7 +139,7 @@ def random_search_cv(train: DataFrame, features: list[str], target: str, key: st
     """
     reg = boosted_trees()
     pipe = regression_pipeline(features, reg)
-    maps = random_param_maps(reg, n_draws, seed)
+    maps = random_param_maps(reg, n_draws, seed, iter_range)
     data = with_log_label(train, target).withColumn("_fold", hash_bucket(key, folds))
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps,
                         evaluator=RegressionEvaluator(metricName="mse", labelCol="label"),

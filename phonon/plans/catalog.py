@@ -817,7 +817,7 @@ def q_model_comparison(spark, sf_dir):
 def q_cv_random_search(spark, sf_dir):
     train, _ = _split(spark, sf_dir)
     _, table = TR.random_search_cv(train, FX.MODEL_FEATURES, TARGET, "row_key",
-                                   n_draws=2, folds=3, parallelism=2)
+                                   n_draws=2, folds=3, parallelism=2, iter_range=(5, 10))
     return table.select("draw", "cv_mse")
 
 
