@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from phonon.llm import langid
+from phonon.llm import bpe, langid
 from phonon.llm.exact_dedup import exact_groups
 from phonon.llm.packing import pack
 from phonon.llm.token_store import read_store, write_store
 
 BPE_FILE = "byte_bpe_50k.json"
+RANK_FILE = "byte_bpe_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +23,14 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE))
 
 
+def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN
+    done = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    return done.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"),
+                       F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = write_store(_table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE))
     return read_store(spark, folder)
@@ -39,6 +49,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_bpe_codec": op3_bpe_codec,
     "op4_token_store": op4_token_store,
     "op9_language_id": op9_language_id,
     "op10_exact_dedup": op10_exact_dedup,

@@ -12,6 +12,7 @@ white space, or characters outside the blocks listed below, are encoded whole.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
@@ -26,22 +27,19 @@ END_ID = 0
 
 
 class ChunkEncoder:
-    """Encodes texts to little-endian unsigned 32-bit ids, with a bounded memory of chunks."""
+    """Encodes texts to little-endian unsigned 32-bit ids, with a bounded memory of chunks.
 
-    def __init__(self, path: str, limit: int = 300_000) -> None:
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+    ``library`` encodes a list of texts, each whole, to packed ids.
+    """
+
+    def __init__(self, library: Callable[[list[str]], list[bytes]], limit: int = 300_000) -> None:
+        self._library = library
         self.limit = limit
         self.first: dict[str, bytes] = {}      # chunk at the start of a line
         self.after: dict[str, bytes] = {}      # chunk after a blank
         self.words: dict[str, bytes] = {}      # what the library gave for chunks and tails
         self.feed = self._library(["\n"])[0]
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in got]
-
     def _learn(self, chunks: set[str], into: dict[str, bytes], blank: str) -> None:
         new = [c for c in chunks if c not in into]
         if not new:
@@ -96,5 +94,13 @@ _ENCODERS: dict[str, ChunkEncoder] = {}
 def encoder(path: str) -> ChunkEncoder:
     """The worker's encoder of a tokenizer file (kept between tasks)."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
+        from tokenizers import Tokenizer
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+
+        def library(texts: list[str]) -> list[bytes]:
+            got = tokenizer.encode_batch(texts, add_special_tokens=False)
+            return [np.asarray(e.ids, dtype="<u4").tobytes() for e in got]
+
+        _ENCODERS[path] = ChunkEncoder(library)
     return _ENCODERS[path]
