@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonon.llm import bpe, langid
+from phonon.llm import bpe, langid, pii, secret_scan
 from phonon.llm.exact_dedup import exact_groups
 from phonon.llm.packing import pack
 from phonon.llm.token_store import read_store, write_store
@@ -36,6 +36,21 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_store(spark, folder)
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents with surrogates; the key is a placeholder for the deployment's secret."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, key="deployment-secret")
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *[F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) as bigint)").alias(f"n_{k}")
+                    for k in ("assign", "access", "hex")],
+        F.sha2(secret_scan.joined("base"), 256).alias("base_sha256"),
+        secret_scan.joined("spans").alias("spans"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.fit_documents(docs)
@@ -51,6 +66,8 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_bpe_codec": op3_bpe_codec,
     "op4_token_store": op4_token_store,
+    "op5_pii_surrogates": op5_pii_surrogates,
+    "op6_secret_scan": op6_secret_scan,
     "op9_language_id": op9_language_id,
     "op10_exact_dedup": op10_exact_dedup,
 }
