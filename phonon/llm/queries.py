@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonon.llm import bpe, langid, pii, secret_scan
+from phonon.llm import bpe, langid, pii, secret_scan, url_filter
 from phonon.llm.exact_dedup import exact_groups
 from phonon.llm.packing import pack
 from phonon.llm.token_store import read_store, write_store
@@ -51,6 +51,35 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         secret_scan.joined("spans").alias("spans"))
 
 
+def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as captures. The table has no fetch time, so its day follows from the page id."""
+    return _table(spark, sf_dir, "pages").select(
+        "page_id", "url", F.expr("date_add(DATE '2024-01-01', cast(page_id % 366 as int))").alias("day"))
+
+
+def _list_history(captures: DataFrame) -> DataFrame:
+    """Dated list entries from what the captured URLs show on their day."""
+    host, prefix = url_filter.host_of(F.col("url")), url_filter.prefix_of(F.col("url"), 1)
+    entry = F.expr("""CASE
+        WHEN url LIKE '%casino%' THEN named_struct('scope', 'domain', 'category', 'gambling', 'action', 'add')
+        WHEN url LIKE '%utm_source=%' THEN named_struct('scope', 'host', 'category', 'tracking', 'action', 'add')
+        WHEN url LIKE '%.html' THEN named_struct('scope', 'host', 'category', 'tracking', 'action', 'remove')
+        WHEN url LIKE '%#top' THEN named_struct('scope', 'prefix', 'category', 'anchor', 'action', 'add')
+        WHEN url LIKE '%/' THEN named_struct('scope', 'prefix', 'category', 'anchor', 'action', 'remove')
+        END""")
+    rows = captures.select("day", entry.alias("e"), host.alias("host"), prefix.alias("prefix"))
+    return rows.where("e IS NOT NULL").select(
+        "e.scope", F.expr("""CASE e.scope WHEN 'domain' THEN regexp_extract(host, '([^.]+[.][^.]+[.][^.]+)$', 1)
+                             WHEN 'host' THEN host ELSE prefix END""").alias("value"),
+        "e.category", "day", "e.action")
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = _captures(spark, sf_dir)
+    return url_filter.judge(captures, _list_history(captures)).select(
+        "page_id", "day", "listed", "category", "entry_scope", "entry_value", "listed_since")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.fit_documents(docs)
@@ -68,11 +97,51 @@ QUERIES = {
     "op4_token_store": op4_token_store,
     "op5_pii_surrogates": op5_pii_surrogates,
     "op6_secret_scan": op6_secret_scan,
+    "op8_url_filter": op8_url_filter,
     "op9_language_id": op9_language_id,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLES = {
+    "op8_url_filter": r"""
+        WITH cap AS (
+          SELECT page_id, url, DATE '2024-01-01' + cast(page_id % 366 AS INTEGER) AS day,
+                 nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)), '') AS host,
+                 nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1), '') AS seg
+          FROM pages),
+        ent AS (
+          SELECT day, CASE WHEN url LIKE '%casino%' THEN 'domain'
+                           WHEN url LIKE '%utm_source=%' OR url LIKE '%.html' THEN 'host'
+                           WHEN url LIKE '%#top' OR url LIKE '%/' THEN 'prefix' END AS scope,
+                 CASE WHEN url LIKE '%casino%' OR url LIKE '%utm_source=%' THEN 1
+                      WHEN url LIKE '%.html' THEN 0 WHEN url LIKE '%#top' THEN 1 ELSE 0 END AS on_,
+                 host, seg FROM cap),
+        rul AS (
+          SELECT scope, CASE scope WHEN 'domain' THEN regexp_extract(host, '([^.]+[.][^.]+[.][^.]+)$', 1)
+                                   WHEN 'host' THEN host ELSE lower(host || '/' || seg) END AS value,
+                 CASE scope WHEN 'domain' THEN 'gambling' WHEN 'host' THEN 'tracking' ELSE 'anchor' END AS category,
+                 day, max(on_) AS on_
+          FROM ent WHERE scope IS NOT NULL GROUP BY ALL),
+        span AS (
+          SELECT scope, value, category, day AS valid_from,
+                 lead(day) OVER (PARTITION BY scope, value, category ORDER BY day) AS valid_to, on_
+          FROM rul WHERE value IS NOT NULL),
+        run AS (   -- consecutive days of additions are one interval, held since its first day
+          SELECT *, max(CASE WHEN prev IS DISTINCT FROM 1 THEN valid_from END)
+                      OVER (PARTITION BY scope, value, category ORDER BY valid_from) AS since
+          FROM (SELECT *, lag(on_) OVER (PARTITION BY scope, value, category ORDER BY valid_from) AS prev
+                FROM span) WHERE on_ = 1),
+        hit AS (
+          SELECT c.page_id, min(struct_pack(category := r.category, scope := r.scope, value := r.value,
+                                            since := r.since)) AS best
+          FROM cap c JOIN run r ON c.day >= r.valid_from AND (r.valid_to IS NULL OR c.day < r.valid_to)
+           AND ((r.scope = 'host' AND r.value = c.host)
+             OR (r.scope = 'domain' AND (c.host = r.value OR ends_with(c.host, '.' || r.value)))
+             OR (r.scope = 'prefix' AND r.value = lower(c.host || '/' || c.seg)))
+          GROUP BY c.page_id)
+        SELECT c.page_id, c.day, h.best IS NOT NULL AS listed, h.best.category AS category,
+               h.best.scope AS entry_scope, h.best.value AS entry_value, h.best.since AS listed_since
+        FROM cap c LEFT JOIN hit h USING (page_id)""",
     "op10_exact_dedup": r"""
         WITH t AS (
           SELECT doc_id, coalesce(text, '') AS text,
