@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonon.llm import bpe, langid, pii, secret_scan, url_filter
+from phonon.llm import bpe, langid, minhash, pii, secret_scan, url_filter
 from phonon.llm.exact_dedup import exact_groups
 from phonon.llm.packing import pack
 from phonon.llm.token_store import read_store, write_store
@@ -23,6 +23,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_classes(_table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN
     done = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path, pattern), path, pattern)
@@ -93,6 +97,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_bpe_codec": op3_bpe_codec,
     "op4_token_store": op4_token_store,
     "op5_pii_surrogates": op5_pii_surrogates,
