@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonon.llm import bpe, langid, minhash, pii, secret_scan, url_filter
+from phonon.llm import bpe, cap_filters, langid, minhash, pii, secret_scan, url_filter
 from phonon.llm.exact_dedup import exact_groups
 from phonon.llm.packing import pack
 from phonon.llm.token_store import read_store, write_store
@@ -55,6 +55,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         secret_scan.joined("spans").alias("spans"))
 
 
+def op7_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as captures. The table has no fetch time, so its day follows from the page id."""
     return _table(spark, sf_dir, "pages").select(
@@ -102,6 +106,7 @@ QUERIES = {
     "op4_token_store": op4_token_store,
     "op5_pii_surrogates": op5_pii_surrogates,
     "op6_secret_scan": op6_secret_scan,
+    "op7_cap_filters": op7_cap_filters,
     "op8_url_filter": op8_url_filter,
     "op9_language_id": op9_language_id,
     "op10_exact_dedup": op10_exact_dedup,
