@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phonon.llm.tokens import ChunkEncoder
+from phonon.llm.tokens import ChunkEncoder, slices
 
 MEMO = 400_000          # remembered pairs and matches; emptied when full
 
@@ -160,10 +160,9 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, enc = codec(path, pattern)
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                rows = batch.slice(a, 500)
+            for rows in slices(batch, 1):
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(enc.encode(rows.column(1).to_pylist()), pa.binary())],
+                    [rows.column(0), pa.array(enc.encode(rows.column(1)), pa.binary())],
                     names=["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("i"),
@@ -177,8 +176,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, _ = codec(path, pattern)
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                rows = batch.slice(a, 500)
+            for rows in slices(batch, 1):
                 texts = [made.decode(ids) for ids in rows.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), rows.column(1), pa.array(texts, pa.binary())],

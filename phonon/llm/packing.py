@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phonon.llm.common import store
-from phonon.llm.tokens import END_ID, encoder
+from phonon.llm.tokens import END_ID, encoder, slices
 
 CAPACITY = 2048
 ROUND_SHIFT = 32        # a bin id: task or group (high bits), round, running number
@@ -115,10 +115,9 @@ def pieces_of(tokenizer_path: str, capacity: int, window: int, with_ids: bool):
             held.clear()
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                rows = batch.slice(a, 500)
-                for ident, packed in zip(rows.column(0).to_pylist(),
-                                         enc.encode(rows.column(1).to_pylist()), strict=True):
+            for rows in slices(batch, 1):
+                for ident, packed in zip(rows.column(0).to_pylist(), enc.encode(rows.column(1)),
+                                         strict=True):
                     packed += end
                     view = memoryview(packed)
                     for k, (s, n) in enumerate(cut(len(packed) // 4, capacity)):

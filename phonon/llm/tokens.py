@@ -1,93 +1,110 @@
 """Token ids of whole texts by a published tokenizer file, at corpus speed.
 
-The tokenizers library does the encoding. What makes it fast enough is that
-its byte-level pre-tokenizer never lets a token cross certain places: before
-a single blank or around a single line break between two non-blank
-characters, and between a letter or digit and the punctuation that ends a
-chunk. Texts are cut at those places, each distinct chunk is encoded once per
-worker, and a text's ids are the chunks' ids in a row. Texts with any other
-white space, or characters outside the blocks listed below, are encoded whole.
+The tokenizer library does the encoding. What makes it fast enough is that its
+byte-level pre-tokenizer never lets a token cross certain places: before a
+single blank or around a single line feed between two other characters, and
+between a letter or digit and the punctuation that ends a chunk. Texts are cut
+at those places column-wise, each distinct chunk of a batch is looked up or
+encoded once, and a text's ids are the chunks' ids in a row. Texts with any
+other white space, or characters outside the blocks listed below, are encoded
+whole.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
-from itertools import chain
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
-
-# Cut only texts made of printable ASCII, line feeds, Latin letters with marks, general
-# punctuation dashes and quotes, Greek and Cyrillic; anything else goes to the library whole.
-_OTHER = re.compile("[^\x20-\x7e\n¡-¬®-ɏͰ-ͳΑ-Ρ"
-                    "Σ-ωЀ-ҁ‐-—‘-‟€]")
-_ODD_BLANKS = re.compile(r"  | \n|\n |\n\n|\A[ \n]|[ \n]\Z")
-_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+import pyarrow as pa
+import pyarrow.compute as pc
+
+# A text is cut only if it has none of these: a blank or line feed that does not stand alone
+# between other characters, or a character outside printable ASCII, line feed, Latin letters with
+# marks, Greek, Cyrillic and some general punctuation.
+_WHOLE = (r"  | \n|\n |\n\n|\A[ \n]|[ \n]\z|[^\x20-\x7e\n\x{a1}-\x{ac}\x{ae}-\x{24f}\x{370}-\x{373}"
+          r"\x{391}-\x{3a1}\x{3a3}-\x{3c9}\x{400}-\x{481}\x{2010}-\x{2014}\x{2018}-\x{201f}\x{20ac}]")
+# A word and the punctuation behind it are cut apart too (an apostrophe may begin a contraction).
+_TAIL = r"([\p{L}\p{N}])([!-&(-/:-@\[-`{-~]+)([ \n]|\z)"
+_BARE = "\x01"            # marks a chunk without a blank before it
 END_ID = 0
 
 
 class ChunkEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids, with a bounded memory of chunks.
 
-    ``library`` encodes a list of texts, each whole, to packed ids.
+    ``library`` encodes a list of texts, each whole, to packed ids. At most
+    ``limit`` chunks are remembered.
     """
 
-    def __init__(self, library: Callable[[list[str]], list[bytes]], limit: int = 300_000) -> None:
+    def __init__(self, library: Callable[[list[str]], list[bytes]], limit: int = 1_200_000) -> None:
         self._library = library
         self.limit = limit
-        self.first: dict[str, bytes] = {}      # chunk at the start of a line
-        self.after: dict[str, bytes] = {}      # chunk after a blank
-        self.words: dict[str, bytes] = {}      # what the library gave for chunks and tails
-        self.feed = self._library(["\n"])[0]
-
-    def _learn(self, chunks: set[str], into: dict[str, bytes], blank: str) -> None:
-        new = [c for c in chunks if c not in into]
-        if not new:
-            return
-        if len(into) > self.limit:
-            into.clear()
-            new = list(chunks)
-        if len(self.words) > self.limit:
-            self.words.clear()
-        parts = []
-        for c in new:
-            body = c.rstrip(_TAIL)
-            parts.append((blank + body, c[len(body):]) if body and body != c
-                         and body[-1].isalnum() else (blank + c, ""))
-        need = {p for pair in parts for p in pair if p and p not in self.words}
-        need = list(need)
-        self.words.update(zip(need, self._library(need), strict=True))
-        words = self.words
-        for c, (body, tail) in zip(new, parts, strict=True):
-            into[c] = words[body] + words[tail] if tail else words[body]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of every text (no special tokens) as packed bytes."""
-        out: list[bytes | None] = [None] * len(texts)
-        whole, cut = [], []
-        firsts: set[str] = set()
-        afters: set[str] = set()
-        for k, text in enumerate(texts):
-            if not text:
-                out[k] = b""
-            elif _OTHER.search(text) or _ODD_BLANKS.search(text):
-                whole.append(k)
-            else:
-                lines = [line.split(" ") for line in text.split("\n")]
-                cut.append((k, lines))
-                firsts.update(line[0] for line in lines)
-                afters.update(chain.from_iterable(line[1:] for line in lines))
-        self._learn(firsts, self.first, "")
-        self._learn(afters, self.after, " ")
-        first, after = self.first, self.after
-        for k, lines in cut:
-            out[k] = self.feed.join(
-                [first[line[0]] + b"".join([after[c] for c in line[1:]]) for line in lines])
-        for k in whole:              # one at a time: such a text can be very long
-            out[k] = self._library([texts[k]])[0]
+        self.chunks: dict[str, bytes] = {}
+        self.feed = library(["\n"])[0]
+
+    def _learn(self, new: list[str]) -> None:
+        """Chunks are as cut: bare if marked, with their line feed, or after a blank."""
+        texts = [c[1:] if c[:1] in ("\n", _BARE) else " " + c for c in new]
+        for c, ids in zip(new, self._library(texts), strict=True):
+            self.chunks[c] = self.feed + ids if c[:1] == "\n" else ids
+
+    def _cut(self, texts: pa.Array) -> list[bytes]:
+        apart = pc.replace_substring_regex(texts, _TAIL, r"\1 " + _BARE + r"\2\3")
+        marked = pc.binary_join_element_wise(_BARE, pc.replace_substring(apart, "\n", " \n"), "")
+        lists = pc.split_pattern(marked, " ")
+        coded = lists.flatten().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        got = list(map(self.chunks.get, names))
+        if None in got:
+            new = [c for c, ids in zip(names, got, strict=True) if ids is None]
+            if len(self.chunks) + len(new) > self.limit:
+                self.chunks.clear()
+                new = names
+            self._learn(new)
+            got = list(map(self.chunks.__getitem__, names))
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        ids = np.frombuffer(b"".join(got), "<u4")
+        at = coded.indices.to_numpy()
+        length = sizes[at]
+        end = np.cumsum(length)
+        source = (np.cumsum(sizes) - sizes)[at] - (end - length)
+        flat = ids[np.repeat(source, length) + np.arange(end[-1])]
+        last = end[np.cumsum(lists.value_lengths().to_numpy()) - 1].tolist()
+        return [flat[a:b].tobytes() for a, b in zip([0, *last[:-1]], last, strict=True)]
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """Ids of every text (no special tokens, no nulls) as packed bytes."""
+        if isinstance(texts, list):
+            texts = pa.array(texts, pa.string())
+        whole = pc.or_(pc.equal(pc.binary_length(texts), 0), pc.match_substring_regex(texts, _WHOLE))
+        rows = whole.to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(texts)
+        at = np.flatnonzero(~rows).tolist()
+        if at:
+            for k, ids in zip(at, self._cut(texts.filter(pc.invert(whole))), strict=True):
+                out[k] = ids
+        for k in np.flatnonzero(rows).tolist():      # one at a time: such a text can be very long
+            text = texts[k].as_py()
+            if text:
+                out[k] = self._library([text])[0]
         return out
 
 
+def slices(batch: pa.RecordBatch, column: int, most_rows: int = 4000,
+           most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with bounded rows and bytes of text (a longer text is a part of its own)."""
+    sizes = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
+    start, held = 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        if k > start and (k - start >= most_rows or held + n > most_bytes):
+            yield batch.slice(start, k - start)
+            start, held = k, 0
+        held += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
@@ -99,8 +116,8 @@ def encoder(path: str) -> ChunkEncoder:
         tokenizer.encode_special_tokens = True
 
         def library(texts: list[str]) -> list[bytes]:
-            got = tokenizer.encode_batch(texts, add_special_tokens=False)
-            return [np.asarray(e.ids, dtype="<u4").tobytes() for e in got]
+            got = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            return [array("I", e.ids).tobytes() for e in got]
 
         _ENCODERS[path] = ChunkEncoder(library)
     return _ENCODERS[path]
