@@ -2,10 +2,10 @@
 
 Layout of a store (a folder on shared storage):
 
-* ``<shard>.ids``  raw payload: little-endian unsigned 32-bit ids of the
-  shard's documents, one after the other in ascending key order, each
-  document closed by the end id.
-* ``<shard>.idx``  index, numpy arrays: the sorted keys (null keys first),
+* ``<shard>.ids``  raw payload: little-endian unsigned ids of the shard's
+  documents, one after the other in ascending key order, each document closed
+  by the end id; 16 bits an id where the vocabulary fits, else 32.
+* ``<shard>.idx``  index, numpy arrays: the id width, the sorted keys (null keys first),
   the payload offset of every record, and a minimal perfect hash from key to
   slot. A slot stores a 32-bit fingerprint of its key, the key's first record
   and its number of records (more than one only for repeated keys).
@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonon.llm.tokens import END_ID, encoder
+from phonon.llm.tokens import END_ID, encoder, slices
 from phonon.session import scratch_path
 
 MANIFEST = ("shard int, stem string, min_key long, max_key long, n_null long, n_docs long, "
@@ -96,7 +96,7 @@ class PerfectHash:
         return out
 
 
-def index_bytes(keys: np.ndarray, n_null: int, lengths: np.ndarray) -> bytes:
+def index_bytes(keys: np.ndarray, n_null: int, lengths: np.ndarray, width: int = 4) -> bytes:
     """Serialised index of a shard whose records have these keys (nulls first, as 0) and lengths."""
     offsets = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
     distinct, first, run = np.unique(keys[n_null:], return_index=True, return_counts=True)
@@ -106,7 +106,7 @@ def index_bytes(keys: np.ndarray, n_null: int, lengths: np.ndarray) -> bytes:
     records, runs = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
     prints[slot], records[slot], runs[slot] = fingerprints(distinct), first + n_null, run
     buf = io.BytesIO()
-    np.savez(buf, keys=keys, n_null=np.int64(n_null), offsets=offsets, sizes=hashed.sizes,
+    np.savez(buf, width=np.int64(width), keys=keys, n_null=np.int64(n_null), offsets=offsets, sizes=hashed.sizes,
              words=hashed.words, ranks=hashed.ranks, prints=prints, records=records, runs=runs)
     return buf.getvalue()
 
@@ -117,9 +117,17 @@ class ShardIndex:
     def __init__(self, data: bytes) -> None:
         z = np.load(io.BytesIO(data))
         self.keys, self.n_null, self.offsets = z["keys"], int(z["n_null"]), z["offsets"]
+        self.width = int(z["width"])
         self.hash = PerfectHash(z["sizes"], z["words"], z["ranks"])
         self.prints, self.records, self.runs = z["prints"], z["records"], z["runs"]
 
+    def read(self, payload: pa.NativeFile, first: int, last: int) -> tuple[int, memoryview]:
+        """(payload offset, packed 32-bit ids) of records ``first`` to ``last`` - 1."""
+        lo, hi = int(self.offsets[first]), int(self.offsets[last])
+        raw = payload.read_at((hi - lo) * self.width, lo * self.width)
+        ids = np.frombuffer(raw, f"<u{self.width}").astype("<u4", copy=False)
+        return lo, memoryview(ids.tobytes())
+
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first record, number of records) of each key; -1 and 0 where it is not stored."""
         keys = np.asarray(keys, np.int64)
@@ -135,7 +143,7 @@ def _open(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder)
 
 
-def _write_shard(folder: str, tokenizer_path: str):
+def _write_shard(folder: str, tokenizer_path: str, width: int):
     end = np.asarray([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,20 +157,20 @@ def _write_shard(folder: str, tokenizer_path: str):
         for batch in batches:
             if out is None:
                 out = store.open_output_stream(f"{root}/{stem}.ids")
-            for a in range(0, batch.num_rows, 500):
-                rows = batch.slice(a, 500)
+            for rows in slices(batch, 1):
                 col = rows.column(0)
                 n_null += col.null_count
                 keys.append(col.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-                packed = [p + end for p in enc.encode(rows.column(1).to_pylist())]
+                packed = [p + end for p in enc.encode(rows.column(1))]
                 lengths.extend(len(p) // 4 for p in packed)
-                out.write(b"".join(packed))
+                ids = np.frombuffer(b"".join(packed), "<u4")
+                out.write(ids.astype(f"<u{width}", copy=False).tobytes())
         if out is None:
             return
         out.close()
         every = np.concatenate(keys)
         with store.open_output_stream(f"{root}/{stem}.idx") as f:
-            f.write(index_bytes(every, n_null, np.asarray(lengths, np.int64)))
+            f.write(index_bytes(every, n_null, np.asarray(lengths, np.int64), width))
         real = every[n_null:]
         yield pa.RecordBatch.from_pydict({
             "shard": pa.array([shard], pa.int32()), "stem": [stem],
@@ -177,14 +185,16 @@ def _write_shard(folder: str, tokenizer_path: str):
 def write_store(docs: DataFrame, tokenizer_path: str, folder: str | None = None,
                 id_col: str = "doc_id", text_col: str = "text") -> str:
     """Encode and write ``docs`` in ascending key order; returns the store's folder."""
+    from tokenizers import Tokenizer
     spark = docs.sparkSession
+    width = 2 if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 else 4
     folder = folder or scratch_path(spark, f"llm-token-store-{uuid.uuid4().hex}")
     store, root = _open(folder)
     store.create_dir(root, recursive=True)
     rows = docs.select(F.col(id_col).cast("long").alias("i"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     shards = (rows.repartitionByRange("i").sortWithinPartitions("i", F.xxhash64("t"))
-              .mapInArrow(_write_shard(folder, tokenizer_path), MANIFEST))
+              .mapInArrow(_write_shard(folder, tokenizer_path, width), MANIFEST))
     shards.write.parquet(f"{folder}/manifest")
     return folder
 
@@ -230,8 +240,7 @@ def read_store(spark: SparkSession, folder: str, with_ids: bool = False,
                     while a < n:
                         b = int(np.searchsorted(offsets, offsets[a] + read_bytes // 4, "right")) - 1
                         b = min(max(b, a + 1), n)
-                        lo = int(offsets[a])
-                        view = memoryview(f.read_at((int(offsets[b]) - lo) * 4, lo * 4))
+                        lo, view = index.read(f, a, b)
                         parts = [view[4 * (int(offsets[k]) - lo):4 * (int(offsets[k + 1]) - lo)]
                                  for k in range(a, b)]
                         mask = np.arange(a, b) < index.n_null
@@ -278,9 +287,8 @@ def lookup(keys: DataFrame, folder: str, key_col: str = "doc_id") -> DataFrame:
                     for key, r, c in zip(keys_here.tolist(), record.tolist(), runs.tolist(),
                                          strict=True):
                         for k in range(r, r + c):
-                            lo, hi = int(index.offsets[k]), int(index.offsets[k + 1])
                             got_keys.append(key)
-                            got_ids.append(f.read_at((hi - lo) * 4, lo * 4))
+                            got_ids.append(bytes(index.read(f, k, k + 1)[1]))
             yield pa.RecordBatch.from_pydict({"key": pa.array(got_keys, pa.int64()),
                                               "ids": pa.array(got_ids, pa.binary())})
 
