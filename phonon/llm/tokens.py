@@ -37,7 +37,7 @@ class ChunkEncoder:
     ``limit`` chunks are remembered.
     """
 
-    def __init__(self, library: Callable[[list[str]], list[bytes]], limit: int = 1_200_000) -> None:
+    def __init__(self, library: Callable[[list[str]], list[bytes]], limit: int = 600_000) -> None:
         self._library = library
         self.limit = limit
         self.chunks: dict[str, bytes] = {}
@@ -92,7 +92,7 @@ class ChunkEncoder:
 
 
 def slices(batch: pa.RecordBatch, column: int, most_rows: int = 4000,
-           most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+           most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with bounded rows and bytes of text (a longer text is a part of its own)."""
     sizes = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
     start, held = 0, 0
