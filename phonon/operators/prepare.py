@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .explore import _corr_exprs, column_stats, null_columns, numeric_columns
+from .explore import column_stats, correlation_pairs, null_columns, numeric_columns
 from .quantiles import exact_quantiles
 
 # Non-feature columns excluded from the numeric feature list.
@@ -58,11 +58,13 @@ def impute_median(df: DataFrame, cols: list[str], fallback: float = 0.0) -> Data
 # ---------------------------------------------------------------- J1
 
 def prepare_for_modeling(df: DataFrame, target: str, exclude: list[str] = NON_FEATURES,
-                         carry: list[str] = ()) -> tuple[DataFrame, list[str]]:
+                         carry: list[str] = (), impute: bool = True) -> tuple[DataFrame, list[str]]:
     """Drop rows without target; numeric features minus non-features;
     all-NULL feature columns dropped; remaining NULLs mean-imputed.
 
     Returns (frame with ``carry`` columns, features and target; feature names).
+    Training uses ``impute=False``: the saved pipeline imputes, with values
+    fitted on the training rows only.
     """
     rows = df.dropna(subset=[target])
     feats = numeric_columns(rows, exclude=[target] + list(exclude) + list(carry))
@@ -70,7 +72,7 @@ def prepare_for_modeling(df: DataFrame, target: str, exclude: list[str] = NON_FE
     keep = [r.feature for r in info if not r.all_null]
     with_nulls = [r.feature for r in info if not r.all_null and r.null_count > 0]
     out = rows.select(*carry, *[F.col(f"`{c}`").cast("double").alias(c) for c in keep], target)
-    if with_nulls:
+    if with_nulls and impute:
         out = impute_mean(out, with_nulls)
     return out, keep
 
@@ -137,17 +139,18 @@ def _yeo_johnson_col(x: Column, lam: Column) -> Column:
     return F.when(x >= 0, pos).otherwise(neg)
 
 
-def fit_yeo_johnson(df: DataFrame, cols: list[str], lo: float = -2.0, hi: float = 2.0,
-                    points: int = 9, rounds: int = 6) -> dict[str, float]:
-    """Maximum-likelihood lambda per column by grid refinement.
+def fit_yeo_johnson(df: DataFrame, cols: list[str], start: float = 1.0, step: float = 0.5,
+                    points: int = 9, tolerance: float = 1e-3, max_rounds: int = 60) -> dict[str, float]:
+    """Maximum-likelihood lambda per column by a grid that moves, then narrows.
 
     The columns are unpivoted to (feature, value); each round is ONE
     aggregate grouped by feature that evaluates ``points`` lambdas per
-    feature (joined in as columns from a d-row parameter table) as plain
-    sums of psi and psi^2. The log-likelihood is
-    -n/2 log(var) + (lambda - 1) sum(sign(x) log1p|x|); the grid then
-    narrows around the best lambda (step / (points - 1) * 2 per round), so
-    the cost is ``rounds`` passes whatever the number of columns.
+    feature (joined in as columns from a d-row parameter table). The
+    log-likelihood is -n/2 log(var_pop(psi)) + (lambda - 1) sum(sign(x)
+    log1p|x|). While the best lambda lies on the edge of its grid, the grid
+    moves there and widens; once it lies inside, the grid narrows around it.
+    There is no bound on lambda. The cost is one pass a round, whatever the
+    number of columns.
     """
     from .explore import to_long
     spark = df.sparkSession
@@ -155,37 +158,34 @@ def fit_yeo_johnson(df: DataFrame, cols: list[str], lo: float = -2.0, hi: float
     base = {r.feature: (r.n, r.t or 0.0) for r in long.groupBy("feature").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.signum("value") * F.log1p(F.abs("value"))).alias("t")).collect()}
-    step = (hi - lo) / (points - 1)
-    grids = {c: [lo + j * step for j in range(points)] for c in cols if c in base}
-    best = {c: 1.0 for c in cols}
-    for _ in range(rounds):
-        if not grids:
+    centre = {c: start for c in cols}
+    steps = {c: step for c in cols if c in base}
+    half = points // 2
+    for _ in range(max_rounds):
+        if not steps:
             break
+        grids = {c: [centre[c] + (j - half) * h for j in range(points)] for c, h in steps.items()}
         params = spark.createDataFrame([(c, *g) for c, g in grids.items()],
                                        "feature string, " + ", ".join(f"l{j} double" for j in range(points)))
         joined = long.join(F.broadcast(params), "feature")  # one row per column: bounded
-        aggs = []
-        for j in range(points):
-            psi = _yeo_johnson_col(F.col("value"), F.col(f"l{j}"))
-            aggs += [F.sum(psi).alias(f"s{j}"), F.sum(psi * psi).alias(f"q{j}")]
-        rows = joined.groupBy("feature").agg(*aggs).collect()
+        rows = joined.groupBy("feature").agg(*[
+            F.var_pop(_yeo_johnson_col(F.col("value"), F.col(f"l{j}"))).alias(f"v{j}")
+            for j in range(points)]).collect()
         for r in rows:
             c = r.feature
             n, t = base[c]
-            scores = []
-            for j, lam in enumerate(grids[c]):
-                s1, s2 = r[f"s{j}"], r[f"q{j}"]
-                if s1 is None or s2 is None or not n:
-                    continue
-                var = s2 / n - (s1 / n) ** 2
-                if not math.isfinite(var) or var <= 0:
-                    continue
-                scores.append((-(n / 2.0) * math.log(var) + (lam - 1) * t, -abs(lam - 1), lam))
-            if scores:
-                best[c] = max(scores)[2]
-        step = 2 * step / (points - 1)
-        grids = {c: [best[c] - (points - 1) / 2 * step + j * step for j in range(points)] for c in grids}
-    return best
+            scores = [(-(n / 2.0) * math.log(r[f"v{j}"]) + (lam - 1) * t, -abs(lam - 1), j)
+                      for j, lam in enumerate(grids[c])
+                      if r[f"v{j}"] is not None and math.isfinite(r[f"v{j}"]) and r[f"v{j}"] > 0]
+            if not scores:                       # constant or empty: nothing to fit
+                del steps[c]
+                continue
+            j = max(scores)[2]
+            centre[c] = grids[c][j]
+            steps[c] *= 2.0 if j in (0, points - 1) else 2.0 / (points - 1)
+            if steps[c] < tolerance:
+                del steps[c]
+    return centre
 
 
 def power_transform(train: DataFrame, test: DataFrame, cols: list[str]):
@@ -199,9 +199,12 @@ def power_transform(train: DataFrame, test: DataFrame, cols: list[str]):
 
 # ---------------------------------------------------------------- one-hot
 
-def fit_categories(df: DataFrame, col: str) -> list:
-    """Sorted distinct non-null values (a category list, bounded by its cardinality)."""
-    return [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).collect()]
+def fit_categories(df: DataFrame, col: str, max_categories: int = 10_000) -> list:
+    """Sorted distinct non-null values; more than ``max_categories`` is an error."""
+    rows = df.select(col).where(F.col(col).isNotNull()).distinct().limit(max_categories + 1).collect()
+    if len(rows) > max_categories:
+        raise ValueError(f"{col} has more than {max_categories} categories")
+    return sorted(r[0] for r in rows)
 
 
 def one_hot(df: DataFrame, col: str, categories: list, prefix: str = "cluster") -> DataFrame:
@@ -213,8 +216,12 @@ def one_hot(df: DataFrame, col: str, categories: list, prefix: str = "cluster")
 
 # ---------------------------------------------------------------- feature selection
 
-def features_to_drop(df: DataFrame, cols: list[str], missing_thresh: float = 0.3,
-                     min_std: float = 1e-5, corr_thresh: float = 0.85) -> DataFrame:
+# Thresholds of the feature selection.
+MISSING_THRESH, MIN_STD, CORR_THRESH = 0.3, 1e-5, 0.85
+
+
+def features_to_drop(df: DataFrame, cols: list[str], missing_thresh: float = MISSING_THRESH,
+                     min_std: float = MIN_STD, corr_thresh: float = CORR_THRESH) -> DataFrame:
     """J20 decision table: distinct features to drop, as a DataFrame.
 
     (1) missing fraction > missing_thresh; (2) sample std < min_std (the
@@ -229,12 +236,8 @@ def features_to_drop(df: DataFrame, cols: list[str], missing_thresh: float = 0.3
               if (st[c]["missing"] is not None and st[c]["missing"] > missing_thresh)
               or (st[c]["std"] is not None and st[c]["std"] < min_std)]
     keep = [c for c in cols if c not in drop12]
-    pairs = [(a, b) for i, a in enumerate(keep) for b in keep[i + 1:]]
-    high = []
-    if pairs:
-        row = df.agg(*[e.alias(f"c{i}") for i, e in enumerate(_corr_exprs(df, pairs, st))]).first()
-        high = [b for i, (a, b) in enumerate(pairs)
-                if row[f"c{i}"] is not None and abs(row[f"c{i}"]) > corr_thresh]
+    strong = correlation_pairs(df, keep, st).where(F.abs("corr") > corr_thresh)
+    high = [r[0] for r in strong.select("feature_b").distinct().collect()]   # names of columns
     drop = sorted(set(drop12) | set(high))
     return df.sparkSession.createDataFrame([(f,) for f in drop], "feature string")
 

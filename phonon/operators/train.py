@@ -12,7 +12,7 @@ import random
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, Window
@@ -24,8 +24,9 @@ from .prepare import hash_bucket
 
 # ---------------------------------------------------------------- trainers
 
-def random_forest(n_trees: int = 100, max_depth: int = 10, seed: int = 42):
-    """100 trees, every feature considered at each split."""
+def random_forest(n_trees: int = 100, max_depth: int = 30, seed: int = 42):
+    """100 trees, every feature considered at each split. The reference's
+    trees have no depth bound; 30 is the deepest Spark grows."""
     return RandomForestRegressor(numTrees=n_trees, maxDepth=max_depth, featureSubsetStrategy="all",
                                  seed=seed, featuresCol="features", labelCol="label")
 
@@ -47,17 +48,35 @@ def huber_linear():
     return LinearRegression(loss="huber", featuresCol="features", labelCol="label")
 
 
-def default_trainers(scale: float = 1.0) -> dict:
-    n = max(1, int(100 * scale))
-    return {"random_forest": lambda: random_forest(n),
-            "gradient_boosting": lambda: gradient_boosting(n),
-            "boosted_trees": lambda: boosted_trees(n),
-            "huber_linear": huber_linear}
+def default_trainers() -> dict:
+    return {"random_forest": random_forest, "gradient_boosting": gradient_boosting,
+            "boosted_trees": boosted_trees, "huber_linear": huber_linear}
+
+
+def median_imputer(features: list[str]) -> Imputer:
+    """Missing values (NULL or NaN) -> the column's median over the rows it is
+    fitted on. It writes beside the inputs, which stay as they came."""
+    return Imputer(strategy="median", inputCols=features,
+                   outputCols=[f"_imputed_{i}" for i in range(len(features))])
+
+
+def bounded_rows(df: DataFrame, key: str, most: int) -> DataFrame:
+    """About ``most`` rows at most, chosen by a hash of ``key``: the stated
+    bound on the labelled rows that a fit takes (its statistics, scoring and
+    tables cover all rows)."""
+    n = df.count()
+    if n <= most:
+        return df
+    return df.where(F.pmod(F.xxhash64(F.lit("fit"), F.col(key)), F.lit(1 << 30)) < F.lit(
+        int(most / n * (1 << 30))))
 
 
 def regression_pipeline(features: list[str], regressor, scale: bool = True) -> Pipeline:
-    stages = [VectorAssembler(inputCols=features, outputCol="_raw" if scale else "features",
-                              handleInvalid="keep")]
+    """Impute (median of the training rows), assemble, scale, regress: one fitted
+    pipeline, saved and applied as a whole."""
+    imputer = median_imputer(features)
+    stages = [imputer, VectorAssembler(inputCols=imputer.getOutputCols(),
+                                       outputCol="_raw" if scale else "features")]
     if scale:
         stages.append(StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True))
     return Pipeline(stages=stages + [regressor])
@@ -103,7 +122,11 @@ def model_grid(train: DataFrame, test: DataFrame, features: list[str], target: s
         tr, te = tf(train, test)
         for name, make in trainers.items():
             _, metrics, _ = train_and_evaluate(make(), tr, te, features, target)
-            results[f"{name}|{tname}"] = metrics.cache()
+            # two rows of numbers per model; the cached frames can then go
+            results[f"{name}|{tname}"] = train.sparkSession.createDataFrame(
+                metrics.collect(), metrics.schema)
+    train.unpersist()
+    test.unpersist()
     table = compare_models(results)
     parts = F.split("model", r"\|")
     return table.withColumns({"model": parts[0], "preprocessing": parts[1]})
@@ -112,15 +135,19 @@ def model_grid(train: DataFrame, test: DataFrame, features: list[str], target: s
 # ---------------------------------------------------------------- random search
 
 def random_param_maps(regressor, n_draws: int, seed: int = 42,
-                      iter_range: tuple[int, int] = (20, 100)) -> list[dict]:
-    """Seeded draws over the ranges of the reference's search (boosted trees)."""
+                      iter_range: tuple[int, int] = (100, 999)) -> list[dict]:
+    """Seeded draws over the ranges of the reference's search (boosted trees).
+
+    Fixed values: rounds 100-999, step 0.01-0.31, depth 3-14, row and feature
+    shares 0.6-1.0, least gain 0-0.5.
+    """
     rng = random.Random(seed)
     maps = []
     for _ in range(n_draws):
         maps.append({
             regressor.maxIter: rng.randint(*iter_range),
-            regressor.stepSize: round(rng.uniform(0.01, 0.3), 4),
-            regressor.maxDepth: rng.randint(3, 10),
+            regressor.stepSize: round(rng.uniform(0.01, 0.31), 4),
+            regressor.maxDepth: rng.randint(3, 14),
             regressor.subsamplingRate: round(rng.uniform(0.6, 1.0), 3),
             regressor.featureSubsetStrategy: str(round(rng.uniform(0.6, 1.0), 2)),
             regressor.minInfoGain: round(rng.uniform(0.0, 0.5), 3),
@@ -130,7 +157,7 @@ def random_param_maps(regressor, n_draws: int, seed: int = 42,
 
 def random_search_cv(train: DataFrame, features: list[str], target: str, key: str,
                      n_draws: int = 100, folds: int = 10, seed: int = 42, parallelism: int = 4,
-                     iter_range: tuple[int, int] = (20, 100)):
+                     iter_range: tuple[int, int] = (100, 999)):
     """Random search with k-fold CV on negative MSE of the log target.
 
     Folds come from a hash of ``key`` (stable on any cluster); the driver
@@ -155,8 +182,9 @@ def random_search_cv(train: DataFrame, features: list[str], target: str, key: st
 
 # ---------------------------------------------------------------- importance
 
-def feature_importance(model: PipelineModel, features: list[str], top: int | None = 10) -> DataFrame:
-    """The tree model's impurity importances, top ``top`` (name breaks ties)."""
+def feature_importance(model: PipelineModel, features: list[str], top: int | None = None) -> DataFrame:
+    """The tree model's impurity importances, largest first (name breaks
+    ties); only the ``top`` first if given."""
     from pyspark.sql import SparkSession
     imp = model.stages[-1].featureImportances.toArray()
     df = SparkSession.getActiveSession().createDataFrame([(f, float(v)) for f, v in zip(features, imp)],
@@ -165,23 +193,42 @@ def feature_importance(model: PipelineModel, features: list[str], top: int | Non
     return df.limit(top) if top else df
 
 
-def permute_column(df: DataFrame, col: str, key: str, seed: int, group_rows: int = 1_000_000) -> DataFrame:
-    """Randomly permute one column across rows.
+def global_rank(df: DataFrame, key: str, seed: int, name: str, share_rows: int = 200_000) -> DataFrame:
+    """Position of every row in the order of a seeded hash of ``key``, from 0.
 
-    Rows fall into random buckets of about ``group_rows`` rows (by a seeded
-    hash of ``key``); inside a bucket, receivers ranked by one hash take the
-    value of donors ranked by another. Windows cover one bucket only, so no
-    task ever holds more than about ``group_rows`` rows.
+    The hash is uniform, so its high bits cut the order into even shares.
+    Rows are ranked inside their share and shifted by the counts of the
+    shares before it (one row per share, at most a few thousand). The ranks
+    do not depend on how many shares are taken.
     """
-    n = df.count()
-    buckets = max(1, math.ceil(n / group_rows))
-    b = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(buckets))
-    base = df.withColumn("_b", b)
-    recv = base.withColumn("_r", F.row_number().over(
-        Window.partitionBy("_b").orderBy(F.xxhash64(F.col(key), F.lit(seed + 1)), F.col(key)))).drop(col)
-    donor = base.select("_b", F.col(col), F.row_number().over(
-        Window.partitionBy("_b").orderBy(F.xxhash64(F.col(key), F.lit(seed + 2)), F.col(key))).alias("_r"))
-    return recv.join(donor, on=["_b", "_r"], how="inner").drop("_b", "_r")
+    h = F.xxhash64(F.col(key), F.lit(seed))
+    bits = min(12, max(0, math.ceil(math.log2(max(1, df.count()) / share_rows))) if share_rows else 0)
+    # signed hashes: flipping the sign bit gives their unsigned order
+    share = (F.shiftrightunsigned(h.bitwiseXOR(F.lit(-(1 << 63))), 64 - bits).cast("int")
+             if bits else F.lit(0))
+    cut = df.withColumns({"_h": h, "_share": share})
+    counts = {r["_share"]: r["n"] for r in cut.groupBy("_share").agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, at = {}, 0
+    for k in sorted(counts):
+        before[k], at = at, at + counts[k]
+    shift = F.lit(0)
+    if len(before) > 1:
+        shift = F.element_at(F.map_from_arrays(F.array(*[F.lit(k) for k in before]),
+                                               F.array(*[F.lit(v) for v in before.values()])), F.col("_share"))
+    within = F.row_number().over(Window.partitionBy("_share").orderBy("_h", key)) - 1
+    return cut.withColumn(name, (within + shift).cast("long")).drop("_h", "_share")
+
+
+def permute_column(df: DataFrame, col: str, key: str, seed: int, share_rows: int = 200_000) -> DataFrame:
+    """Randomly permute one column over all rows.
+
+    Receivers and donors are ranked by two seeded hash orders of ``key``, and
+    the row at a rank takes the value at the same rank of the other order:
+    one permutation of the whole column at every size.
+    """
+    receivers = global_rank(df, key, seed + 1, "_r", share_rows).drop(col)
+    donors = global_rank(df.select(key, col), key, seed + 2, "_r", share_rows).select("_r", col)
+    return receivers.join(donors, "_r").drop("_r")
 
 
 def permutation_importance(model: PipelineModel, test: DataFrame, features: list[str], target: str,
@@ -238,11 +285,13 @@ def load_model(path: str) -> PipelineModel:
 def score_batch(model: PipelineModel, df: DataFrame, features: list[str],
                 out_col: str = "predicted_thermal_conductivity_W_mK", raw_target: bool = False,
                 digits: int = 3) -> DataFrame:
-    """Align features (B8), predict, bring back from log1p (B14), round
-    half-to-even (H7). Input columns are carried through."""
+    """Align features (B8), impute (the model's medians), predict, bring
+    back from log1p (B14), round half-to-even (H7). Input columns are carried
+    through as they came; a missing feature column is 0, a missing value in a
+    present one is the training median."""
     from .explore import decide_scale
     keep = [c for c in df.columns if c not in features]
-    aligned = df.select(*keep, *[F.col(f"`{c}`").cast("double") if c in df.columns
+    aligned = df.select(*keep, *[F.col(f"`{c}`").cast("double").alias(c) if c in df.columns
                                  else F.lit(0.0).alias(c) for c in features])
     pred = model.transform(aligned)
     pred = decide_scale(pred, "prediction", out_col, raw_target=raw_target)

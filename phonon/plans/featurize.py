@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.chemistry import ELEMENT_SYMBOLS, classify_material, classify_spacegroup, explode_composition
+from ..functions.chemistry import classify_material, classify_spacegroup, explode_composition
 from ..operators import composition as CO
 from ..operators import lookup as LK
 from ..operators import merge as M
@@ -40,11 +41,19 @@ def structure_density(lattice: Column, mass: Column) -> Column:
     return F.when(ok & (vol > 0), mass / vol * AMU_G_PER_CM3)
 
 
-def element_table_by_symbol(table: DataFrame, key: str, prop_cols: list[str]) -> DataFrame:
-    """Attach element symbols to a numbered property table (key i -> i-th symbol)."""
-    arr = F.array(*[F.lit(s) for s in ELEMENT_SYMBOLS])
-    return (table.where((F.col(key) >= 0) & (F.col(key) < len(ELEMENT_SYMBOLS)))
-            .select(F.element_at(arr, (F.col(key) + 1).cast("int")).alias("element"), *prop_cols))
+def structure_densities(atoms: DataFrame, lattices: DataFrame, key: str, element_mass: DataFrame,
+                        lattice_col: str = "lattice", element_col: str = "element",
+                        mass_col: str = "mass") -> DataFrame:
+    """I4 over atoms: (key, density) from one row per site and one lattice per key.
+
+    Site masses are summed per structure (partial aggregate); a structure with
+    a site of unknown mass, or without a usable lattice, has a NULL density.
+    """
+    sites = atoms.join(element_mass.select(element_col, F.col(mass_col).alias("_m")), element_col, "left")
+    mass = sites.groupBy(key).agg(
+        F.when(F.count("_m") == F.count(F.lit(1)), F.sum("_m")).alias("_mass"))
+    return lattices.join(mass, key, "left").select(
+        key, structure_density(F.col(lattice_col), F.col("_mass")).alias("density"))
 
 
 def featurize(df: DataFrame, element_props: DataFrame, stat_props: list[str],
@@ -111,10 +120,12 @@ def run_pipeline(features: DataFrame, target: str, key: str, model_path: str | N
                  trainer=None) -> tuple:
     """J30 (entry 2): prepare, split, fit, evaluate, optionally save.
 
-    Returns (PipelineModel, metrics DataFrame, feature names).
+    Missing values are left to the pipeline's imputer, which is fitted on the
+    training rows and saved with the model. Returns (PipelineModel, metrics
+    DataFrame, feature names).
     """
     data, cols = PR.prepare_for_modeling(features, target, exclude=PR.NON_FEATURES + [key],
-                                         carry=[key])
+                                         carry=[key], impute=False)
     train, test = PR.split_train_test(data, key)
     model, metrics, _ = TR.train_and_evaluate(trainer or TR.boosted_trees(), train, test, cols, target)
     if model_path:
@@ -125,14 +136,23 @@ def run_pipeline(features: DataFrame, target: str, key: str, model_path: str | N
 def score_csv(spark: SparkSession, model_path: str, csv_path: str, schema: str, features: list[str],
               out_path: str, featurize_fn=None, required: list[str] = ("formula", "temperature"),
               raw_target: bool = False) -> DataFrame:
-    """J26 (script): read CSV -> validate (C5) -> featurise -> align -> predict
-    -> inverse log -> round -> CSV."""
+    """J26 (script): read CSV -> validate (C5) -> featurise -> align -> impute
+    (the model's medians) -> predict -> inverse log -> round -> CSV.
+
+    The space group is read as text and checked before it becomes a number,
+    so that text in it is an error and not a missing value.
+    """
     from ..sources.tables import read_csv, write_csv
-    df = read_csv(spark, csv_path, schema)
-    summary, offenders = SH.validate_input(df, list(required), SH.first_present(df))
+    typed = T.StructType.fromDDL(schema)
+    names = [f.name for f in typed.fields]
+    group = next((a for a in SH.SPACE_GROUP_ALIASES if a in [n.strip() for n in names]), None)
+    fields = [T.StructField(f.name, T.StringType() if f.name.strip() == group else f.dataType)
+              for f in typed.fields]
+    df = SH.strip_column_names(read_csv(spark, csv_path, T.StructType(fields)))
+    summary, offenders = SH.validate_input(df, list(required), group)
     bad = summary.first().n_invalid or 0
     if bad:
-        raise ValueError(f"{bad} rows have an invalid space group, e.g. {offenders.collect()}")
+        raise ValueError(f"{bad} rows have an invalid space group, e.g. {offenders.take(5)}")
     if featurize_fn is not None:
         df = featurize_fn(df)
     scored = TR.score_batch(TR.load_model(model_path), df, features, raw_target=raw_target)

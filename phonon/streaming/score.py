@@ -20,7 +20,7 @@ def scored_stream(stream: DataFrame, model: PipelineModel, features: list[str],
                   digits: int = 3) -> DataFrame:
     """Row-wise: align features (missing -> 0), predict, inverse log1p, round."""
     keep = [c for c in stream.columns if c not in features]
-    aligned = stream.select(*keep, *[F.col(f"`{c}`").cast("double") if c in stream.columns
+    aligned = stream.select(*keep, *[F.col(f"`{c}`").cast("double").alias(c) if c in stream.columns
                                      else F.lit(0.0).alias(c) for c in features])
     pred = model.transform(aligned)
     value = F.col("prediction") if raw_target else F.expm1("prediction")

@@ -16,26 +16,50 @@ from phonon.sources import fixtures as FX
 from phonon.streaming import score as ST
 
 
-def test_shapiro_known_small_case():
-    w, p = NM.shapiro_wilk(np.array([1.0, 2.0, 4.0]))
-    assert math.isclose(w, 0.9642857, rel_tol=1e-6) and math.isclose(p, 0.6368, abs_tol=1e-3)
+def shapiro(spark, values, parts=3):
+    df = spark.createDataFrame([(float(v),) for v in values], "x double").repartition(parts)
+    return NM.shapiro_by_feature(df, ["x"]).first()
 
 
-def test_shapiro_separates_normal_from_exponential():
+def test_shapiro_known_small_case(spark):
+    r = shapiro(spark, [1.0, 2.0, 4.0])
+    assert math.isclose(r.w, 0.9642857, rel_tol=1e-6) and math.isclose(r.p_value, 0.6368, abs_tol=1e-3)
+
+
+def test_shapiro_published_example(spark):
+    """The eleven weights of the test's original paper: W = 0.79."""
+    r = shapiro(spark, [148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236])
+    assert math.isclose(r.w, 0.79, abs_tol=0.003) and r.p_value < 0.01 and not r.is_normal
+
+
+def test_shapiro_separates_normal_from_exponential(spark):
     rng = np.random.default_rng(42)
-    _, p_norm = NM.shapiro_wilk(rng.normal(size=1000))
-    _, p_exp = NM.shapiro_wilk(rng.exponential(size=1000))
-    assert p_norm > 0.01 and p_exp < 1e-6
+    assert shapiro(spark, rng.normal(size=1000)).p_value > 0.01
+    assert shapiro(spark, rng.exponential(size=1000)).p_value < 1e-6
 
 
-def test_shapiro_by_feature_bounds_sample(spark):
+def test_shapiro_takes_all_rows_and_ignores_the_partitioning(spark):
     rng = np.random.default_rng(1)
-    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(rng.normal(size=7000),
-                                                                    rng.exponential(size=7000))],
-                               "a double, b double")
-    got = {r.feature: r for r in NM.shapiro_by_feature(df, ["a", "b"]).collect()}
-    assert got["a"].n == 5000 and got["b"].n == 5000
-    assert got["a"].p_value > 0.001 and not got["b"].is_normal
+    rows = [(float(a), float(b), None if i % 3 else 1.0, float(i % 4))
+            for i, (a, b) in enumerate(zip(rng.normal(size=7000), rng.exponential(size=7000)))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    got = [{r.feature: r for r in NM.shapiro_by_feature(df.repartition(n), list("abcd")).collect()}
+           for n in (1, 7)]
+    for f in "abd":
+        assert got[0][f].n == 7000 and got[0][f].p_value is None
+        assert math.isclose(got[0][f].w, got[1][f].w, rel_tol=1e-9)
+    # with this many values W is near the squared correlation with the normal scores
+    for f, x in (("a", [r[0] for r in rows]), ("d", [r[3] for r in rows])):
+        m = np.asarray([NM._N.inv_cdf((i - 0.375) / 7000.25) for i in range(1, 7001)])
+        assert math.isclose(got[0][f].w, np.corrcoef(m, np.sort(x))[0, 1] ** 2, abs_tol=2e-3)
+    assert got[0]["c"].n == 2334 and math.isnan(got[0]["c"].w)
+
+
+def test_normal_quantile(spark):
+    ps = [1e-9, 1e-4, 0.02, 0.3, 0.5, 0.7, 0.98, 1 - 1e-6]
+    df = spark.createDataFrame([(p,) for p in ps], "p double")
+    for r in df.select("p", NM.normal_quantile(F.col("p")).alias("z")).collect():
+        assert math.isclose(r.z, NM._N.inv_cdf(r.p), rel_tol=1e-8, abs_tol=1e-8)
 
 
 def test_model_roundtrip_and_stream_scoring(spark):
@@ -72,9 +96,12 @@ def test_permutation_importance_finds_signal(spark):
 
 def test_permute_column_is_a_permutation(spark):
     df = spark.range(5000).select(F.col("id").cast("string").alias("k"), (F.col("id") * 3).alias("v"))
-    p = TR.permute_column(df, "v", "k", seed=7, group_rows=1000)
+    p = TR.permute_column(df, "v", "k", seed=7)
     assert sorted(r.v for r in p.collect()) == sorted(r.v for r in df.collect())
     assert p.join(df.withColumnRenamed("v", "v0"), "k").where("v <> v0").count() > 4000
+    # the same permutation, however the work is cut
+    other = TR.permute_column(df, "v", "k", seed=7, share_rows=100)
+    assert sorted(map(tuple, p.select("k", "v").collect())) == sorted(map(tuple, other.select("k", "v").collect()))
 
 
 @pytest.mark.parametrize("kind", ["gbt", "rf"])
@@ -99,10 +126,16 @@ def test_cli_train_then_score(spark):
     from phonon.plans import catalog as C
     from phonon.plans.cli import main
     base = tempfile.mkdtemp(prefix="phonon-cli-")
-    C.q_featurized_table(spark, SF_SMALL).write.parquet(os.path.join(base, "features"))
+    # a target that depends on the composition
+    feats = C.q_featurized_table(spark, SF_SMALL).where("MagpieData_mean_size IS NOT NULL").withColumn(
+        "temperature", F.col("MagpieData_mean_size") * 10 + F.col("MagpieData_range_price") / 1e4)
+    feats.write.parquet(os.path.join(base, "features"))
+    FX.symbol_properties(spark, SF_SMALL).write.parquet(os.path.join(base, "elements"))
     main(["train", "--features-table", os.path.join(base, "features"), "--target", "temperature",
-          "--key", "p_partkey", "--model", os.path.join(base, "model"), "--iterations", "5"])
-    rows = spark.createDataFrame([("SiO2", 300.0, 152), ("GaN", 500.0, 186)],
+          "--key", "p_partkey", "--model", os.path.join(base, "model"), "--iterations", "20",
+          "--element-table", os.path.join(base, "elements"), "--stat-props", "size,price",
+          "--orbital-cols", "s=s_valence,p=p_valence,d=d_valence,f=f_valence"])
+    rows = spark.createDataFrame([("CdS", 300.0, 152), ("ZnFe2O4", 300.0, 152)],
                                  "formula string, temperature double, space_group int")
     rows.coalesce(1).write.option("header", True).csv(os.path.join(base, "in"))
     main(["score", "--model", os.path.join(base, "model"), "--input", os.path.join(base, "in"),
@@ -110,7 +143,8 @@ def test_cli_train_then_score(spark):
           "--schema", "formula string, temperature double, space_group int"])
     out = spark.read.option("header", True).csv(os.path.join(base, "out"))
     assert out.count() == 2 and "predicted_thermal_conductivity_W_mK" in out.columns
-    assert out.where(F.col("predicted_thermal_conductivity_W_mK").isNull()).count() == 0
+    got = {r.formula: float(r["predicted_thermal_conductivity_W_mK"]) for r in out.collect()}
+    assert got["CdS"] != got["ZnFe2O4"] and all(math.isfinite(v) for v in got.values())
 
 
 def test_report_tables_written(spark):
@@ -133,8 +167,7 @@ def test_feature_table_build_and_training_run(spark):
     s1, s2, s3 = FX.measurement_sources(spark, SF_SMALL)
     sources = [M.standardize_citrine(s1), M.standardize_ucsb(s2),
                M.standardize_nist(s3, [F.col(c) for c in FX.TIE_COLS])]
-    props = FZ.element_table_by_symbol(FX.element_properties(spark, SF_SMALL), "element",
-                                       ["size", "price", "s_valence", "p_valence", "d_valence", "f_valence"])
+    props = FX.symbol_properties(spark, SF_SMALL)
     path = os.path.join(tempfile.mkdtemp(prefix="phonon-ft-"), "features")
     kw = dict(element_props=props, stat_props=FX.ELEMENT_STAT_PROPS, orbital_cols=FX.ELEMENT_ORBITALS)
     tie = [F.col(c).asc_nulls_last() for c in FX.TIE_COLS] + \
@@ -151,8 +184,64 @@ def test_feature_table_build_and_training_run(spark):
     assert "MagpieData_mean_size" in cols and metrics.count() == 2
 
 
-def test_shapiro_sample_of_discrete_column_is_unbiased(spark):
-    # 20000 rows of 50 distinct values: the 5000-row sample must cover them all
-    df = spark.range(20000).select((F.col("id") % 50 + 1).cast("double").alias("q"))
-    r = NM.shapiro_by_feature(df, ["q"]).first()
-    assert r.n == 5000 and not r.is_normal and 0.9 < r.w < 0.99
+def nulls(spark):
+    rows = [(f"k{i}", float(i % 10), None if i % 7 == 0 else float(i % 10), 10.0 * (i % 10) + 1.0)
+            for i in range(600)]
+    return spark.createDataFrame(rows, "k string, a double, x double, y double")
+
+
+def test_a_missing_feature_scores_like_the_training_median(spark):
+    df = nulls(spark)
+    model, _, _ = TR.train_and_evaluate(TR.gradient_boosting(20), df, df.limit(0), ["x"], "y")
+    median = model.stages[0].surrogateDF.first()["x"]
+    rows = spark.createDataFrame([("null", None), ("median", float(median)), ("nan", float("nan")),
+                                  ("max", 9.0)], "k string, x double")
+    got = {r.k: r[-1] for r in TR.score_batch(model, rows, ["x"]).collect()}
+    assert got["null"] == got["median"] == got["nan"] != got["max"]
+    out = TR.score_batch(model, rows, ["x"])
+    assert out.columns[:2] == ["k", "x"] and out.where("k = 'null' AND x IS NULL").count() == 1
+
+
+def test_imputation_is_fitted_on_training_rows_only(spark):
+    from phonon.plans import featurize as FZ
+    df = nulls(spark).withColumn("x", F.when(PR.hash_bucket("k") == 0, 1e9).otherwise(F.col("x")))
+    model, _, cols = FZ.run_pipeline(df, "y", "k", trainer=TR.gradient_boosting(2))
+    assert model.stages[0].surrogateDF.first()["x"] < 10
+
+
+def test_scoring_rejects_space_groups_that_are_no_numbers(spark):
+    from phonon.plans import featurize as FZ
+    base = tempfile.mkdtemp(prefix="phonon-bad-")
+    for k, bad in enumerate(["abc", "", "231"]):
+        path = os.path.join(base, f"in{k}")
+        spark.createDataFrame([("SiO2", "152"), ("GaN", bad)], "formula string, space_group string"
+                              ).coalesce(1).write.option("header", True).csv(path)
+        with pytest.raises(ValueError, match="1 rows have an invalid space group"):
+            FZ.score_csv(spark, "unused", path, "formula string, space_group int", [], "unused",
+                         required=["formula"])
+
+
+def test_cluster_pipeline_takes_nulls(spark):
+    from phonon.operators import cluster as CL
+    df = nulls(spark)
+    model = CL.fit_cluster_pipeline(df, ["a", "x"], k=2, restarts=2)
+    out = CL.add_cluster_label(df.select("k", "a", "x"), model, ["a", "x"])
+    assert out.columns == ["k", "a", "x", "cluster_label"] and out.where("cluster_label IS NULL").count() == 0
+
+
+def test_code_reaches_the_workers_from_another_folder():
+    """The functions that run in Python workers do so when the package is not on their path."""
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = ("import sys; sys.path.insert(0, %r)\n"
+            "from phonon.session import get_spark\n"
+            "from phonon.operators import explore as EX\n"
+            "s = get_spark(master='local[2]', shuffle_partitions=2)\n"
+            "df = s.range(50).selectExpr('double(id) AS a', 'double(id * id) AS b')\n"
+            "r = EX.correlation_pairs(df, ['a', 'b']).first()\n"
+            "assert 0.9 < r['corr'] < 1, r\n" % root)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tempfile.mkdtemp(prefix="phonon-cwd-"),
+                          env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
