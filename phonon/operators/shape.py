@@ -28,9 +28,10 @@ def sanitize_column_names(df: DataFrame) -> DataFrame:
 
 
 def to_double(c: Column | str) -> Column:
-    """Numeric coercion, bad text -> NULL (``try_cast``; surrounding blanks allowed)."""
+    """Numeric coercion, bad text and NaN -> NULL (``try_cast``; surrounding blanks allowed)."""
     c = F.col(c) if isinstance(c, str) else c
-    return c.try_cast("double")
+    d = c.try_cast("double")
+    return F.when(~F.isnan(d), d)
 
 
 def first_non_null(df: DataFrame, cols: list[str], name: str, drop_inputs: bool = False) -> DataFrame:
@@ -71,12 +72,11 @@ def add_log_target(df: DataFrame, target: str, name: str | None = None) -> DataF
 
 
 def validate_input(df: DataFrame, required: list[str], space_group: str | None = None,
-                   key: str | None = None, max_offenders: int = 20) -> tuple[DataFrame, DataFrame]:
+                   key: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Fail on missing required columns; count invalid space groups.
 
-    Returns (summary row: n_rows, n_invalid; offenders: at most
-    ``max_offenders`` rows ordered by ``key``). Invalid means not numeric or
-    outside 1..230.
+    Returns (summary row: n_rows, n_invalid; all offenders, ordered by
+    ``key``). Invalid means missing, not numeric or outside 1..230.
     """
     missing = [c for c in required if c not in df.columns]
     if missing:
@@ -85,9 +85,9 @@ def validate_input(df: DataFrame, required: list[str], space_group: str | None =
         summary = df.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(0).cast("bigint").alias("n_invalid"))
         return summary, df.limit(0)
     sg = to_double(space_group)
-    bad = F.col(space_group).isNotNull() & (sg.isNull() | (sg < 1) | (sg > 230))
+    bad = sg.isNull() | (sg < 1) | (sg > 230)
     summary = df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(bad.cast("long")).alias("n_invalid"))
     offenders = df.where(bad)
     if key:
         offenders = offenders.orderBy(key)
-    return summary, offenders.limit(max_offenders)
+    return summary, offenders

@@ -48,14 +48,14 @@ def table_path(sf_dir: str, name: str) -> str:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A1: parquet scan of one driver table with its declared schema."""
-    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(table_path(sf_dir, name))
+    return nan_to_null(spark.read.schema(TABLE_SCHEMAS[name]).parquet(table_path(sf_dir, name)))
 
 
 def read_parquet(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """A1: parquet scan; a missing path gives an empty frame of ``schema``."""
     if not _exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    return nan_to_null(spark.read.schema(schema).parquet(path))
 
 
 def nan_to_null(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -74,7 +74,7 @@ def nan_to_null(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """A2: CSV with a header row, typed by ``schema`` (no inference)."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return nan_to_null(spark.read.schema(schema).option("header", True).csv(path))
 
 
 def read_csv_as_strings(spark: SparkSession, path: str) -> DataFrame:
@@ -125,22 +125,21 @@ def stringify_nested(df: DataFrame) -> DataFrame:
         for f in df.schema.fields])
 
 
-def read_or_compute(spark: SparkSession, path: str, compute, fmt: str = "parquet") -> DataFrame:
-    """Return the stored table at ``path``, else compute, store, read back.
+def read_or_compute(spark: SparkSession, path: str, compute, csv_path: str | None = None,
+                    csv_schema: str | T.StructType | None = None) -> DataFrame:
+    """The stored Parquet table at ``path``; else the CSV table at
+    ``csv_path`` (typed by ``csv_schema``); else compute, store, read back.
 
     A table counts as stored only when the writer's ``_SUCCESS`` marker is
     there, so a half-written folder from a lost job is recomputed (and
     overwritten), never read. Reading back cuts the lineage of ``compute``.
     """
     if _exists(spark, os.path.join(path, "_SUCCESS")):
-        return spark.read.parquet(path) if fmt == "parquet" else \
-            spark.read.option("header", True).option("inferSchema", True).csv(path)
-    df = compute()
-    if fmt == "parquet":
-        write_parquet(df, path)
-        return spark.read.parquet(path)
-    write_csv(df, path)
-    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+        return nan_to_null(spark.read.parquet(path))
+    if csv_path and csv_schema is not None and _exists(spark, csv_path):
+        return read_csv(spark, csv_path, csv_schema)
+    write_parquet(compute(), path)
+    return nan_to_null(spark.read.parquet(path))
 
 
 def clear_table(spark: SparkSession, path: str) -> bool:

@@ -236,7 +236,80 @@ def test_validate_input_counts_and_lists_offenders(spark):
                                "id int, formula string, space_group string")
     summary, offenders = SH.validate_input(df, ["formula"], "space_group", key="id")
     r = summary.first()
-    assert (r.n_rows, r.n_invalid) == (4, 2)
-    assert [o.id for o in offenders.collect()] == [2, 3]
+    assert (r.n_rows, r.n_invalid) == (4, 3)
+    assert [o.id for o in offenders.collect()] == [2, 3, 4]
     with pytest.raises(ValueError):
         SH.validate_input(df, ["formula", "temperature"])
+
+
+@pytest.mark.parametrize("best", [-5.0, 5.0])
+def test_yeo_johnson_lambda_is_not_bounded(spark, best):
+    """Values whose transform at ``best`` is normal: the fit finds that lambda."""
+    rng = np.random.default_rng(7)
+    # psi at lambda is ((x + 1) ** lambda - 1) / lambda for x >= 0; inverted on a safe range
+    z = np.clip(rng.normal(0.1 if best < 0 else 40.0, 0.02 if best < 0 else 8.0, 4000),
+                0.02 if best < 0 else 5.0, 0.19 if best < 0 else 90.0)
+    x = (z * best + 1) ** (1 / best) - 1
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    lam = PR.fit_yeo_johnson(df, ["x"])["x"]
+    dense = np.arange(-9, 9, 0.01)
+    score = [-len(x) / 2 * np.log(np.var(((x + 1) ** d - 1) / d if abs(d) > 1e-9 else np.log1p(x)))
+             + (d - 1) * np.log1p(x).sum() for d in dense]
+    assert abs(lam - dense[int(np.argmax(score))]) < 0.02 and abs(lam) > 3
+
+
+def test_correlations_match_numpy_at_full_width(spark):
+    rng = np.random.default_rng(2)
+    d = 60
+    x = rng.normal(size=(500, d)) * np.logspace(-3, 6, d) + 1e4
+    x[:, 1] = 2 * x[:, 0] + 1
+    x[:, 2] = 7.5
+    x[rng.random((500, d)) < 0.05] = np.nan
+    cols = [f"f{k}" for k in range(d)]
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x],
+                               ", ".join(f"{c} double" for c in cols)).repartition(4)
+    got = {(r.feature_a, r.feature_b): r["corr"] for r in EX.correlation_pairs(df, cols).collect()}
+    assert len(got) == d * (d - 1) // 2
+    for i in range(d):
+        for j in range(i + 1, d):
+            ok = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            if 2 in (i, j):
+                assert got[cols[i], cols[j]] is None
+                continue
+            assert math.isclose(got[cols[i], cols[j]], np.corrcoef(x[ok, i], x[ok, j])[0, 1],
+                                rel_tol=1e-7, abs_tol=1e-9)
+    assert "f1" in {r.feature for r in PR.features_to_drop(df, cols).collect()}
+
+
+def test_nan_becomes_null_at_every_source(spark, tmp_path):
+    from phonon.operators import shape as SH
+    from phonon.sources import tables as TB
+    df = spark.createDataFrame([(1, float("nan")), (2, 2.0)], "k int, v double")
+    df.write.parquet(f"{tmp_path}/p")
+    df.write.option("header", True).csv(f"{tmp_path}/c")
+    for got in (TB.read_parquet(spark, f"{tmp_path}/p", "k int, v double"),
+                TB.read_csv(spark, f"{tmp_path}/c", "k int, v double"),
+                TB.read_or_compute(spark, f"{tmp_path}/none", None, f"{tmp_path}/c", "k int, v double")):
+        assert {r.k: r.v for r in got.collect()} == {1: None, 2: 2.0}
+    assert TB.read_parquet(spark, f"{tmp_path}/missing", "k int").count() == 0
+    text = spark.createDataFrame([("NaN",), (" 1.5 ",), ("x",)], "t string")
+    assert [r[0] for r in text.select(SH.to_double("t")).collect()] == [None, 1.5, None]
+
+
+@pytest.mark.parametrize("a,b,x", [(0.5, 3.0, 0.2), (12.5, 1.0, 0.9), (40.0, 60.0, 0.4), (2.0, 2.0, 0.5)])
+def test_beta_ratio_matches_the_integral(a, b, x):
+    t = np.linspace(0, 1, 2_000_001)[1:-1]
+    f = t ** (a - 1) * (1 - t) ** (b - 1)
+    assert math.isclose(EX.beta_ratio(a, b, x), f[t <= x].sum() / f.sum(), rel_tol=3e-3)
+    assert math.isclose(EX.beta_ratio(a, b, x) + EX.beta_ratio(b, a, 1 - x), 1.0, rel_tol=1e-12)
+
+
+def test_density_over_atoms(spark):
+    from phonon.plans import featurize as FZ
+    atoms = spark.createDataFrame([(1, "Na"), (1, "Cl"), (2, "Si"), (2, "Qq")], "id int, element string")
+    lattice = [[4.0, 0.0, 0.0], [0.0, 4.0, 0.0], [0.0, 0.0, 3.0]]
+    lattices = spark.createDataFrame([(1, lattice), (2, lattice), (3, lattice)],
+                                     "id int, lattice array<array<double>>")
+    mass = spark.createDataFrame([("Na", 22.99), ("Cl", 35.45), ("Si", 28.09)], "element string, mass double")
+    got = dict(FZ.structure_densities(atoms, lattices, "id", mass).collect())
+    assert math.isclose(got[1], 58.44 / 48 * 1.66054, rel_tol=1e-12) and got[2] is None and got[3] is None
