@@ -14,7 +14,7 @@ import math
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, Imputer, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,15 +32,18 @@ def as_vector(df: DataFrame, cols: list[str] | str, out: str = "features") -> Da
 
 # ---------------------------------------------------------------- metrics on given labels
 
-def cluster_sums(df: DataFrame, label: str, vec: str) -> list:
-    """Per cluster: n, sum vector S, sum of squared norms Q (k small rows)."""
-    d = df.select(label, F.transform(vec, lambda x: x.cast("double")).alias("_x"))
-    dim = d.select(F.max(F.size("_x"))).first()[0] or 0
+def cluster_sums(df: DataFrame, label: str, vec: str, max_clusters: int = 10_000) -> list:
+    """Per cluster: n, centroid, sum of squared norms (k small rows, from Spark's
+    vector summary); more than ``max_clusters`` labels is an error."""
+    from pyspark.ml.stat import Summarizer
+    d = df.select(label, array_to_vector(F.transform(vec, lambda x: x.cast("double"))).alias("_x"))
     rows = d.groupBy(label).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.sum(F.col("_x")[i]).alias(f"s{i}") for i in range(dim)],
-        F.sum(F.aggregate("_x", F.lit(0.0), lambda a, x: a + x * x)).alias("q")).collect()
-    return [(r[label], r["n"], [r[f"s{i}"] for i in range(dim)], r["q"]) for r in rows]
+        F.count(F.lit(1)).alias("n"), Summarizer.mean(F.col("_x")).alias("c"),
+        F.sum(F.aggregate(vector_to_array("_x"), F.lit(0.0), lambda a, x: a + x * x)).alias("q")
+    ).limit(max_clusters + 1).collect()
+    if len(rows) > max_clusters:
+        raise ValueError(f"{label} has more than {max_clusters} clusters")
+    return [(r[label], r["n"], r["c"].toArray().tolist(), r["q"]) for r in rows]
 
 
 def cluster_metrics(df: DataFrame, label: str, vec: str) -> DataFrame:
@@ -50,21 +53,19 @@ def cluster_metrics(df: DataFrame, label: str, vec: str) -> DataFrame:
     k = len(sums)
     n_tot = sum(s[1] for s in sums)
     dim = len(sums[0][2]) if sums else 0
-    cents = {c: [v / n for v in s] for c, n, s, _ in sums}
+    cents = {c: v for c, _, v, _ in sums}
     x = F.transform(vec, lambda v: v.cast("double"))
-    # distance to own centroid (for Davies-Bouldin and inertia)
-    own_cent = None
-    for c, cv in cents.items():
-        e = F.when(F.col(label) == F.lit(c),
-                   F.aggregate(F.zip_with(x, F.array(*[F.lit(float(v)) for v in cv]),
-                                          lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, t: s + t))
-        own_cent = e if own_cent is None else F.coalesce(own_cent, e)
-    per_point = df.select(F.col(label), own_cent.alias("_d2"))
+    # distance to own centroid (for Davies-Bouldin and inertia): the k centroids join as arrays
+    kind = df.schema[label].dataType.simpleString()
+    table = df.sparkSession.createDataFrame([(c, [float(v) for v in cv]) for c, cv in cents.items()],
+                                            f"`{label}` {kind}, _c array<double>")
+    d2 = F.aggregate(F.zip_with(x, "_c", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, t: s + t)
+    per_point = df.join(F.broadcast(table), label).select(F.col(label), d2.alias("_d2"))
     per_cluster = per_point.groupBy(label).agg(F.avg(F.sqrt("_d2")).alias("s"),
                                                F.sum("_d2").alias("w")).collect()
     scatter = {r[label]: r["s"] for r in per_cluster}
     inertia = sum(r["w"] for r in per_cluster)
-    glob = [sum(s[2][i] for s in sums) / n_tot for i in range(dim)]
+    glob = [sum(s[1] * s[2][i] for s in sums) / n_tot for i in range(dim)]
     ssb = sum(n * sum((cents[c][i] - glob[i]) ** 2 for i in range(dim)) for c, n, _, _ in sums)
     ch = (ssb / (k - 1)) / (inertia / (n_tot - k)) if k > 1 and n_tot > k and inertia > 0 else None
     dbs = []
@@ -117,10 +118,24 @@ def components_for_variance(df: DataFrame, features: str, variance: float = 0.95
 
 
 def fit_cluster_pipeline(df: DataFrame, feature_cols: list[str], k: int,
-                         variance: float = 0.95, seed: int = 42, restarts: int = 10) -> PipelineModel:
-    """log1p is the caller's choice; here assemble -> scale -> PCA -> KMeans
-    as ONE PipelineModel, so training and scoring apply the same steps (N5)."""
-    assembled = VectorAssembler(inputCols=feature_cols, outputCol="_raw").transform(df)
+                         variance: float = 0.95, seed: int = 42, restarts: int = 10,
+                         log: bool = True) -> PipelineModel:
+    """log1p -> mean imputation -> scale -> PCA -> KMeans as ONE
+    PipelineModel, so training and scoring apply the same steps (N5).
+
+    ``log=False`` leaves the first step out. A value at or below -1 has no
+    log1p and counts as missing.
+    """
+    each = ", ".join(
+        f"CASE WHEN CAST(`{c}` AS DOUBLE) > -1 THEN log1p(CAST(`{c}` AS DOUBLE)) END AS `_log_{i}`" if log
+        else f"CAST(`{c}` AS DOUBLE) AS `_log_{i}`" for i, c in enumerate(feature_cols))
+    logs = SQLTransformer(statement=f"SELECT *, {each} FROM __THIS__")
+    names = [f"_log_{i}" for i in range(len(feature_cols))]
+    filled = [f"_fill_{i}" for i in range(len(feature_cols))]
+    logged = logs.transform(df)
+    imputer = Imputer(strategy="mean", inputCols=names, outputCols=filled).fit(logged)
+    assembler = VectorAssembler(inputCols=filled, outputCol="_raw")
+    assembled = assembler.transform(imputer.transform(logged))
     scaler = StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True).fit(assembled)
     scaled = scaler.transform(assembled)
     n_comp = components_for_variance(scaled, "_scaled", variance)
@@ -128,8 +143,7 @@ def fit_cluster_pipeline(df: DataFrame, feature_cols: list[str], k: int,
     reduced = pca.transform(scaled).cache()
     km = fit_kmeans(reduced, k, "pca_features", seed, restarts)
     reduced.unpersist()
-    assembler = VectorAssembler(inputCols=feature_cols, outputCol="_raw")
-    return PipelineModel(stages=[assembler, scaler, pca, km])
+    return PipelineModel(stages=[logs, imputer, assembler, scaler, pca, km])
 
 
 def add_cluster_label(df: DataFrame, model: PipelineModel | None, feature_cols: list[str]) -> DataFrame:
@@ -141,11 +155,12 @@ def add_cluster_label(df: DataFrame, model: PipelineModel | None, feature_cols:
     aligned = df.select(*extra, *[F.col(f"`{c}`") if c in df.columns else
                                   F.lit(0.0).alias(c) for c in feature_cols])
     out = model.transform(aligned)
-    return out.drop("_raw", "_scaled", "pca_features")
+    helpers = [f"{p}_{i}" for p in ("_log", "_fill") for i in range(len(feature_cols))]
+    return out.drop("_raw", "_scaled", "pca_features", *helpers)
 
 
 def k_sweep(df: DataFrame, features: str, k_values: list[int], seed: int = 42,
-            restarts: int = 1) -> DataFrame:
+            restarts: int = 10) -> DataFrame:
     """Per k, inertia, silhouette, Calinski-Harabasz and Davies-Bouldin
     as a long table (k, metric, value). Each fit is distributed; the loop
     over k runs on the driver."""
@@ -173,8 +188,12 @@ def choose_k(silhouette_k: int | None, elbow_k: int | None) -> int:
 
 # ---------------------------------------------------------------- k choice as table jobs
 
+# Fixed value: the metric for which a lower value is better.
+LOWER_BETTER = ("Davies-Bouldin",)
+
+
 def composite_k(metrics: DataFrame, series: list[str], k: str = "k", metric: str = "metric",
-                value: str = "value", lower_better: tuple = ("Davies-Bouldin",),
+                value: str = "value", lower_better: tuple = LOWER_BETTER,
                 invert: tuple = ()) -> DataFrame:
     """J12 per series: each metric divided by its max over k (when the max is
     positive), 'lower is better' metrics as 1 - x, averaged per k; the k with

@@ -17,7 +17,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import broadcast_if_small
 
 # Statistics of the element-property features, and p-norm orders.
 STATS = ["minimum", "maximum", "range", "mean", "avg_dev", "mode"]
@@ -38,24 +37,23 @@ def impute_with_means(table: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def _joined(comp: DataFrame, props: DataFrame, prop_cols: list[str], element_col: str,
-            amount_col: str, impute: bool, broadcast_rows: int) -> DataFrame:
+            amount_col: str, impute: bool) -> DataFrame:
     table = impute_with_means(props, prop_cols) if impute else props
     table = table.select(F.col(element_col), *[F.col(c).cast("double").alias(c) for c in prop_cols])
-    joined = comp.join(broadcast_if_small(table, broadcast_rows), on=element_col, how="left")
+    joined = comp.join(table, on=element_col, how="left")
     return joined.where(F.col(amount_col) > 0).withColumn("_q", F.col(amount_col).cast("double"))
 
 
 def composition_features(comp: DataFrame, props: DataFrame, stat_props: list[str],
                          orbital_cols: dict[str, str] | None = None, id_col: str = "row_id",
                          element_col: str = "element", amount_col: str = "amount",
-                         impute: bool = True, naming: str = "plain",
-                         broadcast_rows: int = 100_000) -> DataFrame:
+                         impute: bool = True, naming: str = "plain") -> DataFrame:
     """I1 + I2 + I3 in one grouped pass, one row per composition id.
 
     Sums, minima, maxima and power sums are ordinary aggregates (codegen'd,
-    partially aggregated map-side). Only the two statistics that need the
-    row's mean or its largest amount first (avg_dev, mode) read the
-    collected composition array. ``naming='magpie'`` gives the reference's
+    partially aggregated map-side). The two statistics that need the row's
+    mean or its largest amount first (avg_dev, mode) read them from a window
+    over the same partitioning. ``naming='magpie'`` gives the reference's
     column names after B4 ('MagpieData_mean_<prop>', '2-norm',
     'avg_s_valence_electrons').
     """
@@ -67,7 +65,7 @@ def composition_features(comp: DataFrame, props: DataFrame, stat_props: list[str
     else:
         stat_name = lambda s, p: f"{s}_{p}"
         norm_name = lambda p: f"norm_{p}"
-    j = _joined(comp, props, prop_cols, element_col, amount_col, impute, broadcast_rows)
+    j = _joined(comp, props, prop_cols, element_col, amount_col, impute)
     q = F.col("_q")
     # per-composition totals beside every element row (a window over one
     # composition, at most 118 rows); the aggregate below reuses its

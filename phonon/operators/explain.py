@@ -1,17 +1,17 @@
-"""Attribution tables (J25, J29): exact path-dependent TreeSHAP on Spark trees.
+"""Attribution tables (J25, J29): exact path-dependent tree attributions.
 
 The fitted ensemble is read from its saved node table (cover, threshold,
-children, leaf value, tree weight): a few arrays per tree, shipped to the
-executors inside the task closure. Rows are explained partition by
-partition (``mapInPandas``), one pass, no shuffle; the output is the long
-table (key, feature, phi) plus per-row base values, so summaries are plain
-aggregates. The algorithm is the published path-dependent TreeSHAP
-(Lundberg, Erion and Lee, 2018); for every row, the base value plus the sum
-of its attributions equals the model prediction.
+children, leaf value, tree weight) and turned into the boxes of its leaves,
+which are broadcast: their number is fixed by rounds and depth. Each Arrow
+batch of rows is explained in numpy, all rows at once, without a shuffle; the
+output is the long table (key, feature, phi) plus per-row base values, so
+summaries are plain aggregates. For every row, the base value plus the sum of
+its attributions equals the model prediction.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import uuid
 
@@ -59,66 +59,62 @@ def tree_tables(spark, tree_model) -> tuple[list[dict], float]:
     return trees, scale
 
 
-def _extend(m, d, zero, one, feat):
-    m[d] = [feat, zero, one, 1.0 if d == 0 else 0.0]
-    for i in range(d - 1, -1, -1):
-        m[i + 1][3] += one * m[i][3] * (i + 1) / (d + 1)
-        m[i][3] = zero * m[i][3] * (d - i) / (d + 1)
-
-
-def _unwind(m, d, k):
-    one, zero = m[k][2], m[k][1]
-    nxt = m[d][3]
-    for i in range(d - 1, -1, -1):
-        if one != 0:
-            tmp = m[i][3]
-            m[i][3] = nxt * (d + 1) / ((i + 1) * one)
-            nxt = tmp - m[i][3] * zero * (d - i) / (d + 1)
-        else:
-            m[i][3] = m[i][3] * (d + 1) / (zero * (d - i))
-    for i in range(k, d):
-        m[i][0], m[i][1], m[i][2] = m[i + 1][0], m[i + 1][1], m[i + 1][2]
-
-
-def _unwound_sum(m, d, k):
-    one, zero = m[k][2], m[k][1]
-    nxt = m[d][3]
-    total = 0.0
-    for i in range(d - 1, -1, -1):
-        if one != 0:
-            tmp = nxt * (d + 1) / ((i + 1) * one)
-            total += tmp
-            nxt = m[i][3] - tmp * zero * (d - i) / (d + 1)
-        else:
-            total += (m[i][3] / zero) / ((d - i) / (d + 1))
-    return total
-
-
-def tree_shap(x, t, phi):
-    """Add one tree's attributions for row ``x`` into ``phi`` (weighted)."""
-    left, right, feat, thr = t["left"], t["right"], t["feature"], t["threshold"]
-    value, cover, w = t["value"], t["cover"], t["weight"]
-
-    def recurse(node, path, d, pz, po, pf):
-        m = [row[:] for row in path[:d]] + [[-1, 0.0, 0.0, 0.0]]
-        _extend(m, d, pz, po, pf)
-        if left[node] < 0:
-            for i in range(1, d + 1):
-                s = _unwound_sum(m, d, i)
-                phi[m[i][0]] += w * s * (m[i][2] - m[i][1]) * value[node]
-            return
-        f = feat[node]
-        hot, cold = (left[node], right[node]) if x[f] <= thr[node] else (right[node], left[node])
-        iz, io = 1.0, 1.0
-        k = next((i for i in range(1, d + 1) if m[i][0] == f), None)
-        if k is not None:
-            iz, io = m[k][1], m[k][2]
-            _unwind(m, d, k)
-            d -= 1
-        recurse(hot, m, d + 1, cover[hot] / cover[node] * iz, io, f)
-        recurse(cold, m, d + 1, cover[cold] / cover[node] * iz, 0.0, f)
-
-    recurse(0, [], 0, 1.0, 1.0, -1)
+def leaf_boxes(t: dict) -> list[dict]:
+    """Every leaf of a tree as the box its path cuts out.
+
+    ``features`` of the path (each once), ``low`` / ``high`` the open-closed
+    interval it leaves to each of them, ``share`` the product of the cover
+    ratios at the splits on each, ``value`` the weighted leaf value.
+    """
+    out = []
+    stack = [(0, {})]          # node, feature -> (low, high, share)
+    while stack:
+        node, box = stack.pop()
+        if t["left"][node] < 0:
+            names = sorted(box)
+            out.append({"features": names, "low": [box[f][0] for f in names],
+                        "high": [box[f][1] for f in names], "share": [box[f][2] for f in names],
+                        "value": t["value"][node] * t["weight"]})
+            continue
+        f, cutoff = t["feature"][node], t["threshold"][node]
+        low, high, share = box.get(f, (-np.inf, np.inf, 1.0))
+        for child, interval in ((t["left"][node], (low, min(high, cutoff))),
+                                (t["right"][node], (max(low, cutoff), high))):
+            ratio = t["cover"][child] / t["cover"][node]
+            stack.append((child, {**box, f: (*interval, share * ratio)}))
+    return out
+
+
+def batch_shap(x: np.ndarray, leaves: list[dict]) -> np.ndarray:
+    """Attributions of every row of ``x`` for a list of leaf boxes.
+
+    A leaf is a game on the m features of its path: a coalition S is worth
+    value * prod_{j in S} o_j * prod_{j not in S} z_j, with o_j = 1 where the
+    row lies in the box along j, and z_j the cover share. Feature k's Shapley
+    value is value * (o_k - z_k) * sum_s |s|! (m - 1 - |s|)! / m! * c_s, with c_s
+    the coefficients of prod_{j != k} (z_j + o_j T). All rows of the batch are
+    done at once; the loops run over leaves and path features only.
+    """
+    phi = np.zeros_like(x)
+    for leaf in leaves:
+        names, m = leaf["features"], len(leaf["features"])
+        if not m:
+            continue
+        z = leaf["share"]
+        inside = [((x[:, f] > lo) & (x[:, f] <= hi)).astype(float)
+                  for f, lo, hi in zip(names, leaf["low"], leaf["high"], strict=True)]
+        weight = [math.factorial(s) * math.factorial(m - 1 - s) / math.factorial(m) for s in range(m)]
+        for k in range(m):
+            coef = [np.full(len(x), leaf["value"])]
+            for j in range(m):
+                if j == k:
+                    continue
+                up = [c * inside[j] for c in coef]
+                coef = [c * z[j] for c in coef] + [0.0]
+                coef = [coef[0]] + [c + u for c, u in zip(coef[1:], up, strict=True)]
+            total = sum(w * c for w, c in zip(weight, coef, strict=True))
+            phi[:, names[k]] += (inside[k] - z[k]) * total
+    return phi
 
 
 def expected_value(trees) -> float:
@@ -136,28 +132,28 @@ def shap_values(model: PipelineModel, df: DataFrame, key: str, features: list[st
     tree_model = model.stages[-1]
     trees, _ = tree_tables(spark, tree_model)
     base = expected_value(trees)
+    # the model's leaves: their number is fixed by rounds and depth, not by the data
+    leaves = spark.sparkContext.broadcast([leaf for t in trees for leaf in leaf_boxes(t)])
     prep = PipelineModel(stages=model.stages[:-1])
     vec = prep.transform(df).select(F.col(key).cast("string").alias("key"),
                                     vector_to_array(tree_model.getFeaturesCol()).alias("x"))
-    names = list(features)
+    names = [*features, "__base__"]
 
     def explain(batches):
         for pdf in batches:
-            keys, feats, phis = [], [], []
-            for k, x in zip(pdf["key"], pdf["x"]):
-                phi = [0.0] * len(names)
-                for t in trees:
-                    tree_shap(x, t, phi)
-                keys += [k] * (len(names) + 1)
-                feats += names + ["__base__"]
-                phis += phi + [base]
-            yield pd.DataFrame({"key": keys, "feature": feats, "phi": phis})
+            for a in range(0, len(pdf), 2000):
+                part = pdf.iloc[a:a + 2000]
+                x = np.stack(part["x"].to_numpy())
+                phi = np.column_stack((batch_shap(x, leaves.value), np.full(len(x), base)))
+                yield pd.DataFrame({"key": np.repeat(part["key"].to_numpy(), len(names)),
+                                    "feature": names * len(part), "phi": phi.ravel()})
 
     return vec.mapInPandas(explain, "key string, feature string, phi double")
 
 
-def mean_abs_shap(phi: DataFrame, top: int | None = 10) -> DataFrame:
-    """J25 summary: mean |phi| per feature, largest first (name breaks ties)."""
+def mean_abs_shap(phi: DataFrame, top: int | None = None) -> DataFrame:
+    """J25 summary: mean |phi| per feature, largest first (name breaks ties);
+    only the ``top`` first if given."""
     out = (phi.where(F.col("feature") != "__base__").groupBy("feature")
            .agg(F.avg(F.abs("phi")).alias("mean_abs_shap"))
            .orderBy(F.col("mean_abs_shap").desc(), "feature"))

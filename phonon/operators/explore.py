@@ -120,15 +120,11 @@ def summary_statistics(df: DataFrame, cols: list[str], log10: bool = False,
     Quartiles are exact (``exact_quantiles``).
     """
     wanted = scales or (("log10",) if log10 else ("raw",))
-    base = to_long(df, cols)
-    parts = []
-    for sc in wanted:
-        v = log10_positive("value") if sc == "log10" else F.col("value")
-        parts.append(base.select(F.lit(sc).alias("scale"), "feature", v.alias("value")))
-    long = parts[0]
-    for p_ in parts[1:]:
-        long = long.unionByName(p_)
-    long = long.where(F.col("value").isNotNull())
+    each = [F.struct(F.lit(sc).alias("scale"),
+                     (log10_positive("value") if sc == "log10" else F.col("value")).alias("value"))
+            for sc in wanted]
+    long = to_long(df, cols).select("feature", F.explode(F.array(*each)).alias("s")).select(
+        "s.scale", "feature", "s.value").where(F.col("value").isNotNull())
     keys = ["scale", "feature"]
     moments = long.groupBy(*keys).agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"),
@@ -175,69 +171,89 @@ def drop_all_null_columns(df: DataFrame, cols: list[str] | None = None) -> DataF
 # ---------------------------------------------------------------- correlation
 
 def column_stats(df: DataFrame, cols: list[str]) -> dict:
-    """One aggregate: per column, non-null count, missing fraction, sample std
-    and population variance (plus the row count under key '_n')."""
+    """One aggregate: per column, non-null count, missing fraction, mean, sample
+    std and population variance (plus the row count under key '_n')."""
     row = df.agg(F.count(F.lit(1)).alias("_n"),
                  *[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)],
+                 *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
                  *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(cols)],
                  *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(cols)]).first()
     n = row["_n"]
     out = {"_n": n}
     for i, c in enumerate(cols):
         out[c] = {"count": row[f"n{i}"], "missing": (1 - row[f"n{i}"] / n) if n else None,
-                  "std": row[f"s{i}"], "var": row[f"v{i}"]}
+                  "mean": row[f"m{i}"], "std": row[f"s{i}"], "var": row[f"v{i}"]}
     return out
 
 
-def _corr_exprs(df: DataFrame, pairs: list[tuple[str, str]], stats: dict | None = None) -> list[Column]:
-    """One correlation expression per pair, in the fast built-in form.
+def _pair_sums(df: DataFrame, cols: list[str], centre: dict[str, float]) -> DataFrame:
+    """(i, j, n, sx, sy, sxx, syy, sxy) of every pair of columns i < j, over the rows
+    where both are present and after subtracting ``centre``.
 
-    Spark's ``corr`` is pairwise complete (rows where either side is NULL
-    are skipped) but raises under ANSI mode when one side is constant on
-    the common rows. Per-column statistics (one cheap pass) settle most
-    pairs: a constant column gives NULL (as pandas gives NaN); two complete
-    varying columns are safe. Only pairs touching a column with NULLs need
-    their common-row variances, measured in one more pass over just those
-    pairs.
+    A task keeps five d x d matrices whatever its rows; d (d - 1) / 2 rows
+    leave it, and one grouped sum adds the tasks up.
     """
-    cols = sorted({c for p in pairs for c in p})
-    st = stats or column_stats(df, cols)
-    n = st["_n"]
-    varying = {c: (st[c]["var"] or 0.0) > 0 for c in cols}
-    complete = {c: st[c]["count"] == n for c in cols}
-    unsure = [(a, b) for a, b in pairs if varying[a] and varying[b]
-              and not (complete[a] and complete[b])]
-    ok_pairs = set()
-    if unsure:
-        both = [F.col(a).isNotNull() & F.col(b).isNotNull() for a, b in unsure]
-        row = df.agg(*[F.var_pop(F.when(c, F.col(a))).alias(f"va{i}") for i, ((a, b), c) in
-                       enumerate(zip(unsure, both))],
-                     *[F.var_pop(F.when(c, F.col(b))).alias(f"vb{i}") for i, ((a, b), c) in
-                       enumerate(zip(unsure, both))]).first()
-        ok_pairs = {p for i, p in enumerate(unsure)
-                    if (row[f"va{i}"] or 0.0) > 0 and (row[f"vb{i}"] or 0.0) > 0}
-    out = []
-    for a, b in pairs:
-        ok = varying[a] and varying[b] and ((complete[a] and complete[b]) or (a, b) in ok_pairs)
-        out.append(F.corr(a, b) if ok else F.lit(None).cast("double"))
-    return out
-
-
-def correlation_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pearson correlation of every pair (i < j), pairwise complete.
-
-    One aggregate row of d(d-1)/2 correlation expressions, unpivoted.
+    d, means = len(cols), [centre[c] for c in cols]
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+        n, sx, sxx, sxy = (np.zeros((d, d)) for _ in range(4))
+        for pdf in batches:
+            x = pdf.to_numpy(dtype=float)
+            ok = ~np.isnan(x)
+            x = np.where(ok, x - np.asarray(means), 0.0)
+            ok = ok.astype(float)
+            n += ok.T @ ok
+            sx += x.T @ ok                   # sum of column i where j is present
+            sxx += (x * x).T @ ok
+            sxy += x.T @ x
+        i, j = np.triu_indices(d, 1)
+        yield pd.DataFrame({"i": i, "j": j, "n": n[i, j], "sx": sx[i, j], "sy": sx[j, i],
+                            "sxx": sxx[i, j], "syy": sxx[j, i], "sxy": sxy[i, j]})
+
+    schema = "i int, j int, " + ", ".join(f"{c} double" for c in ("n", "sx", "sy", "sxx", "syy", "sxy"))
+    parts = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{k}") for k, c in enumerate(cols)]
+                      ).mapInPandas(run, schema)
+    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+
+
+def correlation_pairs(df: DataFrame, cols: list[str], stats: dict | None = None) -> DataFrame:
+    """Pearson correlation of every pair (i < j), pairwise complete, as a long table.
+
+    Columns are centred on their means first, so the sums lose no digits. A
+    pair with a constant side on its common rows gives NULL.
     """
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    row = df.agg(*[e.alias(f"{i}") for i, e in enumerate(_corr_exprs(df, pairs))])
-    stack = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
-                      F.col(f"`{i}`").alias("corr")) for i, (a, b) in enumerate(pairs)]
-    return row.select(F.explode(F.array(*stack)).alias("s")).select("s.*")
+    if len(cols) < 2:
+        return df.sparkSession.createDataFrame([], "feature_a string, feature_b string, corr double")
+    st = stats or column_stats(df, cols)
+    sums = _pair_sums(df, cols, {c: st[c]["mean"] or 0.0 for c in cols})
+    names = F.array(*[F.lit(c) for c in cols])
+    vx = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")
+    vy = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
+    # what rounding leaves of a constant column's spread counts as none
+    spread = (F.col("n") > 1) & (vx > 1e-13 * F.col("sxx")) & (vy > 1e-13 * F.col("syy"))
+    corr = F.when(spread, (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / F.sqrt(vx * vy))
+    corr = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), corr))
+    dead = [c for c in cols if not (st[c]["var"] or 0.0) > 0]
+    a, b = F.element_at(names, F.col("i") + 1), F.element_at(names, F.col("j") + 1)
+    alive = ~(a.isin(dead) | b.isin(dead)) if dead else F.lit(True)
+    return sums.select(a.alias("feature_a"), b.alias("feature_b"),
+                       F.when(alive & spread, corr).alias("corr"))
 
 
 def correlation_with_target(df: DataFrame, cols: list[str], target: str) -> DataFrame:
     """Correlation of each column with the target (pairwise complete)."""
-    exprs = _corr_exprs(df, [(c, target) for c in cols])
+    st = column_stats(df, [*cols, target])
+    exprs = []
+    for c in cols:
+        both = F.col(c).isNotNull() & F.col(target).isNotNull()
+        ok = (st[c]["var"] or 0.0) > 0 and (st[target]["var"] or 0.0) > 0
+        # covariance over spreads: NULL, not an error, if a side is constant on the common rows
+        exprs.append(F.try_divide(
+            F.covar_pop(c, target),
+            F.stddev_pop(F.when(both, F.col(c))) * F.stddev_pop(F.when(both, F.col(target))))
+            if ok else F.lit(None).cast("double"))
     row = df.agg(*[e.alias(f"{i}") for i, e in enumerate(exprs)])
     stack = [F.struct(F.lit(c).alias("feature"), F.col(f"`{i}`").alias("corr"))
              for i, c in enumerate(cols)]
@@ -302,10 +318,19 @@ def regression_metrics(df: DataFrame, y: str, yhat: str) -> DataFrame:
 
 def evaluate_log_and_original(df: DataFrame, y_log: str, yhat_log: str, y: str) -> DataFrame:
     """E11 on both scales: predictions live on log1p; expm1 brings them back."""
-    log_m = regression_metrics(df, y_log, yhat_log).withColumn("scale", F.lit("log"))
-    orig = df.withColumn("_yhat_orig", F.expm1(yhat_log))
-    orig_m = regression_metrics(orig, y, "_yhat_orig").withColumn("scale", F.lit("original"))
-    return log_m.unionByName(orig_m)
+    # one scan: every row gives its pair on either scale to one grouped aggregate
+    both = F.array(F.struct(F.lit("log").alias("scale"), F.col(y_log).cast("double").alias("y"),
+                            F.col(yhat_log).cast("double").alias("yhat")),
+                   F.struct(F.lit("original").alias("scale"), F.col(y).cast("double").alias("y"),
+                            F.expm1(yhat_log).alias("yhat")))
+    pairs = df.select(F.explode(both).alias("p")).select("p.*")
+    return metrics_by(pairs, ["scale"], "y", "yhat").select("mae", "rmse", "r2", "n", "scale")
+
+
+def metrics_by(df: DataFrame, group: list[str], y: str, yhat: str) -> DataFrame:
+    """E11 per group, in one aggregate over rows with both values."""
+    pairs = df.where(F.col(y).isNotNull() & F.col(yhat).isNotNull())
+    return pairs.groupBy(*group).agg(*metric_aggs(y, yhat))
 
 
 # ---------------------------------------------------------------- ANOVA
@@ -335,50 +360,42 @@ def one_way_anova(df: DataFrame, value: str, group: str) -> DataFrame:
 
 
 def f_test_pvalue(f_stat: float, d1: float, d2: float) -> float:
-    """Upper tail of the F distribution via the regularised incomplete beta
-    (continued fraction, Numerical Recipes). One scalar, on the driver."""
+    """Upper tail of the F distribution: an incomplete beta ratio. One scalar, on the driver."""
     if f_stat is None or d1 <= 0 or d2 <= 0 or not math.isfinite(f_stat):
         return float("nan")
-    x = d2 / (d2 + d1 * f_stat)
-    return _betai(d2 / 2.0, d1 / 2.0, x)
-
-
-def _betai(a: float, b: float, x: float) -> float:
-    if x <= 0:
-        return 0.0
-    if x >= 1:
-        return 1.0
-    lbeta = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-    front = math.exp(lbeta + a * math.log(x) + b * math.log(1 - x))
-    if x < (a + 1) / (a + b + 2):
-        return front * _betacf(a, b, x) / a
-    return 1 - front * _betacf(b, a, 1 - x) / b
-
-
-def _betacf(a: float, b: float, x: float) -> float:
-    tiny = 1e-300
-    qab, qap, qam = a + b, a + 1, a - 1
-    c, d = 1.0, 1 - qab * x / qap
-    d = 1 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 300):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1 + aa * d
-        d = 1 / (d if abs(d) > tiny else tiny)
-        c = 1 + aa / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1 + aa * d
-        d = 1 / (d if abs(d) > tiny else tiny)
-        c = 1 + aa / c
-        c = c if abs(c) > tiny else tiny
-        delta = d * c
-        h *= delta
-        if abs(delta - 1) < 3e-16:
+    return beta_ratio(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f_stat))
+
+
+def beta_ratio(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta function I_x(a, b).
+
+    The published fraction x^a (1 - x)^b / (a B(a, b)) / (1 + t1 / (1 + t2 / ...))
+    converges fast left of the mean a / (a + b); to the right of it the
+    symmetry I_x(a, b) = 1 - I_{1-x}(b, a) is used. The fraction is evaluated
+    from its tail, with twice the terms until the value stands still.
+    """
+    if not 0 < x < 1:
+        return float(x >= 1)
+    if x > a / (a + b):
+        return 1.0 - beta_ratio(b, a, 1.0 - x)
+
+    def term(j: int) -> float:
+        m = j // 2
+        top = m * (b - m) if j % 2 == 0 else -(a + m) * (a + b + m)
+        return top * x / ((a + j - 1) * (a + j))
+
+    value, depth = 0.0, 32
+    while depth <= 1 << 16:
+        tail = 0.0
+        for j in range(depth, 0, -1):
+            tail = term(j) / (1.0 + tail)
+        value, before = 1.0 / (1.0 + tail), value
+        if abs(value - before) <= 1e-15 * abs(value):
             break
-    return h
+        depth *= 2
+    scale = (a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a)
+             - math.lgamma(b) - math.log(a))
+    return math.exp(scale) * value
 
 
 def feature_significance(df: DataFrame, features: list[str], target: str,

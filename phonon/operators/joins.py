@@ -1,11 +1,9 @@
-"""Join helpers (D1, D4, D5, D6) with a checked broadcast.
-
-A stored side is broadcast only after a bounded probe proves it small: the
-probe reads at most ``max_rows + 1`` rows, so it is cheap even when the side
-turns out to be huge, and a huge side then joins by shuffle. A side that is
-itself the result of an aggregate is not probed (that would run the
-aggregate twice): adaptive execution sees its real size at runtime and turns
-the join into a broadcast join when it is small.
+"""Join helpers.
+
+No join here carries a broadcast hint that depends on a guess: adaptive
+execution sees the real bytes of each side at run time and broadcasts a
+small one, or splits a skewed one. Only tables whose number of rows is fixed
+by construction (one per column, cluster or bracket) are hinted.
 """
 
 from __future__ import annotations
@@ -13,18 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_BROADCAST_ROWS = 100_000
-
-
-def is_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows + 1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` when its row count is proven under ``max_rows``; else ``df``."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
-
 
 def broadcast_bounded(df: DataFrame) -> DataFrame:
     """Broadcast a table whose row count is bounded by construction (one row
@@ -32,10 +18,9 @@ def broadcast_bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df)
 
 
-def lookup_join(df: DataFrame, table: DataFrame, on: str | list[str], how: str = "left",
-                max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def lookup_join(df: DataFrame, table: DataFrame, on: str | list[str], how: str = "left") -> DataFrame:
     """Attach attributes of a lookup table (left join by default)."""
-    return df.join(broadcast_if_small(table, max_rows), on=on, how=how)
+    return df.join(table, on=on, how=how)
 
 
 def attach_labels(df: DataFrame, labels: DataFrame, key: str) -> DataFrame:

@@ -1,26 +1,29 @@
-"""Shapiro-Wilk normality test per column (E13, sampled form).
-
-Each column contributes at most ``sample_size`` values: the rows with the
-smallest seeded random keys. A Bernoulli pre-sample of about three times
-that size per column is taken first, so the ranking window only ever sorts
-a bounded set (Spark's map-side top-k limit stops at k = 1000). Then
-one pandas call per column computes W and its p-value with Royston's
-published approximation (AS R94), in numpy; scipy is not needed.
+"""Shapiro-Wilk normality test per column over all its rows.
+
+W compares the sorted values with the normal scores of their ranks. All values
+of all columns are sorted once by ranges of (column, value, row hash), so a
+hot value is spread over many tasks; positions are the rows of the earlier
+ranges plus the place in the own range. The normal score is a column
+expression of the rank, and W needs only a few sums and the four outermost
+values per column. The p-value follows Royston's published approximation (AS
+R94), which covers 3 to 5000 values; beyond that W is given and the p-value
+is NULL. The whole-table test with a p-value at every size is Jarque-Bera.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from statistics import NormalDist
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .explore import to_long
 
 _N = NormalDist()
+MOST_FOR_P = 5000
 
 # Polynomial coefficients of Royston's approximation (AS R94).
 C1 = [0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056]
@@ -31,90 +34,127 @@ C5 = [-1.5861, -0.31082, -0.083751, 0.0038915]
 C6 = [-0.4803, -0.082676, 0.0030302]
 G = [-2.273, 0.459]
 
+# Acklam's published rational approximation of the normal quantile.
+QA = [-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02,
+      1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00]
+QB = [-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02,
+      6.680131188771972e+01, -1.328068155288572e+01, 1.0]
+QC = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00,
+      -2.549732539343734e+00, 4.374664141464968e+00, 2.938163982698783e+00]
+QD = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00,
+      3.754408661907416e+00, 1.0]
+
 
 def _poly(c, x):
     return sum(ci * x ** i for i, ci in enumerate(c))
 
 
-def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
-    """(W, p) for 3 <= n <= 5000 values; NaN outside that range or for a constant sample."""
-    x = np.sort(np.asarray(values, dtype=float))
-    n = len(x)
-    if n < 3 or n > 5000 or x[-1] == x[0]:
-        return float("nan"), float("nan")
+def _horner(c: list[float], x: Column) -> Column:
+    out = F.lit(c[0])
+    for k in c[1:]:
+        out = out * x + F.lit(k)
+    return out
+
+
+def normal_quantile(p: Column) -> Column:
+    """Quantile of the standard normal as a column expression (relative error about 1e-9)."""
+    mid = p - 0.5
+    centre = _horner(QA, mid * mid) * mid / _horner(QB, mid * mid)
+    edge = F.sqrt(-2 * F.log(F.least(p, 1 - p)))
+    tail = _horner(QC, edge) / _horner(QD, edge)
+    return F.when(F.least(p, 1 - p) < 0.02425, F.when(p < 0.5, tail).otherwise(-tail)).otherwise(centre)
+
+
+def w_statistic(n: int, mm: float, mx: float, ends: list[float], scores: list[float], ss: float) -> float:
+    """W from n, sum of squared scores, sum of score x value, the outermost two
+    values and scores at either end, and the sum of squares about the mean."""
+    if n < 3 or not ss > 0:
+        return float("nan")
     if n == 3:
-        a = np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
+        return min(0.5 * (ends[3] - ends[0]) ** 2 / ss, 1.0)
+    u = 1.0 / math.sqrt(n)
+    an = scores[3] / math.sqrt(mm) + _poly(C1, u)
+    if n > 5:
+        an1 = scores[2] / math.sqrt(mm) + _poly(C2, u)
+        phi = (mm - 2 * scores[3] ** 2 - 2 * scores[2] ** 2) / (1 - 2 * an ** 2 - 2 * an1 ** 2)
+        inner = mx - scores[3] * (ends[3] - ends[0]) - scores[2] * (ends[2] - ends[1])
+        top = inner / math.sqrt(phi) + an * (ends[3] - ends[0]) + an1 * (ends[2] - ends[1])
     else:
-        m = np.array([_N.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
-        mm = float(np.dot(m, m))
-        u = 1.0 / math.sqrt(n)
-        c = m / math.sqrt(mm)
-        an = c[-1] + _poly(C1, u)
-        a = m.copy()
-        if n > 5:
-            an1 = c[-2] + _poly(C2, u)
-            phi = (mm - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * an ** 2 - 2 * an1 ** 2)
-            a = m / math.sqrt(phi)
-            a[-1], a[-2], a[0], a[1] = an, an1, -an, -an1
-        else:
-            phi = (mm - 2 * m[-1] ** 2) / (1 - 2 * an ** 2)
-            a = m / math.sqrt(phi)
-            a[-1], a[0] = an, -an
-    w = float(np.dot(a, x) ** 2 / np.sum((x - x.mean()) ** 2))
-    w = min(w, 1.0)
+        phi = (mm - 2 * scores[3] ** 2) / (1 - 2 * an ** 2)
+        inner = mx - scores[3] * (ends[3] - ends[0])
+        top = inner / math.sqrt(phi) + an * (ends[3] - ends[0])
+    return min(top * top / ss, 1.0)
+
+
+def w_pvalue(w: float, n: int) -> float | None:
+    """Royston's p-value of W; None beyond 5000 values, NaN where W is undefined."""
+    if w != w:
+        return float("nan")
+    if n > MOST_FOR_P:
+        return None
     if n == 3:
-        p = 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75)))
-        return w, max(p, 0.0)
+        return max(6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))), 0.0)
+    if w >= 1.0:
+        return 1.0
     if n <= 11:
         gamma = _poly(G, n)
-        if w >= 1.0 or gamma - math.log(1 - w) <= 0:
-            return w, 1.0
-        y = -math.log(gamma - math.log(1 - w))
-        mu, sigma = _poly(C3, n), math.exp(_poly(C4, n))
+        if gamma - math.log(1 - w) <= 0:
+            return 1.0
+        y, mu, sigma = -math.log(gamma - math.log(1 - w)), _poly(C3, n), math.exp(_poly(C4, n))
     else:
-        if w >= 1.0:
-            return w, 1.0
         ln_n = math.log(n)
-        y = math.log(1 - w)
-        mu, sigma = _poly(C5, ln_n), math.exp(_poly(C6, ln_n))
-    return w, 1 - _N.cdf((y - mu) / sigma)
-
-
-def shapiro_by_feature(df: DataFrame, cols: list[str], sample_size: int = 5000, seed: int = 42,
-                       alpha: float = 0.05) -> DataFrame:
-    """E13 (Shapiro form): feature, n, w, p_value, is_normal — one row per column."""
-    # a seeded random order per row (not a hash of the value: copies of one
-    # value must not enter or leave the sample together)
-    keyed = df.select(*cols).withColumn("_u", F.rand(seed))
-    long = to_long(keyed, cols, ids=["_u"]).where(F.col("value").isNotNull() & ~F.isnan("value"))
-    # Spark limits top-k windows map-side only for k <= 1000, so first keep
-    # a Bernoulli pre-sample of about 3x the sample per column (the k
-    # smallest u are inside it unless it came out short, then that column
-    # keeps every row); the window then sorts a bounded set per column.
-    counts = {r.feature: r.n for r in long.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
-    frac = {f: min(1.0, 3.0 * sample_size / n) for f, n in counts.items() if n}
-
-    def keep_below(fr):
-        cond = None
-        for f, p in fr.items():
-            e = F.when(F.col("feature") == F.lit(f), F.lit(p))
-            cond = e if cond is None else cond.when(F.col("feature") == F.lit(f), F.lit(p))
-        return long.where(F.col("_u") < cond.otherwise(F.lit(1.0))) if cond is not None else long
-
-    pre = keep_below(frac)
-    short = {r.feature for r in pre.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()
-             if r.n < min(sample_size, counts[r.feature])}
-    if short:
-        pre = keep_below({f: (1.0 if f in short else p) for f, p in frac.items()})
-    w = Window.partitionBy("feature").orderBy("_u", "value")
-    sample = pre.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= sample_size).drop("_r")
-
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        wv, p = shapiro_wilk(pdf["value"].to_numpy())
-        return pd.DataFrame({"feature": [pdf["feature"].iloc[0]], "n": [len(pdf)], "w": [wv],
-                             "p_value": [p], "is_normal": [bool(p >= alpha) if p == p else False]})
-
-    out = sample.groupBy("feature").applyInPandas(
-        test, "feature string, n long, w double, p_value double, is_normal boolean")
-    # most normal first (a sort of one row per column)
-    return out.orderBy(F.col("p_value").desc_nulls_last(), "feature")
+        y, mu, sigma = math.log(1 - w), _poly(C5, ln_n), math.exp(_poly(C6, ln_n))
+    return 1 - _N.cdf((y - mu) / sigma)
+
+
+def ranked(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(feature, value, rank, n): every value with its 1-based rank in its column.
+
+    Ties have equal values, so their order does not matter; the row hash only
+    spreads them over the ranges.
+    """
+    spark = df.sparkSession
+    long = to_long(df.select(*cols, F.xxhash64(*cols).alias("_h")), cols, ids=["_h"])
+    long = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    path = scratch_path(spark, f"ranks/{uuid.uuid4().hex}")
+    # the id holds the number of the range in its high bits, the place in it in the low 33
+    (long.repartitionByRange("feature", "value", "_h").sortWithinPartitions("feature", "value", "_h")
+     .select("feature", "value", F.monotonically_increasing_id().alias("at")).write.parquet(path))
+    rows = spark.read.schema("feature string, value double, at long").parquet(path)
+    part = F.shiftright("at", 33)
+    counts = rows.groupBy("feature", part.alias("part")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("at").alias("first")).collect()   # ranges, not rows
+    starts, total = [], {}
+    for r in sorted(counts, key=lambda r: (r["feature"], r["part"])):
+        starts.append((r["feature"], r["part"], total.get(r["feature"], 0) - r["first"]))
+        total[r["feature"]] = total.get(r["feature"], 0) + r["n"]
+    shift = spark.createDataFrame(starts, "feature string, part long, shift long")
+    sizes = spark.createDataFrame(list(total.items()), "feature string, n long")
+    return (rows.withColumn("part", part).join(F.broadcast(shift), ["feature", "part"])
+            .join(F.broadcast(sizes), "feature")
+            .select("feature", "value", (F.col("at") + F.col("shift") + 1).alias("rank"), "n"))
+
+
+def shapiro_by_feature(df: DataFrame, cols: list[str], alpha: float = 0.05) -> DataFrame:
+    """E13 (Shapiro form): feature, n, w, p_value, is_normal — one row per column
+    with a value, most normal first (F6)."""
+    r = ranked(df, cols).withColumn("m", normal_quantile((F.col("rank") - 0.375) / (F.col("n") + 0.25)))
+    # values about the column's middle value keep the sums short of cancellation
+    at = [F.col("rank") == 1, F.col("rank") == 2, F.col("rank") == F.col("n") - 1,
+          F.col("rank") == F.col("n")]
+    rows = r.groupBy("feature").agg(
+        F.max("n").alias("n"), F.sum(F.col("m") * F.col("m")).alias("mm"),
+        F.covar_pop("m", "value").alias("cov"), F.sum("m").alias("ms"), F.avg("value").alias("mean"),
+        F.var_pop("value").alias("var"),
+        *[F.max(F.when(c, F.col("value"))).alias(f"x{i}") for i, c in enumerate(at)],
+        *[F.max(F.when(c, F.col("m"))).alias(f"m{i}") for i, c in enumerate(at)]).collect()
+    out = []
+    for f in rows:                           # one row per column
+        n = f["n"]
+        w = w_statistic(n, f["mm"], f["cov"] * n + f["ms"] * f["mean"],
+                        [f[f"x{i}"] for i in range(4)], [f[f"m{i}"] for i in range(4)], f["var"] * n)
+        p = w_pvalue(w, n)
+        out.append((f["feature"], n, w, p, None if p is None else bool(p >= alpha)))
+    made = df.sparkSession.createDataFrame(
+        out, "feature string, n long, w double, p_value double, is_normal boolean")
+    return made.orderBy(F.col("p_value").desc_nulls_last(), F.col("w").desc_nulls_last(), "feature")

@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .joins import broadcast_if_small
 
 
 def _attach(data: DataFrame, brackets: DataFrame, g: list[str], grouped: bool,
@@ -30,7 +29,7 @@ def _attach(data: DataFrame, brackets: DataFrame, g: list[str], grouped: bool,
     group, a literal CASE over its few brackets (distinct brackets are
     disjoint, so a value falls in at most one; no join, no cross product)."""
     if grouped:
-        return data.join(broadcast_if_small(brackets), on=g, how="inner")
+        return data.join(brackets, on=g, how="inner")
     rows = brackets.collect()  # at most two brackets per wanted probability
     if not rows:
         return data.where(F.lit(False)).withColumns({c: F.lit(None).cast("double") for c in cols})
