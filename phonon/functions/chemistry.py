@@ -21,7 +21,6 @@ ELEMENT_SYMBOLS = (
 
 # One token: an element symbol and an optional amount ("Si", "O2", "Te3", "O2.5").
 FORMULA_TOKEN = r"([A-Z][a-z]?)([0-9]+\.?[0-9]*|\.[0-9]+)?"
-FORMULA_FULL = r"^(([A-Z][a-z]?)([0-9]+\.?[0-9]*|\.[0-9]+)?)+$"
 # One level of parentheses: "(PO4)2" -> group body and optional multiplier.
 _AMOUNT = r"(?:[0-9]+\.?[0-9]*|\.[0-9]+)"
 FORMULA_GROUP = r"\(((?:[A-Z][a-z]?" + _AMOUNT + r"?)+)\)(" + _AMOUNT + r"?)"
@@ -140,12 +139,19 @@ def classify_spacegroup(c: Column | str) -> Column:
     return out.otherwise(F.lit("Unknown"))
 
 
+def rejected_formulas(df: DataFrame, formula_col: str) -> DataFrame:
+    """H6: (formula, n) of the texts that are no formula, which give no composition rows."""
+    f = F.col(formula_col)
+    return (df.where(f.isNotNull() & ~formula_is_valid(f)).groupBy(f.alias("formula"))
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
 def explode_composition(df: DataFrame, formula_col: str, id_cols: list[str]) -> DataFrame:
     """H6: (ids..., element, amount) rows of each valid formula.
 
     An empty amount is 1; a group "(...)n" multiplies its members by n; an
-    element written twice is summed. Invalid formulas give no rows (count
-    them with ``formula_is_valid``).
+    element written twice is summed. Invalid formulas give no rows here;
+    ``rejected_formulas`` lists them.
     """
     f = F.col(formula_col)
     exploded = (df.where(formula_is_valid(f))

@@ -152,11 +152,13 @@ def add_mp_features(requests: DataFrame, candidates: DataFrame, tie_break: list[
                          payload=mp_payload(), match_col="mp_spacegroup_match_user")
 
 
-JARVIS_PAYLOAD = {
-    "jarvis_bulk_modulus": "bulk_modulus_vrh", "jarvis_shear_modulus": "shear_modulus_vrh",
-    "jarvis_band_gap": "optb88vdw_bandgap", "jarvis_formation_energy": "formation_energy_peratom",
-    "jarvis_debye_temp": "debye_temp",
-}
+def jarvis_payload() -> dict:
+    """The density follows from the candidate's own lattice and site masses (I4)."""
+    mass = F.aggregate("site_masses", F.lit(0.0), lambda s, m: s + m)
+    return {"jarvis_bulk_modulus": "bulk_modulus_vrh", "jarvis_shear_modulus": "shear_modulus_vrh",
+            "jarvis_band_gap": "optb88vdw_bandgap", "jarvis_formation_energy": "formation_energy_peratom",
+            "jarvis_debye_temp": "debye_temp",
+            "jarvis_density": FZ.structure_density(F.col("lattice"), mass)}
 
 
 def add_jarvis_features(requests: DataFrame, candidates: DataFrame, tie_break: list[str]) -> DataFrame:
@@ -164,7 +166,7 @@ def add_jarvis_features(requests: DataFrame, candidates: DataFrame, tie_break: l
     return LK.best_match(requests, candidates, formula_col="formula",
                          wanted_col="user_space_group_number", group_col="spacegroup_number",
                          energy_col="formation_energy_peratom", tie_break=tie_break,
-                         payload=JARVIS_PAYLOAD)
+                         payload=jarvis_payload())
 
 
 @register("mp_best_match", f"""
@@ -211,11 +213,14 @@ pairs AS (
   FROM req r LEFT JOIN cand c ON r.formula = c.cformula)
 SELECT s_suppkey, formula, user_space_group_number, l_quantity AS jarvis_bulk_modulus,
        l_tax AS jarvis_shear_modulus, l_discount AS jarvis_band_gap,
-       energy AS jarvis_formation_energy, CAST(l_suppkey AS DOUBLE) AS jarvis_debye_temp
+       energy AS jarvis_formation_energy, CAST(l_suppkey AS DOUBLE) AS jarvis_debye_temp,
+       CASE WHEN l_quantity > 0 THEN round((l_linenumber + l_quantity) / (l_quantity * (l_quantity * (1 + l_tax)))
+                                           * CAST(1.66054 AS DOUBLE), 9) END AS jarvis_density
 FROM pairs WHERE rn = 1""")
 def q_jarvis_best_match(spark, sf_dir):
-    return add_jarvis_features(FX.jarvis_requests(spark, sf_dir), FX.jarvis_candidates(spark, sf_dir),
-                               FX.JARVIS_TIE)
+    out = add_jarvis_features(FX.jarvis_requests(spark, sf_dir), FX.jarvis_candidates(spark, sf_dir),
+                              FX.JARVIS_TIE)
+    return out.withColumn("jarvis_density", F.round("jarvis_density", 9))
 
 
 # --------------------------------------------------------------------------
@@ -482,9 +487,8 @@ def q_metrics_long(spark, sf_dir):
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_returnflag", F.log1p("l_extendedprice").alias("y_log"),
         F.log1p(F.col("l_quantity") * 1500).alias("yhat_log"))
-    parts = [EX.regression_metrics(li.where(F.col("l_returnflag") == f), "y_log", "yhat_log")
-             .withColumn("l_returnflag", F.lit(f)) for f in ["A", "N", "R"]]
-    wide = round_doubles(EX.distinct_union(*parts), 9).withColumn("scale", F.lit("log"))
+    wide = round_doubles(EX.metrics_by(li, ["l_returnflag"], "y_log", "yhat_log"), 9).withColumn(
+        "scale", F.lit("log"))
     return EX.to_long(wide, ["mae", "rmse", "r2"], ["l_returnflag", "scale"], "metric", "score")
 
 
@@ -601,15 +605,55 @@ def q_density_coalesce(spark, sf_dir):
     return SH.first_non_null(j, ["mp_density", "jarvis_density"], "density", drop_inputs=True)
 
 
+@register("column_concat", """
+SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity * l_tax AS qty_tax, l_discount > 0.05 AS discounted
+FROM lineitem""")
+def q_column_concat(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey",
+                                                      "l_quantity", "l_tax", "l_discount")
+    return JN.add_columns(li, {"qty_tax": F.col("l_quantity") * F.col("l_tax"),
+                               "discounted": F.col("l_discount") > 0.05}).drop(
+        "l_quantity", "l_tax", "l_discount")
+
+
+@register("grouped_measurements", f"""
+SELECT formula, temperature, {r9('avg(v)')} AS thermal_conductivity,
+       string_agg(DISTINCT source, ',' ORDER BY source) AS source
+FROM (SELECT {S.formula_of_part('l_partkey')} AS formula, CAST(l_linenumber AS DOUBLE) AS temperature,
+             l_quantity AS v, CASE l_returnflag WHEN 'A' THEN 'citrine' WHEN 'N' THEN 'ucsb'
+                                                ELSE 'nist_thermoml' END AS source FROM lineitem) x
+GROUP BY formula, temperature""")
+def q_grouped_measurements(spark, sf_dir):
+    """E2 on a table that was not deduped: several rows and sources per key."""
+    li = read_table(spark, sf_dir, "lineitem").select(
+        FX.formula_of_part(F.col("l_partkey")).alias("formula"),
+        F.col("l_linenumber").cast("double").alias("temperature"),
+        F.col("l_quantity").alias("thermal_conductivity"),
+        F.when(F.col("l_returnflag") == "A", "citrine").when(F.col("l_returnflag") == "N", "ucsb")
+        .otherwise("nist_thermoml").alias("source"))
+    return round_doubles(M.group_measurements(li), 9)
+
+
+@register("rejected_formulas", f"""
+WITH {S.formula_strings()}
+SELECT formula, count(*) AS n FROM formulas
+WHERE formula IS NOT NULL AND NOT {S.formula_valid('formula')} GROUP BY formula""")
+def q_rejected_formulas(spark, sf_dir):
+    return CH.rejected_formulas(FX.formula_strings(spark, sf_dir), "formula")
+
+
 @register("numeric_coercion", """
 SELECT c_custkey, TRY_CAST(c_name AS DOUBLE) AS name_num,
-       TRY_CAST(' ' || CAST(c_nationkey AS VARCHAR) || ' ' AS DOUBLE) AS padded_num
+       TRY_CAST(' ' || CAST(c_nationkey AS VARCHAR) || ' ' AS DOUBLE) AS padded_num,
+       CASE WHEN c_nationkey <> 3 THEN c_acctbal END AS nan_num
 FROM customer""")
 def q_numeric_coercion(spark, sf_dir):
     c = read_table(spark, sf_dir, "customer")
     return c.select("c_custkey", SH.to_double("c_name").alias("name_num"),
                     SH.to_double(F.concat(F.lit(" "), F.col("c_nationkey").cast("string"), F.lit(" ")))
-                    .alias("padded_num"))
+                    .alias("padded_num"),
+                    SH.to_double(F.when(F.col("c_nationkey") == 3, "NaN").otherwise(
+                        F.col("c_acctbal").cast("string"))).alias("nan_num"))
 
 
 @register("ensure_columns", """
@@ -729,16 +773,17 @@ def q_composite_k(spark, sf_dir):
 
 
 def knee_input(spark, sf_dir) -> DataFrame:
-    """Per event type: x = day of month, y = events on or after that day (decreasing)."""
+    """Per event type: x = days since its first day, y = events on or after that day (decreasing)."""
     d = FX.daily_event_series(spark, sf_dir)
+    first = F.min("day").over(Window.partitionBy("event_type"))
     w = Window.partitionBy("event_type").orderBy(F.col("day").desc()) \
         .rowsBetween(Window.unboundedPreceding, 0)
-    return d.select("event_type", F.dayofmonth("day").alias("x"),
+    return d.select("event_type", F.date_diff("day", first).alias("x"),
                     F.sum("n").over(w).alias("y"))
 
 
 @register("knee_point", "WITH " + S.DAILY_EVENTS.strip() + """,
-pts0 AS (SELECT event_type, CAST(dayofmonth(day) AS INTEGER) AS x,
+pts0 AS (SELECT event_type, CAST(day - min(day) OVER (PARTITION BY event_type) AS INTEGER) AS x,
                 sum(n) OVER (PARTITION BY event_type ORDER BY day DESC
                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS y FROM daily),
 pts AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY x) - 1 AS i,
@@ -772,7 +817,7 @@ def q_knee_point(spark, sf_dir):
 @register("kmeans_labels")
 def q_kmeans_labels(spark, sf_dir):
     emb = CL.as_vector(read_table(spark, sf_dir, "embeddings"), "embedding")
-    model = CL.fit_kmeans(emb, 10, restarts=3)
+    model = CL.fit_kmeans(emb, 10)
     return model.transform(emb).select("vec_id", "cluster_label")
 
 
@@ -794,6 +839,9 @@ def q_pca_variance(spark, sf_dir):
 
 
 TARGET = "l_extendedprice"
+# Stated bound on the labelled rows a registered fit takes; rounds, trees, depth
+# and seeds are the reference's, and scoring and tables cover all rows.
+FIT_ROWS = 1000
 
 
 def _split(spark, sf_dir):
@@ -809,13 +857,17 @@ def _power(train, test):
 @register("model_comparison")
 def q_model_comparison(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    return TR.model_grid(train, test, FX.MODEL_FEATURES, TARGET, TR.default_trainers(0.1),
+    train = TR.bounded_rows(train, "row_key", FIT_ROWS)
+    return TR.model_grid(train, test, FX.MODEL_FEATURES, TARGET, TR.default_trainers(),
                          {"scaled": lambda a, b: (a, b), "power": _power})
 
 
 @register("cv_random_search")
 def q_cv_random_search(spark, sf_dir):
+    """A small budget of the search (the library's defaults are the reference's:
+    100 draws, 10 folds, 100 to 999 rounds, which is hundreds of thousands of jobs)."""
     train, _ = _split(spark, sf_dir)
+    train = TR.bounded_rows(train, "row_key", FIT_ROWS)
     _, table = TR.random_search_cv(train, FX.MODEL_FEATURES, TARGET, "row_key",
                                    n_draws=2, folds=3, parallelism=2, iter_range=(5, 10))
     return table.select("draw", "cv_mse")
@@ -824,7 +876,8 @@ def q_cv_random_search(spark, sf_dir):
 @register("feature_importance")
 def q_feature_importance(spark, sf_dir):
     train, _ = _split(spark, sf_dir)
-    model, _, _ = TR.train_and_evaluate(TR.random_forest(20, 8), train, train.limit(0),
+    train = TR.bounded_rows(train, "row_key", FIT_ROWS)
+    model, _, _ = TR.train_and_evaluate(TR.random_forest(), train, train.limit(0),
                                         FX.MODEL_FEATURES, TARGET)
     return TR.feature_importance(model, FX.MODEL_FEATURES)
 
@@ -832,15 +885,17 @@ def q_feature_importance(spark, sf_dir):
 @register("permutation_importance")
 def q_permutation_importance(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    model, _, _ = TR.train_and_evaluate(TR.gradient_boosting(20), train, test.limit(0),
+    train = TR.bounded_rows(train, "row_key", FIT_ROWS)
+    model, _, _ = TR.train_and_evaluate(TR.gradient_boosting(), train, test.limit(0),
                                         FX.MODEL_FEATURES, TARGET)
-    return TR.permutation_importance(model, test, FX.MODEL_FEATURES, TARGET, "row_key", repeats=2)
+    return TR.permutation_importance(model, test, FX.MODEL_FEATURES, TARGET, "row_key")
 
 
 @register("batch_scoring")
 def q_batch_scoring(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    model, _, _ = TR.train_and_evaluate(TR.gradient_boosting(20), train, test.limit(0),
+    train = TR.bounded_rows(train, "row_key", FIT_ROWS)
+    model, _, _ = TR.train_and_evaluate(TR.gradient_boosting(), train, test.limit(0),
                                         FX.MODEL_FEATURES, TARGET)
     path = scratch_path(spark, f"models/batch_scoring_gbt_{uuid.uuid4().hex}")
     TR.save_model(model, path)
@@ -891,7 +946,7 @@ def q_feature_set_experiment(spark, sf_dir):
     feats = FX.MODEL_FEATURES
     _, selected = PR.select_features(train, feats)
     selected = [f for f in feats if f not in selected]
-    clusterer = CL.fit_kmeans(CL.as_vector(train, selected), 4, restarts=1)
+    clusterer = CL.fit_kmeans(CL.as_vector(train, selected), 4)
     cats = list(range(4))
 
     def with_clusters(df):
@@ -903,7 +958,8 @@ def q_feature_set_experiment(spark, sf_dir):
     for name, cols, tr, te in [("all", feats, train, test), ("selected", selected, train, test),
                                ("selected_clusters", selected + onehot,
                                 with_clusters(train), with_clusters(test))]:
-        _, m, _ = TR.train_and_evaluate(TR.boosted_trees(10), tr, te, cols, TARGET)
+        tr = TR.bounded_rows(tr, "row_key", FIT_ROWS)
+        _, m, _ = TR.train_and_evaluate(TR.boosted_trees(), tr, te, cols, TARGET)
         results[name] = m
     return TR.compare_models(results)
 
@@ -915,9 +971,9 @@ def q_feature_set_experiment(spark, sf_dir):
 
 @register("featurized_table", S.featurized_sql(6))
 def q_featurized_table(spark, sf_dir):
-    props = FZ.element_table_by_symbol(
-        FX.element_properties(spark, sf_dir), "element", ["size", "price", "s_valence", "p_valence",
-                                                          "d_valence", "f_valence"])
+    # 118 rows, read by the means and by the join: stored once
+    path = scratch_path(spark, f"elements/{uuid.uuid4().hex}")
+    props = TB.read_or_compute(spark, path, lambda: FX.symbol_properties(spark, sf_dir))
     out = FZ.featurize(FX.featurize_input(spark, sf_dir), props, FX.ELEMENT_STAT_PROPS,
                        FX.ELEMENT_ORBITALS, mp_candidates=FX.symbol_candidates(spark, sf_dir),
                        mp_tie=FX.MP_TIE, mp_payload=mp_payload())
@@ -976,14 +1032,17 @@ def q_stored_aggregate(spark, sf_dir):
 
 
 @register("csv_to_parquet", """
-SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders""")
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate,
+       o_orderpriority FROM orders""")
 def q_csv_to_parquet(spark, sf_dir):
-    cols = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string"
+    cols = ("o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+            "o_orderdate timestamp, o_orderpriority string")
     run = uuid.uuid4().hex
     csv_path = scratch_path(spark, f"io/orders_csv_{run}")
-    TB.write_csv(read_table(spark, sf_dir, "orders").drop("o_orderdate"), csv_path)
-    return TB.convert_csv_to_parquet(spark, csv_path, scratch_path(spark, f"io/orders_parquet_{run}"), cols,
-                                     string_cols=["o_orderstatus"])
+    TB.write_csv(read_table(spark, sf_dir, "orders"), csv_path)
+    out = TB.convert_csv_to_parquet(spark, csv_path, scratch_path(spark, f"io/orders_parquet_{run}"), cols,
+                                    string_cols=["o_orderstatus"])
+    return out.withColumn("o_orderdate", F.to_date("o_orderdate"))
 
 
 @register("nested_to_text")
@@ -1033,7 +1092,8 @@ def q_shapiro_normality(spark, sf_dir):
 def q_shap_summary(spark, sf_dir):
     """Mean |SHAP| per feature of a boosted-tree model on the test rows."""
     train, test = _split(spark, sf_dir)
-    model, _, _ = TR.train_and_evaluate(TR.gradient_boosting(5), train, test.limit(0),
+    train = TR.bounded_rows(train, "row_key", FIT_ROWS)
+    model, _, _ = TR.train_and_evaluate(TR.gradient_boosting(), train, test.limit(0),
                                         FX.MODEL_FEATURES, TARGET)
     return XP.mean_abs_shap(XP.shap_values(model, test, "row_key", FX.MODEL_FEATURES))
 
@@ -1043,26 +1103,23 @@ def q_k_selection(spark, sf_dir):
     """J11-J14 on the embeddings: sweep k, composite score, knee of inertia,
     best silhouette, and the chosen k (the smaller of the last two)."""
     emb = CL.as_vector(read_table(spark, sf_dir, "embeddings"), "embedding")
-    sweep = CL.k_sweep(emb, "features", [2, 3, 4, 5, 6], restarts=1).withColumn("series", F.lit("embeddings"))
+    sweep = CL.k_sweep(emb, "features", list(range(2, 16))).withColumn("series", F.lit("embeddings"))
     comp = CL.composite_k(sweep, ["series"]).select("series", "best_k")
     knee = CL.knee_point(sweep.where(F.col("metric") == "Inertia"), ["series"], "k", "value")
     sil = EX.argmax_first(sweep.where(F.col("metric") == "Silhouette"), ["series"], "value", "k")
     sil = sil.select("series", F.col("best_k").alias("silhouette_k"))
     row = comp.withColumnRenamed("best_k", "composite_k").join(knee, "series").join(sil, "series")
     r = row.first()
-    try:
-        chosen = CL.choose_k(r["silhouette_k"], r["knee"])
-    except ValueError:
-        chosen = None
+    chosen = CL.choose_k(r["silhouette_k"], r["knee"])      # an error if neither gives a k
     return row.withColumn("chosen_k", F.lit(chosen).cast("int"))
 
 
 @register("cluster_assignment")
 def q_cluster_assignment(spark, sf_dir):
-    """One fitted pipeline (scale -> PCA to 95 % -> KMeans) labels every row."""
+    """One fitted pipeline (log1p -> impute -> scale -> PCA to 95 % -> KMeans) labels every row."""
     t = FX.modelling_table(spark, sf_dir)
     feats = ["l_quantity", "l_discount", "l_tax"]
-    model = CL.fit_cluster_pipeline(t, feats, k=4, restarts=2)
+    model = CL.fit_cluster_pipeline(t, feats, k=4)
     return CL.add_cluster_label(t.select("row_key", *feats), model, feats + ["missing_feature"]) \
         .select("row_key", "cluster_label")
 

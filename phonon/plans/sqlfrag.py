@@ -7,10 +7,29 @@ independent SQL twin.
 
 from __future__ import annotations
 
-from ..functions.chemistry import (CRYSTAL_SYSTEMS, ELEMENT_SYMBOLS, FORMULA_FULL_GROUPED,
-                                   FORMULA_GROUP, FORMULA_TOKEN)
-from ..functions.temperature import TEMPERATURE_PATTERN
-from ..sources.fixtures import FORMULAS
+# Fixed values, written out a second time so that the twin does not depend on
+# the code under test.
+TEMPERATURE_PATTERN = r"([-+]?[0-9]*\.?[0-9]+)\s*°?\s*([ckf])?"
+ELEMENT_SYMBOLS = (
+    "H He Li Be B C N O F Ne Na Mg Al Si P S Cl Ar K Ca Sc Ti V Cr Mn Fe Co Ni Cu Zn "
+    "Ga Ge As Se Br Kr Rb Sr Y Zr Nb Mo Tc Ru Rh Pd Ag Cd In Sn Sb Te I Xe Cs Ba La Ce "
+    "Pr Nd Pm Sm Eu Gd Tb Dy Ho Er Tm Yb Lu Hf Ta W Re Os Ir Pt Au Hg Tl Pb Bi Po At Rn "
+    "Fr Ra Ac Th Pa U Np Pu Am Cm Bk Cf Es Fm Md No Lr Rf Db Sg Bh Hs Mt Ds Rg Cn Nh Fl "
+    "Mc Lv Ts Og").split()
+CRYSTAL_SYSTEMS = [(1, 2, "Triclinic"), (3, 15, "Monoclinic"), (16, 74, "Orthorhombic"),
+                   (75, 142, "Tetragonal"), (143, 167, "Trigonal"), (168, 194, "Hexagonal"),
+                   (195, 230, "Cubic")]
+FORMULA_TOKEN = r"([A-Z][a-z]?)([0-9]+\.?[0-9]*|\.[0-9]+)?"
+FORMULA_GROUP = (r"\(((?:[A-Z][a-z]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)?)+)\)"
+                 r"((?:[0-9]+\.?[0-9]*|\.[0-9]+)?)")
+FORMULA_FULL_GROUPED = (r"^(?:[A-Z][a-z]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)?"
+                        r"|\((?:[A-Z][a-z]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)?)+\)"
+                        r"(?:[0-9]+\.?[0-9]*|\.[0-9]+)?)+$")
+FORMULAS = [
+    "W", "Kr", "ZnFe2O4", "LaCoO3", "Li0.5CoO2", "CdS", "Ag2Se", "GeTe", "KI", "CuBr2",
+    "TaN", "WC", "TiB2", "InAs", "ZrSb2", "LiH", "NbTi", "Al2(SO4)3", "Zn(OH)(NO3)", "CH3CH2",
+    "not-a-formula", "Xx2", None,
+]
 
 
 def parse_temperature(expr: str) -> str:
@@ -240,8 +259,10 @@ def featurized_sql(digits: int = 6) -> str:
         "avg(d_valence) AS m_d, avg(f_valence) AS m_f FROM sym").replace(
         "FROM props_raw, prop_means", "FROM sym, prop_means")
     return f"""WITH {raw_only},
-sym AS (SELECT list_extract([{syms}], CAST(element AS INTEGER) + 1) AS element, size, price, s_valence,
-               p_valence, d_valence, f_valence FROM props_raw WHERE element >= 0 AND element < {len(ELEMENT_SYMBOLS)}),
+sym AS (SELECT list_extract([{syms}], CAST(element % {len(ELEMENT_SYMBOLS)} AS INTEGER) + 1) AS element,
+               max(size) AS size, max(price) AS price, max(s_valence) AS s_valence, max(p_valence) AS p_valence,
+               max(d_valence) AS d_valence, max(f_valence) AS f_valence
+        FROM props_raw GROUP BY element % {len(ELEMENT_SYMBOLS)}),
 {means_props},
 rq AS (SELECT p_partkey, list_extract([{fl}], CAST(p_partkey % {len(FORMULAS)} AS INTEGER) + 1) AS formula,
               CAST(p_size * 10 AS DOUBLE) AS temperature, CAST(p_size AS DOUBLE) AS user_space_group_number

@@ -13,14 +13,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.chemistry import ELEMENT_SYMBOLS
 from .tables import read_table
 
-# Formula strings used to exercise the formula parser (the
-# penultimate entry is deliberately not a formula; the last is NULL).
+# Own choice: one or two formulas per material class and per case of the
+# grammar (fractional amount, group, group without multiplier, repeated
+# element, text that is no formula, unknown symbol, NULL).
 FORMULAS = [
-    "SiO2", "Bi2Te3", "GaN", "SiC", "Si", "SrTiO3", "C", "AlN", "Al2O3", "MgO",
-    "Cu", "PbTe", "SnSe", "BAs", "CoSb3", "HfNiSn", "NaCl", "Fe2O3", "Mg3(PO4)2", "Ca(OH)2",
-    "not a formula", None,
+    "W", "Kr", "ZnFe2O4", "LaCoO3", "Li0.5CoO2", "CdS", "Ag2Se", "GeTe", "KI", "CuBr2",
+    "TaN", "WC", "TiB2", "InAs", "ZrSb2", "LiH", "NbTi", "Al2(SO4)3", "Zn(OH)(NO3)", "CH3CH2",
+    "not-a-formula", "Xx2", None,
 ]
 
 
@@ -79,7 +81,7 @@ def measurement_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Da
 
 
 def formula_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(p_partkey, formula) with formula = FORMULAS[p_partkey % 20]."""
+    """(p_partkey, formula): the list entry at p_partkey modulo its length."""
     part = read_table(spark, sf_dir, "part")
     arr = F.array(*[F.lit(f).cast("string") for f in FORMULAS])
     return part.select("p_partkey",
@@ -121,6 +123,17 @@ def element_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(keep, (size % 15).cast("double")).alias("f_valence"))
 
 
+def symbol_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Element-property table keyed by symbol, from every part row: the parts
+    with key = i (mod 118) give the largest value of each property to symbol i."""
+    cols = ["size", "price", "s_valence", "p_valence", "d_valence", "f_valence"]
+    n = len(ELEMENT_SYMBOLS)
+    table = element_properties(spark, sf_dir).groupBy((F.col("element") % n).alias("element")).agg(
+        *[F.max(c).alias(c) for c in cols])
+    symbols = F.array(*[F.lit(s) for s in ELEMENT_SYMBOLS])
+    return table.select(F.element_at(symbols, (F.col("element") + 1).cast("int")).alias("element"), *cols)
+
+
 ELEMENT_STAT_PROPS = ["size", "price"]
 ELEMENT_ORBITALS = {"s": "s_valence", "p": "p_valence", "d": "d_valence", "f": "f_valence"}
 
@@ -160,7 +173,8 @@ def jarvis_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def jarvis_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate table 2 from lineitem: spacegroup = l_orderkey % 25,
-    formation energy = l_extendedprice / 1000 (NULL when l_linenumber = 3)."""
+    formation energy = l_extendedprice / 1000 (NULL when l_linenumber = 3), a
+    diagonal lattice and two site masses per candidate."""
     li = read_table(spark, sf_dir, "lineitem")
     return li.select(
         formula_of_part(F.col("l_partkey")).alias("formula"),
@@ -170,6 +184,10 @@ def jarvis_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_linenumber") != 3, F.col("l_extendedprice") / 1000)
         .alias("formation_energy_peratom"),
         F.col("l_suppkey").cast("double").alias("debye_temp"),
+        F.array(F.array(F.col("l_quantity"), F.lit(0.0), F.lit(0.0)),
+                F.array(F.lit(0.0), F.col("l_quantity"), F.lit(0.0)),
+                F.array(F.lit(0.0), F.lit(0.0), 1 + F.col("l_tax"))).alias("lattice"),
+        F.array(F.col("l_linenumber").cast("double"), F.col("l_quantity")).alias("site_masses"),
         "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_tax", "l_discount",
         "l_extendedprice")
 
@@ -230,7 +248,7 @@ def featurize_input(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def symbol_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate table 1 keyed by real formulas: FORMULAS[l_partkey % 20]."""
+    """Candidate table 1 keyed by real formulas: the list entry at l_orderkey modulo its length."""
     arr = F.array(*[F.lit(f).cast("string") for f in FORMULAS])
     c = mp_candidates(spark, sf_dir)
     return c.withColumn("formula", F.element_at(arr, (F.col("l_orderkey") % len(FORMULAS) + 1).cast("int")))

@@ -39,17 +39,18 @@ def test_composition_shuffles_once(spark):
     assert shuffles(p) == 1
 
 
-def test_shapiro_sample_is_prefiltered_before_shuffle(spark):
-    p = plan(spark, E.queries()["shapiro_normality"](spark, SF_SMALL))
-    # the Bernoulli pre-filter on the random key runs before the window's exchange
-    assert re.search(r"Exchange hashpartitioning\(feature.*\n(.*\n)*.*Filter.*_u", p)
+@pytest.mark.parametrize("name,scans", [("summary_statistics", 2), ("regression_metrics", 1),
+                                        ("metrics_long", 1), ("nation_attributes", 2)])
+def test_scans(spark, name, scans):
+    p = plan(spark, E.queries()[name](spark, SF_SMALL))
+    assert len(re.findall(r"FileScan parquet", p)) <= scans, p
 
 
 FITS = {"model_comparison", "cv_random_search", "feature_set_experiment", "permutation_importance",
         "k_selection", "shap_summary", "cluster_assignment"}
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - FITS))
+@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.CORPUS_QUERIES) - FITS))
 def test_no_cartesian_products(spark, name):
     p = plan(spark, E.queries()[name](spark, SF_SMALL))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
