@@ -176,12 +176,15 @@ def _filters(t: float, size: int, s: Settings):
 
 
 def compare(here: int, units: np.ndarray, counts: np.ndarray, filters: list[np.ndarray],
-            sides: np.ndarray, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """(links of each node counted in filter ``here``, spanning forest of the near pairs)."""
+            sides: np.ndarray | None, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(links of each node counted in filter ``here``, spanning forest of the near pairs).
+
+    ``sides`` tells the two blocks of a pair of blocks apart: only pairs across are compared.
+    """
     n = len(units)
     near = units @ units.T >= threshold
     np.fill_diagonal(near, False)
-    if sides.any() and not sides.all():
+    if sides is not None:
         near &= sides[:, None] != sides[None, :]
     if not near.any():
         return np.zeros(n, np.int64), []
@@ -260,8 +263,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                     continue
                 links, forest = compare(
                     last[0], _unit([h[3] for h in part]), np.asarray([h[2] for h in part]),
-                    [np.asarray(h[4], np.int64) for h in part], np.asarray([h[0] for h in part]),
-                    s.threshold)
+                    [np.asarray(h[4], np.int64) for h in part],
+                    np.asarray([h[0] for h in part]) if last[1] != last[2] else None, s.threshold)
                 out.extend((part[k][1], None, int(v)) for k, v in enumerate(links) if v)
                 out.extend((part[i][1], part[j][1], 0) for i, j in forest)
             held.clear()

@@ -238,12 +238,12 @@ def _find(parent: list[int], i: int) -> int:
     return i
 
 
-def block_links(texts: list[str], comps: list, sides: np.ndarray, idf: np.ndarray,
+def block_links(texts: list[str], comps: list, sides: np.ndarray | None, idf: np.ndarray,
                 s: Settings) -> list[tuple[int, int]]:
     """Spanning forest of the links between nodes of different components.
 
-    ``sides``: 0 or 1, the block of each node; with two blocks only pairs
-    across are compared (each block has a task of its own).
+    ``sides`` tells the two blocks of a pair of blocks apart: only pairs
+    across are compared then (each block has a task of its own).
     """
     at, code, weight = features(texts, idf, s.width)
     n = len(texts)
@@ -265,7 +265,7 @@ def block_links(texts: list[str], comps: list, sides: np.ndarray, idf: np.ndarra
         overlap += x @ x.T
     union = whole[:, None] + whole[None, :] - overlap
     near = np.triu(overlap >= (s.threshold - 1e-4) * union, 1)
-    if sides.any() and not sides.all():
+    if sides is not None:
         near &= sides[:, None] != sides[None, :]
     names = {c: k for k, c in enumerate(dict.fromkeys(comps))}
     group = np.asarray([names[c] for c in comps])
@@ -378,7 +378,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         def flush() -> Iterator[pa.RecordBatch]:
             if len({h[1] for h in held}) > 1:
                 links = block_links([h[3] for h in held], [h[1] for h in held],
-                                    np.asarray([h[2] for h in held]), weights, s)
+                                    np.asarray([h[2] for h in held]) if last[1] != last[2] else None,
+                                    weights, s)
                 if links:
                     yield pa.RecordBatch.from_pydict({
                         "a": pa.array([held[i][0] for i, _ in links], schema),
