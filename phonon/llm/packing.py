@@ -18,7 +18,9 @@ How it runs
 3. The rounds give small (child bin, parent bin, place) tables. They are
    composed, and one join on the bin id gives every piece its sequence.
 
-Only ids, lengths and checksums travel; token ids only with ``with_ids``.
+Only ids, lengths and checksums travel; token ids only with ``with_ids``. With
+windows of hundreds of pieces and more the result is that of one best-fit over
+all pieces, to within a few sequences; windows of a dozen pieces cost a few per cent.
 
 Defined results: a null text is empty and becomes the end id alone; null and
 repeated ids are packed like others (a row is a document); an empty table

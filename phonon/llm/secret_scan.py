@@ -11,8 +11,8 @@ The battery, for each candidate of n characters over an alphabet of A codes:
   cube-root normal form),
 * runs test of the codes above and below the middle of the alphabet,
 * lag-1 serial correlation of the codes,
-combined as three times the least p-value. Structured strings give p near 0,
-random ones a uniform p. False discoveries are controlled per stratum of
+combined by their least p-value (Sidak's form). Structured strings give p near
+0, random ones a near uniform p. False discoveries are controlled per stratum of
 encoding and length class over the whole corpus: with the share of random
 strings estimated from the p-values above one half, the cut is the smallest at
 which the estimated share of structured strings among those accepted is at
@@ -126,7 +126,7 @@ def _battery(body: str, alphabet: str, folded: bool) -> str:
              "CASE WHEN g.d = 0 THEN 0D ELSE 2 * " + _normal_tail(
                  "abs(g.c / g.d + 1 / n) * sqrt(n)") + " END"))
     return _let(codes, "v", _let("cast(size(v) as double)", "n",
-                                 f"least(1D, 3 * least({p_chi}, {p_runs}, {serial}))"))
+                                 f"1 - power(1 - least(1D, {p_chi}, {p_runs}, {serial}), 3)"))
 
 
 def _encoding(value: str) -> str:
@@ -179,8 +179,8 @@ def cuts(scanned: DataFrame, cands: str, fdr: float = 0.05) -> dict[tuple[str, i
         strata.setdefault((r["enc"], r["class"]), [0] * BINS)[int(r["bin"])] = r["n"]
     out = {}
     for key, counts in strata.items():
-        random = (sum(counts[BINS // 2:]) + 1) / 0.5
-        for b in range(BINS):
+        random = min(sum(counts), (sum(counts[BINS // 2:]) + 1) / 0.5)
+        for b in range(1, BINS):          # the lowest bin holds the structured strings
             accepted = sum(counts[b:])
             if accepted and 1 - random * (1 - b / BINS) / accepted <= fdr:
                 out[key] = b / BINS
