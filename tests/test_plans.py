@@ -39,7 +39,7 @@ def test_composition_shuffles_once(spark):
     assert shuffles(p) == 1
 
 
-@pytest.mark.parametrize("name,scans", [("summary_statistics", 2), ("regression_metrics", 1),
+@pytest.mark.parametrize("name,scans", [("summary_statistics", 3), ("regression_metrics", 1),
                                         ("metrics_long", 1), ("nation_attributes", 2)])
 def test_scans(spark, name, scans):
     p = plan(spark, E.queries()[name](spark, SF_SMALL))
