@@ -8,6 +8,7 @@ few results that are single numbers reach the driver as one row.
 from __future__ import annotations
 
 import math
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import log10_positive
+from ..session import scratch_path
 from .joins import broadcast_bounded
 from .quantiles import exact_quantiles
 
@@ -449,33 +451,43 @@ def _order_as_double(df: DataFrame, order: str) -> Column:
     return F.col(order).cast("double")
 
 
-def running_share(df: DataFrame, series: str, order: str, value: str, buckets: int = 64) -> DataFrame:
+def running_share(df: DataFrame, series: str, order: str, value: str,
+                  range_rows: int = 100_000) -> DataFrame:
     """cumulative sum / series total along ``order``, per series.
 
     One row per (series, order value), rows with equal order values
     summed (ties share one cumulative value). A series is never held by a
-    single task: its points are cut into ``buckets`` ranges of the order
-    value (boundaries from ``approxQuantile``); running sums are taken
-    inside each (series, range) and shifted by the totals of the earlier
-    ranges, a table of at most ``buckets`` rows per series.
+    single task: the points are cut into ranges of the order value, as many
+    as give about ``range_rows`` points each (boundaries from
+    ``approxQuantile``); running sums are taken inside each (series, range)
+    and shifted by the totals of the earlier ranges, one row per series and
+    range. The points are stored once and read by each of these steps.
     """
     from pyspark.ml.feature import Bucketizer
+    spark = df.sparkSession
     pts = df.groupBy(series, order).agg(F.sum(value).alias(value))
     pts = pts.withColumn("_o", _order_as_double(pts, order))
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = sorted({b for b in pts.approxQuantile("_o", probs, 0.001) if b == b})
+    path = scratch_path(spark, f"series/{uuid.uuid4().hex}")
+    pts.write.parquet(path)
+    pts = spark.read.schema(pts.schema).parquet(path)
+    ranges = max(1, math.ceil(pts.count() / range_rows))
+    probs = [i / ranges for i in range(1, ranges)]
+    bounds = sorted({b for b in pts.approxQuantile("_o", probs, min(0.001, 0.1 / ranges)) if b == b}
+                    ) if probs else []
     splits = [-float("inf")] + bounds + [float("inf")]
-    pts = Bucketizer(splits=splits, inputCol="_o", outputCol="_b", handleInvalid="keep").transform(pts)
+    if bounds:
+        pts = Bucketizer(splits=splits, inputCol="_o", outputCol="_b", handleInvalid="keep").transform(pts)
+    else:
+        pts = pts.withColumn("_b", F.lit(0.0))
     local = F.sum(value).over(Window.partitionBy(series, "_b").orderBy("_o")
                               .rowsBetween(Window.unboundedPreceding, 0))
-    pts = pts.withColumn("_local", local)
     tot = pts.groupBy(series, "_b").agg(F.sum(value).alias("_bt"))
     ws = Window.partitionBy(series).orderBy("_b")
     tot = tot.select(series, "_b",
                      F.coalesce(F.sum("_bt").over(ws.rowsBetween(Window.unboundedPreceding, -1)),
                                 F.lit(0.0)).alias("_off"),
                      F.sum("_bt").over(Window.partitionBy(series)).alias("_total"))
-    return (pts.join(tot, [series, "_b"])
+    return (pts.withColumn("_local", local).join(tot, [series, "_b"])
             .select(series, order, value,
                     F.try_divide(F.col("_local") + F.col("_off"), F.col("_total")).alias("cum_share")))
 

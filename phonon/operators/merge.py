@@ -58,9 +58,13 @@ def pivot_first(df: DataFrame, keys: list[str], pivot_col: str, value_col: str,
     depend on file or partition order. Rows with a NULL key or value are
     dropped first, as a pandas pivot table does. The value list is fixed,
     and each output column is one conditional ``min_by`` in a single
-    aggregate grouped by the keys (one exchange, map-side partial step).
+    aggregate grouped by the keys (one exchange, map-side partial step). A
+    value outside the list is an error, so no row disappears unseen.
     """
     clean = df.dropna(subset=keys + [pivot_col, value_col])
+    known = F.when(F.col(pivot_col).isin(values), F.col(pivot_col)).otherwise(F.raise_error(
+        F.concat(F.lit(f"{pivot_col} has a value without a column: "), F.col(pivot_col))))
+    clean = clean.withColumn(pivot_col, known)
     ordering = F.struct(*order, F.col(value_col))
     hit = lambda v: F.col(pivot_col) == F.lit(v)
     return clean.groupBy(*keys).agg(*[

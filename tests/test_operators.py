@@ -181,7 +181,7 @@ def test_running_share_across_buckets(spark):
     rng = random.Random(9)
     rows = [("a" if i % 3 else "b", i, float(rng.randint(1, 9))) for i in range(3000)]
     df = spark.createDataFrame(rows, "s string, o long, v double")
-    got = {(r.s, r.o): r.cum_share for r in EX.running_share(df, "s", "o", "v", buckets=16).collect()}
+    got = {(r.s, r.o): r.cum_share for r in EX.running_share(df, "s", "o", "v", range_rows=30).collect()}
     for series in ("a", "b"):
         pts = sorted((o, v) for s, o, v in rows if s == series)
         total, acc = sum(v for _, v in pts), 0.0
@@ -313,3 +313,17 @@ def test_density_over_atoms(spark):
     mass = spark.createDataFrame([("Na", 22.99), ("Cl", 35.45), ("Si", 28.09)], "element string, mass double")
     got = dict(FZ.structure_densities(atoms, lattices, "id", mass).collect())
     assert math.isclose(got[1], 58.44 / 48 * 1.66054, rel_tol=1e-12) and got[2] is None and got[3] is None
+
+
+def test_pivot_fails_on_a_value_without_a_column(spark):
+    df = spark.createDataFrame([(1, "a", 1.0), (1, "z", 2.0)], "k int, p string, v double")
+    with pytest.raises(Exception, match="without a column: z"):
+        M.pivot_first(df, ["k"], "p", "v", ["a", "b"], [F.col("v")]).collect()
+
+
+def test_quantiles_of_widely_spread_values(spark):
+    x = [10.0 ** (k / 20) for k in range(-6000, 6000, 10)] + [float(k) for k in range(500)]
+    df = spark.createDataFrame([(v, 1) for v in x], "v double, g int")
+    for g in ([], ["g"]):
+        r = exact_quantiles(df, "v", [0.1, 0.5, 0.9], g, buckets=4, final_rows=3, names=["a", "b", "c"]).first()
+        assert np.allclose([r.a, r.b, r.c], np.quantile(x, [0.1, 0.5, 0.9]), rtol=1e-12)
