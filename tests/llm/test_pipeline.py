@@ -45,7 +45,7 @@ def brute(spark, rows):
     kept = []
     for r in rows:
         lang, score = model.predict(r[1])
-        if lang != "und" and score >= 0.5:
+        if lang != "und" and score >= corpus_pipeline.LEAST_SCORE:
             kept.append(r)
     owners = Counter(i for (i, _, _, k), n in brute_exact(kept).items() if k for _ in range(n))
     groups = defaultdict(list)
