@@ -38,7 +38,8 @@ NEUTRAL = ("Dr", "Prof")
 _TITLE = "(?:" + "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True)) + ")"
 _WORD = r"\p{Lu}\p{Ll}{1,24}"
 
-EMAIL = r"[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+_LOCAL = r"[\p{L}\p{N}._%+-]"
+EMAIL = rf"(?<!{_LOCAL}){_LOCAL}++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
@@ -49,8 +50,11 @@ CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])"
 GIVEN = rf"(?<!\p{{L}})({_TITLE}\.? {_WORD})(?= {_WORD})"        # group 1
 SECOND = rf"(?<=(?<!\p{{L}}){_TITLE}\.? {_WORD} ){_WORD}(?!\p{{L}})"
 FAMILY = rf"(?<!\p{{L}}){_TITLE}\.? {_WORD}(?!\p{{L}})"
-ANY = "|".join((GIVEN, SECOND, FAMILY, EMAIL, IBAN, IP, SSN, PHONE, CARD))
-HINT = rf"[0-9@]|(?<!\p{{L}}){_TITLE}\.? \p{{Lu}}"
+# A look ahead at one character class keeps the rest of each branch from being tried at every place.
+_CAPITALS = "".join(sorted({t[0] for t in MALE + FEMALE + NEUTRAL}))
+ANY = "|".join((rf"(?=[{_CAPITALS}]){GIVEN}", rf"(?=\p{{Lu}}){SECOND}", rf"(?=[{_CAPITALS}]){FAMILY}",
+                rf"(?={_LOCAL}){EMAIL}", rf"(?=[A-Z]){IBAN}", rf"(?=[0-9+(])(?:{IP}|{SSN}|{PHONE}|{CARD})"))
+HINT = rf"[0-9@]|(?=[{_CAPITALS}]){_TITLE}\.? \p{{Lu}}"
 
 # Surrogate names: syllables by script and endings by gender.
 ONSETS = {"latin": "b d f g k l m n p r s t v z", "cyrillic": "б д ф г к л м н п р с т в з",
@@ -201,7 +205,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text",
     has, digest, gaps, new = fresh(docs, "has", "digest", "gaps", "new")
     text = F.col(text_col)
     has_any = F.coalesce(F.when(text.rlike(HINT), text.rlike(ANY)), F.lit(False))
-    hit = docs.where(has_any).withColumn(digest, F.sha2(text, 256))
+    # the texts with an entity, stored: the mentions and the rebuilt texts both read them
+    hit = store(docs.where(has_any).withColumn(digest, F.sha2(text, 256)), "pii-texts")
     # per distinct text: its mentions in order
     mentions = hit.select(F.col(digest).alias("digest"), F.expr(
         f"posexplode(zip_with(regexp_extract_all(`{text_col}`, {_lit(ANY)}, 0), "
