@@ -11,7 +11,7 @@ from phonon.llm import cap_filters, minhash
 from phonon.llm.common import connected_components
 from phonon.llm.exact_dedup import Trie, exact_dedup, exact_groups, shared_prefix
 from phonon.llm.shingles import counted
-from tests.llm.conftest import SCHEMA, odd_rows, words
+from tests.llm.corpus_cases import SCHEMA, none, odd, odd_rows, words  # noqa: F401
 
 
 def brute_exact(rows):

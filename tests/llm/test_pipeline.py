@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from phonon.llm import langid, minhash, queries, secret_scan
-from tests.llm.conftest import SCHEMA, odd_rows
+from tests.llm.corpus_cases import SCHEMA, none, odd, odd_rows  # noqa: F401
 from tests.llm.test_dedup import brute_exact, brute_near
 from tests.llm.test_tokens import check_packing
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from phonon.llm import langid, pii, secret_scan, url_filter
-from tests.llm.conftest import SCHEMA, odd_rows
+from tests.llm.corpus_cases import SCHEMA, none, odd, odd_rows  # noqa: F401
 
 SYLLABLES = {"aa": "ka ta ra na ma la sa pa", "bb": "ki ti ri ni mi li si pi",
              "cc": "ko tu ru no mu lo su pø"}

@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 from phonon.llm import bpe, token_store
 from phonon.llm.packing import best_fit, cut, pack
 from phonon.llm.tokens import ChunkEncoder, encoder
-from tests.llm.conftest import odd_rows
+from tests.llm.corpus_cases import none, odd, odd_rows  # noqa: F401
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
