@@ -30,8 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phonon.llm.tokens import ChunkEncoder, slices
+from phonon.session import ship_package
 
-MEMO = 400_000          # remembered pairs and matches; emptied when full
+MEMO = 200_000          # remembered pairs and matches; emptied when full
 
 
 def merge_by_rank(data: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -149,7 +150,7 @@ def codec(path: str, pattern: str) -> tuple[BytePairCodec, ChunkEncoder]:
     key = (path, pattern)
     if key not in _CODECS:
         made = BytePairCodec(path, pattern)
-        _CODECS[key] = made, ChunkEncoder(made.encode_many)
+        _CODECS[key] = made, ChunkEncoder(made.encode_many, limit=400_000)
     return _CODECS[key]
 
 
@@ -165,6 +166,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                     [rows.column(0), pa.array(enc.encode(rows.column(1)), pa.binary())],
                     names=["doc_id", "ids"])
 
+    ship_package(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("i"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("t")
                        ).mapInArrow(run, "doc_id long, ids binary")
@@ -182,5 +184,6 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
                     [rows.column(0), rows.column(1), pa.array(texts, pa.binary())],
                     names=["doc_id", "ids", "decoded"])
 
+    ship_package(encoded.sparkSession)
     return encoded.select("doc_id", "ids").mapInArrow(
         run, "doc_id long, ids binary, decoded binary")
