@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import log10_positive
-from ..session import scratch_path
+from ..session import scratch_path, ship_package
 from .joins import broadcast_bounded
 from .quantiles import exact_quantiles
 
@@ -195,6 +195,7 @@ def _pair_sums(df: DataFrame, cols: list[str], centre: dict[str, float]) -> Data
     A task keeps five d x d matrices whatever its rows; d (d - 1) / 2 rows
     leave it, and one grouped sum adds the tasks up.
     """
+    ship_package(df.sparkSession)
     d, means = len(cols), [centre[c] for c in cols]
 
     def run(batches):

@@ -80,14 +80,20 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
                                            F.col("_v").alias("_val"))
         return _interpolate(df, stats, values, probs, names, g, group_cols)
     state = state.checkpoint()
+    turn = 0
     while True:      # a bracket shrinks to one bucket's range each pass, so this ends
         open_ = state.where((F.col("_lo") < F.col("_hi")) & (F.col("_cnt") > final_rows))
         if open_.limit(1).count() == 0:
             break
         brackets = open_.select(*g, "_lo", "_hi").distinct()
         width = F.col("_hi") - F.col("_lo")
-        bucket = F.least(F.floor((F.col("_v") - F.col("_lo")) / width * buckets),
-                         F.lit(buckets - 1)).cast("int")
+        # equal widths, then widths that grow from the low end, then from the high end, in turn:
+        # values spread over many orders of magnitude are cut apart as fast as even ones
+        u = F.least(F.lit(1.0), (F.col("_v") - F.col("_lo")) / width)
+        grown = lambda x: F.log2(1 + x * 2.0 ** 1000) / 1000
+        place = (u, grown(u), 1 - grown(1 - u))[turn % 3]
+        turn += 1
+        bucket = F.greatest(F.lit(0), F.least(F.floor(place * buckets), F.lit(buckets - 1))).cast("int")
         hist = _attach(data, brackets, g, bool(group_cols))
         hist = (hist.where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
                 .groupBy(*g, "_lo", "_hi", bucket.alias("_b"))

@@ -325,5 +325,5 @@ def test_quantiles_of_widely_spread_values(spark):
     x = [10.0 ** (k / 20) for k in range(-6000, 6000, 10)] + [float(k) for k in range(500)]
     df = spark.createDataFrame([(v, 1) for v in x], "v double, g int")
     for g in ([], ["g"]):
-        r = exact_quantiles(df, "v", [0.1, 0.5, 0.9], g, buckets=4, final_rows=3, names=["a", "b", "c"]).first()
+        r = exact_quantiles(df, "v", [0.1, 0.5, 0.9], g, buckets=64, final_rows=50, names=["a", "b", "c"]).first()
         assert np.allclose([r.a, r.b, r.c], np.quantile(x, [0.1, 0.5, 0.9]), rtol=1e-12)
