@@ -8,11 +8,14 @@ decoding the blocks (a codeword is kept only if the best of the other block
 can still lift it over the height), without visiting all directions. Vectors
 that pass a common filter are compared by cosine in double precision.
 
-Cap height and codebook size follow from the number of distinct vectors: the
-height keeps the expected chance companions per filter constant, the size the
-expected filters that a pair at the threshold shares. ``codes`` independent
-rotations even out the differences between vectors. A pair at the threshold is
-missed with a probability of about exp(-shared), a closer one with less.
+Cap height and codebook size follow from the number of distinct vectors and
+their dimension, by the exact shares of the sphere: the height keeps the expected
+chance companions per filter constant (and lower, so more, where the caps would become
+too small to hold a pair at the threshold), the size the expected filters that a pair
+at the threshold shares. ``codes`` independent rotations even out the differences
+between vectors; below six dimensions a code is one block. Vectors that still pass fewer than
+``fewest`` filters are compared with all vectors, in blocks. The other pairs at the
+threshold are missed in about 1 % of cases, closer ones in less.
 
 How it runs
 -----------
@@ -22,7 +25,8 @@ How it runs
    before any vector is shipped.
 3. Each filter's nodes are compared inside tasks by matrix products, in blocks of
    bounded rows (pairs of blocks for a large filter). A pair counts in the
-   least filter it shares, so it counts once. A task emits a link count per node
+   least filter it shares, so it counts once. Vectors with too few filters go in blocks of their
+   own against blocks of all the others. A task emits a link count per node
    and a spanning forest, never the pairs.
 4. Connected components of the forests; counts and components go back to the rows.
 
@@ -54,6 +58,9 @@ from phonon.llm.common import connected_components, store
 from phonon.llm.shingles import U64, scramble
 
 NO_ID = (1 << 63) - 1
+PRODUCT = 6                    # from this dimension on the codes are products of two blocks
+FEW = (1 << 63) - 1            # filter of the vectors that pass too few
+REST = FEW - 1                 # those against the others
 
 
 @dataclass(frozen=True)
@@ -61,31 +68,60 @@ class Settings:
     threshold: float = 0.95
     codes: int = 32             # independent rotations
     companions: float = 8.0     # chance companions of a vector in a filter
+    most_passing: float = 0.0062  # share of the directions that a vector passes, at most
+    least_share: float = 0.125  # of a vector's filters, those that a vector at the threshold passes too
+    fewest: int = 3             # vectors with fewer filters are compared with all others
     shared: float = 11.0        # filters that a pair at the threshold shares, on average
     block_rows: int = 1024
     seed: int = 7
 
 
-def _tail(t: float) -> float:
-    return 0.5 * math.erfc(t / math.sqrt(2))
+@functools.lru_cache(maxsize=64)
+def _angles(dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(angles, share of the sphere within each angle of a direction), from two dimensions on."""
+    phi = np.linspace(0, math.pi, 40_001)
+    f = np.sin(phi) ** (dim - 2) if dim > 2 else np.ones(len(phi))
+    c = np.concatenate(([0.0], np.cumsum((f[1:] + f[:-1]) / 2)))
+    return phi, c / c[-1]
+
+
+def one_passes(dim: int, height: np.ndarray | float) -> np.ndarray:
+    """Share of the directions whose cosine to a vector is at least ``height``."""
+    height = np.asarray(height, np.float64)
+    if dim == 1:
+        return np.where(height > 1, 0.0, np.where(height > -1, 0.5, 1.0))
+    return np.interp(np.arccos(np.clip(height, -1, 1)), *_angles(dim))
+
+
+def both_pass(dim: int, height: float, cosine: float) -> float:
+    """Share of the directions that both vectors of a pair at ``cosine`` pass."""
+    if dim == 1:
+        return float(one_passes(1, height))
+    phi, share = _angles(dim)
+    edges = np.linspace(0, math.acos(height), 4001)
+    a = (edges[1:] + edges[:-1]) / 2
+    # at angle a to the first vector, the rest of the direction is uniform in one dimension less
+    need = (height - cosine * np.cos(a)) / (math.sqrt(1 - cosine * cosine) * np.sin(a))
+    return float(np.diff(np.interp(edges, phi, share)) @ one_passes(dim - 1, need))
+
 
+@functools.lru_cache(maxsize=64)
+def design(n: int, dim: int, s: Settings) -> tuple[float, int]:
+    """(cap height in units of 1 / sqrt(dimension), codewords per block) for ``n`` vectors.
 
-def design(n: int, s: Settings) -> tuple[float, int]:
-    """(cap height in units of 1 / sqrt(dimension), codewords per block) for ``n`` vectors."""
-    want = min(_tail(2.5), s.companions / max(n, 1))
-    low, high = 2.5, 12.0
-    for _ in range(60):
+    A direction of a randomly rotated code is uniform on the sphere, so the expected
+    shared filters of a pair are the number of directions times ``both_pass``.
+    """
+    want = min(s.most_passing, s.companions / max(n, 1))
+    low, high = 0.0, 1.0
+    for _ in range(40):
         mid = (low + high) / 2
-        low, high = (mid, high) if _tail(mid) > want else (low, mid)
-    t = low
-    # both of a pair at the threshold pass: bivariate normal tail
-    x = np.linspace(t, t + 7, 4001)
-    rho = s.threshold
-    y = np.exp(-x * x / 2) / math.sqrt(2 * math.pi) * np.asarray(
-        [_tail((t - rho * v) / math.sqrt(1 - rho * rho)) for v in x])
-    both = float(((y[1:] + y[:-1]) / 2).sum() * (x[1] - x[0]))
-    # codewords have fixed length, which thins the tail; measured at about six tenths
-    return t, max(8, math.ceil(math.sqrt(s.shared / (s.codes * both * 0.6))))
+        one = float(one_passes(dim, mid))
+        narrow = one < want or both_pass(dim, mid, s.threshold) < s.least_share * one
+        low, high = (low, mid) if narrow else (mid, high)
+    each = s.shared / (s.codes * both_pass(dim, low, s.threshold))
+    size = max(8, math.ceil(math.sqrt(each))) if dim >= PRODUCT else math.ceil(each)
+    return low * math.sqrt(dim), size
 
 
 @functools.lru_cache(maxsize=64)
@@ -94,7 +130,10 @@ def _code(dim: int, size: int, number: int, seed: int) -> tuple[np.ndarray, list
     rng = np.random.default_rng([seed, dim, size, number])
     rotation, _ = np.linalg.qr(rng.normal(size=(dim, dim)))
     books, split = [], dim - dim // 2
-    for width in ((split, dim - split) if dim > 1 else (1, 0)):
+    if dim < PRODUCT:
+        book = rng.normal(size=(size, dim))
+        return rotation, [book / np.linalg.norm(book, axis=1, keepdims=True), np.zeros((1, 0))]
+    for width in (split, dim - split):
         book = rng.normal(size=(size, width))
         norm = np.linalg.norm(book, axis=1, keepdims=True)
         books.append(book / np.where(norm > 0, norm, 1) / math.sqrt(2))
@@ -151,8 +190,8 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array(out, pa.binary())], names=["vec_id", "a", "b", "vec"])
 
 
-def _filters(t: float, size: int, s: Settings):
-    """(id, a, b, n, vec) -> the same with the sorted filters of the vector."""
+def _filters(count: int, s: Settings):
+    """(id, a, b, n, vec) -> the same with the sorted filters of the vector, FEW last if they are few."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,12 +201,15 @@ def _filters(t: float, size: int, s: Settings):
                 lists: list = [None] * len(vecs)
                 for dim in {len(v) for v in vecs}:
                     at = [k for k, v in enumerate(vecs) if len(v) == dim]
+                    t, size = design(count, dim // 8, s)
                     who, name = decode(_unit([vecs[k] for k in at]), t, size, s)
                     order = np.lexsort((name, who))
                     who, name = who[order], name[order]
                     edge = np.searchsorted(who, np.arange(len(at) + 1))
                     for p, k in enumerate(at):
                         lists[k] = name[edge[p]:edge[p + 1]]
+                        if len(lists[k]) < s.fewest:
+                            lists[k] = np.append(lists[k], FEW)
                 yield pa.RecordBatch.from_arrays(
                     [*rows.columns, pa.array(lists, pa.list_(pa.int64()))],
                     names=[*rows.schema.names, "filters"])
@@ -234,9 +276,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     nodes = store(rows.where("a IS NOT NULL").groupBy("a", "b", "vec").agg(
         F.min(F.coalesce("vec_id", F.lit(NO_ID))).alias("id"), F.count("*").alias("n")),
         "vector-nodes").select("id", "a", "b", "n", "vec")
-    t, size = design(nodes.count(), s)
+    count = nodes.count()
     listed = store(nodes.mapInArrow(
-        _filters(t, size, s),
+        _filters(count, s),
         "id long, a long, b long, n long, vec binary, filters array<bigint>"), "cap-filters")
     node = F.struct("id", "a", "b").alias("node")
     passing = listed.select(node, F.explode("filters").alias("filter"))
@@ -247,6 +289,19 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     todo = todo.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "filter", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"),
         (F.col("mine") > F.col("other")).cast("int").alias("side"), "node")
+    few = F.element_at("filters", -1) == FEW
+    fews = listed.where(few).count()
+    if fews:
+        # every block of the few meets every block of the others
+        x, y = -(-fews // s.block_rows), -(-count // s.block_rows)
+        own = F.pmod(F.xxhash64("node"), F.when(few, x).otherwise(y)).cast("int")
+        met = F.explode(F.sequence(F.lit(0), F.when(few, y).otherwise(x) - 1))
+        wide = listed.select(node, few.alias("few"), "filters").withColumn("own", own).withColumn(
+            "met", met).select(F.lit(REST).alias("filter"),
+                               F.when(few, F.col("own")).otherwise(F.col("met")).alias("x"),
+                               (F.when(few, F.col("met")).otherwise(F.col("own")) + x).alias("y"),
+                               (~few).cast("int").alias("side"), "node")
+        todo = todo.unionByName(wide)
     todo = todo.join(listed.select(node, "n", "vec", "filters"), "node").select(
         "filter", "x", "y", "side", "node", "n", "vec", "filters")
 

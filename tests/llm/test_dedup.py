@@ -265,3 +265,47 @@ def test_decode_lists_every_passing_direction():
         dirs = np.concatenate((np.repeat(a, 9, 0), np.tile(b, (9, 1))), axis=1)
         count += int(((x @ rotation) @ dirs.T >= 2.0 / np.sqrt(10)).sum())
     assert len(names) == count and len(set(zip(who.tolist(), names.tolist(), strict=True))) == count
+
+
+def pairs_at(cosine, dim, n):
+    rng = np.random.default_rng(dim)
+    x, z = rng.normal(size=(2, n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    return x, cosine * x + np.sqrt(1 - cosine**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("dim", [3, 8, 16, 64])
+@pytest.mark.parametrize("n", [10**3, 10**6, 10**7, 10**8])
+def test_pairs_share_filters_at_every_size_and_dimension(n, dim):
+    s = cap_filters.Settings()
+    t, size = cap_filters.design(n, dim, s)
+    lists = []
+    for side in pairs_at(s.threshold, dim, 100):
+        who, names = cap_filters.decode(side, t, size, s)
+        lists.append(list(zip(who.tolist(), names.tolist(), strict=True)))
+    shared = Counter(k for k, _ in set(lists[0]) & set(lists[1]))
+    assert sum(shared.values()) >= 0.85 * s.shared * 100
+    assert len(shared) >= 95
+    assert len(lists[0]) < 150 * 100
+
+
+@pytest.mark.parametrize("shared, fewest, block_rows", [(0.01, 10**6, 7), (4.0, 12, 16)])
+def test_vectors_with_few_filters_are_compared_with_all(spark, shared, fewest, block_rows):
+    rows = vector_rows()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    s = cap_filters.Settings(shared=shared, fewest=fewest, block_rows=block_rows)
+    got = Counter((r.vec_id, r.n_links, r.component_id)
+                  for r in cap_filters.near_vectors(df, settings=s).collect())
+    want = brute_vectors(rows)
+    assert got == want if fewest > 1000 else sum((got & want).values()) >= 0.9 * len(rows)
+
+
+def test_vectors_of_few_dimensions(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=1 + i % 3).tolist(), 0) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    s = cap_filters.Settings(shared=30.0)
+    got = Counter((r.vec_id, r.n_links, r.component_id)
+                  for r in cap_filters.near_vectors(df, settings=s).collect())
+    assert got == brute_vectors(rows)
