@@ -13,10 +13,11 @@ The battery, for each candidate of n characters over an alphabet of A codes:
 * lag-1 serial correlation of the codes,
 combined by their least p-value (Sidak's form). Structured strings give p near
 0, random ones a near uniform p. False discoveries are controlled per stratum of
-encoding and length class over the whole corpus: with the share of random
-strings estimated from the p-values above one half, the cut is the smallest at
-which the estimated share of structured strings among those accepted is at
-most ``fdr``. The strata's histograms are one small grouped count.
+encoding and length class over the whole corpus: the cut is the smallest, from 0
+on, at which the p-values accepted show no structured strings, that is, at no bound up
+to one half do those below it exceed what those above it tell for random strings by more than
+``fdr`` of all, beyond chance. A stratum with few strings is judged together with the
+neighbouring length classes. The strata's histograms are one small grouped count.
 
 Work per document is expressions over the row; nothing is shuffled but the
 histogram. Positions are code points, ends exclusive.
@@ -27,6 +28,8 @@ kept, row by row; an empty table gives an empty result; other columns pass by.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +57,10 @@ ENCODINGS = (   # name, what the body must match, what it must hold, alphabet in
 )
 FOLDED = ("hex", "base36")     # encodings in either case
 MIN_BITS = 80.0
-BINS = 20
+# Cuts tried and bounds of the histogram; structured strings crowd below the first ones.
+EDGES = (0.0, 0.001, 0.01, *(b / 20 for b in range(1, 20)))
+CHANCE = 0.005                 # an excess of low p-values less likely than this is not chance
+SMALL = 20                     # a stratum with fewer candidates borrows from its neighbours
 MAX_CLASS = 6                  # length classes: 20-31, 32-47, 48-63, 64-95, ... characters
 SPAN = "array<struct<start:bigint,rank:int,stop:bigint,kind:string>>"
 CAND = "array<struct<start:bigint,stop:bigint,enc:string,class:int,p:double>>"
@@ -169,22 +175,61 @@ def scan(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str, str,
     return out, text, base, cands
 
 
+def _at_least(k: int, n: int, q: float) -> float:
+    """Probability of ``k`` or more among ``n`` draws of probability ``q``."""
+    if n * q * (1 - q) > 1000:
+        return 0.5 * math.erfc((k - 0.5 - n * q) / math.sqrt(2 * n * q * (1 - q)))
+    total, ways = 0.0, math.lgamma(n + 1)
+    for i in range(k, n + 1):
+        term = math.exp(ways - math.lgamma(i + 1) - math.lgamma(n - i + 1)
+                        + i * math.log(q) + (n - i) * math.log1p(-q))
+        total += term
+        if i > n * q and term < 1e-12 * total:
+            break
+    return total
+
+
+def least_accepted(counts: list[int], fdr: float) -> float | None:
+    """Least edge from which on the counts by ``EDGES`` look random; None if nothing is left."""
+    for k, e in enumerate(EDGES):
+        accepted = sum(counts[k:])
+        if not accepted:
+            return None
+        for j in range(k + 1, len(EDGES)):
+            bound = EDGES[j]
+            if bound > max(0.5, e):
+                continue
+            low = sum(counts[k:j])
+            q = (bound - e) / (1 - e)
+            structured = low - (accepted - low) * q / (1 - q)
+            if structured > fdr * accepted + 1e-9 and _at_least(low, accepted, q) < CHANCE:
+                break
+        else:
+            return e
+    return None
+
+
 def cuts(scanned: DataFrame, cands: str, fdr: float = 0.05) -> dict[tuple[str, int], float]:
     """Least p-value accepted in each stratum, from the corpus-wide histogram."""
+    edges = "array(" + ", ".join(f"{e!r}D" for e in EDGES) + ")"
     c = scanned.select(F.explode(cands).alias("c")).select(
-        "c.enc", "c.class", F.least(F.floor(F.col("c.p") * BINS), F.lit(BINS - 1)).alias("bin"))
+        "c.enc", "c.class", F.expr(f"greatest(0, size(filter({edges}, e -> e <= c.p)) - 1)"
+                                   ).alias("bin"))
     rows = c.groupBy("enc", "class", "bin").agg(F.count("*").alias("n")).collect()
     strata: dict[tuple[str, int], list[int]] = {}
     for r in rows:       # at most encodings x length classes x bins
-        strata.setdefault((r["enc"], r["class"]), [0] * BINS)[int(r["bin"])] = r["n"]
+        strata.setdefault((r["enc"], r["class"]), [0] * len(EDGES))[int(r["bin"])] = r["n"]
     out = {}
-    for key, counts in strata.items():
-        random = min(sum(counts), (sum(counts[BINS // 2:]) + 1) / 0.5)
-        for b in range(1, BINS):          # the lowest bin holds the structured strings
-            accepted = sum(counts[b:])
-            if accepted and 1 - random * (1 - b / BINS) / accepted <= fdr:
-                out[key] = b / BINS
-                break
+    for (enc, klass), own in strata.items():
+        counts, reach = own, 0
+        while sum(counts) < SMALL and reach < MAX_CLASS:
+            reach += 1
+            for near in (klass - reach, klass + reach):
+                more = strata.get((enc, near), [0] * len(EDGES))
+                counts = [x + y for x, y in zip(counts, more, strict=True)]
+        cut = least_accepted(counts, fdr)
+        if cut is not None:
+            out[enc, klass] = cut
     return out
 
 

@@ -270,3 +270,41 @@ def test_url_filter_matches_brute_force(spark):
     empty = spark.createDataFrame([], schema)
     assert url_filter.judge(spark.createDataFrame(caps, "page_id long, url string, day date"), empty
                             ).where("listed").count() == 0
+
+
+def p_rows(spark, strata):
+    """Scanned rows of candidates with given p-values: {(encoding, class): p-values}."""
+    rows = [([(0, 40, enc, k, float(p))],) for (enc, k), ps in strata.items() for p in ps]
+    return spark.createDataFrame(rows, f"cands {secret_scan.CAND}")
+
+
+def test_cuts_accept_random_strata_of_any_size(spark):
+    rng = np.random.default_rng(5)
+    for n, draws in ((1, 400), (2, 200), (3, 150), (5, 100), (10, 60), (100, 20), (10_000, 3)):
+        lost = 0
+        for _ in range(draws):
+            p = rng.random(n)
+            counts = np.histogram(p, [*secret_scan.EDGES, 1.0])[0].tolist()
+            cut = secret_scan.least_accepted(counts, 0.05)
+            lost += n if cut is None else int((p < cut).sum())
+        assert lost <= 0.02 * n * draws, n
+    strata = {("base64url", 1): [0.03], ("base32", 2): [0.02, 0.3], ("base36", 4): rng.random(5)}
+    assert secret_scan.cuts(p_rows(spark, strata), "cands") == dict.fromkeys(strata, 0.0)
+
+
+def test_cuts_keep_structured_strings_out(spark):
+    rng = np.random.default_rng(6)
+    low = [1e-9] * 30
+    strata = {("hex", 1): low[:1], ("base32", 2): low, ("base64", 2): [*low, *rng.random(100)],
+              # the neighbour tells that low values are structured, and up to where
+              ("base36", 2): [*rng.uniform(0, 0.09, 300), *rng.random(300)], ("base36", 3): [0.02]}
+    got = secret_scan.cuts(p_rows(spark, strata), "cands")
+    assert ("hex", 1) not in got and ("base32", 2) not in got
+    assert 0 < got["base64", 2] <= 0.01
+    assert 0.05 <= got["base36", 2] <= 0.1 and got["base36", 3] == got["base36", 2]
+
+
+def test_lone_random_keys_are_found(spark):
+    rows = [(i, f"see {drawn(i, n)} here", "en", "s", 1) for i, n in enumerate((24, 40, 40, 60))]
+    got = secret_scan.find_secrets(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert all([s.kind for s in r.spans] == ["random"] for r in got)
