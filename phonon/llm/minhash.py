@@ -44,10 +44,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from phonon.llm.common import connected_components, store
+from phonon.llm.common import connected_components, fresh, store
 from phonon.llm.shingles import U64, counted, scramble, shingle
 
 BITS = 20
@@ -290,10 +291,21 @@ def block_links(texts: list[str], comps: list, sides: np.ndarray | None, idf: np
 NODE = "struct<id:bigint,a:bigint,b:bigint>"
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 settings: Settings | None = None) -> DataFrame:
-    """(doc_id, class_id, kept), one row per row of ``docs``."""
-    s = settings or Settings()
+def _names(texts: list, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, a, b) of the texts with a shingle: 128-bit names of their shingle multisets."""
+    at, codes, n = counted(texts, width)
+    if not len(at):
+        none = np.empty(0, np.int64)
+        return none, none, none
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    a, b = (np.add.reduceat(scramble(scramble(
+        codes + n.astype(U64) * U64(0xB5297A4D2C1B3C6F + 2 * j)) + U64(j)), first
+        ).view(np.int64) for j in (0, 1))
+    return at[first], a, b
+
+
+def _classed(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFrame:
+    """(doc_id, a, b, class) per row of ``docs``: the class is its least node."""
     spark = docs.sparkSession
     idf = spark.sparkContext.broadcast(shingle_weights(docs, text_col, s))
     sig = store(signatures(docs, id_col, text_col, idf, s), "signatures")
@@ -312,14 +324,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in _texts(batch, 1):
-                at, codes, n = counted(texts, s.width)
-                if not len(at):
-                    continue
-                first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-                a, b = (np.add.reduceat(scramble(scramble(
-                    codes + n.astype(U64) * U64(0xB5297A4D2C1B3C6F + 2 * j)) + U64(j)), first
-                    ).view(np.int64) for j in (0, 1))
-                who = at[first]
+                who, a, b = _names(texts, s.width)
                 rows = batch.slice(start, len(texts)).take(pa.array(who))
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), pa.array(a), pa.array(b), rows.column(1)],
@@ -401,21 +406,76 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not more.isEmpty():
         comps = connected_components(stars.unionByName(more))
     ends = comps.select(F.col("node.a").alias("a"), F.col("node.b").alias("b"),
-                        F.col("component.id").alias("class"))
-    alone = nodes.select("a", "b", F.col("id").alias("own"))
-    rows = (sig.select("doc_id", "a", "b")
-            .join(store(alone.join(ends, ["a", "b"], "left").select(
-                "a", "b", F.coalesce("class", "own").alias("class")), "classes"),
-                ["a", "b"], "left"))
+                        F.col("component").alias("class"))
+    alone = nodes.select("a", "b", node.alias("own"))
+    classes = store(alone.join(ends, ["a", "b"], "left").select(
+        "a", "b", F.coalesce("class", "own").alias("class")), "classes")
+    return sig.select("doc_id", "a", "b").join(classes, ["a", "b"], "left").select(
+        "doc_id", "a", "b", "class")
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 settings: Settings | None = None) -> DataFrame:
+    """(doc_id, class_id, kept), one row per row of ``docs``."""
+    rows = _classed(docs, id_col, text_col, settings or Settings())
     class_id = F.when(F.col("a").isNull(), F.col("doc_id")).otherwise(
-        F.when(F.col("class") != NO_ID, F.col("class")))
+        F.when(F.col("class.id") != NO_ID, F.col("class.id")))
     return rows.select("doc_id", class_id.alias("class_id"),
                        class_id.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                settings: Settings | None = None) -> DataFrame:
-    """Rows of ``docs`` that represent their class (the least document id), all columns kept."""
-    gone = near_classes(docs, id_col, text_col, settings).where("NOT kept").select(
-        F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    """One row of ``docs`` of each class, all columns kept: the least document id (null last).
+
+    Rows are judged one by one. Ids whose rows all stay or all go are settled by
+    id; only the rows of the others are named by their shingles again. Rows equal in id
+    and shingles go by the order of text and other columns. Rows without a shingle stay.
+    """
+    s = settings or Settings()
+    own = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "a", "b")
+    rows = _classed(docs, id_col, text_col, s).groupBy(
+        "doc_id", "a", "b", (F.col("a").isNull() | (own == F.col("class"))).alias("stays")).agg(
+        F.count("*").alias("n"))
+    rows = store(rows, "row-verdicts")
+    ids = store(rows.groupBy("doc_id").agg(
+        F.max("stays").alias("some"), F.min("stays").alias("all"),
+        F.max(F.col("stays") & F.col("a").isNotNull() & (F.col("n") > 1)).alias("ties")).where(
+        "NOT all OR ties"), "row-ids")
+    given, a, b, place = fresh(docs, "given", "a", "b", "place")
+    docs = docs.withColumn(given, F.col(id_col).cast("long"))
+
+    def of(which: DataFrame) -> F.Column:
+        return docs[given].eqNullSafe(which["doc_id"])
+
+    settled = docs.join(ids, of(ids), "left_anti").drop(given)
+    open_ = store(ids.where("some"), "open-ids")
+    if open_.isEmpty():
+        return settled
+    found = docs.join(open_, of(open_), "left_semi")
+    at = found.columns.index(text_col)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, texts in _texts(batch, at):
+                who, x, y = _names(texts, s.width)
+                part = batch.slice(start, len(texts))
+                cols = []
+                for name in (x, y):
+                    full, none = np.zeros(len(texts), np.int64), np.ones(len(texts), bool)
+                    full[who], none[who] = name, False
+                    cols.append(pa.array(full, mask=none))
+                yield pa.RecordBatch.from_arrays([*part.columns, *cols],
+                                                 names=[*part.schema.names, a, b])
+
+    schema = StructType([*found.schema.fields, StructField(a, LongType()), StructField(b, LongType())])
+    found = found.mapInArrow(named, schema)
+    stay = rows.where("stays").select(*(F.col(c).alias(f"__stay_{c}") for c in ("doc_id", "a", "b")))
+    found = found.join(stay, F.col(given).eqNullSafe(F.col("__stay_doc_id"))
+                       & F.col(a).eqNullSafe(F.col("__stay_a"))
+                       & F.col(b).eqNullSafe(F.col("__stay_b")), "left_semi")
+    order = [F.col(text_col)] + [F.col(c) for c, kind in found.dtypes if "map<" not in kind]
+    first = F.row_number().over(Window.partitionBy(given, a, b).orderBy(*order))
+    bare = found.where(F.col(a).isNull())
+    one = found.where(F.col(a).isNotNull()).withColumn(place, first).where(F.col(place) == 1)
+    return settled.unionByName(bare.unionByName(one.drop(place)).drop(given, a, b))

@@ -309,3 +309,20 @@ def test_vectors_of_few_dimensions(spark):
     got = Counter((r.vec_id, r.n_links, r.component_id)
                   for r in cap_filters.near_vectors(df, settings=s).collect())
     assert got == brute_vectors(rows)
+
+
+def test_near_dedup_judges_rows_not_ids(spark):
+    rng = random.Random(8)
+    base, lone, third = (words(rng, 60) for _ in range(3))
+    near, other = base + " tail", third + " tail"
+    rows = [(1, base, "en", "s", 1), (7, near, "en", "s", 2), (7, lone, "en", "s", 3),
+            (7, lone, "en", "s", 4), (9, near + " x", "en", "s", 5),
+            (None, third, "en", "s", 6), (None, other, "en", "s", 7), (None, other + " x", "en", "s", 8),
+            (None, words(rng, 50), "en", "s", 9), (None, None, "en", "s", 10), (7, "", "en", "s", 11)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = sorted(r.n_chars for r in minhash.near_dedup(docs).collect())
+    assert len(set(got) & {6, 7, 8}) == 1
+    assert [n for n in got if n not in (6, 7, 8)] == [1, 3, 9, 10, 11]
+    assert minhash.near_dedup(docs).columns == docs.columns
+    again = spark.createDataFrame(rows[::-1], SCHEMA).repartition(2)
+    assert sorted(r.n_chars for r in minhash.near_dedup(again).collect()) == got
