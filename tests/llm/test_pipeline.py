@@ -91,3 +91,24 @@ def test_pipeline_of_nothing(spark, none):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+@pytest.mark.parametrize("labels", [2, 4, 20])
+def test_language_stage_drops_unlearned_languages_and_gibberish(spark, labels):
+    rng = np.random.default_rng(labels)
+    pools = [["".join(rng.choice(list("bdgklmnprst"), 1)) + "".join(rng.choice(list("aeiou"), 1))
+              + "".join(rng.choice(list("lmnrs"), 1)) for _ in range(12)] for _ in range(labels)]
+
+    def text(pool, n):
+        return " ".join("".join(rng.choice(pool, rng.integers(1, 3))) for _ in range(n))
+
+    rows = [(i, text(pools[i % labels], int(rng.integers(4, 60))), f"l{i % labels:02d}", "s", 1)
+            for i in range(100 * labels)]
+    other = ["zhuq", "xwef", "jyqo", "vchi", "qwx"]
+    bad = [(10**6 + i, text(other, 40), None, "s", 1) for i in range(20)]
+    bad += [(2 * 10**6 + i, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 400)), None, "s", 1)
+            for i in range(20)]
+    docs = spark.createDataFrame(rows + bad, SCHEMA)
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, SF).collect()}
+    assert sum(r[0] in kept for r in rows) >= 0.995 * len(rows)
+    assert not kept & {r[0] for r in bad}
