@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phonon.llm.tokens import ChunkEncoder, slices
+from phonon.llm.common import arrow_slices, kept_in_worker
+from phonon.llm.tokens import ChunkEncoder
 from phonon.session import ship_package
 
 MEMO = 200_000          # remembered pairs and matches; emptied when full
@@ -142,16 +143,13 @@ class BytePairCodec:
         return b"".join([tokens[i] for i in np.frombuffer(packed, "<u4").tolist()])
 
 
-_CODECS: dict[tuple[str, str], tuple[BytePairCodec, ChunkEncoder]] = {}
-
-
 def codec(path: str, pattern: str) -> tuple[BytePairCodec, ChunkEncoder]:
     """The worker's codec of a rank file (kept between tasks) and its encoder of whole texts."""
-    key = (path, pattern)
-    if key not in _CODECS:
+    codecs, key = kept_in_worker("bpe"), (path, pattern)
+    if key not in codecs:
         made = BytePairCodec(path, pattern)
-        _CODECS[key] = made, ChunkEncoder(made.encode_many, limit=400_000)
-    return _CODECS[key]
+        codecs[key] = made, ChunkEncoder(made.encode_many, limit=400_000)
+    return codecs[key]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
@@ -161,7 +159,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, enc = codec(path, pattern)
         for batch in batches:
-            for rows in slices(batch, 1):
+            for rows in arrow_slices(batch, 1):
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), pa.array(enc.encode(rows.column(1)), pa.binary())],
                     names=["doc_id", "ids"])
@@ -178,7 +176,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, _ = codec(path, pattern)
         for batch in batches:
-            for rows in slices(batch, 1):
+            for rows in arrow_slices(batch, 1):
                 texts = [made.decode(ids) for ids in rows.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), rows.column(1), pa.array(texts, pa.binary())],

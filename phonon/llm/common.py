@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from phonon.session import scratch_path
 
@@ -38,6 +44,77 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def kept_in_worker(owner: str) -> dict:
+    """What a Python worker keeps between the tasks of one operator (tokenizers, memories).
+
+    Workers outlive stages. When a task of another operator begins, what the
+    earlier one kept is let go, so that a job of many stages needs no more
+    memory than its largest stage.
+    """
+    if owner not in _KEPT:
+        for other in _KEPT.values():
+            other.clear()
+        _KEPT.clear()
+        _KEPT[owner] = {}
+        release_memory()
+    return _KEPT[owner]
+
+
+def release_memory() -> None:
+    """Give freed memory of this worker back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):      # another C library
+        pass
+
+
+def arrow_slices(batch: pa.RecordBatch, column: int | pa.Array, most_rows: int = 4000,
+                 most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with bounded rows and bytes of the strings or binaries of ``column``, a
+    position or the values themselves (a longer value is a part of its own)."""
+    values = batch.column(column) if isinstance(column, int) else column
+    sizes = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
+    start, held = 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        if k > start and (k - start >= most_rows or held + n > most_bytes):
+            yield batch.slice(start, k - start)
+            start, held = k, 0
+        held += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
+def arrow_map(df: DataFrame, column: str, run: Callable[[list], list], added: list[T.StructField],
+              owner: str) -> DataFrame:
+    """``df`` and the columns ``added``, computed by ``run`` from the values of ``column``.
+
+    ``run`` gets the values of a slice and returns one Arrow array for each
+    added column. Rows travel as Arrow slices of bounded rows and bytes;
+    columns go by position, so their names never matter.
+    """
+    names = df.columns
+    plain = [f"c{k}" for k in range(len(names))]
+    schema = T.StructType([T.StructField(c, f.dataType) for c, f in zip(plain, df.schema, strict=True)]
+                          + [T.StructField(f"a{k}", f.dataType) for k, f in enumerate(added)])
+    at = names.index(column)
+    labels = [f.name for f in schema]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_in_worker(owner)
+        for batch in batches:
+            for part in arrow_slices(batch, at):
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, *run(part.column(at).to_pylist())], names=labels)
+        release_memory()
+
+    return df.toDF(*plain).mapInArrow(each, schema).toDF(*names, *[f.name for f in added])
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): smallest node reachable, for every node of ``edges`` (a, b).
 

@@ -31,12 +31,13 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from phonon.llm.common import store
+from phonon.llm.common import arrow_slices, kept_in_worker, release_memory, store
 
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -48,6 +49,40 @@ LOCAL = (
 KIND = T.StructField("kind", T.StringType())
 
 
+# Owner slots: digest, length, hash, class, size, code points, id, window, place, carried row and bytes.
+ROW, CARRIED = 9, 10
+
+
+class Rows:
+    """Carried rows as positions in Arrow arrays; rows given up are compacted away."""
+
+    def __init__(self) -> None:
+        self.parts: list[pa.Array] = []
+        self.live = 0
+
+    def add(self, rows: pa.Array) -> int:
+        self.parts.append(rows)
+        return len(self.parts) - 1
+
+    def take(self, places: list[tuple[int, int]]) -> pa.Array:
+        """The rows at (part, position), in that order."""
+        starts, at = [], 0
+        for p in self.parts:
+            starts.append(at)
+            at += len(p)
+        got = pa.chunked_array(self.parts).take(pa.array([starts[a] + b for a, b in places], pa.int64()))
+        return got.combine_chunks() if got.num_chunks != 1 else got.chunk(0)
+
+    def compact(self, slots: Iterator[list], least: int = 4096) -> None:
+        """Keep only the rows that ``slots`` stand for, once most of the held ones are others."""
+        if sum(map(len, self.parts)) <= 2 * self.live + least:
+            return
+        kept = [s for s in slots if s[ROW] is not None]
+        self.parts = [self.take([s[ROW] for s in kept])] if kept else []
+        for k, s in enumerate(kept):
+            s[ROW] = (0, k)
+
+
 class Trie:
     """Compressed radix trie over byte strings; ``insert`` returns the terminal's slot."""
 
@@ -83,20 +118,31 @@ class Trie:
             self.terminals += 1
         return node[2]
 
-    def walk(self, node: list | None = None) -> Iterator[list]:
-        """Slots of all terminals at or below ``node`` (explicit stack: keys can be deep)."""
+    def walk(self, node: list | None = None) -> Iterator[tuple[bytes, list]]:
+        """(key, slot) of all terminals at or below ``node``, a child of the root or the root
+        itself (explicit stack: keys can be deep). Keys are put together from their labels."""
+        stack = [(node or self.root, b"")]
+        while stack:
+            (label, children, slot), above = stack.pop()
+            key = above + label
+            if slot is not None:
+                yield key, slot
+            stack.extend([(c, key) for c in children.values()])
+
+    def slots(self, node: list | None = None) -> Iterator[list]:
         stack = [node or self.root]
         while stack:
-            label, children, slot = stack.pop()
+            _, children, slot = stack.pop()
             if slot is not None:
                 yield slot
             stack.extend(children.values())
 
     def weight(self, node: list) -> int:
+        """Bytes held at or below ``node``, with what slots of owner rounds carry."""
         total, stack = 0, [node]
         while stack:
-            label, children, _ = stack.pop()
-            total += len(label) + 300
+            label, children, slot = stack.pop()
+            total += len(label) + 300 + (slot[CARRIED] if slot and len(slot) > CARRIED else 0)
             stack.extend(children.values())
         return total
 
@@ -104,7 +150,7 @@ class Trie:
         node = self.root[1].pop(first, None)
         if node is not None:
             self.held -= self.weight(node)
-            self.terminals -= sum(1 for _ in self.walk(node))
+            self.terminals -= sum(1 for _ in self.slots(node))
         return node
 
 
@@ -133,10 +179,11 @@ ARROW = [("norm_len", pa.int64()), ("hash", pa.int64()), ("text", pa.binary()),
          ("owner_pos", pa.int32()), ("lid", pa.int64()), ("members", pa.list_(pa.int64()))]
 
 
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, type=f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+def _batch(rows: list[tuple], schema: pa.Schema, carried: pa.Array | None = None) -> pa.RecordBatch:
+    fields = list(schema)[:len(schema) - 1] if carried is not None else list(schema)
+    cols = list(zip(*rows, strict=True)) if rows else [[] for _ in fields]
+    made = [pa.array(c, type=f.type) for c, f in zip(cols, fields, strict=True)]
+    return pa.RecordBatch.from_arrays(made + ([carried] if carried is not None else []), schema=schema)
 
 
 def local_groups(window_bytes: int, window_rows: int, carry: bool):
@@ -144,114 +191,136 @@ def local_groups(window_bytes: int, window_rows: int, carry: bool):
     window. With ``carry`` the best row travels whole and the text is taken from it later."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_in_worker("exact_dedup")
         base = TaskContext.get().partitionId() << 33
-        trie, order, seen, lid, schema = Trie(), [], 0, 0, None
+        trie, rows, seen, lid, schema = Trie(), Rows(), 0, 0, None
 
         def flush() -> Iterator[pa.RecordBatch]:
-            # slot: normalised text, best chars, best id, best position, members, best row
-            rows, held = [], 0
-            for k, (norm, chars, ident, at, members, row) in enumerate(order):
+            # slot: best chars, best id, best position, members, place of the best row
+            nonlocal lid
+            out, places, held = [], [], 0
+            for norm, (chars, ident, at, members, place) in trie.walk():
                 sha = hashlib.sha256(norm).digest()
-                mine = base + lid + k
-                out = (len(norm), int.from_bytes(sha[:8], "little", signed=True),
-                       None if carry else norm, sha, 0, len(members), chars, ident, mine, at, mine,
-                       None if carry else members)
-                rows.append((*out, row) if carry else out)
+                mine = base + lid
+                lid += 1
+                out.append((len(norm), int.from_bytes(sha[:8], "little", signed=True),
+                            None if carry else norm, sha, 0, len(members), chars, ident, mine, at, mine,
+                            None if carry else members))
+                places.append(place)
                 held += len(norm)
-                if held > 8 << 20:
-                    yield _batch(rows, schema)
-                    rows, held = [], 0
-            if rows:
-                yield _batch(rows, schema)
+                if held > 8 << 20 or len(out) >= 4000:
+                    yield _batch(out, schema, rows.take(places) if carry else None)
+                    out, places, held = [], [], 0
+            if out:
+                yield _batch(out, schema, rows.take(places) if carry else None)
 
         for batch in batches:
             if schema is None:
                 more = [("row", batch.schema.field(3).type)] if carry else []
                 schema = pa.schema(ARROW + more)
-            whole = batch.column(3).to_pylist() if carry else [None] * batch.num_rows
-            for ident, text, chars, row in zip(batch.column(0).to_pylist(),
-                                               batch.column(1).to_pylist(),
-                                               batch.column(2).to_pylist(), whole, strict=True):
-                norm = text.translate(None, BLANKS)
-                slot = trie.insert(norm)
-                seen += 1
-                if not slot:
-                    slot.extend((norm, chars, ident, 0, [ident], row))
-                    order.append(slot)
-                else:
-                    if better(chars, ident, slot[1], slot[2]):
-                        slot[1], slot[2], slot[3], slot[5] = chars, ident, len(slot[4]), row
-                    slot[4].append(ident)
+            for part in arrow_slices(batch, 1):
+                held = rows.add(part.column(3)) if carry else 0
+                for k, (ident, text, chars) in enumerate(zip(
+                        part.column(0).to_pylist(), part.column(1).to_pylist(),
+                        part.column(2).to_pylist(), strict=True)):
+                    slot = trie.insert(text.translate(None, BLANKS))
+                    seen += 1
+                    if not slot:
+                        slot.extend((chars, ident, 0, [ident], (held, k)))
+                    else:
+                        if better(chars, ident, slot[0], slot[1]):
+                            slot[0], slot[1], slot[2], slot[4] = chars, ident, len(slot[3]), (held, k)
+                        slot[3].append(ident)
                 if trie.held > window_bytes or seen >= window_rows:
                     yield from flush()
-                    lid += len(order)
-                    trie, order, seen = Trie(), [], 0
-        if order:
+                    trie, rows, seen = Trie(), Rows(), 0
+        if seen:
             yield from flush()
+        del trie, rows
+        release_memory()
 
     return run
 
 
-def owner_round(trie_bytes: int, text_field: str | None):
+def owner_round(trie_bytes: int, text_at: int | None):
     """Insert the texts of a (length, hash) partition; emit members, owners and spilled rows.
 
-    ``text_field`` names the text inside carried rows (None: rows are not carried).
+    ``text_at`` is the place of the text inside carried rows (None: rows are not carried).
     """
+    carry = text_at is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, spilled, classes, schema = Trie(), set(), {}, None
+        kept_in_worker("exact_dedup")
+        trie, rows, spilled, classes, schema = Trie(), Rows(), set(), {}, None
         out: list[tuple] = []
+        places: list[tuple[int, int]] = []
 
-        def owner(slot: list, kind: str) -> tuple:
-            sha, length, hashed, cls, size, chars, ident, lid, pos, text, row = slot
-            made = (kind, length, hashed, text if kind == "s" and row is None else None, sha, cls,
-                    size, chars, ident, lid, pos, None, None)
-            return (*made, row) if text_field else made
+        def owner(key: bytes, slot: list, kind: str) -> None:
+            sha, length, hashed, cls, size, chars, ident, lid, pos, place, _ = slot
+            out.append((kind, length, hashed, key if kind == "s" and not carry else None, sha, cls,
+                        size, chars, ident, lid, pos, None, None))
+            places.append(place)
 
         def drain(least: int) -> Iterator[pa.RecordBatch]:
             if len(out) > least:
-                yield _batch(out, schema)
+                yield _batch(out, schema, rows.take(places) if carry else None)
                 out.clear()
+                places.clear()
 
         for batch in batches:
             if schema is None:
-                more = [("row", batch.schema.field(12).type)] if text_field else []
+                more = [("row", batch.schema.field(12).type)] if carry else []
                 schema = pa.schema([("kind", pa.string())] + ARROW + more)
-            cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-            if not text_field:
-                cols.append([None] * batch.num_rows)
-            for (length, hashed, text, sha, cls, size, chars, ident, o_lid, o_pos, lid,
-                 members, row) in zip(*cols, strict=True):
-                if row is not None:
-                    text = (row[text_field] or "").encode().translate(None, BLANKS)
-                first = text[0] if text else -1
-                if first in spilled:
-                    again = ("s", length, hashed, None if text_field else text, sha, cls, size,
-                             chars, ident, o_lid, o_pos, lid, members)
-                    out.append((*again, row) if text_field else again)
-                    continue
-                slot = trie.insert(text)
-                if not slot:
-                    n = classes.get(sha, 0)      # texts of one digest, told apart by their bytes
-                    classes[sha] = n + 1
-                    slot.extend((sha, length, hashed, max(cls, n), 0, -1, None, 0, 0, text, None))
-                if slot[4] == 0 or better(chars, ident, slot[5], slot[6]):
-                    slot[5], slot[6], slot[7], slot[8], slot[10] = chars, ident, o_lid, o_pos, row
-                slot[4] += size
-                if members is not None:
-                    out.append(("m", length, hashed, None, sha, slot[3], 0, 0, None, 0, o_pos, lid,
-                                members))
-                while trie.held > trie_bytes and trie.terminals > 1 and trie.root[1]:
-                    big = max(trie.root[1], key=lambda b: trie.weight(trie.root[1][b]))
-                    spilled.add(big)
-                    for gone in trie.walk(trie.drop(big)):
-                        out.append(owner(gone, "s"))
-                        yield from drain(2000)
-            yield from drain(0)
-        for slot in trie.walk():
-            out.append(owner(slot, "o"))
+            texts = batch.column(2) if not carry else pc.struct_field(batch.column(12), [text_at])
+            at = 0
+            for part in arrow_slices(batch, texts):
+                own = texts.slice(at, part.num_rows).to_pylist()
+                at += part.num_rows
+                if carry:
+                    own = [(t or "").encode().translate(None, BLANKS) for t in own]
+                held = rows.add(part.column(12)) if carry else 0
+                cols = [part.column(i).to_pylist() for i in (0, 1, 3, 4, 5, 6, 7, 8, 9, 10, 11)]
+                for k, (text, length, hashed, sha, cls, size, chars, ident, o_lid, o_pos, lid,
+                        members) in enumerate(zip(own, *cols, strict=True)):
+                    first = text[0] if text else -1
+                    if first in spilled:
+                        out.append(("s", length, hashed, None if carry else text, sha, cls, size,
+                                    chars, ident, o_lid, o_pos, lid, members))
+                        places.append((held, k))
+                        continue
+                    slot = trie.insert(text)
+                    if not slot:
+                        n = classes.get(sha, 0)      # texts of one digest, told apart by their bytes
+                        classes[sha] = n + 1
+                        slot.extend((sha, length, hashed, max(cls, n), 0, -1, None, 0, 0, None, 0))
+                        rows.live += carry
+                    if slot[4] == 0 or better(chars, ident, slot[5], slot[6]):
+                        slot[5], slot[6], slot[7], slot[8] = chars, ident, o_lid, o_pos
+                        if carry:
+                            slot[ROW] = (held, k)
+                            trie.held += len(text) + 200 - slot[CARRIED]
+                            slot[CARRIED] = len(text) + 200
+                    slot[4] += size
+                    if members is not None:
+                        out.append(("m", length, hashed, None, sha, slot[3], 0, 0, None, 0, o_pos, lid,
+                                    members))
+                        places.append(None)
+                    while trie.held > trie_bytes and trie.terminals > 1 and trie.root[1]:
+                        big = max(trie.root[1], key=lambda b: trie.weight(trie.root[1][b]))
+                        spilled.add(big)
+                        for key, gone in trie.walk(trie.drop(big)):
+                            rows.live -= carry
+                            owner(key, gone, "s")
+                            yield from drain(2000)
+                yield from drain(0)
+                if carry:
+                    rows.compact(trie.slots())
+        for key, slot in trie.walk():
+            owner(key, slot, "o")
             yield from drain(2000)
         yield from drain(0)
+        del trie, rows
+        release_memory()
 
     return run
 
@@ -270,7 +339,7 @@ def _rounds(docs: DataFrame, id_col: str, text_col: str, carry: bool, window_byt
                                           T.StructType(fields))
     todo, parts = local.repartition("norm_len", "hash"), []
     for rnd in range(max_rounds):
-        done = todo.mapInArrow(owner_round(trie_bytes, text_col if carry else None),
+        done = todo.mapInArrow(owner_round(trie_bytes, docs.columns.index(text_col) if carry else None),
                                T.StructType([KIND, *fields]))
         done = store(done, f"owners{rnd}")
         parts.append(done.where("kind <> 's'"))

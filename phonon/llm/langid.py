@@ -18,14 +18,16 @@ How it runs
   for the temperature, the minimum of the calibration loss on a grid.
 * The model (buckets x classes, size-checked) is broadcast; scoring is one map.
 * A text whose n-grams are rarer in the texts of its best class than those of clean texts of
-  its length are (all but LOST of the sample, each text judged by the others) is in no learned language: its score
-  is STRANGE times the probability, whatever the number of classes.
+  its length are (all but LOST of the sample, each text judged by the others) is marked
+  ``strange``, whatever the number of classes; its score stays the calibrated probability.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 so is everything if no row has a label. A null label is not trained on. Ties
 between classes go to the first label in sorted order. Empty tables and other
 columns, whatever their names, are fine. A null id counts as empty text in the
-fold rule. Repeated rows are scored alike.
+fold rule. Repeated rows are scored alike. Texts are read whole, however long: n-grams are
+counted into a vector of fixed size. Of more labels than ``max_classes`` the most frequent
+(ties: first in sorted order) are learned.
 """
 
 from __future__ import annotations
@@ -36,10 +38,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from phonon.llm.common import fresh
+from phonon.llm.common import arrow_map, arrow_slices, kept_in_worker, release_memory
 from phonon.session import ship_package
 
 BITS = 16
@@ -53,7 +57,6 @@ PIECES = (10, 30, 100, 300)       # clean texts are judged whole and by so many
 DEVIATIONS = 5.0
 LOST = 0.001                      # share of clean rows lost, at most
 LEAST_CLEAN, OWN_CLEAN = 10, 100  # clean values for a cut, and for one of the class's own
-STRANGE = 1e-6                    # factor of the score of a text unlike all texts of its class
 GRID = np.exp(np.linspace(np.log(0.02), np.log(20.0), 61))   # temperatures tried
 
 
@@ -138,18 +141,22 @@ class LanguageModel:
     sizes: np.ndarray | None = None      # texts of the class
     most: np.ndarray | None = None       # (classes, length classes): highest strangeness of clean texts
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def judge(self, text: str | None) -> tuple[str, float, bool]:
+        """(language, calibrated probability, unlike all texts of that language)."""
         c = counts(text) if self.labels else None
         if c is None:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, True
         f = weighted(c, self.idf)
         p = softmax((f[1] @ self.weights[f[0]]) / self.temperature)
         k = int(np.argmax(p))
-        score = float(p[k])
+        strange = False
         if self.most is not None:
             x, size = strangeness(c, self.holding[:, k], self.sizes[k])
-            score *= STRANGE if x > self.most[k, size] else 1.0
-        return self.labels[k], score
+            strange = bool(x > self.most[k, size])
+        return self.labels[k], float(p[k]), strange
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return self.judge(text)[:2]
 
 
 def strangeness(c: np.ndarray, holding: np.ndarray, n: float, own: int = 0) -> tuple[float, int]:
@@ -181,46 +188,28 @@ def strangest(values: pd.DataFrame, classes: int) -> np.ndarray:
     return np.maximum.accumulate(out[:, ::-1], axis=1)[:, ::-1]
 
 
-def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """(documents holding each bucket, documents with a letter) over all rows of (text)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df, n = np.zeros(SIZE, dtype=np.int64), 0
-        for batch in batches:
-            for text in batch.iloc[:, 0]:
-                c = counts(text)
-                if c is not None:
-                    df += c > 0
-                    n += 1
-        at = np.flatnonzero(df)
-        yield pd.DataFrame({"bucket": np.append(at, -1), "n": np.append(df[at], n)})
-
-    got = (texts.mapInPandas(run, "bucket long, n long").groupBy("bucket")
-           .agg(F.sum("n").alias("n")).toPandas())
-    df = np.zeros(SIZE, dtype=np.int64)
-    inside = got[got.bucket >= 0]
-    df[inside.bucket.to_numpy()] = inside.n.to_numpy()
-    return df, int(got.loc[got.bucket < 0, "n"].sum())
-
-
 def class_frequencies(rows: DataFrame, classes: int) -> tuple[np.ndarray, np.ndarray]:
     """(texts of each class holding each bucket, texts of each class with a letter) of (text, k)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_in_worker("langid")
         df: dict[int, np.ndarray] = {}
         for batch in batches:
-            for text, k in zip(batch["text"], batch["k"], strict=True):
-                c = counts(text)
-                if c is not None:
-                    own = df.setdefault(int(k), np.zeros(SIZE + 1, dtype=np.int64))
-                    own[:SIZE] += c > 0
-                    own[SIZE] += 1
+            for part in arrow_slices(batch, 0):
+                for text, k in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    c = counts(text)
+                    if c is not None:
+                        own = df.setdefault(k, np.zeros(SIZE + 1, dtype=np.int64))
+                        own[:SIZE] += c > 0
+                        own[SIZE] += 1
         for k, own in df.items():
             at = np.flatnonzero(own)
-            yield pd.DataFrame({"bucket": at, "k": k, "n": own[at]})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(at), pa.array(np.full(len(at), k)), pa.array(own[at])], names=["bucket", "k", "n"])
+        release_memory()
 
-    got = (rows.mapInPandas(run, "bucket long, k long, n long").groupBy("bucket", "k")
-           .agg(F.sum("n").alias("n")).toPandas())
+    got = (rows.select("text", F.col("k").cast("int")).mapInArrow(run, "bucket long, k long, n long")
+           .groupBy("bucket", "k").agg(F.sum("n").alias("n")).toPandas())
     out = np.zeros((SIZE + 1, classes))
     out[got["bucket"].to_numpy(dtype=np.int64), got["k"].to_numpy(dtype=np.int64)] = got["n"].to_numpy()
     return out[:SIZE], out[SIZE]
@@ -239,9 +228,7 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, rows_per_class: int
     rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("y")
                            ).where("text IS NOT NULL AND y IS NOT NULL")
     per = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n"))
-           .limit(max_classes + 1).collect()}
-    if len(per) > max_classes:
-        raise ValueError(f"more than {max_classes} labels")
+           .orderBy(F.desc("n"), "y").limit(max_classes).collect()}
     labels = sorted(per)
     classes = len(labels)
     if (SIZE + 1) * classes * 8 > MAX_MODEL_BYTES:
@@ -250,6 +237,7 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, rows_per_class: int
         return LanguageModel([], np.zeros(SIZE), np.zeros((SIZE + 1, 0)), 1.0)
     index = {y: k for k, y in enumerate(labels)}
     cls = F.create_map(*[x for y in labels for x in (F.lit(y), F.lit(index[y]))])
+    rows = rows.where(F.col("y").isin(labels))
     holding, sizes = class_frequencies(rows.select("text", cls[F.col("y")].alias("k")), classes)
     df, n = holding.sum(axis=1), sizes.sum()
     idf = np.log((1.0 + n) / (1.0 + df)) + 1.0
@@ -313,20 +301,25 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, rows_per_class: int
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text",
-             lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
-    """``docs`` with the predicted language and its calibrated probability."""
+             lang_name: str = "lang_pred", score_name: str = "score",
+             strange_name: str = "strange") -> DataFrame:
+    """``docs`` with the predicted language, its calibrated probability, and whether the text is
+    unlike all texts of that language. Input columns of these names are replaced."""
     ship_package(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("struct<lang string, score double>")
-    def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m = held.value
-        for texts in parts:
-            yield pd.DataFrame([m.predict(t) for t in texts], columns=["lang", "score"])
-
-    made = fresh(docs, "lang")[0]
-    return docs.withColumn(made, predict(F.col(text_col))).withColumns(
-        {lang_name: F.col(f"{made}.lang"), score_name: F.col(f"{made}.score")}).drop(made)
+    made = [lang_name, score_name, strange_name]
+
+    def run(texts: list) -> list:
+        got = [held.value.judge(t) for t in texts]
+        return [pa.array([g[k] for g in got], t)
+                for k, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+
+    rows = docs
+    if clash := {c.lower() for c in docs.columns} & {c.lower() for c in made if c != text_col}:
+        rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in clash])
+    return arrow_map(rows, text_col, run, [
+        T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType()),
+        T.StructField(strange_name, T.BooleanType())], "langid")
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:

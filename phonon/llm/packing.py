@@ -39,8 +39,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phonon.llm.common import store
-from phonon.llm.tokens import END_ID, encoder, slices
+from phonon.llm.common import arrow_slices, store
+from phonon.llm.tokens import END_ID, encoder
 
 CAPACITY = 2048
 ROUND_SHIFT = 32        # a bin id: task or group (high bits), round, running number
@@ -117,7 +117,7 @@ def pieces_of(tokenizer_path: str, capacity: int, window: int, with_ids: bool):
             held.clear()
 
         for batch in batches:
-            for rows in slices(batch, 1):
+            for rows in arrow_slices(batch, 1):
                 for ident, packed in zip(rows.column(0).to_pylist(), enc.encode(rows.column(1)),
                                          strict=True):
                     packed += end

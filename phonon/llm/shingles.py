@@ -7,13 +7,14 @@ is one shingle; a text without words has none.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 
+from phonon.llm.common import kept_in_worker
+
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
+MOST_KEPT = 1 << 22               # powers kept between calls (a longer text makes its own)
 WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -25,15 +26,19 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(33))
 
 
-@functools.lru_cache(maxsize=2)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse modulo 2^64, up to a size that is a power of two."""
+    """Powers of BASE and of its inverse modulo 2^64, up to ``size`` at least (the longest are kept)."""
+    kept = kept_in_worker("shingles")
+    if len(kept.get("powers", ((),))[0]) >= size:
+        return kept["powers"]
     out = []
     for base in (BASE, INVERSE):
         p = np.ones(1, U64)
         while len(p) < size:
             p = np.concatenate((p, p * U64(pow(base, len(p), 1 << 64))))
         out.append(p)
+    if size <= MOST_KEPT:
+        kept["powers"] = out[0], out[1]
     return out[0], out[1]
 
 

@@ -38,7 +38,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonon.llm.tokens import END_ID, encoder, slices
+from phonon.llm.common import arrow_slices
+from phonon.llm.tokens import END_ID, encoder
 from phonon.session import scratch_path
 
 MANIFEST = ("shard int, stem string, min_key long, max_key long, n_null long, n_docs long, "
@@ -157,7 +158,7 @@ def _write_shard(folder: str, tokenizer_path: str, width: int):
         for batch in batches:
             if out is None:
                 out = store.open_output_stream(f"{root}/{stem}.ids")
-            for rows in slices(batch, 1):
+            for rows in arrow_slices(batch, 1):
                 col = rows.column(0)
                 n_null += col.null_count
                 keys.append(col.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -13,12 +13,14 @@ whole.
 from __future__ import annotations
 
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from phonon.llm.common import kept_in_worker
+
 # A text is cut only if it has none of these: a blank or line feed that does not stand alone
 # between other characters, or a character outside printable ASCII, line feed, Latin letters with
 # marks, Greek, Cyrillic and some general punctuation.
@@ -91,26 +93,10 @@ class ChunkEncoder:
         return out
 
 
-def slices(batch: pa.RecordBatch, column: int, most_rows: int = 4000,
-           most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with bounded rows and bytes of text (a longer text is a part of its own)."""
-    sizes = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
-    start, held = 0, 0
-    for k, n in enumerate(sizes.tolist()):
-        if k > start and (k - start >= most_rows or held + n > most_bytes):
-            yield batch.slice(start, k - start)
-            start, held = k, 0
-        held += n
-    if start < batch.num_rows:
-        yield batch.slice(start)
-
-
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
     """The worker's encoder of a tokenizer file (kept between tasks)."""
-    if path not in _ENCODERS:
+    encoders = kept_in_worker("tokens")
+    if path not in encoders:
         from tokenizers import Tokenizer
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
@@ -119,5 +105,5 @@ def encoder(path: str) -> ChunkEncoder:
             got = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
             return [array("I", e.ids).tobytes() for e in got]
 
-        _ENCODERS[path] = ChunkEncoder(library)
-    return _ENCODERS[path]
+        encoders[path] = ChunkEncoder(library)
+    return encoders[path]

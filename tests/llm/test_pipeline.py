@@ -44,8 +44,8 @@ def brute(spark, rows):
     model = langid.fit_documents(spark.createDataFrame(rows, SCHEMA))
     kept = []
     for r in rows:
-        lang, score = model.predict(r[1])
-        if lang != "und" and score >= corpus_pipeline.LEAST_SCORE:
+        lang, _, strange = model.judge(r[1])
+        if lang != "und" and not strange:
             kept.append(r)
     owners = Counter(i for (i, _, _, k), n in brute_exact(kept).items() if k for _ in range(n))
     groups = defaultdict(list)

@@ -67,14 +67,57 @@ def test_held_out_rows_are_not_learnt_from(spark):
 
 
 def test_frequencies_cover_all_rows_whole(spark):
-    rows = [(t,) for _, t, *_ in labelled(80)] + [(None,), ("12",), ("ka " * 20_000 + "zz",)]
-    df, n = langid.document_frequencies(spark.createDataFrame(rows, "text string").repartition(5))
-    want = np.zeros(langid.SIZE, np.int64)
-    for (t,) in rows:
+    rows = [(t, k % 3) for k, (_, t, *_) in enumerate(labelled(80))]
+    rows += [(None, 0), ("12", 1), ("ka " * 20_000 + "zz", 2)]
+    df, n = langid.class_frequencies(
+        spark.createDataFrame(rows, "text string, k int").repartition(5), 3)
+    want, sizes = np.zeros((langid.SIZE, 3)), np.zeros(3)
+    for t, k in rows:
         c = langid.counts(t)
         if c is not None:
-            want += c > 0
-    assert n == 81 and (df == want).all()
+            want[:, k] += c > 0
+            sizes[k] += 1
+    assert (n == sizes).all() and n.sum() == 81 and (df == want).all()
+
+
+def test_ftrl_matches_dense_brute_force():
+    """The sparse updates against per-coordinate loops over dense vectors."""
+    rng = np.random.default_rng(1)
+    rows, ys = [], []
+    for _ in range(40):
+        at = np.append(rng.choice(20, 4, replace=False), langid.BIAS)
+        rows.append((at, np.append(rng.random(4), 1.0)))
+        ys.append(int(rng.integers(3)))
+    alpha, beta, l1, l2 = 0.7, 1.0, 0.05, 0.03
+    coords = [*range(20), langid.BIAS]
+    z = {(i, k): 0.0 for i in coords for k in range(3)}
+    g2 = dict(z)
+
+    def weight(i, k):
+        if abs(z[i, k]) <= l1:
+            return 0.0
+        return -(z[i, k] - np.sign(z[i, k]) * l1) / ((beta + g2[i, k] ** 0.5) / alpha + l2)
+
+    for _ in range(2):
+        for (at, v), y in zip(rows, ys, strict=True):
+            x = dict(zip(at.tolist(), v.tolist(), strict=True))
+            logit = [sum(x[i] * weight(i, k) for i in x) for k in range(3)]
+            e = np.exp(np.asarray(logit) - max(logit))
+            for i in x:
+                for k in range(3):
+                    g = x[i] * (e[k] / e.sum() - (k == y))
+                    w = weight(i, k)
+                    z[i, k] += g - ((g2[i, k] + g * g) ** 0.5 - g2[i, k] ** 0.5) / alpha * w
+                    g2[i, k] += g * g
+    got = langid.ftrl(rows, ys, 3, alpha, beta, l1, l2, 2)
+    want = np.asarray([[weight(i, k) for k in range(3)] for i in coords])
+    assert np.allclose(got[coords], want, atol=1e-12) and np.count_nonzero(want)
+
+
+def test_more_labels_than_are_learned(spark):
+    rows = [(f"{'abcdefgh'[k % 5] * 3} text", f"l{k % 5}") for k in range(48)]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"), "text", "lang", max_classes=3)
+    assert model.labels == ["l0", "l1", "l2"]
 
 
 def test_ftrl_is_sparse_and_fits():
