@@ -4,14 +4,20 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that the next
 stage gets as ``docs`` after it has been written as Parquet and read again:
 
 1. ``language_id``   documents without a recognisable language go: null or
-   letterless text, or text unlike all texts of its best language (``langid.STRANGE``),
-   which puts its score below ``LEAST_SCORE`` whatever the number of labels.
+   letterless text, or text unlike all texts of its best language (``strange`` of
+   ``langid.identify``), whatever the number of labels.
 2. ``exact_dedup``   of texts equal but for white space the longest row stays.
 3. ``near_dedup``    one document of each near-duplicate class stays.
 4. ``secret_scan``   secrets are masked in the text; no document goes.
 5. ``packing``       what is left is packed into sequences of 2048 token ids.
 
 All but the last return the columns of ``documents``. ``run`` applies them.
+
+Defined results of every stage: an empty table stays empty; a null text counts as empty and goes
+in the first stage; texts are read whole, however long; repeated rows are rows like others (one of
+them stays in the second stage); rows with null or repeated ids are judged by row; null labels,
+sources and counts pass; other columns are dropped first, whatever their names.
+
 The stages are samplers, tries and tokenizers that SQL cannot express, so there
 is no SQL twin; a test holds the whole run against a brute-force version.
 """
@@ -30,7 +36,6 @@ from phonon.session import scratch_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOKENIZER = "byte_bpe_50k.json"
-LEAST_SCORE = 1e-4       # below the best of 200 labels, above that of a strange text
 
 ORACLE_SQL = None
 
@@ -38,10 +43,8 @@ ORACLE_SQL = None
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; the labels and the text stay as they are."""
     model = langid.fit_documents(docs)
-    pred, score = "__lang_pred", "__lang_score"
-    judged = langid.identify(docs.select(*COLUMNS), model, lang_name=pred, score_name=score)
-    return judged.where((F.col(pred) != langid.UNKNOWN) & (F.col(score) >= LEAST_SCORE)
-                        ).select(*COLUMNS)
+    judged = langid.identify(docs.select(*COLUMNS), model)
+    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & ~F.col("strange")).select(*COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
