@@ -32,7 +32,9 @@ def test_twin(spark, name):
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_every_query_covers_its_whole_table(spark, name):
-    table = {"op7": "embeddings", "op8": "pages"}.get(name.split("_")[0], "documents")
+    table = {"op7": "embeddings", "op8": "pages", "op12": "embeddings", "op13": "conversations"}.get(name.split("_")[0], "documents")
+    if table == "conversations":
+        return                      # nodes, not rows: held against brute force in test_prefix_trie
     key = {"embeddings": "vec_id", "pages": "page_id"}.get(table, "doc_id")
     rows = spark.read.parquet(f"{SF}/{table}.parquet")
     got = queries.QUERIES[name](spark, SF)
