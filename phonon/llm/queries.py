@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonon.llm import bpe, cap_filters, langid, minhash, pii, secret_scan, url_filter, whitening
+from phonon.llm import bpe, cap_filters, langid, minhash, pii, prefix_trie, secret_scan, url_filter, whitening
 from phonon.llm.exact_dedup import exact_groups
 from phonon.llm.packing import pack
 from phonon.llm.token_store import read_store, write_store
@@ -103,6 +103,13 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations rebuilt as stated: the first h turns of the hundred's first one, then their own."""
+    c = F.col("c")
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"), base=c - c % 100,
+                                   borrowed=F.crc32(c.cast("string")) % 6)
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -115,6 +122,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_exact_dedup": op10_exact_dedup,
     "op12_whitening": op12_whitening,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES = {
