@@ -63,9 +63,23 @@ def kept_in_worker(owner: str) -> dict:
     return _KEPT[owner]
 
 
-def release_memory() -> None:
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Let rows that hold whole texts travel in small Arrow batches, on both sides of the pipe.
+
+    Spark's default of 10,000 rows is 30 MB of ordinary documents a batch, and several times that
+    while it is built. A session that sets its own number keeps it.
+    """
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, str(rows))
+
+
+def release_memory(collect: bool = True) -> None:
     """Give freed memory of this worker back to the machine."""
-    gc.collect()
+    if collect:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from phonon.llm.common import arrow_slices, kept_in_worker, release_memory, store
+from phonon.llm.common import arrow_slices, kept_in_worker, release_memory, store, text_batches
 
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -328,6 +328,7 @@ def owner_round(trie_bytes: int, text_at: int | None):
 def _rounds(docs: DataFrame, id_col: str, text_col: str, carry: bool, window_bytes: int,
             window_rows: int, trie_bytes: int, max_rounds: int) -> DataFrame:
     """Member and owner rows of all rounds, stored in the shared folder."""
+    text_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     cols = [F.col(id_col).cast("long").alias("i"), text.cast("binary").alias("t"),
             F.length(text).cast("long").alias("c")]

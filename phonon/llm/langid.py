@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from phonon.llm.common import arrow_map, arrow_slices, kept_in_worker, release_memory
+from phonon.llm.common import arrow_map, arrow_slices, kept_in_worker, release_memory, text_batches
 from phonon.session import ship_package
 
 BITS = 16
@@ -225,6 +225,7 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, rows_per_class: int
     shards of about ``shard_rows``.
     """
     ship_package(labelled.sparkSession)
+    text_batches(labelled.sparkSession)
     rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("y")
                            ).where("text IS NOT NULL AND y IS NOT NULL")
     per = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n"))
@@ -306,6 +307,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text",
     """``docs`` with the predicted language, its calibrated probability, and whether the text is
     unlike all texts of that language. Input columns of these names are replaced."""
     ship_package(docs.sparkSession)
+    text_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     made = [lang_name, score_name, strange_name]
 

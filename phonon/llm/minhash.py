@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from phonon.llm.common import connected_components, fresh, store
+from phonon.llm.common import connected_components, fresh, store, text_batches
 from phonon.llm.shingles import U64, counted, scramble, shingle
 
 BITS = 20
@@ -305,13 +305,18 @@ def _names(texts: list, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def _classed(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFrame:
-    """(doc_id, a, b, class) per row of ``docs``: the class is its least node."""
+    """(doc_id, a, b, class, leads) per row of ``docs``: the class is its least node; one row of each
+    class leads, a row of that node."""
+    text_batches(docs.sparkSession)
     spark = docs.sparkSession
     idf = spark.sparkContext.broadcast(shingle_weights(docs, text_col, s))
-    sig = store(signatures(docs, id_col, text_col, idf, s), "signatures")
+    sig = store(signatures(docs, id_col, text_col, idf, s).withColumn("row", F.monotonically_increasing_id()),
+                "signatures")
     node = F.struct("id", "a", "b").alias("node")
+    # of equal multisets the least id is the node's, and the first of its rows stands for it
     nodes = sig.where("a IS NOT NULL").groupBy("a", "b", "keys").agg(
-        F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("id"))
+        F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "row")).alias("m")).select(
+        "a", "b", "keys", "m.id", F.col("m.row").alias("first"))
     buckets = nodes.select(node, F.explode("keys").alias("key"))
     leaders = buckets.groupBy("key").agg(
         F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node")
@@ -407,11 +412,12 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFr
         comps = connected_components(stars.unionByName(more))
     ends = comps.select(F.col("node.a").alias("a"), F.col("node.b").alias("b"),
                         F.col("component").alias("class"))
-    alone = nodes.select("a", "b", node.alias("own"))
+    alone = nodes.select("a", "b", node.alias("own"), "first")
     classes = store(alone.join(ends, ["a", "b"], "left").select(
-        "a", "b", F.coalesce("class", "own").alias("class")), "classes")
-    return sig.select("doc_id", "a", "b").join(classes, ["a", "b"], "left").select(
-        "doc_id", "a", "b", "class")
+        "a", "b", F.coalesce("class", "own").alias("class"),
+        F.when(F.coalesce("class", "own") == F.col("own"), F.col("first")).alias("first")), "classes")
+    return sig.select("doc_id", "a", "b", "row").join(classes, ["a", "b"], "left").select(
+        "doc_id", "a", "b", "class", F.col("row").eqNullSafe(F.col("first")).alias("leads"))
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -421,7 +427,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     class_id = F.when(F.col("a").isNull(), F.col("doc_id")).otherwise(
         F.when(F.col("class.id") != NO_ID, F.col("class.id")))
     return rows.select("doc_id", class_id.alias("class_id"),
-                       class_id.eqNullSafe(F.col("doc_id")).alias("kept"))
+                       (F.col("a").isNull() | F.col("leads")).alias("kept"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -469,12 +475,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                                                  names=[*part.schema.names, a, b])
 
     schema = StructType([*found.schema.fields, StructField(a, LongType()), StructField(b, LongType())])
-    found = found.mapInArrow(named, schema)
+    # columns travel by position: a name with a dot would be read as a path
+    plain = found.toDF(*[f"c{k}" for k in range(len(found.columns))])
+    found = plain.mapInArrow(named, StructType(
+        [StructField(n, f.dataType) for n, f in zip(plain.columns, found.schema.fields, strict=True)]
+        + schema.fields[-2:])).toDF(*found.columns, a, b)
     stay = rows.where("stays").select(*(F.col(c).alias(f"__stay_{c}") for c in ("doc_id", "a", "b")))
     found = found.join(stay, F.col(given).eqNullSafe(F.col("__stay_doc_id"))
                        & F.col(a).eqNullSafe(F.col("__stay_a"))
                        & F.col(b).eqNullSafe(F.col("__stay_b")), "left_semi")
-    order = [F.col(text_col)] + [F.col(c) for c, kind in found.dtypes if "map<" not in kind]
+    order = [F.col(f"`{text_col}`")] + [F.col(f"`{c}`") for c, kind in found.dtypes if "map<" not in kind]
     first = F.row_number().over(Window.partitionBy(given, a, b).orderBy(*order))
     bare = found.where(F.col(a).isNull())
     one = found.where(F.col(a).isNotNull()).withColumn(place, first).where(F.col(place) == 1)

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phonon.llm.common import arrow_slices, store
+from phonon.llm.common import arrow_slices, release_memory, store, text_batches
 from phonon.llm.tokens import END_ID, encoder
 
 CAPACITY = 2048
@@ -117,7 +117,7 @@ def pieces_of(tokenizer_path: str, capacity: int, window: int, with_ids: bool):
             held.clear()
 
         for batch in batches:
-            for rows in arrow_slices(batch, 1):
+            for rows in arrow_slices(batch, 1, most_bytes=2 << 20):
                 for ident, packed in zip(rows.column(0).to_pylist(), enc.encode(rows.column(1)),
                                          strict=True):
                     packed += end
@@ -128,8 +128,10 @@ def pieces_of(tokenizer_path: str, capacity: int, window: int, with_ids: bool):
                                      bytes(part) if with_ids else None))
                 if len(held) >= window:
                     yield from flush()
+            release_memory(collect=False)
         if held:
             yield from flush()
+        release_memory()
 
     return run
 
@@ -157,6 +159,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
          capacity: int = CAPACITY, slack: int = 8, fan_in: int = 8, group_items: int = 200_000,
          window: int = 100_000, with_ids: bool = False, max_rounds: int = 31) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row per piece."""
+    text_batches(docs.sparkSession)
     schema = ("doc_id long, piece int, start long, length long, ids_crc32 long, bin long, "
               "place long, fill long" + (", ids binary" if with_ids else ""))
     rows = docs.select(F.col(id_col).cast("long").alias("i"),

@@ -326,3 +326,28 @@ def test_near_dedup_judges_rows_not_ids(spark):
     assert minhash.near_dedup(docs).columns == docs.columns
     again = spark.createDataFrame(rows[::-1], SCHEMA).repartition(2)
     assert sorted(r.n_chars for r in minhash.near_dedup(again).collect()) == got
+
+
+def test_near_classes_keep_one_row_of_each_class(spark):
+    rng = random.Random(11)
+    base, third, lone = (words(rng, 60) for _ in range(3))
+    rows = [(1, base, "en", "s", 1), (1, base + " tail", "en", "s", 1), (1, base, "en", "s", 1),   # one id, one class
+            (5, base + " other", "en", "s", 1), (5, lone, "en", "s", 1),
+            (None, third, "en", "s", 1), (None, third + " x", "en", "s", 1), (None, third + " y", "en", "s", 1),
+            (None, None, "en", "s", 1), (None, "", "en", "s", 1)]
+    got = minhash.near_classes(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
+    kept = Counter((r.doc_id, r.class_id) for r in got if r.kept)
+    # null ids: one of the three near copies, and both rows without a shingle
+    assert kept == {(1, 1): 1, (5, 5): 1, (None, None): 3} and len(got) == len(rows)
+    assert Counter(r.class_id for r in got) == {1: 4, 5: 1, None: 5}
+
+
+def test_near_columns_with_odd_names(spark):
+    rng = random.Random(12)
+    base = words(rng, 60)
+    rows = [(7, base), (7, base + " tail"), (7, words(rng, 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr(
+        "*", "1 AS `a.b`", "2 AS kept", "3 AS node", "4 AS class", "5 AS row")
+    out = minhash.near_dedup(docs)
+    assert out.columns == docs.columns and out.count() == 2
+    assert minhash.near_classes(docs).count() == 3
