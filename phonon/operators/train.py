@@ -8,18 +8,14 @@ and importance table is a DataFrame built from prediction DataFrames.
 from __future__ import annotations
 
 import math
-import random
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .explore import evaluate_log_and_original, histogram, regression_metrics
-from .prepare import hash_bucket
 
 
 # ---------------------------------------------------------------- trainers
@@ -62,8 +58,8 @@ def median_imputer(features: list[str]) -> Imputer:
 
 def bounded_rows(df: DataFrame, key: str, most: int) -> DataFrame:
     """About ``most`` rows at most, chosen by a hash of ``key``: the stated
-    bound on the labelled rows that a fit takes (its statistics, scoring and
-    tables cover all rows)."""
+    bound on the labelled rows that a regressor takes (medians, scales and power
+    transforms, scoring and tables cover all rows)."""
     n = df.count()
     if n <= most:
         return df
@@ -88,10 +84,25 @@ def with_log_label(df: DataFrame, target: str) -> DataFrame:
     return df.withColumn("label", F.log1p(target))
 
 
+def fit_regression(regressor, train: DataFrame, features: list[str], target: str, scale: bool = True,
+                   key: str | None = None, fit_rows: int | None = None) -> PipelineModel:
+    """Fitted pipeline on log1p(target). Medians, means and scales come from all rows of ``train``;
+    with ``fit_rows`` the regressor alone takes about that many rows, by a hash of ``key``."""
+    stages = regression_pipeline(features, regressor, scale).getStages()
+    rows, fitted = with_log_label(train, target), []
+    for stage in stages[:-1]:
+        model = stage.fit(rows) if hasattr(stage, "fit") else stage
+        rows, fitted = model.transform(rows), [*fitted, model]
+    if fit_rows is not None:
+        rows = bounded_rows(rows, key, fit_rows)
+    return PipelineModel([*fitted, stages[-1].fit(rows)])
+
+
 def train_and_evaluate(regressor, train: DataFrame, test: DataFrame, features: list[str],
-                       target: str, scale: bool = True):
+                       target: str, scale: bool = True, key: str | None = None,
+                       fit_rows: int | None = None):
     """Fit on log1p(target), score test; metrics on both scales."""
-    model = regression_pipeline(features, regressor, scale).fit(with_log_label(train, target))
+    model = fit_regression(regressor, train, features, target, scale, key, fit_rows)
     pred = model.transform(with_log_label(test, target))
     metrics = evaluate_log_and_original(pred, "label", "prediction", target)
     return model, metrics, pred
@@ -109,7 +120,8 @@ def compare_models(results: dict[str, DataFrame]) -> DataFrame:
 
 
 def model_grid(train: DataFrame, test: DataFrame, features: list[str], target: str,
-               trainers: dict, transforms: dict | None = None) -> DataFrame:
+               trainers: dict, transforms: dict | None = None, key: str | None = None,
+               fit_rows: int | None = None) -> DataFrame:
     """Trainers x preprocessing variants -> one comparison table.
 
     ``transforms`` maps a variant name to fn(train, test) -> (train, test)
@@ -121,7 +133,7 @@ def model_grid(train: DataFrame, test: DataFrame, features: list[str], target: s
     for tname, tf in transforms.items():
         tr, te = tf(train, test)
         for name, make in trainers.items():
-            _, metrics, _ = train_and_evaluate(make(), tr, te, features, target)
+            _, metrics, _ = train_and_evaluate(make(), tr, te, features, target, key=key, fit_rows=fit_rows)
             # two rows of numbers per model; the cached frames can then go
             results[f"{name}|{tname}"] = train.sparkSession.createDataFrame(
                 metrics.collect(), metrics.schema)
@@ -132,54 +144,6 @@ def model_grid(train: DataFrame, test: DataFrame, features: list[str], target: s
     return table.withColumns({"model": parts[0], "preprocessing": parts[1]})
 
 
-# ---------------------------------------------------------------- random search
-
-def random_param_maps(regressor, n_draws: int, seed: int = 42,
-                      iter_range: tuple[int, int] = (100, 999)) -> list[dict]:
-    """Seeded draws over the ranges of the reference's search (boosted trees).
-
-    Fixed values: rounds 100-999, step 0.01-0.31, depth 3-14, row and feature
-    shares 0.6-1.0, least gain 0-0.5.
-    """
-    rng = random.Random(seed)
-    maps = []
-    for _ in range(n_draws):
-        maps.append({
-            regressor.maxIter: rng.randint(*iter_range),
-            regressor.stepSize: round(rng.uniform(0.01, 0.31), 4),
-            regressor.maxDepth: rng.randint(3, 14),
-            regressor.subsamplingRate: round(rng.uniform(0.6, 1.0), 3),
-            regressor.featureSubsetStrategy: str(round(rng.uniform(0.6, 1.0), 2)),
-            regressor.minInfoGain: round(rng.uniform(0.0, 0.5), 3),
-        })
-    return maps
-
-
-def random_search_cv(train: DataFrame, features: list[str], target: str, key: str,
-                     n_draws: int = 100, folds: int = 10, seed: int = 42, parallelism: int = 4,
-                     iter_range: tuple[int, int] = (100, 999)):
-    """Random search with k-fold CV on negative MSE of the log target.
-
-    Folds come from a hash of ``key`` (stable on any cluster); the driver
-    submits ``parallelism`` fits at a time, each fit runs on the executors.
-    Returns (best PipelineModel, table of draw -> mean CV MSE and params).
-    """
-    reg = boosted_trees()
-    pipe = regression_pipeline(features, reg)
-    maps = random_param_maps(reg, n_draws, seed, iter_range)
-    data = with_log_label(train, target).withColumn("_fold", hash_bucket(key, folds))
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps,
-                        evaluator=RegressionEvaluator(metricName="mse", labelCol="label"),
-                        numFolds=folds, parallelism=parallelism, foldCol="_fold", seed=seed)
-    model = cv.fit(data)
-    spark = train.sparkSession
-    rows = []
-    for i, (m, score) in enumerate(zip(maps, model.avgMetrics)):
-        rows.append((i, float(score), {p.name: str(v) for p, v in m.items()}))
-    table = spark.createDataFrame(rows, "draw int, cv_mse double, params map<string,string>")
-    return model.bestModel, table
-
-
 # ---------------------------------------------------------------- importance
 
 def feature_importance(model: PipelineModel, features: list[str], top: int | None = None) -> DataFrame:

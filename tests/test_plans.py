@@ -46,7 +46,7 @@ def test_scans(spark, name, scans):
     assert len(re.findall(r"FileScan parquet", p)) <= scans, p
 
 
-FITS = {"model_comparison", "cv_random_search", "feature_set_experiment", "permutation_importance",
+FITS = {"model_comparison", "cv_random_search", "tuned_boosting", "feature_set_experiment", "permutation_importance",
         "k_selection", "shap_summary", "cluster_assignment"}
 
 

@@ -10,7 +10,7 @@ from conftest import SF_SMALL
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
-SLOW = {"model_comparison", "k_selection", "cv_random_search", "feature_set_experiment", "permutation_importance"}
+SLOW = {"model_comparison", "k_selection", "cv_random_search", "tuned_boosting", "feature_set_experiment", "permutation_importance"}
 
 
 @pytest.fixture(scope="module")
