@@ -13,12 +13,13 @@ from __future__ import annotations
 import math
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, Imputer, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lloyd import CentreModel, best_of_seeds, sweep_metrics
+
 
 # ---------------------------------------------------------------- vectors
 
@@ -93,16 +94,11 @@ def cluster_metrics(df: DataFrame, label: str, vec: str) -> DataFrame:
 # ---------------------------------------------------------------- fits
 
 def fit_kmeans(df: DataFrame, k: int, features: str = "features", seed: int = 42,
-               restarts: int = 10, max_iter: int = 300):
-    """KMeans with several seeds; the fit with the lowest cost wins."""
-    best = None
-    for r in range(restarts):
-        model = KMeans(k=k, seed=seed + r, featuresCol=features, predictionCol="cluster_label",
-                       maxIter=max_iter).fit(df)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, model)
-    return best[1]
+               restarts: int = 10, max_iter: int = 300) -> CentreModel:
+    """KMeans with several seeds, all in shared passes; the fit with the lowest cost wins."""
+    cost, centres = best_of_seeds(df, features, [k], seed, restarts, max_iter)[k]
+    return CentreModel(featuresCol=features, predictionCol="cluster_label", centres=centres.tolist(),
+                       trainingCost=cost)
 
 
 def components_for_variance(df: DataFrame, features: str, variance: float = 0.95) -> int:
@@ -162,20 +158,22 @@ def add_cluster_label(df: DataFrame, model: PipelineModel | None, feature_cols:
 def k_sweep(df: DataFrame, features: str, k_values: list[int], seed: int = 42,
             restarts: int = 10) -> DataFrame:
     """Per k, inertia, silhouette, Calinski-Harabasz and Davies-Bouldin
-    as a long table (k, metric, value). Each fit is distributed; the loop
-    over k runs on the driver."""
-    spark = df.sparkSession
-    data = df.select(features).cache()
-    rows = []
-    for k in k_values:
-        model = fit_kmeans(data, k, features, seed, restarts)
-        pred = model.transform(data).withColumn("_arr", vector_to_array(features))
-        m = cluster_metrics(pred, "cluster_label", "_arr").first()
-        rows += [(k, "Inertia", float(model.summary.trainingCost)),
-                 (k, "Silhouette", m.silhouette), (k, "Calinski-Harabasz", m.calinski_harabasz),
-                 (k, "Davies-Bouldin", m.davies_bouldin)]
-    data.unpersist()
-    return spark.createDataFrame(rows, "k int, metric string, value double")
+    as a long table (k, metric, value). Every iteration is one pass for all k
+    and seeds; the metrics of all k take two more."""
+    fitted = best_of_seeds(df, features, k_values, seed, restarts)
+    metrics = sweep_metrics(df, features, {k: c for k, (_, c) in fitted.items()})
+    return df.sparkSession.createDataFrame(
+        [(k, name, value) for k in k_values for name, value in metrics.get(k, {}).items()],
+        "k int, metric string, value double")
+
+
+def scatter_coordinates(df: DataFrame, vec: str, keep: list[str], components: int = 3) -> DataFrame:
+    """``keep`` and the first principal components (pc1, ...) of the scaled vectors of ``vec``."""
+    raw = as_vector(df, vec, "_raw")
+    scaled = StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True).fit(raw).transform(raw)
+    pcs = vector_to_array("_pc")
+    out = PCA(k=components, inputCol="_scaled", outputCol="_pc").fit(scaled).transform(scaled)
+    return out.select(*keep, *[pcs[i].alias(f"pc{i + 1}") for i in range(components)])
 
 
 def choose_k(silhouette_k: int | None, elbow_k: int | None) -> int:

@@ -933,13 +933,7 @@ def q_residual_histogram(spark, sf_dir):
 
 @register("cluster_scatter")
 def q_cluster_scatter(spark, sf_dir):
-    from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import vector_to_array
-    emb = CL.as_vector(read_table(spark, sf_dir, "embeddings"), "embedding", "raw")
-    scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(emb).transform(emb)
-    pcs = PCA(k=3, inputCol="features", outputCol="pc").fit(scaled).transform(scaled)
-    arr = vector_to_array("pc")
-    return pcs.select("vec_id", "label", arr[0].alias("pc1"), arr[1].alias("pc2"), arr[2].alias("pc3"))
+    return CL.scatter_coordinates(read_table(spark, sf_dir, "embeddings"), "embedding", ["vec_id", "label"])
 
 
 @register("feature_set_experiment")
