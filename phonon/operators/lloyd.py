@@ -239,6 +239,7 @@ class CentreModel(Model, DefaultParamsReadable, DefaultParamsWritable):
     def __init__(self, *, featuresCol: str = "features", predictionCol: str = "cluster_label",
                  centres: list | None = None, trainingCost: float = 0.0) -> None:
         super().__init__()
+        self._setDefault(featuresCol="features", predictionCol="cluster_label")
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def clusterCenters(self) -> list[np.ndarray]:

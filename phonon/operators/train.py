@@ -15,6 +15,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .kernel import KernelRegression
 from .explore import evaluate_log_and_original, histogram, regression_metrics
 
 
@@ -40,13 +41,19 @@ def boosted_trees(n_iter: int = 100, max_depth: int = 6, step: float = 0.3, seed
 
 
 def huber_linear():
-    """Robust linear model in the fourth comparison slot."""
+    """Robust linear model, beside the kernel one."""
     return LinearRegression(loss="huber", featuresCol="features", labelCol="label")
 
 
+def kernel_regression(n_features: int = 256, seed: int = 42) -> KernelRegression:
+    """Epsilon-insensitive regression with the radial kernel (random Fourier features)."""
+    return KernelRegression(n_features, seed=seed)
+
+
 def default_trainers() -> dict:
     return {"random_forest": random_forest, "gradient_boosting": gradient_boosting,
-            "boosted_trees": boosted_trees, "huber_linear": huber_linear}
+            "boosted_trees": boosted_trees, "kernel_regression": kernel_regression,
+            "huber_linear": huber_linear}
 
 
 def median_imputer(features: list[str]) -> Imputer:

@@ -1080,6 +1080,33 @@ def q_events_pivot(spark, sf_dir):
                          [F.col("ts"), F.col("event_id")])
 
 
+_HN = ("((((((3.52624965998911e-02 * a + 0.700383064443688) * a + 6.37396220353165) * a + 33.912866078383) * a"
+       " + 112.079291497871) * a + 221.213596169931) * a + 220.206867912376)")
+_HD = ("(((((((8.83883476483184e-02 * a + 1.75566716318264) * a + 16.064177579207) * a + 86.7807322029461) * a"
+       " + 296.564248779674) * a + 637.333633378831) * a + 793.826512519948) * a + 440.413735824752)")
+_KS_X = "((sqrt(n) + 0.12 + 0.11 / sqrt(n)) * d)"
+
+
+@register("ks_normality", " UNION ALL ".join(f"""
+SELECT feature, n, round(d, 9) AS d, round(CASE WHEN {_KS_X} < 0.2 THEN 1.0 ELSE least(greatest(
+         list_sum(list_transform(range(1, 101), lambda j: CASE WHEN j % 2 = 1 THEN 2.0 ELSE -2.0 END
+                                 * exp(-2.0 * j * j * {_KS_X} * {_KS_X}))), 0.0), 1.0) END, 9) AS p_value
+FROM (SELECT '{c}' AS feature, max(n) AS n, max(greatest(i / n - f, f - (i - 1) / n)) AS d
+      FROM (SELECT n, i, CASE WHEN z > 0 THEN 1 - low ELSE low END AS f
+            FROM (SELECT *, CASE WHEN a > 37.0 THEN 0.0
+                                 WHEN a < 7.07106781186547 THEN exp(-a * a / 2) * {_HN} / {_HD}
+                                 ELSE exp(-a * a / 2) / (a + 1 / (a + 2 / (a + 3 / (a + 4 / (a + 0.65)))))
+                                      / 2.506628274631 END AS low
+                  FROM (SELECT *, abs(z) AS a
+                        FROM (SELECT (v - avg(v) OVER ()) / stddev_samp(v) OVER () AS z,
+                                     count(*) OVER () AS n, row_number() OVER (ORDER BY v) AS i
+                              FROM (SELECT CAST({c} AS DOUBLE) AS v FROM lineitem WHERE {c} IS NOT NULL)))))) x"""
+    for c in JB_COLS))
+def q_ks_normality(spark, sf_dir):
+    out = NM.kolmogorov_smirnov(read_table(spark, sf_dir, "lineitem"), JB_COLS).drop("is_normal")
+    return round_doubles(out, 9)
+
+
 @register("shapiro_normality")
 def q_shapiro_normality(spark, sf_dir):
     return NM.shapiro_by_feature(read_table(spark, sf_dir, "lineitem"), JB_COLS)
