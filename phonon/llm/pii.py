@@ -18,15 +18,21 @@ How it runs
 3. Matches are joined with their surrogates, per distinct text. Only texts with
    an entity are shuffled, and the rebuilt text is the gaps and surrogates in
    turn. The other rows pass straight through.
+4. Names found behind a title are carried to their other mentions in the same
+   text: the family name as a whole word, the given name before a family name.
+   One person keeps one given name whatever the title. Limits: a name that no
+   title introduces anywhere in the text, a given name alone and initials stay,
+   and a family name that is also a common word is replaced in that text too.
 
 Defined results: a null or empty text stays as it is with no entities; null and
-repeated ids are kept, row by row; an empty table gives an empty result; all
-columns are kept and clashing names are avoided.
+repeated ids are kept, row by row; an empty table gives an empty result; texts are read
+whole, however long; all columns are kept, and if one is called like the count, the count gets
+underscores in front. No name is carried in a text that holds U+F8F0 or U+F8F1.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phonon.llm.common import fresh, store
@@ -65,6 +71,8 @@ ENDINGS = {"latin": {"given_m": "n r x", "given_f": "a ia ina", "given_x": "is y
                         "family": "л к т"},
            "greek": {"given_m": "ς ων ης", "given_f": "α ια ινα", "given_x": "ι υ ε",
                      "family": "λ κ ου"}}
+GIVEN_KINDS = ("given_m", "given_f", "given_x")
+OPEN, CLOSE = "\uf8f0", "\uf8f1"      # private characters around the number of a carried name
 DIGITS = ("phone", "ssn", "card")
 KEEPS_FIRST = ("phone",)
 
@@ -172,6 +180,26 @@ def _shown() -> str:
             f"ELSE concat({title}, initcap(surrogate)) END")
 
 
+def _carried(gap: str, people: str) -> str:
+    """SQL: the text between entities with every other mention of the text's own names marked by its
+    number: a given name before one of the family names, a family name anywhere, as whole words."""
+    families = f"array_join(transform(filter({people}, p -> p.last), p -> p.raw), '|')"
+    pattern = (f"CASE WHEN n.last THEN concat('(?<!\\\\p{{L}})', n.raw, '(?!\\\\p{{L}})') "
+               f"ELSE concat('(?<!\\\\p{{L}})', n.raw, '(?= (?:', {families}, "
+               f"'|{OPEN}[0-9]+{CLOSE})(?!\\\\p{{L}}))') END")
+    # an array of (place, name), given names (last = false) first
+    numbered = f"transform({people}, (p, i) -> struct(i AS i, p.last AS last, p.raw AS raw))"
+    return (f"aggregate({numbered}, {gap}, (t, n) -> CASE WHEN instr(t, n.raw) > 0 THEN regexp_replace(t, {pattern}, "
+            f"concat('{OPEN}', cast(n.i AS string), '{CLOSE}')) ELSE t END)")
+
+
+def _restored(gap: str, people: str) -> str:
+    """SQL: marks replaced by the surrogates of their names."""
+    numbered = f"transform({people}, (p, i) -> struct(i AS i, p.shown AS shown))"
+    return (f"aggregate({numbered}, {gap}, (t, n) -> replace(t, concat('{OPEN}', cast(n.i AS string), '{CLOSE}'), "
+            "n.shown))")
+
+
 def surrogates(entities: DataFrame, key: str, max_rounds: int = 40) -> DataFrame:
     """(kind, norm, surrogate): distinct surrogates of the distinct (kind, norm) of ``entities``."""
     known = store(entities.select("kind", "norm").distinct(), "pii-entities")
@@ -202,7 +230,8 @@ def surrogates(entities: DataFrame, key: str, max_rounds: int = 40) -> DataFrame
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text",
                  count_col: str = "n_entities") -> DataFrame:
     """``docs`` with surrogates in ``text_col`` and the number of replaced mentions."""
-    has, digest, gaps, new = fresh(docs, "has", "digest", "gaps", "new")
+    digest, gaps, new, people, more = fresh(docs, "digest", "gaps", "new", "people", "more")
+    count_name = count_col if count_col.lower() not in {c.lower() for c in docs.columns} else fresh(docs, count_col)[0]
     text = F.col(text_col)
     has_any = F.coalesce(F.when(text.rlike(HINT), text.rlike(ANY)), F.lit(False))
     # the texts with an entity, stored: the mentions and the rebuilt texts both read them
@@ -214,16 +243,33 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text",
         "(w, g) -> named_struct('whole', w, 'given', g)))").alias("pos", "m"))
     mentions = mentions.distinct().select("digest", "pos", F.expr(_kind("m")).alias("kind"),
                                           F.col("m.whole").alias("raw"))
-    mentions = store(mentions.withColumn("norm", F.expr(_norm())), "pii-mentions")
+    mentions = mentions.withColumn("norm", F.expr(_norm()))
+    # one person keeps one given name: behind a neutral title the gender is that of the same name
+    # behind another title of the text (the male one if both occur)
+    told = F.min(F.when(F.col("kind").isin("given_m", "given_f"), F.concat(F.when(
+        F.col("kind") == "given_m", "0").otherwise("1"), "kind"))).over(Window.partitionBy("digest", "norm"))
+    mentions = store(mentions.withColumn("kind", F.when(
+        F.col("kind") == "given_x", F.coalesce(F.substring(told, 2, 9), F.col("kind"))).otherwise(F.col("kind"))),
+        "pii-mentions")
     table = store(surrogates(mentions, key), "pii-map")
-    shown = mentions.join(table, ["kind", "norm"]).select(
-        "digest", F.struct("pos", F.expr(_shown()).alias("shown")).alias("s"))
+    word = "regexp_extract({}, '([^ ]+)$', 1)"
+    shown = mentions.join(table, ["kind", "norm"]).withColumn("shown", F.expr(_shown())).select(
+        "digest", F.struct("pos", "shown").alias("s"),
+        F.when(F.col("kind").isin("family", *GIVEN_KINDS), F.struct(
+            (F.col("kind") == "family").alias("last"), F.expr(word.format("raw")).alias("raw"),
+            F.expr(word.format("shown")).alias("shown"))).alias("name"))
     lists = shown.groupBy(F.col("digest").alias(digest)).agg(
-        F.sort_array(F.collect_list("s")).alias(new))
-    rebuilt = (f"array_join(zip_with({gaps}, {new}, (g, s) -> concat(g, coalesce(s.shown, ''))), '')")
+        F.sort_array(F.collect_list("s")).alias(new), F.array_sort(F.collect_set("name")).alias(people))
+    marked = f"transform({gaps}, g -> {_carried('g', people)})"
+    carried = f"aggregate({gaps}, 0L, (n, g) -> n + regexp_count(g, '{OPEN}[0-9]+{CLOSE}'))"
+    rebuilt = (f"array_join(zip_with(transform({gaps}, g -> {_restored('g', people)}), {new}, "
+               "(g, s) -> concat(g, coalesce(s.shown, ''))), '')")
     done = (hit.join(lists, digest)
+            .withColumn(people, F.when(text.rlike(f"[{OPEN}{CLOSE}]"), F.slice(people, 1, 0)).otherwise(F.col(people)))
             .withColumn(gaps, F.split(text, ANY, -1))
+            .withColumn(gaps, F.expr(marked))
+            .withColumn(more, F.expr(carried))
             .withColumn(text_col, F.expr(rebuilt))
-            .withColumn(count_col, F.size(new).cast("long")))
-    rest = docs.where(~has_any).withColumn(count_col, F.lit(0).cast("long"))
-    return done.select(rest.columns).unionByName(rest)
+            .withColumn(count_name, F.size(new).cast("long") + F.col(more)))
+    rest = docs.where(~has_any).withColumn(count_name, F.lit(0).cast("long"))
+    return done.select(*[F.col(f"`{c}`") for c in rest.columns]).unionByName(rest)

@@ -15,14 +15,15 @@ How it runs
 * The as-of join is a union of probes and entries of a key, ordered by day, with
   the last action carried forward. A key holds at most (days x categories)
   rows, so no range join is needed and no pair of probe and entry is formed.
-* The verdicts, one row per (host, day) and (prefix, day), are joined back on
+* The verdicts, one row per (host, day) and (path, day), are joined back on
   equality; adaptive execution splits a hot pair. Captures without a host are
   kept apart, so that null keys do not meet in one task.
 
 Defined results: a null or unparseable URL, or a null day, is not listed; on one
 day a removal comes before an addition; repeated entries count once; of
 several valid rules the least (category, scope, value) is reported; empty tables are
-fine; all columns of the captures are kept and clashing names are avoided.
+fine; prefixes may have any depth and are compared in lower case; all columns of the captures
+are kept, and a result whose name a capture column has already gets underscores in front.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from phonon.llm.common import fresh
 
 SCOPES = ("domain", "host", "prefix")
+OUTPUT = ("listed", "category", "entry_scope", "entry_value", "listed_since")
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
 
@@ -50,6 +52,15 @@ def prefix_of(url: F.Column, depth: int) -> F.Column:
         F.slice(parts, 1, depth), "/")))
 
 
+def prefixes_of(url: F.Column, depths: list[int]) -> F.Column:
+    """Lower-case prefixes of a URL at those ``depths`` that its path reaches, as an array."""
+    parts = F.filter(F.split(F.regexp_extract(F.trim(url), PATH, 1), "/"), lambda s: s != "")
+    reached = F.filter(F.array(*[F.lit(d) for d in depths]), lambda d: d <= F.size(parts))
+    return F.coalesce(F.transform(reached, lambda d: F.lower(F.concat(
+        host_of(url), F.lit("/"), F.array_join(F.slice(parts, F.lit(1), d), "/")))),
+        F.array().cast("array<string>"))
+
+
 def _domains(host: str) -> str:
     """SQL: the host's suffixes of two labels and more."""
     return (f"transform(sequence(1, greatest(1, size(split({host}, '[.]')) - 1)), k -> "
@@ -94,12 +105,14 @@ def _in_force(probes: DataFrame, spans: DataFrame) -> DataFrame:
             .select("key", "day", "category", F.col("held").alias("since")))
 
 
-def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", day_col: str = "day",
-          max_depth: int = 4) -> DataFrame:
+def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url",
+          day_col: str = "day") -> DataFrame:
     """``captures`` with listed, category, entry_scope, entry_value and listed_since.
 
     ``entries`` has scope, value, category, day and action ('add' or 'remove').
     """
+    given = {c.lower() for c in captures.columns}
+    names = {n: n if n not in given else fresh(captures, n)[0] for n in OUTPUT}
     known = entries.where(F.col("scope").isin(*SCOPES) & F.col("action").isin("add", "remove")
                           ).select("scope", F.lower("value").alias("value"), "category",
                                    F.col("day").cast("date").alias("day"), "action"
@@ -129,23 +142,25 @@ def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", day_col
         F.split_part("key", F.lit(" "), F.lit(2)).alias("value")), "host", "day")
     found = [by_host.select(F.col("host").alias("k"), F.col("day").alias("d"), "best")]
     on = [F.col(host)]
-    # path prefixes, one equality join per depth that the list uses
-    deepest = spans.where("scope = 'prefix'").agg(
-        F.max(F.size(F.split("value", "/"))).alias("n")).first()["n"]
-    depths = range(1, (deepest or 1))
-    if len(depths) > max_depth:
-        raise ValueError(f"prefix entries deeper than {max_depth} segments")
-    for depth in depths:
-        pre = F.lower(prefix_of(F.col(url_col), depth))
-        probes = out.select(pre.alias("key"), day.alias("day")).where("key IS NOT NULL").distinct()
-        active = _in_force(probes, spans.where(
-            (F.col("scope") == "prefix") & (F.size(F.split("value", "/")) == depth + 1)).select(
+    # path prefixes of the depths that the list uses, however deep, in one table of probes
+    depths = [r["n"] for r in spans.where("scope = 'prefix'").select(
+        (F.size(F.split("value", "/")) - 1).alias("n")).distinct().orderBy("n").collect()]
+    if depths:
+        pre = prefixes_of(F.col(url_col), depths)
+        probes = out.select(F.explode(pre).alias("key"), day.alias("day")).distinct()
+        active = _in_force(probes, spans.where("scope = 'prefix'").select(
             F.col("value").alias("key"), "category", "valid_from", "valid_to"))
-        found.append(best(active.select("key", "day", "category", "since",
-                                        F.lit("prefix").alias("scope"),
-                                        F.col("key").alias("value")), "key", "day"
-                          ).select(F.col("key").alias("k"), F.col("day").alias("d"), "best"))
-        on.append(F.coalesce(pre, F.concat(F.col(host), F.lit("//"))))
+        by_prefix = best(active.select("key", "day", "category", "since", F.lit("prefix").alias("scope"),
+                                       F.col("key").alias("value")), "key", "day")
+        # the verdict of a URL's longest list of prefixes: from its probes, a row per (deepest path, day)
+        paths = out.select(F.array_join(pre, " ").alias("p"), pre.alias("keys"), day.alias("day")).where(
+            "p <> ''").select("p", "keys", "day").distinct()
+        by_path = paths.select("p", "day", F.explode("keys").alias("key")).join(
+            by_prefix, ["key", "day"]).groupBy("p", "day").agg(F.min("best").alias("best"))
+        found.append(by_path.select(F.col("p").alias("k"), F.col("day").alias("d"), "best"))
+        # a URL without a path is matched by nothing, and its key is not shared by a whole day
+        joined = F.array_join(pre, " ")
+        on.append(F.when(joined != "", joined).otherwise(F.concat(F.col(host), F.lit("//"))))
     hits = []
     for i, (verdict, key) in enumerate(zip(found, on, strict=True)):
         name = f"{hit}{i}"
@@ -161,7 +176,7 @@ def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", day_col
     lost = caps.where(F.col(host).isNull()).withColumn(
         hit, F.lit(None).cast(out.schema[hit].dataType))
     both = out.unionByName(lost)
-    return both.withColumns({
-        "listed": F.col(hit).isNotNull(), "category": F.col(f"{hit}.category"),
-        "entry_scope": F.col(f"{hit}.scope"), "entry_value": F.col(f"{hit}.value"),
-        "listed_since": F.col(f"{hit}.since")}).drop(host, hit)
+    made = {"listed": F.col(hit).isNotNull(), "category": F.col(f"{hit}.category"),
+            "entry_scope": F.col(f"{hit}.scope"), "entry_value": F.col(f"{hit}.value"),
+            "listed_since": F.col(f"{hit}.since")}
+    return both.withColumns({names[n]: c for n, c in made.items()}).drop(host, hit)

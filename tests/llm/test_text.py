@@ -250,11 +250,92 @@ def test_surrogates_stay_distinct_when_space_is_short(spark):
 def test_pii_odd_rows(spark, odd, none):
     clash = odd.selectExpr("*", "1 AS digest", "2 AS n_entities")
     got = pii.pseudonymise(clash, "k")
-    assert Counter((r.doc_id, r.text, r.n_entities) for r in got.collect()) == Counter(
+    assert got.columns == [*clash.columns, "__n_entities"] and {r.n_entities for r in got.collect()} == {2}
+    assert Counter((r.doc_id, r.text, r["__n_entities"]) for r in got.collect()) == Counter(
         (i, t, 0) for i, t, *_ in odd_rows())
     assert pii.pseudonymise(none, "k").count() == 0
 
 
+def test_names_are_carried_to_their_other_mentions(spark):
+    rows = [(1, "Mr John Smith called. Later John Smith paid. Dr John Smith left. Smith too. Smithson, John."),
+            (2, "Smith is not introduced here, and neither is John Smith."),
+            (3, "Frau Anna Weber und Prof Anna Weber; Weber. Dr Kim Lee, Kim Weber."),
+            (4, "\uf8f01\uf8f1 Mr John Smith and Smith")]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    m = re.fullmatch(r"Mr (\w+) (\w+) called\. Later (\w+) (\w+) paid\. Dr (\w+) (\w+) left\. (\w+) too\. "
+                     r"Smithson, John\.", got[1].text)
+    assert m and m[1] == m[3] == m[5] and m[2] == m[4] == m[6] == m[7]
+    assert not {"John", "Smith"} & {m[1], m[2]} and m[1][-1] in "nrx" and got[1].n_entities == 7
+    assert got[2].text == rows[1][1] and got[2].n_entities == 0
+    w = re.fullmatch(r"Frau (\w+) (\w+) und Prof (\w+) (\w+); (\w+)\. Dr (\w+) (\w+), (\w+) (\w+)\.", got[3].text)
+    assert w and w[1] == w[3] and w[1][-1] == "a" and w[2] == w[4] == w[5] == w[9] and w[6] == w[8]
+    assert got[4].text.startswith("\uf8f01\uf8f1 Mr ") and got[4].text.endswith(" and Smith")
+
+
+def brute_pii(rows, table):
+    """Whole texts rebuilt in plain Python from the same patterns and the drawn surrogates."""
+    import regex
+    any_of = regex.compile(pii.ANY.replace(r"\p{IsCyrillic}", r"\p{Cyrillic}"))
+    out = []
+    for _, text in rows:
+        found = list(any_of.finditer(text))
+        kinds = []
+        for m in found:
+            whole, given = m[0], m[1] or ""
+            if given:
+                title = regex.match(r"[^. ]+", whole)[0]
+                kinds.append("given_m" if title in pii.MALE else "given_f" if title in pii.FEMALE else "given_x")
+            else:
+                kinds.append("email" if "@" in whole else "family")
+        names = [m[0].split(" ")[-1] for m in found]
+        for i, k in enumerate(kinds):
+            if k == "given_x":
+                told = [kinds[j] for j in range(len(kinds)) if names[j] == names[i] and kinds[j] in ("given_m", "given_f")]
+                kinds[i] = max(told) if told else k
+        new = []
+        for m, k, n in zip(found, kinds, names, strict=True):
+            if k == "email":
+                new.append(table[k, m[0].lower()])
+            else:
+                new.append(m[0][:len(m[0]) - len(n)] + table[k, n.lower()].capitalize())
+        people = sorted({(k == "family", n, s.split(" ")[-1]) for k, n, s in zip(kinds, names, new, strict=True)
+                         if k != "email"})
+        families = [n for last, n, _ in people if last]
+        result, at = "", 0
+        for m, s in [*zip(found, new, strict=True), (None, "")]:
+            gap = text[at:m.start() if m else len(text)]
+            parts = []                       # (start, end, replacement), given names first
+            for last, n, shown in people:
+                behind = "" if last else "(?= (?:" + "|".join(families) + r")(?!\p{L}))"
+                parts += [(x.start(), x.end(), shown) for x in regex.finditer(
+                    r"(?<!\p{L})" + n + (behind or r"(?!\p{L})"), gap)]
+            taken, piece, p = [], "", 0
+            for a, b, shown in sorted(parts):
+                if a >= p:
+                    piece, p = piece + gap[p:a] + shown, b
+            result, at = result + piece + gap[p:] + s, m.end() if m else at
+            del taken
+        out.append(result)
+    return out
+
+
+def test_pii_matches_brute_force(spark):
+    rng = random.Random(13)
+    given, family = ["John", "Anna", "Kim", "Jos\u00e9"], ["Smith", "Weber", "Lee", "Ivanov"]
+    pieces = [lambda: f"{rng.choice(['Mr', 'Mrs', 'Dr', 'Herr', 'Frau', 'Prof.'])} {rng.choice(given)} {rng.choice(family)}",
+              lambda: f"{rng.choice(['Mr', 'Dr', 'Frau'])} {rng.choice(family)}", lambda: f"{rng.choice(given)} {rng.choice(family)}",
+              lambda: rng.choice(family), lambda: rng.choice(given), lambda: "then", lambda: "a.b@mail.org", lambda: "Smithson"]
+    rows = [(i, ", ".join(rng.choice(pieces)() for _ in range(rng.randint(1, 12))) + ".") for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text for r in pii.pseudonymise(docs, "k").collect()}
+    entities = [(k, n.lower()) for k in ("given_m", "given_f", "given_x") for n in given]
+    entities += [("family", n.lower()) for n in family] + [("email", "a.b@mail.org")]
+    # the corpus holds no kind but these; a pair that does not occur only leaves a surrogate unused
+    table = {(r.kind, r.norm): r.surrogate for r in pii.surrogates(
+        spark.createDataFrame(entities, "kind string, norm string"), "k").collect()}
+    assert [got[i] for i, _ in rows] == brute_pii(rows, table)
+
+
 def day(n):
     return dt.date(2024, 1, 1) + dt.timedelta(days=n)
 
@@ -308,6 +389,13 @@ def test_url_filter_matches_brute_force(spark):
     assert Counter((r.page_id, r.category, r.entry_scope, r.entry_value, r.listed_since) for r in got) \
         == Counter((i, *(judge(u, d) or (None,) * 4)) for i, u, d in caps)
     assert sum(r.listed for r in got) > 50
+    deep = [("prefix", "a.example.com/1/2/3/4/5/6/7", "p", day(1), "add"), ("prefix", "a.example.com/1", "q", day(1), "add")]
+    two = spark.createDataFrame([(1, "http://a.example.com/1/2/3/4/5/6/7/8", day(2), "mine"),
+                                 (2, "http://a.example.com/1/2", day(2), "mine")],
+                                "page_id long, url string, day date, category string")
+    out = url_filter.judge(two, spark.createDataFrame(deep, schema))
+    assert {(r.page_id, r.category, r["__category"], r.entry_value) for r in out.collect()} == {
+        (1, "mine", "p", "a.example.com/1/2/3/4/5/6/7"), (2, "mine", "q", "a.example.com/1")}
     none = spark.createDataFrame([], "page_id long, url string, day date")
     assert url_filter.judge(none, spark.createDataFrame(entries, schema)).count() == 0
     empty = spark.createDataFrame([], schema)
