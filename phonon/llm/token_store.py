@@ -13,15 +13,17 @@ Layout of a store (a folder on shared storage):
   and ids. Only files named there count; a lost or repeated task leaves at
   most an unnamed file behind.
 
-Writing sorts the documents by key (range partitions), encodes and writes one
-shard per task. The hash is built level by level: keys alone in their place
+Writing sorts the documents by key (range partitions of about equal bytes), encodes and
+writes one shard per task. Null keys and a key of many records are spread over as many
+shards as they need. The hash is built level by level: keys alone in their place
 of a bit array are settled there, the others go to the next level; a slot is
 the rank of the key's bit. A lookup costs a fixed expected number of probes, a
 fingerprint comparison and one range read.
 
 Defined results: null text is empty (the end id alone); rows with a null key
 are stored first and cannot be looked up; repeated keys keep all their records;
-an empty table gives an empty store; other columns are ignored.
+an empty table gives an empty store; texts are encoded whole, however long; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,6 +44,7 @@ from phonon.llm.common import arrow_slices
 from phonon.llm.tokens import END_ID, encoder
 from phonon.session import scratch_path
 
+ROW_BYTES = 32                    # what a row weighs besides its text when shards are sized
 MANIFEST = ("shard int, stem string, min_key long, max_key long, n_null long, n_docs long, "
             "n_ids long")
 U64 = np.uint64
@@ -184,8 +187,9 @@ def _write_shard(folder: str, tokenizer_path: str, width: int):
 
 
 def write_store(docs: DataFrame, tokenizer_path: str, folder: str | None = None,
-                id_col: str = "doc_id", text_col: str = "text") -> str:
-    """Encode and write ``docs`` in ascending key order; returns the store's folder."""
+                id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 16 << 20) -> str:
+    """Encode and write ``docs`` in ascending key order; returns the store's folder. A shard holds about
+    ``shard_bytes`` of text (and row overhead), whatever the table's size and keys."""
     from tokenizers import Tokenizer
     spark = docs.sparkSession
     width = 2 if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 else 4
@@ -194,7 +198,12 @@ def write_store(docs: DataFrame, tokenizer_path: str, folder: str | None = None,
     store.create_dir(root, recursive=True)
     rows = docs.select(F.col(id_col).cast("long").alias("i"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    shards = (rows.repartitionByRange("i").sortWithinPartitions("i", F.xxhash64("t"))
+    size = rows.agg(F.sum(F.octet_length("t") + ROW_BYTES).alias("n")).first()["n"] or 0
+    # the text's hash and the row number split a key that holds many rows over several shards
+    order = [F.col("i"), F.xxhash64("t"), F.col("n")]
+    shards = (rows.withColumn("n", F.monotonically_increasing_id())
+              .repartitionByRange(max(1, -(-size // shard_bytes)), *order)
+              .sortWithinPartitions(*order).select("i", "t")
               .mapInArrow(_write_shard(folder, tokenizer_path, width), MANIFEST))
     shards.write.parquet(f"{folder}/manifest")
     return folder
@@ -263,15 +272,17 @@ def lookup(keys: DataFrame, folder: str, key_col: str = "doc_id") -> DataFrame:
     """(key, ids binary) of the stored records of each distinct key of ``keys``."""
     spark = keys.sparkSession
     known = [m for m in manifest(spark, folder) if m["max_key"] is not None]
-    highs = np.asarray([m["max_key"] for m in known], np.int64)
+    lows, highs = (np.asarray([m[end] for m in known], np.int64) for end in ("min_key", "max_key"))
     stems = [m["stem"] for m in known]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = batch.column(0).to_numpy(zero_copy_only=False)
-            at = np.searchsorted(highs, k, "left")
-            ok = at < len(highs)
-            yield pa.RecordBatch.from_pydict({"key": pa.array(k[ok]), "at": pa.array(at[ok])})
+            # a key with many records goes on in the shards behind its first one
+            first, end = np.searchsorted(highs, k, "left"), np.searchsorted(lows, k, "right")
+            runs = np.maximum(end - first, 0)
+            at = np.repeat(first, runs) + np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
+            yield pa.RecordBatch.from_pydict({"key": pa.array(np.repeat(k, runs)), "at": pa.array(at)})
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _open(folder)

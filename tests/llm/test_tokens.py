@@ -165,3 +165,30 @@ def test_store_round_trip(spark, odd, none, library):
     assert found == Counter((i, hashlib.md5(np.asarray([*library(t), 0], "<u4").tobytes()).hexdigest())
                             for i, t, *_ in odd_rows() if i in (2, 6))
     assert token_store.read_store(spark, token_store.write_store(none, JSON)).count() == 0
+
+
+def test_hot_keys_are_spread_over_shards_and_found_whole(spark):
+    """A third of the rows without an id, a third with one id, equal texts among both."""
+    rows = [(None, f"none {k % 7}") for k in range(300)] + [(5, f"five {k % 4}") for k in range(300)]
+    rows += [(k, f"text {k}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS i", "2 AS n", "3 AS `a.b`")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    folder = token_store.write_store(docs.repartition(4), path, shard_bytes=2000)
+    shards = token_store.manifest(spark, folder)
+    assert len(shards) > 10 and max(m["n_docs"] for m in shards) < 200
+    assert sum(m["min_key"] is not None and m["min_key"] <= 5 <= m["max_key"] for m in shards) > 2
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+
+    def packed(text):
+        return np.asarray([*t.encode(text, add_special_tokens=False).ids, 0], "<u4").tobytes()
+
+    got = token_store.read_store(spark, folder, with_ids=True).collect()
+    assert Counter((r.doc_id, bytes(r.ids)) for r in got) == Counter((i, packed(x)) for i, x in rows)
+    ordered = sorted(got, key=lambda r: r.start)
+    ids = [r.doc_id for r in ordered]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
+    assert [r.start for r in ordered] == np.cumsum([0, *(r.n_tokens for r in ordered[:-1])]).tolist()
+    keys = spark.createDataFrame([(5,), (7,), (299,), (1000,), (-1,), (None,)], "doc_id long")
+    found = Counter((r[0], bytes(r[1])) for r in token_store.lookup(keys, folder).collect())
+    assert found == Counter((i, packed(x)) for i, x in rows if i in (5, 7, 299))
