@@ -209,3 +209,11 @@ def shapiro_by_feature(df: DataFrame, cols: list[str], alpha: float = 0.05) -> D
     made = df.sparkSession.createDataFrame(
         out, "feature string, n long, w double, p_value double, is_normal boolean")
     return made.orderBy(F.col("p_value").desc_nulls_last(), F.col("w").desc_nulls_last(), "feature")
+
+
+def by_p_value(tests: DataFrame, statistic: str) -> DataFrame:
+    """a table of tests (one row per column of the data) with its ``place``: highest p-value first, then
+    the lower statistic, then the name; missing p-values last."""
+    from pyspark.sql import Window
+    order = Window.orderBy(F.col("p_value").desc_nulls_last(), statistic, "feature")
+    return tests.withColumn("place", F.row_number().over(order).cast("long"))

@@ -8,15 +8,17 @@ and importance table is a DataFrame built from prediction DataFrames.
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import KernelRegression
+from ..session import scratch_path
 from .explore import evaluate_log_and_original, histogram, regression_metrics
+from .kernel import KernelRegression
 
 
 # ---------------------------------------------------------------- trainers
@@ -164,62 +166,88 @@ def feature_importance(model: PipelineModel, features: list[str], top: int | Non
     return df.limit(top) if top else df
 
 
-def global_rank(df: DataFrame, key: str, seed: int, name: str, share_rows: int = 200_000) -> DataFrame:
-    """Position of every row in the order of a seeded hash of ``key``, from 0.
+def numbered(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """(``df`` with dense row numbers 0 .. n-1 in ``name``, n), stored once.
 
-    The hash is uniform, so its high bits cut the order into even shares.
-    Rows are ranked inside their share and shifted by the counts of the
-    shares before it (one row per share, at most a few thousand). The ranks
-    do not depend on how many shares are taken.
+    Rows are numbered where they lie; a stored file's rows are shifted by the
+    counts of the files before it, one row a task. No sort, no shuffle.
     """
-    h = F.xxhash64(F.col(key), F.lit(seed))
-    bits = min(12, max(0, math.ceil(math.log2(max(1, df.count()) / share_rows))) if share_rows else 0)
-    # signed hashes: flipping the sign bit gives their unsigned order
-    share = (F.shiftrightunsigned(h.bitwiseXOR(F.lit(-(1 << 63))), 64 - bits).cast("int")
-             if bits else F.lit(0))
-    cut = df.withColumns({"_h": h, "_share": share})
-    counts = {r["_share"]: r["n"] for r in cut.groupBy("_share").agg(F.count(F.lit(1)).alias("n")).collect()}
-    before, at = {}, 0
-    for k in sorted(counts):
-        before[k], at = at, at + counts[k]
-    shift = F.lit(0)
-    if len(before) > 1:
-        shift = F.element_at(F.map_from_arrays(F.array(*[F.lit(k) for k in before]),
-                                               F.array(*[F.lit(v) for v in before.values()])), F.col("_share"))
-    within = F.row_number().over(Window.partitionBy("_share").orderBy("_h", key)) - 1
-    return cut.withColumn(name, (within + shift).cast("long")).drop("_h", "_share")
-
-
-def permute_column(df: DataFrame, col: str, key: str, seed: int, share_rows: int = 200_000) -> DataFrame:
-    """Randomly permute one column over all rows.
-
-    Receivers and donors are ranked by two seeded hash orders of ``key``, and
-    the row at a rank takes the value at the same rank of the other order:
-    one permutation of the whole column at every size.
+    spark = df.sparkSession
+    path = scratch_path(spark, f"numbered/{uuid.uuid4().hex}")
+    df.withColumn(name, F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.schema(df.withColumn(name, F.lit(0).cast("long")).schema).parquet(path)
+    part = F.shiftright(name, 33)
+    starts, total = [], 0
+    for r in rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect():
+        starts.append((r["p"], total - (r["p"] << 33)))
+        total += r["n"]
+    shift = spark.createDataFrame(starts, "_part long, _shift long")      # one row a task
+    return (rows.withColumn("_part", part).join(F.broadcast(shift), "_part")
+            .withColumn(name, F.col(name) + F.col("_shift")).drop("_part", "_shift")), total
+
+
+WALK = 64
+
+
+def feistel(i: Column, n: int, key: Column, rounds: int = 4) -> Column:
+    """A keyed permutation of 0 .. n-1 as a column expression, without sorting.
+
+    The number is split into a pair (x, y) of a grid just over n; each round adds a hash of one half
+    to the other, which is a bijection of the grid. Results beyond n are put through again (cycle
+    walking). Fewer than sqrt(n) + 1 cells lie beyond n, so above n = 4096 WALK steps are missed
+    with a chance below n^-30, and below it they are more than the cells.
     """
-    receivers = global_rank(df, key, seed + 1, "_r", share_rows).drop(col)
-    donors = global_rank(df.select(key, col), key, seed + 2, "_r", share_rows).select("_r", col)
-    return receivers.join(donors, "_r").drop("_r")
+    if n < 2:
+        return F.lit(0).cast("long")
+    a = math.isqrt(n - 1) + 1
+    b = -(-n // a)
+
+    def once(v: Column) -> Column:
+        def half(s: Column, r: Column) -> Column:
+            x = F.pmod(s["x"] + F.pmod(F.xxhash64(s["y"], key, r), F.lit(a)), F.lit(a)).cast("long")
+            y = F.pmod(s["y"] + F.pmod(F.xxhash64(s["x"], key, r), F.lit(b)), F.lit(b)).cast("long")
+            return F.when(r % 2 == 0, F.struct(x.alias("x"), s["y"].alias("y"))).otherwise(
+                F.struct(s["x"].alias("x"), y.alias("y")))
+
+        start = F.struct((v % a).cast("long").alias("x"), F.floor((v - v % a) / a).cast("long").alias("y"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(2 * rounds - 1)), start, half, lambda s: s["y"] * a + s["x"])
+
+    steps = F.sequence(F.lit(1), F.lit(min(a + 1, WALK)))
+    return F.aggregate(steps, once(i.cast("long")), lambda v, _: F.when(v < n, v).otherwise(once(v)))
+
+
+def permute_column(df: DataFrame, col: str, seed: int) -> DataFrame:
+    """``df`` with the values of ``col`` moved between rows by one permutation of the whole column."""
+    rows, n = numbered(df, "_i")
+    donors = rows.select(F.col("_i").alias("_j"), F.col(col).alias("_v"))
+    return (rows.withColumn("_j", feistel(F.col("_i"), n, F.lit(seed))).join(donors, "_j")
+            .withColumn(col, F.col("_v")).drop("_i", "_j", "_v"))
 
 
 def permutation_importance(model: PipelineModel, test: DataFrame, features: list[str], target: str,
-                           key: str, repeats: int = 10, seed: int = 42) -> DataFrame:
-    """Mean drop in R2 (log scale) when one feature is shuffled."""
-    data = with_log_label(test, target).cache()
-    base = regression_metrics(model.transform(data), "label", "prediction").first().r2
-    rows = []
-    for f in features:
-        drops = []
-        for r in range(repeats):
-            shuffled = permute_column(data, f, key, seed + 1000 * r)
-            r2 = regression_metrics(model.transform(shuffled), "label", "prediction").first().r2
-            drops.append(base - r2)
-        mean = sum(drops) / len(drops)
-        sd = math.sqrt(sum((d - mean) ** 2 for d in drops) / max(len(drops) - 1, 1))
-        rows.append((f, mean, sd))
-    data.unpersist()
-    return test.sparkSession.createDataFrame(rows, "feature string, importance double, std double") \
-        .orderBy(F.col("importance").desc(), "feature")
+                           repeats: int = 10, seed: int = 42) -> DataFrame:
+    """Mean drop in R2 (log scale) when one feature is shuffled.
+
+    One numbering serves all features and repeats; they are permuted, joined and scored in one job
+    (rows x features x repeats).
+    """
+    rows, n = numbered(with_log_label(test, target).select(
+        *[F.col(f).cast("double").alias(f) for f in features], "label"), "_i")
+    base = regression_metrics(model.transform(rows), "label", "prediction").first().r2
+    trials = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.lit(r).alias("r"))
+                                 for f in features for r in range(repeats)]))
+    tried = rows.withColumn("_t", trials).withColumn(
+        "_j", feistel(F.col("_i"), n, F.xxhash64(F.lit(seed), F.col("_t.f"), F.col("_t.r"))))
+    donors = rows.select(F.col("_i").alias("_j"), F.struct(*features).alias("_d"))
+    moved = tried.join(donors, "_j").withColumns(
+        {f: F.when(F.col("_t.f") == f, F.col(f"_d.{f}")).otherwise(F.col(f)) for f in features})
+    pred = model.transform(moved)
+    error = F.col("label") - F.col("prediction")
+    r2 = 1 - F.sum(error * error) / (F.var_pop("label") * F.count("label"))
+    per = pred.groupBy(F.col("_t.f").alias("feature"), F.col("_t.r").alias("r")).agg((F.lit(base) - r2).alias("drop"))
+    return (per.groupBy("feature").agg(F.avg("drop").alias("importance"),
+                                       F.coalesce(F.stddev_samp("drop"), F.lit(0.0)).alias("std"))
+            .orderBy(F.col("importance").desc(), "feature"))
 
 
 # ---------------------------------------------------------------- tables behind plots

@@ -892,7 +892,7 @@ def q_permutation_importance(spark, sf_dir):
     train, test = _split(spark, sf_dir)
     model = TR.fit_regression(TR.gradient_boosting(), train, FX.MODEL_FEATURES, TARGET,
                               key="row_key", fit_rows=FIT_ROWS)
-    return TR.permutation_importance(model, test, FX.MODEL_FEATURES, TARGET, "row_key")
+    return TR.permutation_importance(model, test, FX.MODEL_FEATURES, TARGET)
 
 
 @register("batch_scoring")
@@ -1042,6 +1042,34 @@ def q_csv_to_parquet(spark, sf_dir):
     return out.withColumn("o_orderdate", F.to_date("o_orderdate"))
 
 
+@register("order_lines_to_text", """
+SELECT o_orderkey, to_json(list(struct_pack(line := l_linenumber, part := l_partkey) ORDER BY l_linenumber, l_partkey)) AS lines,
+       to_json(struct_pack(status := any_value(o_orderstatus), customer := any_value(o_custkey))) AS header
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+def q_order_lines_to_text(spark, sf_dir):
+    """A8 over arrays of structs and a struct."""
+    orders, lines = read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "lineitem")
+    nested = (orders.join(lines, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderkey").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part")))
+                     ).alias("lines"),
+        F.first(F.struct(F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("customer"))).alias("header")))
+    return TB.stringify_nested(nested)
+
+
+@register("rounded_half_even", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+       round_even(l_linenumber + l_quantity / 16.0, 3) AS rounded, round_even(l_quantity / 2.0, 0) AS whole
+FROM lineitem""")
+def q_rounded_half_even(spark, sf_dir):
+    """H7 on values with ties (sixteenths at three places, halves at none)."""
+    from ..functions.numeric import round_half_even
+    li = read_table(spark, sf_dir, "lineitem")
+    quantity = F.col("l_quantity").cast("double")
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                     round_half_even(F.col("l_linenumber") + quantity / 16, 3).alias("rounded"),
+                     round_half_even(quantity / 2, 0).alias("whole"))
+
+
 @register("nested_to_text")
 def q_nested_to_text(spark, sf_dir):
     return TB.stringify_nested(read_table(spark, sf_dir, "embeddings"))
@@ -1107,6 +1135,14 @@ def q_ks_normality(spark, sf_dir):
     return round_doubles(out, 9)
 
 
+@register("normality_order", f"""
+SELECT row_number() OVER (ORDER BY p_value DESC, jb, feature) AS place, feature FROM ({ORACLES['jarque_bera']})""")
+def q_normality_order(spark, sf_dir):
+    """columns by p-value, most normal first."""
+    return NM.by_p_value(round_doubles(EX.jarque_bera(read_table(spark, sf_dir, "lineitem"), JB_COLS), 6),
+                         "jb").select("place", "feature")
+
+
 @register("shapiro_normality")
 def q_shapiro_normality(spark, sf_dir):
     return NM.shapiro_by_feature(read_table(spark, sf_dir, "lineitem"), JB_COLS)

@@ -90,18 +90,33 @@ def test_permutation_importance_finds_signal(spark):
     df = spark.createDataFrame(rows, "row_key string, x double, noise double, y double")
     model, _, _ = TR.train_and_evaluate(TR.gradient_boosting(10), df, df.limit(0), ["x", "noise"], "y")
     imp = {r.feature: r.importance for r in TR.permutation_importance(
-        model, df, ["x", "noise"], "y", "row_key", repeats=2).collect()}
+        model, df.repartition(5), ["x", "noise"], "y", repeats=3).collect()}
     assert imp["x"] > 0.5 and abs(imp["noise"]) < 0.05
 
 
 def test_permute_column_is_a_permutation(spark):
-    df = spark.range(5000).select(F.col("id").cast("string").alias("k"), (F.col("id") * 3).alias("v"))
-    p = TR.permute_column(df, "v", "k", seed=7)
-    assert sorted(r.v for r in p.collect()) == sorted(r.v for r in df.collect())
+    df = spark.range(5000).repartition(7).select(F.col("id").cast("string").alias("k"), (F.col("id") * 3).alias("v"))
+    p = TR.permute_column(df, "v", seed=7)
+    assert p.columns == df.columns and sorted(r.v for r in p.collect()) == sorted(r.v for r in df.collect())
     assert p.join(df.withColumnRenamed("v", "v0"), "k").where("v <> v0").count() > 4000
-    # the same permutation, however the work is cut
-    other = TR.permute_column(df, "v", "k", seed=7, share_rows=100)
-    assert sorted(map(tuple, p.select("k", "v").collect())) == sorted(map(tuple, other.select("k", "v").collect()))
+    assert TR.permute_column(df.where("v < 0"), "v", seed=7).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 7, 10, 97, 101, 4095, 4099, 20_001])
+def test_feistel_is_a_bijection_at_odd_sizes(spark, n):
+    both = spark.range(n).select(*[TR.feistel(F.col("id"), n, F.lit(seed)).alias(f"s{seed}") for seed in (1, 2)]).collect()
+    assert sorted(r.s1 for r in both) == sorted(r.s2 for r in both) == list(range(n))
+    if n > 50:
+        assert [r.s1 for r in both] != [r.s2 for r in both]
+        # far from the identity, and no trend between number and place
+        mean = (n - 1) / 2
+        cov = sum((i - mean) * (r.s1 - mean) for i, r in enumerate(both)) / sum((i - mean) ** 2 for i in range(n))
+        assert abs(cov) < 4 / n ** 0.5
+
+
+def test_numbering_is_dense_wherever_the_rows_lie(spark):
+    rows, n = TR.numbered(spark.range(1000).repartition(13), "i")
+    assert n == 1000 and sorted(r.i for r in rows.collect()) == list(range(1000))
 
 
 @pytest.mark.parametrize("kind", ["gbt", "rf"])
