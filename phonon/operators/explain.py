@@ -117,6 +117,37 @@ def batch_shap(x: np.ndarray, leaves: list[dict]) -> np.ndarray:
     return phi
 
 
+def batch_interactions(x: np.ndarray, leaves: list[dict]) -> np.ndarray:
+    """(rows, features, features): Shapley interaction values of the leaf games, off the diagonal.
+
+    For two features of a leaf's path the value is half of leaf value * (o_i - z_i) * (o_j - z_j) *
+    sum_s |s|! (m - 2 - |s|)! / (m - 1)! * c_s, with c_s the coefficients of the other features'
+    product; each pair is split evenly over both orders.
+    """
+    out = np.zeros((len(x), x.shape[1], x.shape[1]))
+    for leaf in leaves:
+        names, m = leaf["features"], len(leaf["features"])
+        if m < 2:
+            continue
+        z = leaf["share"]
+        inside = [((x[:, f] > lo) & (x[:, f] <= hi)).astype(float)
+                  for f, lo, hi in zip(names, leaf["low"], leaf["high"], strict=True)]
+        weight = [math.factorial(s) * math.factorial(m - 2 - s) / (2 * math.factorial(m - 1)) for s in range(m - 1)]
+        for i in range(m):
+            for j in range(i):
+                coef = [np.full(len(x), leaf["value"])]
+                for k in range(m):
+                    if k in (i, j):
+                        continue
+                    up = [c * inside[k] for c in coef]
+                    coef = [c * z[k] for c in coef] + [0.0]
+                    coef = [coef[0]] + [c + u for c, u in zip(coef[1:], up, strict=True)]
+                both = (inside[i] - z[i]) * (inside[j] - z[j]) * sum(w * c for w, c in zip(weight, coef, strict=True))
+                out[:, names[i], names[j]] += both
+                out[:, names[j], names[i]] += both
+    return out
+
+
 def expected_value(trees) -> float:
     """Cover-weighted mean leaf value, summed over weighted trees."""
     total = 0.0
@@ -126,29 +157,86 @@ def expected_value(trees) -> float:
     return total
 
 
-def shap_values(model: PipelineModel, df: DataFrame, key: str, features: list[str]) -> DataFrame:
-    """(key, feature, phi) for every row and feature, plus (key, '__base__', base)."""
+def _leaf_blocks(trees: list[dict], most: int) -> list[list[dict]]:
+    """The leaves of whole trees in blocks of about ``most``, so that no broadcast grows with the ensemble."""
+    blocks, block = [], []
+    for t in trees:
+        block.extend(leaf_boxes(t))
+        if len(block) >= most:
+            blocks, block = [*blocks, block], []
+    return blocks + [block] if block or not blocks else blocks
+
+
+def _explained(model: PipelineModel, df: DataFrame, key: str, width: int, rows_of, schema: str,
+               by: list[str], block_leaves: int) -> tuple[DataFrame, list[dict]]:
+    """Rows that ``rows_of(x, leaves)`` gives for every row of ``df``, summed over the blocks of leaves."""
     spark = df.sparkSession
     tree_model = model.stages[-1]
     trees, _ = tree_tables(spark, tree_model)
-    base = expected_value(trees)
-    # the model's leaves: their number is fixed by rounds and depth, not by the data
-    leaves = spark.sparkContext.broadcast([leaf for t in trees for leaf in leaf_boxes(t)])
     prep = PipelineModel(stages=model.stages[:-1])
     vec = prep.transform(df).select(F.col(key).cast("string").alias("key"),
                                     vector_to_array(tree_model.getFeaturesCol()).alias("x"))
-    names = [*features, "__base__"]
-
-    def explain(batches):
-        for pdf in batches:
-            for a in range(0, len(pdf), 2000):
-                part = pdf.iloc[a:a + 2000]
-                x = np.stack(part["x"].to_numpy())
-                phi = np.column_stack((batch_shap(x, leaves.value), np.full(len(x), base)))
-                yield pd.DataFrame({"key": np.repeat(part["key"].to_numpy(), len(names)),
-                                    "feature": names * len(part), "phi": phi.ravel()})
-
-    return vec.mapInPandas(explain, "key string, feature string, phi double")
+
+    def part(leaves: list[dict]) -> DataFrame:
+        held = spark.sparkContext.broadcast(leaves)          # about block_leaves leaves
+
+        def explain(batches):
+            for pdf in batches:
+                for a in range(0, len(pdf), 2000):
+                    rows = pdf.iloc[a:a + 2000]
+                    made = rows_of(np.stack(rows["x"].to_numpy()), held.value)
+                    yield pd.DataFrame({"key": np.repeat(rows["key"].to_numpy(), width), **made})
+
+        return vec.mapInPandas(explain, "key string, " + schema)
+
+    out = None
+    blocks = _leaf_blocks(trees, block_leaves)
+    for leaves in blocks:
+        out = part(leaves) if out is None else out.unionByName(part(leaves))
+    if len(blocks) > 1:                                       # parts of one row meet once
+        out = out.groupBy("key", *by).agg(F.sum("phi").alias("phi"))
+    return out, trees
+
+
+def shap_values(model: PipelineModel, df: DataFrame, key: str, features: list[str],
+                block_leaves: int = 50_000) -> DataFrame:
+    """(key, feature, phi) for every row and feature, plus (key, '__base__', base).
+
+    ``key`` names a row. The leaves are shipped in blocks; each block is one map, whose parts are
+    added up.
+    """
+    def rows_of(x, leaves):
+        return {"feature": features * len(x), "phi": batch_shap(x, leaves).ravel()}
+
+    out, trees = _explained(model, df, key, len(features), rows_of, "feature string, phi double", ["feature"],
+                            block_leaves)
+    base = F.lit(float(expected_value(trees)))
+    return out.unionByName(df.select(F.col(key).cast("string").alias("key"), F.lit("__base__").alias("feature"),
+                                     base.alias("phi")))
+
+
+def shap_interactions(model: PipelineModel, df: DataFrame, key: str, features: list[str],
+                      block_leaves: int = 50_000) -> DataFrame:
+    """(key, feature, partner, phi): interaction values of every row and pair, both orders. A feature's own
+    value (partner = feature) is its attribution less its interactions, so a feature's values add up to it."""
+    d = len(features)
+
+    def rows_of(x, leaves):
+        own, pairs = batch_shap(x, leaves), batch_interactions(x, leaves)
+        pairs[:, np.arange(d), np.arange(d)] = own - pairs.sum(axis=2)
+        return {"feature": [f for f in features for _ in features] * len(x),
+                "partner": features * d * len(x), "phi": pairs.ravel()}
+
+    return _explained(model, df, key, d * d, rows_of, "feature string, partner string, phi double",
+                      ["feature", "partner"], block_leaves)[0]
+
+
+def strongest_partners(phi: DataFrame) -> DataFrame:
+    """For every feature its partner with the largest mean |interaction| (first name on ties), which
+    colours its dependence table."""
+    mean = phi.where("feature <> partner").groupBy("feature", "partner").agg(F.avg(F.abs("phi")).alias("strength"))
+    best = F.min_by(F.struct("partner", "strength"), F.struct((-F.col("strength")).alias("s"), F.col("partner").alias("p")))
+    return mean.groupBy("feature").agg(best.alias("b")).select("feature", "b.partner", "b.strength")
 
 
 def mean_abs_shap(phi: DataFrame, top: int | None = None) -> DataFrame:

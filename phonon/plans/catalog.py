@@ -1157,6 +1157,15 @@ def q_shap_summary(spark, sf_dir):
     return XP.mean_abs_shap(XP.shap_values(model, test, "row_key", FX.MODEL_FEATURES))
 
 
+@register("shap_partners")
+def q_shap_partners(spark, sf_dir):
+    """Every feature's strongest interaction partner on the test rows."""
+    train, test = _split(spark, sf_dir)
+    model = TR.fit_regression(TR.gradient_boosting(), train, FX.MODEL_FEATURES, TARGET,
+                              key="row_key", fit_rows=FIT_ROWS)
+    return XP.strongest_partners(XP.shap_interactions(model, test, "row_key", FX.MODEL_FEATURES))
+
+
 @register("k_selection")
 def q_k_selection(spark, sf_dir):
     """J11-J14 on the embeddings: sweep k, composite score, knee of inertia,
