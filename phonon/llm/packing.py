@@ -117,7 +117,7 @@ def pieces_of(tokenizer_path: str, capacity: int, window: int, with_ids: bool):
             held.clear()
 
         for batch in batches:
-            for rows in arrow_slices(batch, 1, most_bytes=2 << 20):
+            for rows in arrow_slices(batch, 1, most_bytes=3 << 20):
                 for ident, packed in zip(rows.column(0).to_pylist(), enc.encode(rows.column(1)),
                                          strict=True):
                     packed += end
