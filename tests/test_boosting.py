@@ -141,3 +141,29 @@ def test_empty_tables_and_constant_labels(spark):
     flat = frame(spark, 50).withColumn("y", F.lit(2.0))
     model = B.fit_boosted(flat, ["a"], "y", "id", B.Settings(rounds=2))
     assert {r.prediction for r in model.transform(flat).collect()} == {2.0}
+
+
+def test_grid_predicts_as_the_trees_do():
+    x, y = data(3, 300, 3)
+    base, trees = B.boost(x, y, B.Settings(rounds=20, depth=6))
+    rows = np.unique(np.random.default_rng(5).integers(0, B.BINS, (4000, 3)).astype(np.uint8), axis=0)
+    at = B.judge(base, trees, [B.BINS] * 3)
+    got = np.concatenate([at(rows[a:a + 700]) for a in range(0, len(rows), 700)])     # a slab goes over several batches
+    assert np.allclose(got, B.predict(base, trees, rows), atol=1e-9)
+    one = np.arange(B.BINS, dtype=np.uint8)[:, None]
+    base, trees = B.boost(x[:, :1].copy(), y, B.Settings(rounds=5, depth=3))
+    assert np.allclose(B.judge(base, trees, [B.BINS])(one), B.predict(base, trees, one), atol=1e-9)
+
+
+def test_cells_stand_for_all_their_rows(spark):
+    df = frame(spark, 300).withColumn("a", F.round("a")).withColumn("c", F.round("c")).drop("b")
+    many = df.unionByName(df).unionByName(df)
+    binning = B.fit_binning(many, ["a", "c"])
+    held = B.cells(many, binning, "y", "id", 1)
+    assert held.agg(F.sum("n")).first()[0] == 900 and held.count() < 200
+    s = B.Settings(rounds=4, depth=4)
+    (base, got), = B.fit_shared(B.cell_blocks(held), 2, [(s, None)])
+    blocks = B.binned(many, binning, "y", "id", 1).collect()
+    x, y = np.concatenate([B._matrix(r["x"], 2) for r in blocks]), np.concatenate([np.frombuffer(r["y"]) for r in blocks])
+    want_base, want = B.boost(x, y, s)
+    assert np.allclose(B.predict(base, got, x), B.predict(want_base, want, x), atol=1e-9)
