@@ -51,3 +51,17 @@ def test_distance_matches_plain_python_at_any_partitioning(spark):
             assert r.n == n and (r.d is None if d is None else r.d == pytest.approx(d, abs=1e-12))
         assert {r.feature: r.is_normal for r in got} == {"a": True, "b": False, "c": False, "d": None}
     assert NM.kolmogorov_smirnov(frame.where("a > 100"), ["a"]).count() == 0
+
+
+def test_ks_is_the_same_with_few_buckets_and_ranks_only_some_values(spark):
+    rng = np.random.default_rng(4)
+    cols = {"even": rng.random(400), "tied": rng.integers(0, 4, 400).astype(float), "bell": rng.normal(size=400)}
+    df = spark.createDataFrame([(float(a), float(b), float(c), 1.0) for a, b, c in zip(*cols.values())],
+                               "even double, tied double, bell double, flat double").repartition(5)
+    for buckets in (1, 8, 1 << 16):
+        got = {r["feature"]: r for r in NM.kolmogorov_smirnov(df, [*cols, "flat"], buckets=buckets).collect()}
+        for name, v in cols.items():
+            u = np.array([NormalDist().cdf(z) for z in (np.sort(v) - v.mean()) / v.std(ddof=1)])
+            d = max((np.arange(1, 401) / 400 - u).max(), (u - np.arange(400) / 400).max())
+            assert abs(got[name]["d"] - d) < 1e-9 and got[name]["n"] == 400
+        assert got["flat"]["n"] == 400 and got["flat"]["d"] is None and got["flat"]["p_value"] is None
