@@ -89,6 +89,9 @@ def formula_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
                        .alias("formula"))
 
 
+PART_ROWS = 250_000
+
+
 def composition_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row_id, element, amount): order = compound, part = element, quantity = amount.
 
@@ -97,9 +100,10 @@ def composition_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     li = read_table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("row_id"), F.col("l_partkey").alias("element"), "l_quantity")
-    # partitioned by composition id once: the element sum, the window and
-    # the per-composition aggregate downstream all reuse this exchange
-    return (li.repartition("row_id").groupBy("row_id", "element")
+    # partitioned by composition id once: the element sum, the window and the per-composition aggregate
+    # downstream all reuse this exchange; its parts hold about the same number of rows at every size
+    parts = max(spark.sparkContext.defaultParallelism, -(-li.count() // PART_ROWS))
+    return (li.repartition(parts, "row_id").groupBy("row_id", "element")
             .agg(F.sum("l_quantity").alias("amount")))
 
 

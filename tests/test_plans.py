@@ -54,3 +54,11 @@ FITS = {"model_comparison", "cv_random_search", "tuned_boosting", "feature_set_e
 def test_no_cartesian_products(spark, name):
     p = plan(spark, E.queries()[name](spark, SF_SMALL))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_compositions_are_cut_by_their_number(spark, monkeypatch):
+    from phonon.sources import fixtures as FX
+    monkeypatch.setattr(FX, "PART_ROWS", 100)
+    rows = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").count()
+    p = plan(spark, FX.composition_long(spark, SF_SMALL))
+    assert f", {-(-rows // 100)}), REPARTITION_BY_NUM" in p
