@@ -117,6 +117,38 @@ def batch_shap(x: np.ndarray, leaves: list[dict]) -> np.ndarray:
     return phi
 
 
+MOST_CELLS = 4096
+
+
+def shap_tables(t: dict, width: int) -> tuple[list[int], list[np.ndarray], np.ndarray] | None:
+    """(features, their cut points, attributions): the attributions of a tree depend only on the
+    interval between its cut points that each feature lies in. None if that makes too many cells."""
+    cuts: dict[int, set] = {}
+    for f, left, cut in zip(t["feature"], t["left"], t["threshold"], strict=True):
+        if left >= 0:
+            cuts.setdefault(f, set()).add(cut)
+    names = sorted(cuts)
+    edges = [np.array(sorted(cuts[f])) for f in names]
+    if math.prod(len(e) + 1 for e in edges) > MOST_CELLS:
+        return None
+    x = np.zeros((math.prod(len(e) + 1 for e in edges), width))
+    for f, v in zip(names, np.meshgrid(*[np.append(e, np.inf) for e in edges], indexing="ij"), strict=True):
+        x[:, f] = v.ravel()                           # an interval's upper end lies in it
+    return names, edges, batch_shap(x, leaf_boxes(t))[:, names]
+
+
+def tabled_shap(x: np.ndarray, tables: list[tuple], leaves: list[dict]) -> np.ndarray:
+    """``batch_shap`` of trees given as tables (``shap_tables``) and of others given by their leaves."""
+    phi = batch_shap(x, leaves)
+    for names, edges, table in tables:
+        cell = np.zeros(len(x), np.int64)
+        for f, e in zip(names, edges, strict=True):
+            cell = cell * (len(e) + 1) + np.searchsorted(e, x[:, f], side="left")
+        if names:
+            phi[:, names] += table[cell]
+    return phi
+
+
 def batch_interactions(x: np.ndarray, leaves: list[dict]) -> np.ndarray:
     """(rows, features, features): Shapley interaction values of the leaf games, off the diagonal.
 
@@ -157,19 +189,23 @@ def expected_value(trees) -> float:
     return total
 
 
-def _leaf_blocks(trees: list[dict], most: int) -> list[list[dict]]:
-    """The leaves of whole trees in blocks of about ``most``, so that no broadcast grows with the ensemble."""
-    blocks, block = [], []
+def _tree_blocks(trees: list[dict], most: int) -> list[list[dict]]:
+    """Trees in blocks of about ``most`` leaves, so that no broadcast grows with the ensemble."""
+    blocks, block, leaves = [], [], 0
     for t in trees:
-        block.extend(leaf_boxes(t))
-        if len(block) >= most:
-            blocks, block = [*blocks, block], []
+        block.append(t)
+        leaves += sum(n < 0 for n in t["left"])
+        if leaves >= most:
+            blocks, block, leaves = [*blocks, block], [], 0
     return blocks + [block] if block or not blocks else blocks
 
 
 def _explained(model: PipelineModel, df: DataFrame, key: str, width: int, rows_of, schema: str,
-               by: list[str], block_leaves: int) -> tuple[DataFrame, list[dict]]:
-    """Rows that ``rows_of(x, leaves)`` gives for every row of ``df``, summed over the blocks of leaves."""
+               by: list[str], block_leaves: int, tables_of=None) -> tuple[DataFrame, list[dict]]:
+    """Rows that ``rows_of(x, tables, leaves)`` gives for every row of ``df``, summed over the blocks of leaves.
+
+    ``tables_of`` makes the table of a tree, or None; trees without one are given by their leaves.
+    """
     spark = df.sparkSession
     tree_model = model.stages[-1]
     trees, _ = tree_tables(spark, tree_model)
@@ -177,22 +213,25 @@ def _explained(model: PipelineModel, df: DataFrame, key: str, width: int, rows_o
     vec = prep.transform(df).select(F.col(key).cast("string").alias("key"),
                                     vector_to_array(tree_model.getFeaturesCol()).alias("x"))
 
-    def part(leaves: list[dict]) -> DataFrame:
-        held = spark.sparkContext.broadcast(leaves)          # about block_leaves leaves
+    def part(block: list[dict]) -> DataFrame:
+        made = [tables_of(t) if tables_of else None for t in block]
+        tables = [m for m in made if m is not None]
+        leaves = [leaf for t, m in zip(block, made, strict=True) if m is None for leaf in leaf_boxes(t)]
+        held = spark.sparkContext.broadcast((tables, leaves))          # about block_leaves leaves
 
         def explain(batches):
             for pdf in batches:
                 for a in range(0, len(pdf), 2000):
                     rows = pdf.iloc[a:a + 2000]
-                    made = rows_of(np.stack(rows["x"].to_numpy()), held.value)
+                    made = rows_of(np.stack(rows["x"].to_numpy()), *held.value)
                     yield pd.DataFrame({"key": np.repeat(rows["key"].to_numpy(), width), **made})
 
         return vec.mapInPandas(explain, "key string, " + schema)
 
     out = None
-    blocks = _leaf_blocks(trees, block_leaves)
-    for leaves in blocks:
-        out = part(leaves) if out is None else out.unionByName(part(leaves))
+    blocks = _tree_blocks(trees, block_leaves)
+    for block in blocks:
+        out = part(block) if out is None else out.unionByName(part(block))
     if len(blocks) > 1:                                       # parts of one row meet once
         out = out.groupBy("key", *by).agg(F.sum("phi").alias("phi"))
     return out, trees
@@ -205,11 +244,11 @@ def shap_values(model: PipelineModel, df: DataFrame, key: str, features: list[st
     ``key`` names a row. The leaves are shipped in blocks; each block is one map, whose parts are
     added up.
     """
-    def rows_of(x, leaves):
-        return {"feature": features * len(x), "phi": batch_shap(x, leaves).ravel()}
+    def rows_of(x, tables, leaves):
+        return {"feature": features * len(x), "phi": tabled_shap(x, tables, leaves).ravel()}
 
     out, trees = _explained(model, df, key, len(features), rows_of, "feature string, phi double", ["feature"],
-                            block_leaves)
+                            block_leaves, lambda t: shap_tables(t, len(features)))
     base = F.lit(float(expected_value(trees)))
     return out.unionByName(df.select(F.col(key).cast("string").alias("key"), F.lit("__base__").alias("feature"),
                                      base.alias("phi")))
@@ -221,7 +260,7 @@ def shap_interactions(model: PipelineModel, df: DataFrame, key: str, features: l
     value (partner = feature) is its attribution less its interactions, so a feature's values add up to it."""
     d = len(features)
 
-    def rows_of(x, leaves):
+    def rows_of(x, _, leaves):
         own, pairs = batch_shap(x, leaves), batch_interactions(x, leaves)
         pairs[:, np.arange(d), np.arange(d)] = own - pairs.sum(axis=2)
         return {"feature": [f for f in features for _ in features] * len(x),

@@ -75,3 +75,18 @@ def test_a_deep_forest_is_explained(spark):
     total = {r.key: r.t for r in phi.groupBy("key").agg(F.sum("phi").alias("t")).collect()}
     pred = {r.k: r.prediction for r in model.transform(df).collect()}
     assert total == pytest.approx(pred, abs=1e-9)
+
+
+def test_tabled_attributions_equal_those_of_the_leaves():
+    import numpy as np
+
+    from phonon.operators import explain as XP
+    tree = {"left": [1, 3, 5, -1, -1, -1, -1], "right": [2, 4, 6, -1, -1, -1, -1], "feature": [0, 1, 0, -1, -1, -1, -1],
+            "threshold": [0.5, -1.0, 2.0, 0.0, 0.0, 0.0, 0.0], "value": [0.0, 0.0, 0.0, 1.0, -2.0, 4.0, 0.5],
+            "cover": [10.0, 6.0, 4.0, 2.0, 4.0, 3.0, 1.0], "weight": 0.7}
+    stump = {"left": [-1], "right": [-1], "feature": [-1], "threshold": [0.0], "value": [3.0], "cover": [10.0], "weight": 1.0}
+    x = np.array([[0.5, -1.0, 9.0], [0.50001, 0.0, 9.0], [2.0, -5.0, 0.0], [2.5, 1.0, 0.0], [-3.0, -0.9, 1.0]])
+    leaves = XP.leaf_boxes(tree) + XP.leaf_boxes(stump)
+    tables = [XP.shap_tables(t, 3) for t in (tree, stump)]
+    assert np.allclose(XP.tabled_shap(x, tables, []), XP.batch_shap(x, leaves), atol=1e-12)
+    assert np.allclose(XP.tabled_shap(x, tables[1:], XP.leaf_boxes(tree)), XP.batch_shap(x, leaves), atol=1e-12)
