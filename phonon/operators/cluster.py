@@ -136,9 +136,8 @@ def fit_cluster_pipeline(df: DataFrame, feature_cols: list[str], k: int,
     scaled = scaler.transform(assembled)
     n_comp = components_for_variance(scaled, "_scaled", variance)
     pca = PCA(k=n_comp, inputCol="_scaled", outputCol="pca_features").fit(scaled)
-    reduced = pca.transform(scaled).cache()
-    km = fit_kmeans(reduced, k, "pca_features", seed, restarts)
-    reduced.unpersist()
+    # the passes over the reduced rows keep them packed; nothing of the wide table is held
+    km = fit_kmeans(pca.transform(scaled), k, "pca_features", seed, restarts)
     return PipelineModel(stages=[logs, imputer, assembler, scaler, pca, km])
 
 

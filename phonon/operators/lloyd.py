@@ -40,8 +40,23 @@ def _vectors(df: DataFrame, features: str) -> DataFrame:
     return df.select(F.transform(array, lambda v: v.cast("double")).alias("v")).where("v IS NOT NULL")
 
 
+def _packed(vectors: DataFrame) -> DataFrame:
+    """Blocks of at most ``ROWS`` vectors as bytes: passes read these without taking rows apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _blocks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([len(x)], pa.int32()), pa.array([x.tobytes()], pa.binary())],
+                                             names=["rows", "x"])
+
+    return vectors.mapInArrow(run, "rows int, x binary")
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     for batch in batches:
+        if batch.num_columns == 2:                       # packed
+            for n, x in zip(*batch.columns, strict=True):
+                yield np.frombuffer(x.as_buffer(), float).reshape(n.as_py(), -1)
+            continue
         for at in range(0, batch.num_rows, ROWS):
             part = batch.slice(at, ROWS)
             yield part.column(0).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
@@ -122,19 +137,25 @@ def lloyd(vectors: DataFrame, start: dict[Pair, np.ndarray], max_iter: int = 300
         edges = np.cumsum([0, *(len(centres[p]) for p in active)])
         keys = [names.index(p) for p in active]
 
+        half = (stacked * stacked).sum(axis=1) / 2
+        size = len(stacked)
+
         def sums(x: np.ndarray) -> dict[int, np.ndarray]:
-            d = _distances(x, stacked)
-            out = {}
+            # centres down, rows across: comparing a pair's few centres runs along the rows
+            d = _distances(x, stacked).T if last else half[:, None] - stacked @ x.T
+            out, place = {}, np.arange(len(x))
+            hot = None if last else np.zeros((size, len(x)))
             for key, a, b in zip(keys, edges[:-1], edges[1:], strict=True):
-                own = d[:, a:b]
-                near = own.argmin(axis=1)
-                cost = own[np.arange(len(x)), near].sum()
+                near = d[a:b].argmin(axis=0) + a
                 if last:
-                    out[key] = np.array([cost])
-                    continue
-                hot = np.zeros((b - a, len(x)))
-                hot[near, np.arange(len(x))] = 1.0
-                out[key] = np.concatenate((hot.sum(axis=1), (hot @ x).ravel()))
+                    out[key] = np.array([d[near, place].sum()])
+                else:
+                    hot[near, place] = 1.0
+            if last:
+                return out
+            count, total = hot.sum(axis=1), hot @ x
+            for key, a, b in zip(keys, edges[:-1], edges[1:], strict=True):
+                out[key] = np.concatenate((count[a:b], total[a:b].ravel()))
             return out
 
         return _summed(vectors, sums)
@@ -159,20 +180,21 @@ def best_of_seeds(df: DataFrame, features: str, k_values: list[int], seed: int =
                   max_iter: int = 300) -> dict[int, tuple[float, np.ndarray]]:
     """{k: (cost, centres)} of the cheapest of ``restarts`` seeds (the first on ties), all in shared passes."""
     ship_package(df.sparkSession)
-    vectors = _vectors(df, features).cache()
+    vectors = _vectors(df, features)
+    start = seeds(vectors, [(k, seed + r) for k in k_values for r in range(restarts)])
+    if not start:
+        return {}
+    packed = _packed(vectors).cache()
     try:
-        start = seeds(vectors, [(k, seed + r) for k in k_values for r in range(restarts)])
-        if not start:
-            return {}
-        fitted, _ = lloyd(vectors, start, max_iter)
+        fitted, _ = lloyd(packed, start, max_iter)
     finally:
-        vectors.unpersist()
+        packed.unpersist()
     return {k: min((fitted[k, seed + r] for r in range(restarts)), key=lambda f: f[0]) for k in k_values}
 
 
 def sweep_metrics(df: DataFrame, features: str, models: dict[int, np.ndarray]) -> dict[int, dict[str, float | None]]:
     """{k: Inertia, Silhouette (squared Euclidean), Calinski-Harabasz, Davies-Bouldin} in two passes."""
-    vectors = _vectors(df, features).cache()
+    vectors = _packed(_vectors(df, features)).cache()
     keys = list(models)
 
     def first(x: np.ndarray) -> dict[int, np.ndarray]:

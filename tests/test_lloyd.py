@@ -80,3 +80,13 @@ def test_few_or_equal_rows(spark):
     assert cost == 0.0 and centres.tolist() == [[1.0, 2.0]]
     assert LL.best_of_seeds(one.where("id > 0"), "v", [3]) == {}
     assert CL.k_sweep(one.where("id > 0"), "v", [2]).count() == 0
+
+
+def test_packed_blocks_give_the_same_fits(spark):
+    vectors = frame(spark, points(n=5000, d=3)).select("v")
+    packed = LL._packed(vectors)
+    assert packed.count() < 20                       # blocks, not rows
+    start = LL.seeds(vectors, [(k, 1) for k in (2, 5)])
+    one, two = (LL.lloyd(v, start)[0] for v in (vectors, packed))
+    for p in start:
+        assert abs(one[p][0] - two[p][0]) < 1e-9 * one[p][0] and np.allclose(one[p][1], two[p][1], atol=1e-9)
