@@ -260,3 +260,10 @@ def test_code_reaches_the_workers_from_another_folder():
     done = subprocess.run([sys.executable, "-c", code], cwd=tempfile.mkdtemp(prefix="phonon-cwd-"),
                           env=env, capture_output=True, text=True, timeout=300)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_bounded_rows_of_a_fit_are_stored_in_few_parts(spark):
+    df = spark.range(4000).select("id", *[(F.col("id") % m).cast("double").alias(f"x{m}") for m in (3, 7)],
+                                  F.col("id").cast("double").alias("y")).repartition(16)
+    fitted, rows = TR.prepared_rows(df, ["x3", "x7"], "y", key="id", fit_rows=200)
+    assert rows.rdd.getNumPartitions() == 1 and 100 < rows.count() < 300 and len(fitted) == 3
