@@ -11,12 +11,16 @@ import math
 import uuid
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import Imputer, ImputerModel, StandardScaler, StandardScalerModel, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import (GBTRegressionModel, GBTRegressor, LinearRegression, RandomForestRegressionModel,
+                                   RandomForestRegressor)
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from . import permute as PM
+from .explain import tree_tables
 from .explore import evaluate_log_and_original, histogram, regression_metrics
 from .kernel import KernelRegression
 
@@ -248,28 +252,46 @@ def permutation_importance(model: PipelineModel, test: DataFrame, features: list
                            repeats: int = 10, seed: int = 42) -> DataFrame:
     """Mean drop in R2 (log scale) when one feature is shuffled.
 
-    One numbering serves all features and repeats; they are permuted, joined and scored in one job
-    (rows x features x repeats).
+    One numbering serves all features and repeats; only the moved values travel (``permute.trials``).
+    Small trees behind column-wise stages are scored where the values arrive, other models
+    on all rows x features x repeats.
     """
     rows, n = numbered(with_log_label(test, target).select(
         *[F.col(f).cast("double").alias(f) for f in features], "label"), "_i")
     base = regression_metrics(model.transform(rows), "label", "prediction").first().r2
-    trials = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.lit(r).alias("r"))
-                                 for f in features for r in range(repeats)]))
-    tried = rows.withColumn("_t", trials).withColumn(
-        "_j", feistel(F.col("_i"), n, F.xxhash64(F.lit(seed), F.col("_t.f"), F.col("_t.r"))))
-    donors = rows.select(F.col("_i").alias("_j"), F.struct(*features).alias("_d"))
-    moved = tried.join(donors, "_j").withColumns(
-        {f: F.when(F.col("_t.f") == f, F.col(f"_d.{f}")).otherwise(F.col(f)) for f in features})
-    pred = model.transform(moved)
-    error = F.col("label") - F.col("prediction")
-    r2 = 1 - F.sum(error * error) / (F.var_pop("label") * F.count("label"))
-    per = pred.groupBy(F.col("_t.f").alias("feature"), F.col("_t.r").alias("r")).agg((F.lit(base) - r2).alias("drop"))
-    return (per.groupBy("feature").agg(F.avg("drop").alias("importance"),
-                                       F.coalesce(F.stddev_samp("drop"), F.lit(0.0)).alias("std"))
+    spread = rows.agg(F.var_pop("label") * F.count("label")).first()[0]
+    keys = [[F.xxhash64(F.lit(seed), F.lit(f), F.lit(r)) for r in range(repeats)] for f in features]
+    trees = _small_trees(model, features)
+    if trees:
+        ready = PipelineModel(model.stages[:-1]).transform(rows).select(
+            "_i", vector_to_array(model.stages[-1].getFeaturesCol()).alias("x"), "label")
+        tried = PM.trials(ready, n, len(features), keys, PM.TreeTables(trees, len(features)))
+    else:
+        ready = rows.select("_i", F.array(*features).alias("x"), "label")
+        tried = PM.trials(ready, n, len(features), keys, None)
+        pred = model.transform(tried.select("trial", *[F.col("x")[i].alias(f) for i, f in enumerate(features)], "label"))
+        error = F.col("label") - F.col("prediction")
+        tried = pred.select("trial", (error * error).alias("sse"))
+    r2 = 1 - F.sum("sse") / F.lit(spread).cast("double")
+    per = tried.groupBy("trial").agg((F.lit(base).cast("double") - r2).alias("drop"))
+    name = F.element_at(F.array(*[F.lit(f) for f in features]), F.floor(F.col("trial") / repeats).cast("int") + 1)
+    return (per.groupBy(name.alias("feature")).agg(F.avg("drop").alias("importance"),
+                                                   F.coalesce(F.stddev_samp("drop"), F.lit(0.0)).alias("std"))
             .orderBy(F.col("importance").desc(), "feature"))
 
 
+def _small_trees(model: PipelineModel, features: list[str]) -> list[dict] | None:
+    """The trees of a ``regression_pipeline`` over ``features``; None for other models and larger trees."""
+    *stages, last = model.stages
+    kinds = [type(s) for s in stages]
+    if kinds not in ([ImputerModel, VectorAssembler], [ImputerModel, VectorAssembler, StandardScalerModel]) or not \
+            isinstance(last, (GBTRegressionModel, RandomForestRegressionModel)) or last.getMaxDepth() > PM.MOST_DEPTH:
+        return None
+    if stages[0].getInputCols() != features or stages[1].getInputCols() != stages[0].getOutputCols():
+        return None
+    return tree_tables(SparkSession.getActiveSession(), last)[0]
+
+
 # ---------------------------------------------------------------- tables behind plots
 
 def parity_table(pred: DataFrame, actual: str, predicted: str) -> DataFrame:
