@@ -26,13 +26,13 @@ import random
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phonon.session import scratch_path, ship_package
@@ -41,6 +41,7 @@ from .prepare import hash_bucket
 
 BINS = 32
 BLOCK_ROWS = 16_384
+MANY_ROWS = 4096
 
 
 @dataclass(frozen=True)
@@ -82,6 +83,13 @@ def histograms(x: np.ndarray, node: np.ndarray, g: np.ndarray, nodes: int, n: np
                bins: int = BINS) -> np.ndarray:
     """(2, nodes, features, bins): gradient sums and weights (``n``, or 1 a row) of rows with bins ``x`` in ``node``."""
     width = x.shape[1]
+    if len(x) > MANY_ROWS:                        # the same sums, column by column
+        out, start = np.empty((2, nodes, width, bins)), node * bins
+        for k in range(width):
+            at = start + x[:, k]
+            out[0, :, k] = np.bincount(at, g, nodes * bins).reshape(nodes, bins)
+            out[1, :, k] = np.bincount(at, n, nodes * bins).reshape(nodes, bins)
+        return out
     at = ((node[:, None] * width + np.arange(width)) * bins + x).ravel()
     size = nodes * width * bins
     return np.stack([np.bincount(at, np.repeat(g, width), size),
@@ -95,8 +103,9 @@ def best_splits(sums: np.ndarray, s: Settings, columns: np.ndarray) -> tuple[np.
     total_g, total_h = g[:, :1].sum(axis=2, keepdims=True), h[:, :1].sum(axis=2, keepdims=True)
     left_g, left_h = g.cumsum(axis=2)[:, :, :-1], h.cumsum(axis=2)[:, :, :-1]
     right_g, right_h = total_g - left_g, total_h - left_h
-    gain = soft(left_g, s.l1) ** 2 / (left_h + s.l2) + soft(right_g, s.l1) ** 2 / (right_h + s.l2) \
-        - soft(total_g, s.l1) ** 2 / (total_h + s.l2)
+    with np.errstate(divide="ignore", invalid="ignore"):      # an empty side without l2: out in the next line
+        gain = soft(left_g, s.l1) ** 2 / (left_h + s.l2) + soft(right_g, s.l1) ** 2 / (right_h + s.l2) \
+            - soft(total_g, s.l1) ** 2 / (total_h + s.l2)
     gain[(left_h < s.least_weight) | (right_h < s.least_weight)] = -np.inf
     gain[:, ~columns] = -np.inf
     flat = gain.reshape(len(gain), -1)
@@ -118,17 +127,18 @@ def drawn_rows(s: Settings, model: int, rnd: int, block: int, n: int) -> np.ndar
 
 
 class Tree:
-    """Nodes level by level: feature (-1: leaf), bin, first child, value."""
+    """Nodes level by level: feature (-1: leaf), bin, first child, value, weight of the rows, gain of the split."""
 
     def __init__(self) -> None:
-        self.feature, self.bin, self.left, self.value = (np.full(1, v, t) for v, t in (
-            (-1, np.int16), (0, np.int16), (0, np.int32), (0.0, np.float64)))
+        self.feature, self.bin, self.left, self.value, self.cover, self.gain = (np.full(1, v, t) for v, t in (
+            (-1, np.int16), (0, np.int16), (0, np.int32), (0.0, np.float64), (0.0, np.float64), (0.0, np.float64)))
         self.start = 0                            # first node of the lowest level
 
     def extend(self, sums: np.ndarray, s: Settings, columns: np.ndarray, last: bool) -> bool:
         """Give the lowest level its values and, unless it is the ``last``, its splits."""
         g, h = sums[0][:, 0].sum(axis=1), sums[1][:, 0].sum(axis=1)
         self.value[self.start:] = -soft(g, s.l1) / (h + s.l2) * s.step
+        self.cover[self.start:] = h
         if last:
             return False
         gain, feature, cut = best_splits(sums, s, columns)
@@ -137,31 +147,40 @@ class Tree:
             return False
         at = self.start + np.flatnonzero(good)
         n = len(self.feature)
-        self.feature[at], self.bin[at] = feature[good], cut[good]
+        self.feature[at], self.bin[at], self.gain[at] = feature[good], cut[good], gain[good]
         self.left[at] = n + 2 * np.arange(len(at))
         more = 2 * len(at)
         self.feature = np.concatenate((self.feature, np.full(more, -1, np.int16)))
-        self.bin, self.left, self.value = (np.concatenate((v, np.zeros(more, v.dtype)))
-                                           for v in (self.bin, self.left, self.value))
+        self.bin, self.left, self.value, self.cover, self.gain = (
+            np.concatenate((v, np.zeros(more, v.dtype)))
+            for v in (self.bin, self.left, self.value, self.cover, self.gain))
         self.start = n
         return True
 
     def down(self, x: np.ndarray, node: np.ndarray) -> np.ndarray:
         """The next node of every row (leaves stay)."""
-        f = self.feature[node]
-        inner = np.flatnonzero(f >= 0)
-        out = node.copy()
-        at = node[inner]
-        out[inner] = self.left[at] + (x[inner, f[inner]] > self.bin[at])
-        return out
+        return self.walk(x, 1, node)
+
+    def walk(self, x: np.ndarray, steps: int, node: np.ndarray | None = None) -> np.ndarray:
+        """The node of every row, ``steps`` levels below ``node`` (the root) or at a leaf above."""
+        inner = self.feature >= 0
+        feature, cut = np.where(inner, self.feature, 0).astype(np.int64), np.where(inner, self.bin, 32_767)
+        after = np.where(inner, self.left, np.arange(len(inner), dtype=np.int64))
+        flat, row = np.ascontiguousarray(x).ravel(), np.arange(len(x), dtype=np.int64) * x.shape[1]
+        node = np.zeros(len(x), np.int64) if node is None else node
+        for _ in range(steps):
+            node = after[node] + (flat[row + feature[node]] > cut[node])
+        return node
+
+    def levels(self) -> int:
+        """Levels below the root."""
+        at, n = np.zeros(1, np.int64), 0
+        while len(at := at[self.feature[at] >= 0]):
+            at, n = np.concatenate((self.left[at], self.left[at] + 1)), n + 1
+        return n
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
-        node = np.zeros(len(x), np.int64)
-        while True:
-            nxt = self.down(x, node)
-            if (nxt == node).all():
-                return node
-            node = nxt
+        return self.walk(x, self.levels())
 
 
 def grow(x: np.ndarray, g: np.ndarray, s: Settings, model: int, rnd: int) -> tuple[Tree, np.ndarray]:
@@ -286,7 +305,7 @@ def _matrix(x: bytes, width: int) -> np.ndarray:
 CELLS = "fold int, x binary, n double, mean double, spread double"
 
 
-def cells(train: DataFrame, binning: Binning, label: str, key: str, folds: int) -> DataFrame:
+def cells(train: DataFrame, binning: Binning, label: str, key: Column | str, folds: int) -> DataFrame:
     """One row per (fold, binned row): the rows in it, their mean label and its variance.
 
     Squared error needs no more of the rows, and there are never more cells than rows or than the grid
@@ -336,10 +355,12 @@ NAMES = ["fold", "block", "x", "y", "n", "m"]
 STORE_EVERY = 20
 
 
-def fit_shared(blocks: DataFrame, width: int, models: list[tuple[Settings, int | None]]
+def fit_shared(blocks: DataFrame, width: int, models: list[tuple[Settings, int | None]],
+               first_step: float | None = None, usable: list[np.ndarray] | None = None
                ) -> list[tuple[float, list[Tree]]]:
     """Models (settings, fold left out or None), all grown at once over all rows of ``blocks``.
 
+    ``first_step`` is the step of the first round if it differs; ``usable`` marks the features of each model.
     ``blocks`` may hold cells (column ``n``: the rows behind each label). Jobs: one a level (the deepest
     model's) without a shuffle, whatever the number of models; the values of the lowest level follow from the
     sums of the splits above it. The blocks are kept with their margins; a round's first pass brings
@@ -366,13 +387,16 @@ def fit_shared(blocks: DataFrame, width: int, models: list[tuple[Settings, int |
     for rnd in range(max(s.rounds for s, _ in models)):
         trees: dict[int, Tree] = {k: Tree() for k, (s, _) in enumerate(models) if rnd < s.rounds}
         columns = {k: drawn_columns(models[k][0], k, rnd, width) for k in trees}
+        if usable is not None:
+            columns = {k: v & usable[k] for k, v in columns.items()}
+        now = [s if rnd or first_step is None else replace(s, step=first_step) for s, _ in models]
         open_trees, level, sums = dict(trees), 0, {}
         while open_trees:
             low = {k: t for k, t in open_trees.items() if level and level == models[k][0].depth}
             sums = {k: _child_totals(t, sums[k]) for k, t in low.items()} | _level_sums(
                 state, width, models, {k: t for k, t in open_trees.items() if k not in low}, rnd)
             open_trees = {k: t for k, t in open_trees.items()
-                          if t.extend(sums[k], models[k][0], columns[k], level == models[k][0].depth)}
+                          if t.extend(sums[k], now[k], columns[k], level == now[k].depth)}
             level += 1
         for k, t in trees.items():
             grown[k].append(t)
@@ -420,6 +444,7 @@ def _level_sums(state: DataFrame, width: int, models: list, trees: dict[int, Tre
     if not trees:
         return {}
     shapes = {k: (2, len(t.feature) - t.start, width, BINS) for k, t in trees.items()}
+    depths = {k: t.levels() for k, t in trees.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {k: np.zeros(v) for k, v in shapes.items()}
@@ -432,17 +457,15 @@ def _level_sums(state: DataFrame, width: int, models: list, trees: dict[int, Tre
                     s, out = models[k]
                     if out == fold:
                         continue
-                    picked = drawn_rows(s, k, rnd, block, len(y))
-                    px = x[picked]
-                    node = np.zeros(len(picked), np.int64)
-                    while (node < t.start).any():
-                        nxt = t.down(px, node)
-                        if (nxt == node).all():
-                            break
-                        node = nxt
+                    px, g, w = x, (margins[k] - y) * n, n
+                    if s.row_share < 1.0:
+                        picked = drawn_rows(s, k, rnd, block, len(y))
+                        px, g, w = x[picked], g[picked], n[picked]
+                    node = t.walk(px, depths[k])
                     low = np.flatnonzero(node >= t.start)
-                    sums[k] += histograms(px[low], node[low] - t.start, ((margins[k] - y) * n)[picked][low],
-                                          sums[k].shape[1], n[picked][low])
+                    if len(low) < len(node):
+                        px, g, w, node = px[low], g[low], w[low], node[low]
+                    sums[k] += histograms(px, node - t.start, g, sums[k].shape[1], w)
         packed = zlib.compress(b"".join(v.tobytes() for v in sums.values()), 1)
         yield pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], names=["v"])
 

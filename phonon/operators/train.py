@@ -23,6 +23,7 @@ from . import permute as PM
 from .explain import tree_tables
 from .explore import evaluate_log_and_original, histogram, regression_metrics
 from .kernel import KernelRegression
+from .whole_gbt import WholeGBT, fit_gbt
 
 
 # ---------------------------------------------------------------- trainers
@@ -46,6 +47,11 @@ def boosted_trees(n_iter: int = 100, max_depth: int = 6, step: float = 0.3, seed
                         featuresCol="features", labelCol="label")
 
 
+def over_all_rows(regressor: GBTRegressor) -> WholeGBT:
+    """The regressor, its trees grown on all rows in shared passes (``whole_gbt``)."""
+    return WholeGBT(regressor)
+
+
 def huber_linear():
     """Robust linear model, beside the kernel one."""
     return LinearRegression(loss="huber", featuresCol="features", labelCol="label")
@@ -137,6 +143,20 @@ def train_and_evaluate(regressor, train: DataFrame, test: DataFrame, features: l
     return model, metrics, pred
 
 
+def train_and_evaluate_sets(regressor: GBTRegressor, train: DataFrame, test: DataFrame,
+                            sets: dict[str, list[str]], target: str) -> dict[str, DataFrame]:
+    """J19 for several feature sets: a model a set on all rows of ``train``, grown in shared passes.
+
+    Imputer and scaler work column by column and are fitted once on the columns of all sets.
+    """
+    columns = list(dict.fromkeys(c for cols in sets.values() for c in cols))
+    fitted, rows = prepared_rows(train, columns, target)
+    models = fit_gbt(rows, [regressor] * len(sets), [[columns.index(c) for c in cols] for cols in sets.values()])
+    ready = PipelineModel(fitted).transform(with_log_label(test, target)).select("features", "label", target)
+    return {name: evaluate_log_and_original(m.transform(ready), "label", "prediction", target)
+            for name, m in zip(sets, models, strict=True)}
+
+
 def compare_models(results: dict[str, DataFrame]) -> DataFrame:
     """One row per model with R2/MAE/RMSE on the log and original scale."""
     parts = [m.withColumn("model", F.lit(name)) for name, m in results.items()]
