@@ -31,3 +31,11 @@ def test_permutation_importance_fits_on_all_rows(spark, folder, monkeypatch):
     monkeypatch.setattr(TR, "permutation_importance", lambda model, *a: held.append(model) or whole(model, *a, repeats=1))
     assert C.QUERIES["permutation_importance"](spark, folder).count() == 5
     assert tree_tables(spark, held[0].stages[-1])[0][0]["cover"][0] == training_rows(spark, folder)
+
+
+def test_shap_summary_fits_on_all_rows(spark, folder, monkeypatch):
+    make, whole, held = TR.gradient_boosting, C.XP.shap_values, []
+    monkeypatch.setattr(TR, "gradient_boosting", lambda: make(2))
+    monkeypatch.setattr(C.XP, "shap_values", lambda model, *a: held.append(model) or whole(model, *a))
+    assert C.QUERIES["shap_summary"](spark, folder).count() == 5
+    assert tree_tables(spark, held[0].stages[-1])[0][0]["cover"][0] == training_rows(spark, folder)
