@@ -167,3 +167,34 @@ def test_cells_stand_for_all_their_rows(spark):
     x, y = np.concatenate([B._matrix(r["x"], 2) for r in blocks]), np.concatenate([np.frombuffer(r["y"]) for r in blocks])
     want_base, want = B.boost(x, y, s)
     assert np.allclose(B.predict(base, got, x), B.predict(want_base, want, x), atol=1e-9)
+
+
+def test_search_fits_on_all_rows_of_the_other_folds(spark, monkeypatch):
+    # one model, no rows drawn: the search equals fits on all rows, also beyond the former bound of 20000
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 25, 24_000), rng.integers(0, 20, 24_000)
+    y = np.sin(a / 4) + b / 20 + rng.normal(size=24_000)
+    df = spark.createDataFrame([(i, float(p), float(q), float(r)) for i, (p, q, r) in enumerate(zip(a, b, y, strict=True))],
+                               "id long, a double, b double, y double").repartition(4)
+    s = B.Settings(rounds=3, depth=4)
+    monkeypatch.setattr(B, "draws", lambda *_: [s])
+    _, table = B.search(df, ["a", "b"], "y", "id", n_draws=1, folds=3)
+    blocks = B.binned(df, B.fit_binning(df, ["a", "b"]), "y", "id", 3).collect()
+    mse = []
+    for f in range(3):
+        x, y, seen, want = (np.concatenate([v for r in blocks if (r["fold"] == f) == own for v in [
+            B._matrix(r["x"], 2) if binned else np.frombuffer(r["y"])]]) for own, binned in (
+                (False, True), (False, False), (True, True), (True, False)))
+        mse.append(((B.predict(*B.boost(x, y, s, f), seen) - want) ** 2).mean())
+    got = table.first()
+    assert got["n"] == 24_000 and abs(got["cv_mse"] - np.mean(mse)) < 1e-9
+
+
+def test_parts_of_the_rows_give_the_same_model(monkeypatch):
+    x, y = data(7, 900, 3)
+    s = B.Settings(rounds=4, depth=5)
+    base, trees = B.boost(x, y, s)
+    monkeypatch.setattr(B, "PART_ROWS", 128)
+    monkeypatch.setattr(B, "IN_MEMORY", 64)                   # arrays in files
+    again, others = B.boost(x, y, s)
+    assert abs(base - again) < 1e-12 and np.allclose(B.predict(base, trees, x), B.predict(again, others, x), atol=1e-9)
