@@ -48,3 +48,18 @@ def test_feature_set_experiment_fits_on_all_rows(spark, folder, monkeypatch):
     assert {r["model"] for r in C.QUERIES["feature_set_experiment"](spark, folder).collect()} == {
         "all", "selected", "selected_clusters"}
     assert held and all(tree_tables(spark, m)[0][0]["cover"][0] == training_rows(spark, folder) for m in held.values())
+
+
+def test_model_comparison_gives_all_rows_to_every_trainer(spark, folder, monkeypatch):
+    held = []
+
+    class Probe(TR.LinearRegression):
+        def fit(self, rows):
+            held.append(rows.count())
+            return super().fit(rows)
+
+    assert set(TR.default_trainers()) == {"random_forest", "gradient_boosting", "boosted_trees", "kernel_regression",
+                                          "huber_linear"}
+    monkeypatch.setattr(TR, "default_trainers", lambda: {"probe": Probe})
+    assert C.QUERIES["model_comparison"](spark, folder).count() == 2
+    assert held == [training_rows(spark, folder)] * 2
